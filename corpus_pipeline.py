@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, pieces
+from plumbline.llm import decontaminate, langid, linededup, ngramjoin, pieces
+from plumbline.llm.graph import sieve
 from plumbline.llm.queries import PIECES, vocabulary
 from plumbline.session import durable, table
 
@@ -21,6 +22,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document that loses lines and has no word left goes, all others stay."""
+    cut = linededup.dedup_lines(docs.select(*COLUMNS))
+    touched = F.size("removed_lines") > 0
+    left = cut.where(~touched | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    return left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    docs = docs.select(*COLUMNS)
+    found = ngramjoin.near_duplicates(docs)
+    gone = durable(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
+    maybe = sieve(docs, "doc_id", gone, "__gone").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return sieve(docs, "doc_id", gone, "__gone", keep=False).unionByName(maybe)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; a document of which no word is left goes."""
     found = decontaminate.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
@@ -35,7 +53,13 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, vocabulary(PIECES))
 
 
-STAGES = [("language ID", language), ("benchmark decontamination", decontamination), ("SentencePiece encoding and decoding", encoding)]
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", encoding),
+]
 #: SQL can express neither the n-gram filters nor the piece transducer; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, pieces, tokencount
+from plumbline.llm import decontaminate, langid, linededup, ngramjoin, pieces, tokencount
 from plumbline.session import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -24,6 +24,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, folder, "benchmark"), carry=["doc_id"]), "doc_id")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokencount.token_counts(table(spark, folder, "documents"), vocabulary(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -40,5 +44,9 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_token_counts, op8_sentencepiece, op9_language_id)}
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.removals(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op6_token_counts, op8_sentencepiece, op9_language_id, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
