@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, linededup, ngramjoin, pieces, tokencount
+from plumbline.llm import chat, decontaminate, fingerprint, langid, linededup, ngramjoin, pieces, quality, tokencount, urllists
+from plumbline.llm.oracles import ORACLES
 from plumbline.session import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -28,6 +29,49 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """The query's lists. The tables carry none, so a rule over the hosts dates them: a third of the hosts and a fifth of
+    the domains are blocked, the ``/en`` part of half of the hosts allowed, each from its own day on, most of them
+    removed again and some added once more."""
+    number = lambda text: F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    hosts = pages.select(urllists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    domain = F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1)
+    row = lambda chosen, name, kind, value: hosts.where(chosen).select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value")).distinct()
+    named = row(number(F.concat(F.lit("h"), "host")) % 3 == 0, "block", "host", F.col("host"))
+    named = named.unionByName(row(F.col("host").contains(".") & (number(F.concat(F.lit("d"), domain)) % 5 == 0), "block", "domain", domain))
+    named = named.unionByName(row(number(F.concat(F.lit("p"), "host")) % 2 == 0, "allow", "prefix", F.concat("host", F.lit("/en"))))
+    k = number(F.concat("list", "kind", "value"))
+    event = lambda chosen, action, day: F.when(chosen, F.struct(F.lit(action).alias("action"), F.dateadd(F.lit("2023-12-01").cast("date"), day.cast("int")).cast("timestamp").alias("at")))
+    events = F.array(event(F.lit(True), "add", k % 300), event(k % 4 != 0, "remove", k % 300 + 20 + k % 97), event(k % 8 == 1, "add", k % 300 + 150))
+    return named.select("list", "kind", "value", F.explode(F.array_compact(events)).alias("e")).select("list", "kind", "value", "e.action", "e.at")
+
+
+def op3_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a capture; its fetch time, which the table lacks, follows from page_id."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919) % 8760 * 3600)
+    said = urllists.filter_captures(pages.withColumn("fetched_at", at), dated_lists(pages))
+    return said.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, folder, "documents"))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: toxic 0, poor 1, good 2; selected are documents that are good with an even chance or better."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(table(spark, folder, "labels")))
+    return quality.grade(docs, model, tail=2)
+
+
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_turns(chat.canonical_turns(rows.select("conv_id", "turn", "role", "text").unionByName(own))))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokencount.token_counts(table(spark, folder, "documents"), vocabulary(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -48,5 +92,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.removals(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op6_token_counts, op8_sentencepiece, op9_language_id, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_jaccard_join, op3_url_lists, op4_fingerprints, op5_quality, op6_token_counts, op7_chat, op8_sentencepiece,
+        op9_language_id, op10_line_dedup,
+    )
+}
+__all__ = ["ORACLES", "QUERIES"]
