@@ -49,31 +49,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = durable(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct())
 
 
-def linked_groups(shared: DataFrame, key: str, screen: Callable[[str, str], Column], enough: Column, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(
+    shared: DataFrame, key: str, screen: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
+    need: Callable[[str, str], Column] = lambda a, b: F.lit(1), names: DataFrame | None = None,
+) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
-    ``shared`` has a row (key, id, further columns) for each key of an id. First every id is tried against the smallest
-    id of each of its keys. A key whose ids are then all in one component is done: no link among them can change a
-    component. For the other keys the pairs of different components are tried, if they pass ``screen(a, b)`` (prefixes
-    of the two sides' columns) and share ``enough`` keys (over ``n_shared``, ``a_*`` and ``b_*``). So a group of copies
-    costs its size and not its square, and no pair of different components is left untried.
+    ``shared`` has a row for each key of an id: (key, id, further columns), and ``first``, the struct (id, further columns)
+    of the key's smallest id. First every id is tried against the smallest id of each of its keys. A key whose ids are
+    then all in one component is done: no link among them can change a component. For the other keys the pairs of
+    different components are tried, if they pass ``screen(a, b)`` (over the two sides' columns) for a key and share
+    ``need(a, b)`` keys. So a group of copies costs its size and not its square, and no pair of different components is
+    left untried. ``verify`` turns pairs (a_id, b_id) into links (a_id, b_id); if those have other ids than ``shared``,
+    ``names`` has (id, name) for all of them.
     """
-    others = [c for c in shared.columns if c not in (key, "id")]
+    others = [c for c in shared.columns if c not in (key, "id", "first")]
     sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("id", *others)] for s in "ab"}
-    least = Window.partitionBy(key)
-    first = shared.withColumn("__first", F.min(F.struct("id", *others)).over(least))
-    stars = first.where(F.col("__first.id") != F.col("id")).select(*[F.col(f"__first.{c}").alias(f"a_{c}") for c in ("id", *others)], *sides["b"]).where(screen("a", "b"))
+    stars = shared.where(F.col("first.id") != F.col("id")).select(*[F.col(f"first.{c}").alias(f"a_{c}") for c in ("id", *others)], *sides["b"]).where(screen("a", "b"))
     tried = durable(stars.select("a_id", "b_id").distinct())
     links = durable(verify(tried))
     known = components(links, "a_id", "b_id")
-    tagged = shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = durable(tagged.withColumn("__low", F.min("component").over(least)).withColumn("__high", F.max("component").over(least)).where(F.col("__low") != F.col("__high")).drop("__low", "__high"))
+    if names is None:
+        tagged = shared.drop("first").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    else:
+        placed = names.join(known.withColumnRenamed("id", "name"), "name", "left").select("id", F.coalesce("component", "name").alias("component"))
+        tagged = shared.drop("first").join(placed, "id")
+    whole = Window.partitionBy(key)
+    mixed = durable(tagged.withColumn("__low", F.min("component").over(whole)).withColumn("__high", F.max("component").over(whole)).where(F.col("__low") != F.col("__high")).drop("__low", "__high"))
     left = mixed.select(key, F.col("component").alias("__ca"), *sides["a"])
     right = mixed.select(key, F.col("component").alias("__cb"), *sides["b"])
     pairs = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b"))
-    counted = pairs.groupBy(*[f"{s}_{c}" for s in "ab" for c in ("id", *others)]).agg(F.count("*").alias("n_shared")).where(enough).select("a_id", "b_id")
-    rest = counted.join(tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
-    more = durable(verify(durable(rest)))
+    counted = pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
+    rest = durable(counted.join(tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti"))
+    more = durable(verify(rest))
     if more.isEmpty():
         return known
     return components(links.unionByName(more), "a_id", "b_id")

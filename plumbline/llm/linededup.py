@@ -126,14 +126,17 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int
     distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim")))
     key = Window.partitionBy("key")
     keyed = distinct.select(F.explode(block_keys("sim", distance, count)).alias("key"), "low", "sim")
-    met = durable(keyed.withColumn("__met", F.count("*").over(key)).where("__met > 1").drop("__met"))
-    shared = met.join(distinct.select("low", "sim", "first"), ["low", "sim"]).select("key", F.col("first").alias("id"), "sim")
+    # Pairs are sought by the first half of the lines' hashes; what shares it by chance is told apart by the occurrence.
+    least = F.min(F.struct("id", "sim")).over(key)
+    shared = durable(keyed.select("key", F.col("low").alias("id"), "sim").withColumn("__met", F.count("*").over(key)).withColumn("first", least).where("__met > 1").drop("__met"))
+    names = distinct.select(F.col("low").alias("id"), F.col("first").alias("name"))
 
     def near(a: str, b: str):
         return F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= distance
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
+    def verify(found: DataFrame) -> DataFrame:
+        a, b = (names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in "ab")
+        pairs = durable(found.join(a, "a_id").join(b, "b_id").select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
         wanted = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
         held = sieve(docs, "doc", wanted.select(F.col("id.doc").alias("doc")), "doc")
         texts = durable(line_texts(held).select(F.struct("doc_id", "doc", "line").alias("id"), "normal").join(wanted, "id", "left_semi").distinct())
@@ -143,7 +146,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int
         close = F.expr(f"levenshtein(a_normal, b_normal, {allowed}) >= 0")
         return pairs.join(a, "a_id").join(b, "b_id").where(close).select("a_id", "b_id")
 
-    groups = linked_groups(shared, "key", near, F.lit(True), verify)
+    groups = linked_groups(shared, "key", near, verify, names=names)
     moved = distinct.join(groups.select(F.col("id").alias("first"), "component"), "first", "left").select("low", "high", F.coalesce("component", "first").alias("kept"), "n", "first")
     moved = moved.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("low", "high", "kept")
     gone = lines.join(moved, ["low", "high"]).where(F.struct("doc_id", "doc", "line") != F.col("kept"))

@@ -115,53 +115,44 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray, noise:
 
 
 def prefix_rows(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """(token, id, n, matches) for the prefix of every set."""
+    """(token, id, n, place, matches) for the prefix of every set; the id is half of its 128-bit sum."""
     mean = float(counts.mean())
     shared, noise = docs.sparkSession.sparkContext.broadcast(counts), mean + 3 * mean**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, values, bounds in sets_of(batch.column(1), width):
+            for _, values, bounds in sets_of(batch.column(0), width):
                 at, size, best = prefixes(values, bounds, shared.value, noise)
                 owner = np.repeat(np.arange(len(size)), size)
-                ids = batch.column(0).slice(start, len(size)).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(values[at])), ids, pa.array(np.diff(bounds)[owner].astype(np.int32)), pa.array(best[owner].astype(np.int32))], ["token", "doc_id", "n", "matches"])
+                low = sums(mix(values), bounds)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                flat = [signed(values[at]), signed(low)[owner], *(x.astype(np.int32) for x in (np.diff(bounds)[owner], place, best[owner]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["token", "id", "n", "place", "matches"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return per_batch(docs.select("doc_id", "text"), run, f"token long, doc_id {kind}, n int, matches int")
+    return per_batch(docs.select("text"), run, "token long, id long, n int, place int, matches int")
 
 
-def hashed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, values): the whole set of a document as sorted 64-bit hashes."""
+def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a_id, b_id) of documents to those whose whole sets reach the threshold. ``texts`` has (doc_id, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, values, bounds in sets_of(batch.column(1), width):
-                flat = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(flat)), pa.array(flat, pa.binary())], ["doc_id", "values"])
-
-    return per_batch(docs.select("doc_id", "text"), run, docs.select("doc_id").schema.add("values", "binary"))
-
-
-def verifier(sets: DataFrame):
-    """Pairs (a_id, b_id) to those whose whole sets reach the threshold."""
+    def one(column: pa.Array) -> np.ndarray:
+        return next(sets_of(column, width))[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = common > 0 and DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+            keep, last, left = np.zeros(batch.num_rows, bool), None, None
+            for start, values, bounds in sets_of(batch.column(3), width):
+                for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), start):
+                    if last is None or not batch.column(0)[k].equals(last) or not batch.column(2)[k].equals(batch.column(2)[k - 1]):
+                        last, left = batch.column(0)[k], one(batch.column(2).slice(k, 1))
+                    both = np.concatenate([left, values[x:y]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[k] = common > 0 and DENOMINATOR * common >= NUMERATOR * (len(both) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a_id", "b_id"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("doc_id").alias(f"{s}_id"), F.col("values").alias(f"{s}_values")) for s in "ab")
-        return per_batch(pairs.join(b, "b_id").join(a, "a_id").select("a_id", "b_id", "a_values", "b_values"), run, pairs.select("a_id", "b_id").schema)
-
-    return verify
+    a, b = (texts.select(F.col("doc_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    return per_batch(pairs.join(b, "b_id").join(a, "a_id").select("a_id", "b_id", "a_text", "b_text"), run, pairs.select("a_id", "b_id").schema)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -171,20 +162,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     counts = counters(described)
     rows = described.where("slice is null").drop("slice", "counts")
     equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"))
-    members = durable(rows.join(equal, ["n", "low", "high"], "left").select("doc_id", "n", F.coalesce("representative", "doc_id").alias("representative")))
+    members = durable(rows.join(equal, ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
+    names = members.where("n > 0 and representative is not null").select(F.col("low").alias("id"), F.col("representative").alias("name")).distinct()
     token = Window.partitionBy("token")
-    prefix = prefix_rows(docs, counts, width)
-    met = prefix.withColumn("__met", F.count("*").over(token)).where("__met > 1").drop("__met")
-    named = durable(met).join(members.select("doc_id", "representative").distinct(), "doc_id").select("token", F.col("representative").alias("id"), "n", "matches").distinct()
-    shared = durable(named.withColumn("__met", F.count("*").over(token)).where("__met > 1").drop("__met"))
-    involved = shared.select("id").distinct()
-    read = sieve(docs, "doc_id", involved, "id").join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = durable(hashed_sets(read, width))
-
-    def alike(a: str, b: str):
-        small, large = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-        return small * DENOMINATOR >= large * NUMERATOR
-
-    groups = linked_groups(shared, "token", alike, F.col("n_shared") >= F.least("a_matches", "b_matches"), verifier(sets))
+    # One shuffle of the prefixes: equal sets fold, single shingles go, and each shingle learns its first set.
+    folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(*(F.min(c).alias(c) for c in ("n", "place", "matches")))
+    first = F.min(F.struct("id", "n", "place", "matches")).over(token)
+    shared = durable(folded.withColumn("__met", F.count("*").over(token)).withColumn("first", first).where("__met > 1").drop("__met"))
+
+    def possible(a: str, b: str):
+        """Whatever precedes a common shingle in both sets and follows it in both must reach the threshold together."""
+        n = {s: F.col(f"{s}_n") for s in (a, b)}
+        place = {s: F.col(f"{s}_place") for s in (a, b)}
+        most = F.least(place[a], place[b]) + F.least(n[a] - place[a], n[b] - place[b])
+        return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in "ab")
+        named = durable(pairs.join(a, "a_id").join(b, "b_id").select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
+        wanted = named.select(F.col("a_id").alias("id")).unionByName(named.select(F.col("b_id").alias("id"))).distinct()
+        return alike(named, sieve(docs, "doc_id", wanted, "id"), width)
+
+    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), names)
     found = members.join(groups.withColumnRenamed("id", "representative"), "representative", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), "representative", F.coalesce("component", "representative").alias("component_id"))
