@@ -51,7 +51,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def linked_groups(
     shared: DataFrame, key: str, screen: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
-    need: Callable[[str, str], Column] = lambda a, b: F.lit(1), names: DataFrame | None = None,
+    need: Callable[[str, str], Column] = lambda a, b: F.lit(1), names: DataFrame | None = None, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
@@ -61,12 +61,13 @@ def linked_groups(
     different components are tried, if they pass ``screen(a, b)`` (over the two sides' columns) for a key and share
     ``need(a, b)`` keys. So a group of copies costs its size and not its square, and no pair of different components is
     left untried. ``verify`` turns pairs (a_id, b_id) into links (a_id, b_id); if those have other ids than ``shared``,
-    ``names`` has (id, name) for all of them.
+    ``names`` has (id, name) for all of them. ``pairs`` (a_id, b_id) are tried as well, at first.
     """
     others = [c for c in shared.columns if c not in (key, "id", "first")]
     sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("id", *others)] for s in "ab"}
     stars = shared.where(F.col("first.id") != F.col("id")).select(*[F.col(f"first.{c}").alias(f"a_{c}") for c in ("id", *others)], *sides["b"]).where(screen("a", "b"))
-    tried = durable(stars.select("a_id", "b_id").distinct())
+    stars = stars.select("a_id", "b_id")
+    tried = durable((stars if pairs is None else stars.unionByName(pairs)).distinct())
     links = durable(verify(tried))
     known = components(links, "a_id", "b_id")
     if names is None:
@@ -78,8 +79,8 @@ def linked_groups(
     mixed = durable(tagged.withColumn("__low", F.min("component").over(whole)).withColumn("__high", F.max("component").over(whole)).where(F.col("__low") != F.col("__high")).drop("__low", "__high"))
     left = mixed.select(key, F.col("component").alias("__ca"), *sides["a"])
     right = mixed.select(key, F.col("component").alias("__cb"), *sides["b"])
-    pairs = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b"))
-    counted = pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
+    met = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b"))
+    counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
     rest = durable(counted.join(tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti"))
     more = durable(verify(rest))
     if more.isEmpty():

@@ -33,6 +33,8 @@ MIN_WORDS = 5
 DISTANCE = 3
 BLOCKS = 5
 SIMILARITY = 0.9
+#: Keys of up to so many lines are compared in place, in full; beyond, groups are built from stars.
+CROWD = 32
 FOLD = ALNUM.copy()
 FOLD[0x30:0x3A] = 0x30
 
@@ -117,7 +119,7 @@ def block_keys(sim: str, distance: int, count: int):
     return F.array(*keys)
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int = DISTANCE, count: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int = DISTANCE, count: int = BLOCKS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(doc, doc_id, removed): for each document that has some, the numbers of its lines that go, ascending.
 
     ``docs`` has doc (a hash of the row's doc_id and text), doc_id and text."""
@@ -127,8 +129,15 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int
     key = Window.partitionBy("key")
     keyed = distinct.select(F.explode(block_keys("sim", distance, count)).alias("key"), "low", "sim")
     # Pairs are sought by the first half of the lines' hashes; what shares it by chance is told apart by the occurrence.
-    least = F.min(F.struct("id", "sim")).over(key)
-    shared = durable(keyed.select("key", F.col("low").alias("id"), "sim").withColumn("__met", F.count("*").over(key)).withColumn("first", least).where("__met > 1").drop("__met"))
+    # A key of few lines is settled where it lies: each line is held against those after it. Only the keys of many go on.
+    lines_of_key = F.count("*").over(key)
+    after = F.collect_list(F.struct(F.col("low").alias("id"), "sim")).over(key.orderBy("sim", "low").rowsBetween(1, crowd - 1))
+    close = F.transform(F.filter(after, lambda x: F.bit_count(x["sim"].bitwiseXOR(F.col("sim"))) <= distance), lambda x: x["id"])
+    first = F.min(F.struct(F.col("low").alias("id"), "sim")).over(key)
+    dealt = keyed.withColumn("crowded", lines_of_key > crowd).withColumn("near", close).withColumn("first", F.when(F.col("crowded"), first))
+    dealt = durable(dealt.where("crowded or size(near) > 0").select("key", F.col("low").alias("id"), "sim", "first", F.when(~F.col("crowded"), F.col("near")).alias("near")))
+    shared = dealt.where("near is null").drop("near")
+    pairs = dealt.select(F.col("id").alias("a_id"), F.explode("near").alias("b_id")).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
     names = distinct.select(F.col("low").alias("id"), F.col("first").alias("name"))
 
     def near(a: str, b: str):
@@ -146,7 +155,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int
         close = F.expr(f"levenshtein(a_normal, b_normal, {allowed}) >= 0")
         return pairs.join(a, "a_id").join(b, "b_id").where(close).select("a_id", "b_id")
 
-    groups = linked_groups(shared, "key", near, verify, names=names)
+    groups = linked_groups(shared, "key", near, verify, names=names, pairs=pairs)
     moved = distinct.join(groups.select(F.col("id").alias("first"), "component"), "first", "left").select("low", "high", F.coalesce("component", "first").alias("kept"), "n", "first")
     moved = moved.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("low", "high", "kept")
     gone = lines.join(moved, ["low", "high"]).where(F.struct("doc_id", "doc", "line") != F.col("kept"))

@@ -79,6 +79,7 @@ def test_matches_all_pairs(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'z' as line", "doc_id", "text", "doc_id as low")
     want = expected(spark, docs)
     assert {r["doc_id"]: r["removed_lines"] for r in removals(frame).collect()} == want
+    assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, crowd=2).collect()} == want
     cut = {r["doc_id"]: r for r in dedup_lines(frame).collect()}
     for doc_id, text in docs:
         left = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[doc_id])
