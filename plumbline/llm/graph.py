@@ -52,6 +52,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def linked_groups(
     shared: DataFrame, key: str, screen: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
     need: Callable[[str, str], Column] = lambda a, b: F.lit(1), names: DataFrame | None = None, pairs: DataFrame | None = None,
+    extra: DataFrame | None = None, strict: Callable[[str, str], Column] = lambda a, b: F.lit(True),
 ) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
@@ -62,6 +63,7 @@ def linked_groups(
     ``need(a, b)`` keys. So a group of copies costs its size and not its square, and no pair of different components is
     left untried. ``verify`` turns pairs (a_id, b_id) into links (a_id, b_id); if those have other ids than ``shared``,
     ``names`` has (id, name) for all of them. ``pairs`` (a_id, b_id) are tried as well, at first.
+    ``strict(a, b)`` is a second screen over the columns of ``extra`` (id, ...), applied where pairs of keys are made.
     """
     others = [c for c in shared.columns if c not in (key, "id", "first")]
     sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("id", *others)] for s in "ab"}
@@ -77,9 +79,12 @@ def linked_groups(
         tagged = shared.drop("first").join(placed, "id")
     whole = Window.partitionBy(key)
     mixed = durable(tagged.withColumn("__low", F.min("component").over(whole)).withColumn("__high", F.max("component").over(whole)).where(F.col("__low") != F.col("__high")).drop("__low", "__high"))
+    if extra is not None:
+        mixed = mixed.join(extra, "id")
+        sides = {s: [*sides[s], *(F.col(c).alias(f"{s}_{c}") for c in extra.columns if c != "id")] for s in "ab"}
     left = mixed.select(key, F.col("component").alias("__ca"), *sides["a"])
     right = mixed.select(key, F.col("component").alias("__cb"), *sides["b"])
-    met = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b"))
+    met = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b") & strict("a", "b"))
     counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
     rest = durable(counted.join(tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti"))
     more = durable(verify(rest))

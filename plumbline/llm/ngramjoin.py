@@ -5,7 +5,8 @@ others are joined on prefixes: with the shingles in one global order, two sets o
 ``l`` shingles among their first ``n - ceil(3n/4) + l``. The order puts rare shingles first; how frequent a shingle is
 comes from counters of fixed size that all documents feed. Each document lengthens its own prefix (raises its ``l``)
 while the estimated candidates of the longer prefix, divided by the more matches asked for, cost less. A pair is
-verified when it shares at least the smaller of its two ``l``; verification compares the whole sets.
+verified when it shares at least the smaller of its two ``l``, if neither the places of a common shingle nor the parity
+bitmaps of the sets rule it out; verification compares the whole sets.
 
 Only documents that share a prefix shingle with a different set are read again for verification. Links are exact;
 components are the smallest doc_id reachable.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.llm.blocks import SPACED, U64, blocks, distinct, find_words, hash_words, mix, per_batch, shingles, signed
@@ -36,6 +38,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of the shingle frequencies: 2**20, cut into slices for their sum.
 COUNTERS, SLICES = 1 << 20, 64
 LONGEST = 4
+#: Words of 64 bits of a set's parity bitmap.
+PARITY = 8
 #: Verifying a candidate costs about as much as so many entries of an inverted list.
 VERIFY_COST = 16
 
@@ -52,27 +56,38 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def parity(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(sets, PARITY): each value flips one bit. Two sets differ in at least as many values as their bitmaps do in bits."""
+    rows, bits = len(bounds) - 1, 64 * PARITY
+    owner = np.repeat(np.arange(rows), np.diff(bounds))
+    odd = np.bincount(owner * bits + ((values >> U64(32)) & U64(bits - 1)).astype(np.int64), minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """For each document its set's size and 128-bit sum; and the shingle counters of each task, in slices."""
+    """For each document its set's size, 128-bit sum and parity bitmap; and the shingle counters of each task, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = np.zeros(COUNTERS, np.int32), None
         for batch in batches:
-            names, n, low, high = [*batch.schema.names[:1], "n", "low", "high", "slice", "counts"], [], [], []
+            names, n, low, high = [*batch.schema.names[:1], "n", "low", "high", "parity", "slice", "counts"], [], [], []
+            marks = []
             for _, values, bounds in sets_of(batch.column(1), width):
                 counts += np.bincount((values & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
                 n.append(np.diff(bounds))
                 low.append(signed(sums(mix(values), bounds)))
                 high.append(signed(sums(mix(values ^ U64(0x5851F42D4C957F2D)), bounds)))
+                marks.append(parity(values, bounds))
             rows = batch.num_rows
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(marks).ravel() if marks else np.zeros(0, np.int64)))
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n, low, high)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *flat, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *flat, bits, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if names:
             parts = counts.reshape(SLICES, -1)
-            empty = [pa.nulls(SLICES, t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(SLICES, t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("low", "long").add("high", "long").add("slice", "integer").add("counts", "binary")
+    schema = docs.select("doc_id").schema.add("n", "long").add("low", "long").add("high", "long").add("parity", T.ArrayType(T.LongType())).add("slice", "integer").add("counts", "binary")
     return per_batch(docs.select("doc_id", "text"), run, schema)
 
 
@@ -161,9 +176,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     described = durable(describe(docs, width))
     counts = counters(described)
     rows = described.where("slice is null").drop("slice", "counts")
-    equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"))
-    members = durable(rows.join(equal, ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
-    names = members.where("n > 0 and representative is not null").select(F.col("low").alias("id"), F.col("representative").alias("name")).distinct()
+    equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"), F.min("parity").alias("parity"))
+    members = durable(rows.drop("parity").join(equal.drop("parity"), ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
+    vertices = durable(equal.where("representative is not null").select(F.col("low").alias("id"), F.col("representative").alias("name"), "n", "parity"))
+    names = vertices.select("id", "name")
     token = Window.partitionBy("token")
     # One shuffle of the prefixes: equal sets fold, single shingles go, and each shingle learns its first set.
     folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(*(F.min(c).alias(c) for c in ("n", "place", "matches")))
@@ -177,12 +193,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         most = F.least(place[a], place[b]) + F.least(n[a] - place[a], n[b] - place[b])
         return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b])
 
+    def differ(a: str, b: str):
+        """The parity bitmaps differ in no more bits than sets at the threshold differ in values."""
+        bits = sum((F.bit_count(F.col(f"{a}_parity")[k].bitwiseXOR(F.col(f"{b}_parity")[k])) for k in range(PARITY)), F.lit(0))
+        return (NUMERATOR + DENOMINATOR) * bits <= (DENOMINATOR - NUMERATOR) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in "ab")
-        named = durable(pairs.join(a, "a_id").join(b, "b_id").select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
+        a, b = (vertices.select(*(F.col(c).alias(f"{s}_{c}") for c in vertices.columns)) for s in "ab")
+        named = durable(pairs.join(a, "a_id").join(b, "b_id").where(differ("a", "b")).select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
         wanted = named.select(F.col("a_id").alias("id")).unionByName(named.select(F.col("b_id").alias("id"))).distinct()
         return alike(named, sieve(docs, "doc_id", wanted, "id"), width)
 
-    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), names)
+    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), names, extra=vertices.select("id", "parity"), strict=differ)
     found = members.join(groups.withColumnRenamed("id", "representative"), "representative", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), "representative", F.coalesce("component", "representative").alias("component_id"))
