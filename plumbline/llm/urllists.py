@@ -64,9 +64,9 @@ def active_entries(captures: DataFrame, entries: DataFrame, *, url: str = "url",
     capture."""
     distinct = captures.select(F.col(url).alias("url"), F.col(fetched_at).cast("timestamp").alias("fetched_at")).where(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).distinct()
     asked = distinct.select("url", "fetched_at", F.explode(keys_of(F.col("url"))).alias("key")).select("url", "fetched_at", "key.kind", "key.value", period_of(F.col("fetched_at")).alias("period"))
-    last = captures.agg(F.max(F.col(fetched_at).cast("timestamp")).alias("last"))
-    valid = intervals(entries).crossJoin(F.broadcast(last)).where(F.col("valid_from") <= F.col("last"))  # one row on the other side
-    until = F.least(F.coalesce("valid_to", "last"), F.col("last"))
+    last = F.timestamp_micros(F.lit(distinct.agg(F.unix_micros(F.max("fetched_at"))).first()[0]).cast("long"))  # one value; null without captures
+    valid = intervals(entries).where(F.col("valid_from") <= last)
+    until = F.least(F.coalesce("valid_to", last), last)
     cut = valid.select("list", "kind", "value", "valid_from", "valid_to", F.explode(F.sequence(period_of(F.col("valid_from")), period_of(until))).alias("period"))
     if cut.limit(broadcast_rows + 1).count() <= broadcast_rows:
         cut = F.broadcast(cut)
