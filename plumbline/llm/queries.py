@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import chat, decontaminate, fingerprint, langid, linededup, ngramjoin, pieces, quality, tokencount, urllists
 from plumbline.llm.oracles import ORACLES
-from plumbline.session import table
+from plumbline.session import spread, table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,13 +20,17 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, folder, "benchmark"), carry=["doc_id"]), "doc_id")
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngramjoin.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngramjoin.near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
 
 
 def dated_lists(pages: DataFrame) -> DataFrame:
@@ -55,12 +59,12 @@ def op3_url_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprint.edited_pairs(table(spark, folder, "documents"))
+    return fingerprint.edited_pairs(documents(spark, folder))
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Grades: toxic 0, poor 1, good 2; selected are documents that are good with an even chance or better."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     model = quality.fit(docs, quality.graded(table(spark, folder, "labels")))
     return quality.grade(docs, model, tail=2)
 
@@ -73,23 +77,23 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counted = tokencount.token_counts(table(spark, folder, "documents"), vocabulary(VOCABULARY))
+    counted = tokencount.token_counts(documents(spark, folder), vocabulary(VOCABULARY))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, folder, "documents"), vocabulary(PIECES))
+    return pieces.encode_documents(documents(spark, folder), vocabulary(PIECES))
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
     said = langid.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return linededup.removals(table(spark, folder, "documents"))
+    return linededup.removals(documents(spark, folder))
 
 
 QUERIES = {
