@@ -56,9 +56,8 @@ def linked_groups(
 ) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
-    ``shared`` has a row for each key of an id: (key, id, further columns), and ``first``, the struct (id, further columns)
-    of the key's smallest id. First every id is tried against the smallest id of each of its keys. A key whose ids are
-    then all in one component is done: no link among them can change a component. For the other keys the pairs of
+    ``shared`` has a row for each key of an id: (key, id, further columns), and ``first``, a struct of the same columns for
+    one of the key's ids. First every id is tried against the first of each of its keys. A key whose ids are then all in one component is done: no link among them can change a component. For the other keys the pairs of
     different components are tried, if they pass ``screen(a, b)`` (over the two sides' columns) for a key and share
     ``need(a, b)`` keys. So a group of copies costs its size and not its square, and no pair of different components is
     left untried. ``verify`` turns pairs (a_id, b_id) into links (a_id, b_id); if those have other ids than ``shared``,

@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     token = Window.partitionBy("token")
     # One shuffle of the prefixes: equal sets fold, single shingles go, and each shingle learns its first set.
     folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(*(F.min(c).alias(c) for c in ("n", "place", "matches")))
-    first = F.min(F.struct("id", "n", "place", "matches")).over(token)
+    # A shingle's first set is the one with the fewest rarer shingles, so of a group of edited copies the least edited.
+    first = F.min(F.struct("place", "id", "n", "matches")).over(token)
     shared = durable(folded.withColumn("__met", F.count("*").over(token)).withColumn("first", first).where("__met > 1").drop("__met"))
 
     def possible(a: str, b: str):
