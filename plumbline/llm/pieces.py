@@ -179,8 +179,8 @@ def encode(text: str, path: str) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with ``ids``, ``n_tokens``, ``ids_sha256`` (of the ids, comma-joined) and ``round_trip``
-    (decoding the ids gives the text back, visible spaces read as spaces)."""
+    """The carried columns with ``ids``, ``n_tokens``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first)
+    and ``round_trip`` (decoding the ids gives the text back, visible spaces read as spaces)."""
     given = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     width = len(carry)
 
@@ -192,7 +192,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tup
                 texts = part.column(width).to_pylist()
                 ids = [encode(t, model) for t in texts]
                 same = [compiled.decode(k) == t.replace(SPACE, " ") for k, t in zip(ids, texts, strict=True)]
-                sums = [hashlib.sha256(",".join(map(str, k.tolist())).encode()).hexdigest() for k in ids]
+                sums = [hashlib.sha256(k.astype("<i4").tobytes()).hexdigest() for k in ids]
                 bounds = np.concatenate([[0], np.cumsum([len(k) for k in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], lists, pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(same, pa.bool_())], [*batch.schema.names[:width], "ids", "n_tokens", "ids_sha256", "round_trip"])
