@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that loses lines and has no word left goes, all others stay."""
-    cut = linededup.dedup_lines(docs.select(*COLUMNS))
+    cut = linededup.dedup_lines(docs.select(*COLUMNS), **linededup.WHOLE)
     touched = F.size("removed_lines") > 0
     left = cut.where(~touched | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -7,6 +7,15 @@ their words. Its bits are cut into ``blocks``; two hashes within ``distance`` bi
 more blocks the keys get longer, for more lines). Candidates within the distance are verified by edit similarity of the
 normalised lines. Of each connected group the first occurrence, by (doc_id, line), stays; all others go.
 
+A SimHash of words sees few edited lines: one changed word moves many bits of a short line. With ``distance`` None
+(``WHOLE``, what the query and the pipeline run) the SimHash decides nothing and edit similarity alone does. Join keys are
+then runs of characters: lines of 10 to 59 characters have a key for every run of 5, 6 or 8 characters, of which two
+lines of edit similarity 0.9 always share one. Longer lines are put into classes of length ``base`` to 1.5 ``base`` and
+have the winnowed runs of their class (the smallest hash of each window): lines that share ``base / 5`` characters on
+end share a key, so all pairs are found whose edits lie in up to three places. Edits in more places are found if they
+leave such a run, which is not guaranteed. Lengths, places and counts of characters rule out pairs before they are
+verified, none of them a pair of that similarity.
+
 Defined results: lines of fewer than ``min_words`` words are never touched; null text has no lines and stays null; a
 line of any length is whole; rows equal in doc_id and text count as one document, and are treated alike; a null doc_id
 orders before all others; an empty table stays empty; extra columns pass through, the output columns replace columns
@@ -25,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.blocks import ALNUM, U64, blocks, find_words, hash_words, mix, per_batch, signed
+from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, _powers, blocks, find_words, hash_words, mix, per_batch, signed
 from plumbline.llm.graph import linked_groups, sieve
 from plumbline.session import durable
 
@@ -35,8 +44,13 @@ BLOCKS = 5
 SIMILARITY = 0.9
 #: Keys of up to so many lines are compared in place, in full; beyond, groups are built from stars.
 CROWD = 32
+#: Options of the query and the pipeline: edit similarity alone decides.
+WHOLE = {"distance": None}
 FOLD = ALNUM.copy()
 FOLD[0x30:0x3A] = 0x30
+#: The columns that rule pairs out: characters of a line, and how many of each kind.
+SHAPE = ("chars", "counts0", "counts1", "counts2", "counts3")
+BASES = np.array([10, 20, 40, *(int(60 * 1.5**k) for k in range(50))])
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +73,127 @@ def simhash(words: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndar
     return np.packbits(2 * ones > (lasts - firsts)[:, None], axis=1, bitorder="little").view(U64).ravel()
 
 
+def line_chars(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, bounds) of the normalised lines, laid end to end: words with one space between."""
+    inside = folded != 0
+    last = np.zeros(len(a), bool)
+    last[firsts[1:][np.diff(firsts) > 0] - 1] = True
+    inside[b[~last]] = True
+    kept = np.where(folded == 0, 32, folded)[inside].astype(np.uint8)
+    size = b - a + ~last
+    ends = np.concatenate([[0], np.cumsum(size)])[firsts]
+    if not len(kept) or kept.max() < 0x80:
+        return kept.astype(np.uint32), ends
+    opens = np.concatenate([[0], np.cumsum((kept & 0xC0) != 0x80)])
+    return np.frombuffer(kept.tobytes().decode().encode("utf-32-le"), np.uint32), opens[ends]
+
+
+def char_counts(chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(lines, 4): 32 counts of characters a line, a byte each, 255 or more as 255."""
+    rows = len(bounds) - 1
+    owner = np.repeat(np.arange(rows), np.diff(bounds))
+    counts = np.bincount(owner * 32 + (chars & 31), minlength=rows * 32)
+    return np.minimum(counts, 255).astype(np.uint8).view(np.int64).reshape(rows, 4)
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """The number of a length's class; of BASES, the last that is not above it."""
+    return np.searchsorted(BASES, n, "right") - 1
+
+
+def run_sizes(base: int) -> tuple[int, int]:
+    """(characters of a key, keys of a window) of a length class."""
+    if base < 60:
+        return {10: 5, 20: 6, 40: 8}[base], 1
+    shared = base // 5
+    width = max(10, shared * 2 // 5)
+    return width, shared - width + 1
+
+
+def window_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each place but the last ``width - 1``, the place of the (first) smallest of ``width`` values from there."""
+    at, done = np.arange(len(values)), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = at[:-step], at[step:]
+        at, done = np.where(values[right] < values[left], right, left), done + step
+    return at
+
+
+def winnowed(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, extent) of all lines of ten characters or more, each key of a line once.
+
+    A line has the keys of its own class, and those of the class of the longest line it can be alike to. The extent has
+    the line's length and the first and the last place of the key, 8 bits each, in units of the class."""
+    byte, up, down = _powers(len(chars))
+    codes = byte[chars] if not len(chars) or chars.max() < 256 else mix((chars.astype(U64) + U64(1)) * MULTIPLIER)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(codes * up[: len(chars)], dtype=U64)])
+    length = np.diff(bounds)
+    own, longer = length_class(length), length_class((length * 10 + 9) // 9)
+    found = []
+    for k in np.unique(np.concatenate([own, longer])):
+        if k < 0:
+            continue
+        base = int(BASES[k])
+        width, window = run_sizes(base)
+        unit = max(1, base // 64)
+        rows = np.flatnonzero(((own == k) | (longer == k)) & (length >= width + window - 1))
+        if not len(rows):
+            continue
+        grams = length[rows] - width + 1
+        heads = np.cumsum(grams) - grams
+        line = np.repeat(np.arange(len(rows)), grams)
+        place = np.arange(grams.sum()) - heads[line]
+        start = place + bounds[:-1][rows][line]
+        value = mix((sums[start + width] - sums[start]) * down[start] + U64(base))
+        at = window_least(value, window)
+        at = at[line[: len(at)] == line[window - 1 :]] if window > 1 else at
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+        order = np.lexsort((at, value[at], line[at]))
+        at = at[order]
+        fresh = np.concatenate([[True], (line[at][1:] != line[at][:-1]) | (value[at][1:] != value[at][:-1])])
+        opens = np.flatnonzero(fresh)
+        closes = np.concatenate([opens[1:], [len(at)]]) - 1
+        low, high = place[at[opens]] // unit, place[at[closes]] // unit
+        row = rows[line[at[opens]]]
+        found.append((row, value[at[opens]], (length[row] // unit << 16) | (low << 8) | high))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def run_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, sim): the keys of every line of enough words, by the first half of its hash; ``sim`` is the extent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in blocks(batch.column(0)):
+                lines, _ = line_bounds(data, bounds)
+                folded, a, b, firsts = find_words(data, lines, FOLD)
+                chars, ends = line_chars(folded, a, b, firsts)
+                low, _ = line_sums(hash_words(folded, a, b), firsts)
+                line, key, extent = winnowed(chars, ends)
+                take = np.diff(firsts)[line] >= min_words
+                line, key, extent = line[take], key[take], extent[take]
+                ids = low[line]
+                _, once = np.unique(mix(key) ^ ids.view(U64), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[once])), pa.array(ids[once]), pa.array(extent[once].astype(np.int32))], ["key", "id", "sim"])
+
+    rows = per_batch(docs.select("text"), run, "key long, id long, sim int")
+    return rows.repartition("key").groupBy("key", "id").agg(F.min("sim").alias("sim"))
+
+
+def line_sums(words: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
+    """The two halves of the hash of each line."""
+    head, tail = firsts[:-1], firsts[1:]
+    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    position = (np.arange(len(words)) - head[owner]).astype(U64)
+    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(words + position * U64(factor)), dtype=U64)]) for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    return [signed(s[tail] - s[head]) for s in sums]
+
+
 def find_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, doc_id, line, low, high, sim) of every line of enough words."""
+    """(doc, doc_id, line, low, high, sim, chars, counts) of every line of enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,14 +208,16 @@ def find_lines(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 head, tail = head[take], tail[take]
                 words = hash_words(folded, a, b)
-                owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-                position = (np.arange(len(words)) - firsts[:-1][owner]).astype(U64)
-                sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(words + position * U64(factor)), dtype=U64)]) for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                low, high = (signed(s[tail] - s[head]) for s in sums)
+                low, high = (s[take] for s in line_sums(words, firsts))
+                chars, ends = line_chars(folded, a, b, firsts)
+                counts = char_counts(chars, ends)[take]
                 rows = pa.array(start + text[take])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[take].astype(np.int32)), pa.array(low), pa.array(high), pa.array(signed(simhash(words, head, tail)))], ["doc", "doc_id", "line", "low", "high", "sim"])
+                flat = [number[take].astype(np.int32), low, high, signed(simhash(words, head, tail)), np.diff(ends)[take].astype(np.int32), *(counts[:, k].copy() for k in range(4))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, flat)], ["doc", "doc_id", "line", "low", "high", "sim", *SHAPE])
 
-    schema = docs.select("doc", "doc_id").schema.add("line", "integer").add("low", "long").add("high", "long").add("sim", "long")
+    schema = docs.select("doc", "doc_id").schema.add("line", "integer").add("low", "long").add("high", "long").add("sim", "long").add("chars", "integer")
+    for name in SHAPE[1:]:
+        schema = schema.add(name, "long")
     return per_batch(docs.select("doc", "doc_id", "text"), run, schema)
 
 
@@ -119,33 +254,54 @@ def block_keys(sim: str, distance: int, count: int):
     return F.array(*keys)
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int = DISTANCE, count: int = BLOCKS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int | None = DISTANCE, count: int = BLOCKS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(doc, doc_id, removed): for each document that has some, the numbers of its lines that go, ascending.
 
     ``docs`` has doc (a hash of the row's doc_id and text), doc_id and text."""
     lines = durable(find_lines(docs, min_words))
     place = F.struct("doc_id", "doc", "line")
-    distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim")))
+    distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *SHAPE))))
     key = Window.partitionBy("key")
-    keyed = distinct.select(F.explode(block_keys("sim", distance, count)).alias("key"), "low", "sim")
+    if distance is None:
+        assert similarity >= SIMILARITY, "the runs are those of SIMILARITY"
+        keyed = run_keys(docs, min_words).withColumnRenamed("id", "low").withColumn("met", F.count("*").over(key)).where("met > 1").drop("met")
+    else:
+        keyed = distinct.select(F.explode(block_keys("sim", distance, count)).alias("key"), "low", "sim")
+
+    def alike(x, y):
+        """What two lines of a key have to fulfil, by their ``sim``."""
+        if distance is not None:
+            return F.bit_count(x.bitwiseXOR(y)) <= distance
+        (n, low, high), (m, start, end) = ([F.shiftright(v, k).bitwiseAND(F.lit(255)) for k in (16, 8, 0)] for v in (x, y))
+        shift = (F.greatest(n, m) + 1) * F.lit(1 - similarity) + F.lit(1 + 1e-6)  # units are rounded down
+        return (F.abs(n - m) <= shift) & (low - end <= shift) & (start - high <= shift)
+
+    def shaped(a: str, b: str):
+        """Lengths and counts of characters differ by no more than the edits allowed."""
+        allowed = F.floor(F.greatest(f"{a}_chars", f"{b}_chars") * F.lit(1 - similarity) + F.lit(1e-9))
+        byte = lambda s, c, k: F.shiftrightunsigned(F.col(f"{s}_{c}"), k).bitwiseAND(F.lit(255))
+        apart = sum((F.abs(byte(a, c, k) - byte(b, c, k)) for c in SHAPE[1:] for k in range(0, 64, 8)), F.lit(0))
+        return (F.abs(F.col(f"{a}_chars") - F.col(f"{b}_chars")) <= allowed) & (apart <= 2 * allowed)
+
     # Pairs are sought by the first half of the lines' hashes; what shares it by chance is told apart by the occurrence.
     # A key of few lines is settled where it lies: each line is held against those after it. Only the keys of many go on.
     lines_of_key = F.count("*").over(key)
     after = F.collect_list(F.struct(F.col("low").alias("id"), "sim")).over(key.orderBy("sim", "low").rowsBetween(1, crowd - 1))
-    close = F.transform(F.filter(after, lambda x: F.bit_count(x["sim"].bitwiseXOR(F.col("sim"))) <= distance), lambda x: x["id"])
+    close = F.transform(F.filter(after, lambda x: alike(x["sim"], F.col("sim"))), lambda x: x["id"])
     first = F.min(F.struct(F.col("low").alias("id"), "sim")).over(key)
     dealt = keyed.withColumn("crowded", lines_of_key > crowd).withColumn("near", close).withColumn("first", F.when(F.col("crowded"), first))
     dealt = durable(dealt.where("crowded or size(near) > 0").select("key", F.col("low").alias("id"), "sim", "first", F.when(~F.col("crowded"), F.col("near")).alias("near")))
     shared = dealt.where("near is null").drop("near")
     pairs = dealt.select(F.col("id").alias("a_id"), F.explode("near").alias("b_id")).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
     names = distinct.select(F.col("low").alias("id"), F.col("first").alias("name"))
+    shapes = distinct.select(F.col("low").alias("id"), *SHAPE)
 
     def near(a: str, b: str):
-        return F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) <= distance
+        return alike(F.col(f"{a}_sim"), F.col(f"{b}_sim"))
 
     def verify(found: DataFrame) -> DataFrame:
-        a, b = (names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in "ab")
-        pairs = durable(found.join(a, "a_id").join(b, "b_id").select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
+        a, b = (distinct.select(F.col("low").alias(f"{s}_id"), F.col("first").alias(f"{s}_name"), *(F.col(c).alias(f"{s}_{c}") for c in SHAPE)) for s in "ab")
+        pairs = durable(found.join(a, "a_id").join(b, "b_id").where(shaped("a", "b")).select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
         wanted = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
         held = sieve(docs, "doc", wanted.select(F.col("id.doc").alias("doc")), "doc")
         texts = durable(line_texts(held).select(F.struct("doc_id", "doc", "line").alias("id"), "normal").join(wanted, "id", "left_semi").distinct())
@@ -155,7 +311,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int
         close = F.expr(f"levenshtein(a_normal, b_normal, {allowed}) >= 0")
         return pairs.join(a, "a_id").join(b, "b_id").where(close).select("a_id", "b_id")
 
-    groups = linked_groups(shared, "key", near, verify, names=names, pairs=pairs)
+    groups = linked_groups(shared, "key", near, verify, names=names, pairs=pairs, extra=shapes, strict=shaped)
     moved = distinct.join(groups.select(F.col("id").alias("first"), "component"), "first", "left").select("low", "high", F.coalesce("component", "first").alias("kept"), "n", "first")
     moved = moved.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("low", "high", "kept")
     gone = lines.join(moved, ["low", "high"]).where(F.struct("doc_id", "doc", "line") != F.col("kept"))

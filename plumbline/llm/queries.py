@@ -93,7 +93,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return linededup.removals(documents(spark, folder))
+    return linededup.removals(documents(spark, folder), **linededup.WHOLE)
 
 
 QUERIES = {

@@ -1,7 +1,8 @@
 import random
 import re
 
-from plumbline.llm.linededup import dedup_lines, find_lines, keyed, removals
+from plumbline.llm.linededup import MIN_WORDS, WHOLE, dedup_lines, find_lines, keyed, removals
+from plumbline.llm.queries import QUERIES
 from tests.llm import brute
 
 
@@ -92,3 +93,68 @@ def test_empty_and_repeated(spark):
     assert removals(frame.limit(0)).count() == 0
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in removals(frame).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1)]
+
+
+def edited():
+    """Lines and copies of them, most further than three bits of SimHash apart; of all lengths and scripts."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.choice([2, 4, 6, 8])))
+    lines = []
+    for n in (5, 6, 8, 10, 14, 20, 40, 80, 150):
+        for places in (1, 2, 3):
+            words = [word() for _ in range(n)]
+            lines.append(" ".join(words))
+            allowed = len(lines[-1]) // 10
+            for k in rng.sample(range(n), places):
+                if len(words[k]) <= allowed:
+                    words[k], allowed = "".join(rng.choices(letters, k=len(words[k]))), allowed - len(words[k])
+            lines.append(" ".join(words))
+    for n in (50, 55, 59):  # every edit in a place of its own
+        line = "".join(rng.choices(letters + " ", k=n))
+        normal_line = list(normal(line))
+        lines.append("".join(normal_line))
+        for k in range(5, len(normal_line) - 3, 10):
+            normal_line[k] = "é"
+        lines.append("".join(normal_line))
+    return [(k, line) for k, line in enumerate(rng.sample(lines, len(lines)))]
+
+
+def by_edits(docs, min_words):
+    """Every pair of distinct lines is compared, by edit similarity alone."""
+    lines, first = {}, {}
+    for doc_id, text in docs:
+        for k, line in enumerate(text.split("\n") if text is not None else []):
+            n = normal(line)
+            if len(n.split()) >= min_words:
+                lines[doc_id, k] = n
+                first.setdefault(n, (doc_id, k))
+
+    def linked(a, b):
+        allowed = int(max(len(a), len(b)) * 0.1 + 1e-9)
+        return abs(len(a) - len(b)) <= allowed and distance(a, b) <= allowed
+
+    group = brute.components(sorted(first, key=first.get), linked)
+    best = {}
+    for n, g in group.items():
+        best[g] = min(best.get(g, first[n]), first[n])
+    out = {doc_id: [] for doc_id, _ in docs}
+    for (doc_id, k), n in sorted(lines.items()):
+        if best[group[n]] != (doc_id, k):
+            out[doc_id].append(k)
+    return out
+
+
+def test_edit_similarity_alone_decides(spark):
+    for docs in (edited(), fixture()):
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        want = by_edits(docs, WHOLE.get("min_words", MIN_WORDS))
+        assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, **WHOLE).collect()} == want
+        assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, crowd=2, **WHOLE).collect()} == want
+        assert sum(map(len, want.values())) > 25
+
+
+def test_query_finds_a_changed_word(spark, tmp_path):
+    docs = [(1, "one two three four five six seven eight nine ten"), (2, "one two three four five sax seven eight nine ten")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
