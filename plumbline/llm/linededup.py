@@ -16,7 +16,8 @@ end share a key, so all pairs are found whose edits lie in up to three places. E
 leave such a run, which is not guaranteed. Lengths, places and counts of characters rule out pairs before they are
 verified, none of them a pair of that similarity.
 
-Defined results: lines of fewer than ``min_words`` words are never touched; null text has no lines and stays null; a
+Defined results: lines of fewer than ``min_words`` words are never touched (with ``WHOLE`` only lines without any word,
+such as empty ones; below ten characters no edit is allowed, so those lines fold when they are equal); null text has no lines and stays null; a
 line of any length is whole; rows equal in doc_id and text count as one document, and are treated alike; a null doc_id
 orders before all others; an empty table stays empty; extra columns pass through, the output columns replace columns
 of the same name.
@@ -44,8 +45,8 @@ BLOCKS = 5
 SIMILARITY = 0.9
 #: Keys of up to so many lines are compared in place, in full; beyond, groups are built from stars.
 CROWD = 32
-#: Options of the query and the pipeline: edit similarity alone decides.
-WHOLE = {"distance": None}
+#: Options of the query and the pipeline: edit similarity alone decides, for lines of any number of words.
+WHOLE = {"min_words": 1, "distance": None}
 FOLD = ALNUM.copy()
 FOLD[0x30:0x3A] = 0x30
 #: The columns that rule pairs out: characters of a line, and how many of each kind.

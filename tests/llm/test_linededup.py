@@ -158,3 +158,11 @@ def test_query_finds_a_changed_word(spark, tmp_path):
     docs = [(1, "one two three four five six seven eight nine ten"), (2, "one two three four five sax seven eight nine ten")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_removed"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_short_lines_and_lines_without_spaces(spark, tmp_path):
+    chinese = "这是一行没有空格的文字它应当只留下一次"
+    docs = [(1, "les\nall rights reserved\n\n" + chinese), (2, "Les!\nAll rights reserved.\n\n" + chinese), (3, "lesa\nall rights preserved\n" + chinese.replace("行", "段"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed_lines"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 1, 3], 3: [1, 2]}
