@@ -64,3 +64,12 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_language_rejects_what_no_filter_knows(spark, tmp_path):
+    rng = random.Random(4)
+    junk = {200: "".join(rng.choices("qxzjkv#$%&*0123456789 ", k=400)), 201: "Ωψ ωφγ ξζθ λμν " * 9, 202: "### 12 q --- 44 %% 7 ** 1"}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus()] + [(i, t, None, "s", len(t)) for i, t in junk.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, _ in corpus()} - {53, 54}
