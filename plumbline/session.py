@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,11 +43,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one of our own only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir`` or the context's checkpoint directory. Only a local
+    session, whose executors are this process, may go without and gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = os.environ.setdefault("PLUMBLINE_LOCAL_SHARED", tempfile.mkdtemp(prefix="plumbline-shared-"))
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folders.get(context.applicationId)
+        if folder is None:
+            folder = _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="plumbline-shared-")
+    return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -55,7 +61,18 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{durable_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing will read again; other DataFrames are left alone."""
+    for df in tables:
+        if (path := vars(df).get("durable_path")) is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
