@@ -144,3 +144,18 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+class Recent:
+    """Which ids a task has met before: one slot for each value of the last bits, so of fixed size. ``fresh`` says which
+    ids to send; an id is sent again only if it has lost its slot to another."""
+
+    def __init__(self, log2: int = 17):
+        self.slots, self.mask = np.zeros(1 << log2, np.int64), np.int64((1 << log2) - 1)
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        _, once = np.unique(ids, return_index=True)
+        slot = ids[once] & self.mask
+        new = (self.slots[slot] != ids[once]) | (ids[once] == 0)
+        self.slots[slot[new]] = ids[once][new]
+        return np.sort(once[new])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.session import durable
+from plumbline.session import discard, durable
 
 #: The sieve's bitmap has 2**SIEVE_LOG2 bits, 2**(SIEVE_LOG2 - 6) rows when broadcast, whatever the number of ids.
 SIEVE_LOG2 = 22
@@ -38,15 +38,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         count, mark = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if (count, mark) == before or not count:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out.durable_path = links.durable_path
+            return out
         before = (count, mark)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        large = durable(large)
+        # A table of its own, so that the join can split a hub's edges over tasks.
+        low = durable(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
+        large = durable(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where(F.col("u") != F.col("v"))
-        links = durable(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct())
+        older, links = links, durable(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct())
+        discard(older, low, large)
 
 
 def linked_groups(

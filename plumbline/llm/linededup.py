@@ -1,31 +1,30 @@
-"""Fuzzy line deduplication.
+"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one line a connected group.
 
 Lines are normalised to their words (A-Z to a-z, every digit to 0, other ASCII characters to gaps). Equal normalised
-lines collapse first, by a 128-bit hash and before anything is paired. The distinct lines get a 64-bit SimHash of
-their words. Its bits are cut into ``blocks``; two hashes within ``distance`` bits agree on at least
-``blocks - distance`` blocks whole, so the join keys are all choices of that many blocks (Manku et al.'s scheme; with
-more blocks the keys get longer, for more lines). Candidates within the distance are verified by edit similarity of the
-normalised lines. Of each connected group the first occurrence, by (doc_id, line), stays; all others go.
-
-A SimHash of words sees few edited lines: one changed word moves many bits of a short line. With ``distance`` None
-(``WHOLE``, what the query and the pipeline run) the SimHash decides nothing and edit similarity alone does. Join keys are
-then runs of characters: lines of 10 to 59 characters have a key for every run of 5, 6 or 8 characters, of which two
-lines of edit similarity 0.9 always share one. Longer lines are put into classes of length ``base`` to 1.5 ``base`` and
-have the winnowed runs of their class (the smallest hash of each window): lines that share ``base / 5`` characters on
-end share a key, so all pairs are found whose edits lie in up to three places. Edits in more places are found if they
-leave such a run, which is not guaranteed. Lengths, places and counts of characters rule out pairs before they are
-verified, none of them a pair of that similarity.
-
-Defined results: lines of fewer than ``min_words`` words are never touched (with ``WHOLE`` only lines without any word,
-such as empty ones; below ten characters no edit is allowed, so those lines fold when they are equal); null text has no lines and stays null; a
-line of any length is whole; rows equal in doc_id and text count as one document, and are treated alike; a null doc_id
-orders before all others; an empty table stays empty; extra columns pass through, the output columns replace columns
-of the same name.
+lines collapse first, by a 128-bit hash and before anything is paired. Two lines are alike if their edit distance is at
+most a tenth of the longer one; of each connected group the first occurrence, by (doc_id, line), stays and all others go.
+
+The SimHash is sparse: a word votes in one of ``count`` blocks of 64 bits only, the one that its own hash names. So an
+edited word moves two blocks at most and leaves the others as they are, bit for bit, where in a dense SimHash it moves
+bits all over. By the pigeonhole principle lines that differ in fewer than ``count / 2`` words share a whole block. Blocks
+per line and blocks per join key follow the length (``CLASSES``), so that a key stands for enough text to be rare
+however many lines there are; lines near the end of a class have the keys of the next one too. Words of more than 30
+characters, as in scripts without spaces, vote by their characters.
+
+Lines of 9 to 59 characters hold too few words for that. There the pigeonhole is on the text, and exact: a line's
+``n // 10 + 1`` segments are looked up at every place where at most ``n // 10`` edits can have moved one of them, so that
+no pair of the similarity is missed. Below that no edit is allowed, and equal lines fold.
+
+Defined results: lines of fewer than ``min_words`` words are never touched (by default only lines without any word, such
+as empty ones); null text has no lines and stays null; a line of any length is whole; rows equal in doc_id and text count
+as one document, and are treated alike; a null doc_id orders before all others; an empty table stays empty; extra
+columns pass through, the output columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -35,23 +34,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, _powers, blocks, find_words, hash_words, mix, per_batch, signed
+from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, Recent, _powers, blocks, find_words, hash_words, mix, per_batch, signed
 from plumbline.llm.graph import linked_groups, sieve
-from plumbline.session import durable
-
-MIN_WORDS = 5
-DISTANCE = 3
-BLOCKS = 5
-SIMILARITY = 0.9
-#: Keys of up to so many lines are compared in place, in full; beyond, groups are built from stars.
-CROWD = 32
-#: Options of the query and the pipeline: edit similarity alone decides, for lines of any number of words.
-WHOLE = {"min_words": 1, "distance": None}
+from plumbline.session import discard, durable
+
+MIN_WORDS = 1
+#: Edits allowed: one in so many characters of the longer line.
+EDIT_SHARE = 10
+#: Below so many characters the pigeonhole is on the text, from there on on the blocks of the SimHash.
+SHORT = 60
+#: (first length, blocks of the SimHash, blocks of a key) of the length classes.
+CLASSES = ((SHORT, 6, 2), (216, 8, 1), (400, 12, 1))
+#: A key has to stand for so many bytes of words, or for this share of what it stands for on average in a line of few.
+COVER, COVER_SHARE = 16, 0.6
+#: Words of more bytes vote by their characters.
+LONG_WORD = 30
 FOLD = ALNUM.copy()
 FOLD[0x30:0x3A] = 0x30
-#: The columns that rule pairs out: characters of a line, and how many of each kind.
-SHAPE = ("chars", "counts0", "counts1", "counts2", "counts3")
-BASES = np.array([10, 20, 40, *(int(60 * 1.5**k) for k in range(50))])
+INDEXED, SOUGHT = 1, 2
+#: A byte to its eight bits, a byte each.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64).ravel()
+#: The bitmap that says of which lines the texts are needed has 2**BITS_LOG2 bits (2 MB).
+BITS_LOG2 = 24
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,121 +71,181 @@ def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([starts, [len(data)]]), firsts
 
 
-def simhash(words: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
-    """The majority of each hash bit over a line's words; a tie is 0."""
-    bits = np.unpackbits(np.concatenate([words, np.zeros(1, U64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.stack([firsts, lasts], axis=1).ravel(), axis=0, dtype=np.int32)[::2]
-    return np.packbits(2 * ones > (lasts - firsts)[:, None], axis=1, bitorder="little").view(U64).ravel()
+def line_sizes(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Characters of each normalised line: those of its words and the spaces between."""
+    if not len(a):
+        return np.zeros(len(firsts) - 1, np.int64)
+    size = b - a
+    if folded.max() >= 0x80:
+        inner = np.concatenate([[0], np.cumsum((folded & 0xC0) == 0x80)])
+        size = size - (inner[b] - inner[a])
+    total = np.concatenate([[0], np.cumsum(size)])
+    words = np.diff(firsts)
+    return total[firsts[1:]] - total[firsts[:-1]] + np.maximum(words - 1, 0)
+
+
+def pick(firsts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the words of some lines, bounds of those lines among them)."""
+    counts = np.diff(firsts)[rows]
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    return np.arange(bounds[-1]) - np.repeat(bounds[:-1] - firsts[:-1][rows], counts), bounds
+
+
+def voters(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bounds) with long words cut into their characters."""
+    wide = b - a > LONG_WORD
+    if wide.any():  # count characters, not bytes
+        inner = np.concatenate([[0], np.cumsum((folded & 0xC0) == 0x80)])
+        wide &= b - a - (inner[b] - inner[a]) > LONG_WORD
+    if not wide.any():
+        return a, b, firsts
+    size = b - a
+    owner = np.repeat(np.arange(len(a)), np.where(wide, size, 1))
+    step = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(np.where(wide, size, 1))])[:-1], np.where(wide, size, 1))
+    start = a[owner] + step
+    opens = ~wide[owner] | ((folded[start] & 0xC0) != 0x80)
+    owner, start = owner[opens], start[opens]
+    last = np.concatenate([owner[1:] != owner[:-1], [True]])
+    ends = np.where(last, b[owner], np.concatenate([start[1:], [0]]))
+    return start, ends, np.searchsorted(owner, firsts)
+
+
+def block_sums(words: np.ndarray, size: np.ndarray, bounds: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, count): each block's 64 bits, the majority of the hashes of its distinct words (a tie is 0); and the bytes
+    of those words, 63 at most for one. (A word that a line repeats would else outvote all others of its block.)"""
+    lines = len(bounds) - 1
+    block = (words >> U64(48)) * U64(count) >> U64(16)
+    group = np.repeat(np.arange(lines, dtype=U64) * U64(count), np.diff(bounds)) + block
+    votes = np.sort((group << U64(38)) | ((words & U64(0xFFFFFFFF)) << U64(6)) | np.minimum(size, 63).astype(U64))
+    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] if len(votes) else votes
+    owner = (votes >> U64(38)).astype(np.int64)
+    per_group = np.bincount(owner, minlength=lines * count)
+    filled = np.flatnonzero(per_group)
+    sums = np.zeros(lines * count, U64)
+    if len(filled):
+        # Eight counters of a byte in a number; beyond 255 words they wrap, alike for equal blocks.
+        lanes = LANES[mix((votes >> U64(6)) & U64(0xFFFFFFFF)).view(np.uint8)].reshape(-1, 8)
+        ones = np.add.reduceat(lanes, (np.cumsum(per_group) - per_group)[filled], axis=0).view(np.uint8).reshape(-1, 64)
+        sums[filled] = np.packbits(2 * ones.astype(np.int32) > per_group[filled][:, None], axis=1, bitorder="little").view(U64).ravel()
+    covered = np.bincount(owner, weights=(votes & U64(63)).astype(np.float64), minlength=lines * count)
+    return sums.reshape(lines, count), covered.reshape(lines, count)
+
+
+def block_keys(words: np.ndarray, size: np.ndarray, bounds: np.ndarray, count: int, chosen: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): all choices of ``chosen`` blocks that cover enough."""
+    sums, covered = block_sums(words, size, bounds, count)
+    least = np.minimum(COVER, covered.sum(axis=1) * (COVER_SHARE * chosen / count))
+    rows, keys = [], []
+    for number, some in enumerate(combinations(range(count), chosen)):
+        stands = covered[:, some].sum(axis=1)
+        row = np.flatnonzero((stands >= least) & (stands > 0))
+        key = mix(np.full(len(row), count << 32 | number, U64))
+        for k in some:
+            key = mix(key ^ sums[row, k]) + U64(k)
+        rows.append(row)
+        keys.append(mix(key))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+@cache
+def segments(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, width, salt, role) of the keys of a line of ``n`` characters: its own segments, which are indexed, and the
+    places where it seeks the segments of lines that are as long or longer."""
+    found: dict[tuple[int, int, int], int] = {}
+    for other in range(max(n, EDIT_SHARE), SHORT):
+        edits, apart = other // EDIT_SHARE, n - other
+        if -apart > edits:
+            break
+        cuts = [k * other // (edits + 1) for k in range(edits + 2)]
+        for k in range(edits + 1):
+            left, right = cuts[k], cuts[k + 1]
+            low = max(0, left - k, left + apart - (edits - k))
+            high = min(n - (right - left), left + k, left + apart + (edits - k))
+            for at in range(low, high + 1):
+                found[at, right - left, other * 8 + k] = SOUGHT
+            if other == n:
+                found[left, right - left, other * 8 + k] = INDEXED | SOUGHT
+    start, width, salt = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    return start, width, mix(salt.astype(U64) * MULTIPLIER), np.array(list(found.values()), np.int64)
+
+
+def segment_keys(folded: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, role) of short lines, whose words are given."""
+    chars, ends = line_chars(folded, a, b, bounds)
+    byte, up, down = _powers(len(chars))
+    codes = byte[chars] if not len(chars) or chars.max() < 256 else mix((chars.astype(U64) + U64(1)) * MULTIPLIER)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(codes * up[: len(chars)], dtype=U64)])
+    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        start, width, salt, role = segments(int(n))
+        at = ends[rows][:, None] + start[None, :]
+        key = mix((sums[at + width] - sums[at]) * down[at] ^ salt)
+        found.append((np.repeat(rows, len(start)), key.ravel(), np.tile(role, len(rows))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def line_chars(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, bounds) of the normalised lines, laid end to end: words with one space between."""
-    inside = folded != 0
-    last = np.zeros(len(a), bool)
-    last[firsts[1:][np.diff(firsts) > 0] - 1] = True
-    inside[b[~last]] = True
-    kept = np.where(folded == 0, 32, folded)[inside].astype(np.uint8)
-    size = b - a + ~last
-    ends = np.concatenate([[0], np.cumsum(size)])[firsts]
+def line_chars(folded: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, bounds) of normalised lines, laid end to end: words with one space between."""
+    size = b - a + 1
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - a, size)
+    kept = np.where(at == np.repeat(b, size), 32, folded[np.minimum(at, len(folded) - 1)]).astype(np.uint8)
+    edges = np.concatenate([[0], ends])[bounds]
+    last = np.zeros(len(kept), bool)
+    last[edges[1:][np.diff(edges) > 0] - 1] = True
+    kept, edges = kept[~last], edges - np.concatenate([[0], np.cumsum(np.diff(edges) > 0)])
     if not len(kept) or kept.max() < 0x80:
-        return kept.astype(np.uint32), ends
+        return kept.astype(np.uint32), edges
     opens = np.concatenate([[0], np.cumsum((kept & 0xC0) != 0x80)])
-    return np.frombuffer(kept.tobytes().decode().encode("utf-32-le"), np.uint32), opens[ends]
-
-
-def char_counts(chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(lines, 4): 32 counts of characters a line, a byte each, 255 or more as 255."""
-    rows = len(bounds) - 1
-    owner = np.repeat(np.arange(rows), np.diff(bounds))
-    counts = np.bincount(owner * 32 + (chars & 31), minlength=rows * 32)
-    return np.minimum(counts, 255).astype(np.uint8).view(np.int64).reshape(rows, 4)
-
-
-def length_class(n: np.ndarray) -> np.ndarray:
-    """The number of a length's class; of BASES, the last that is not above it."""
-    return np.searchsorted(BASES, n, "right") - 1
+    return np.frombuffer(kept.tobytes().decode().encode("utf-32-le"), np.uint32), opens[edges]
 
 
-def run_sizes(base: int) -> tuple[int, int]:
-    """(characters of a key, keys of a window) of a length class."""
-    if base < 60:
-        return {10: 5, 20: 6, 40: 8}[base], 1
-    shared = base // 5
-    width = max(10, shared * 2 // 5)
-    return width, shared - width + 1
-
-
-def window_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each place but the last ``width - 1``, the place of the (first) smallest of ``width`` values from there."""
-    at, done = np.arange(len(values)), 1
-    while done < width:
-        step = min(done, width - done)
-        left, right = at[:-step], at[step:]
-        at, done = np.where(values[right] < values[left], right, left), done + step
-    return at
-
-
-def winnowed(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, extent) of all lines of ten characters or more, each key of a line once.
-
-    A line has the keys of its own class, and those of the class of the longest line it can be alike to. The extent has
-    the line's length and the first and the last place of the key, 8 bits each, in units of the class."""
-    byte, up, down = _powers(len(chars))
-    codes = byte[chars] if not len(chars) or chars.max() < 256 else mix((chars.astype(U64) + U64(1)) * MULTIPLIER)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(codes * up[: len(chars)], dtype=U64)])
-    length = np.diff(bounds)
-    own, longer = length_class(length), length_class((length * 10 + 9) // 9)
+def line_keys(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray, hashes: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, role) of the lines ``rows``; ``length`` has their characters, ``hashes`` those of all words."""
     found = []
-    for k in np.unique(np.concatenate([own, longer])):
-        if k < 0:
+    short = np.flatnonzero((length >= EDIT_SHARE - 1) & (length < SHORT))
+    if len(short):
+        words, bounds = pick(firsts, rows[short])
+        line, key, role = segment_keys(folded, a[words], b[words], bounds, length[short])
+        found.append((rows[short][line], key, role))
+    longest = (length * EDIT_SHARE + EDIT_SHARE - 2) // (EDIT_SHARE - 1)
+    froms = np.array([x[0] for x in CLASSES])
+    own, other = np.searchsorted(froms, length, "right") - 1, np.searchsorted(froms, longest, "right") - 1
+    for k, (_, count, chosen) in enumerate(CLASSES):
+        some = rows[(own == k) | (other == k)]
+        if not len(some):
             continue
-        base = int(BASES[k])
-        width, window = run_sizes(base)
-        unit = max(1, base // 64)
-        rows = np.flatnonzero(((own == k) | (longer == k)) & (length >= width + window - 1))
-        if not len(rows):
-            continue
-        grams = length[rows] - width + 1
-        heads = np.cumsum(grams) - grams
-        line = np.repeat(np.arange(len(rows)), grams)
-        place = np.arange(grams.sum()) - heads[line]
-        start = place + bounds[:-1][rows][line]
-        value = mix((sums[start + width] - sums[start]) * down[start] + U64(base))
-        at = window_least(value, window)
-        at = at[line[: len(at)] == line[window - 1 :]] if window > 1 else at
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        order = np.lexsort((at, value[at], line[at]))
-        at = at[order]
-        fresh = np.concatenate([[True], (line[at][1:] != line[at][:-1]) | (value[at][1:] != value[at][:-1])])
-        opens = np.flatnonzero(fresh)
-        closes = np.concatenate([opens[1:], [len(at)]]) - 1
-        low, high = place[at[opens]] // unit, place[at[closes]] // unit
-        row = rows[line[at[opens]]]
-        found.append((row, value[at[opens]], (length[row] // unit << 16) | (low << 8) | high))
+        words, bounds = pick(firsts, some)
+        start, end, cut = voters(folded, a[words], b[words], bounds)
+        voted = hashes[words] if len(start) == len(words) else hash_words(folded, start, end)
+        line, key = block_keys(voted, end - start, cut, count, chosen)
+        found.append((some[line], key, np.full(len(line), INDEXED | SOUGHT)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def run_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, id, sim): the keys of every line of enough words, by the first half of its hash; ``sim`` is the extent."""
+def key_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, form): the keys of every line, by the first half of its hash; ``form`` is four times its characters and
+    the key's role. A task sends the keys of a line once, unless so many others came between that it was forgotten."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in batches:
             for _, _, data, bounds in blocks(batch.column(0)):
                 lines, _ = line_bounds(data, bounds)
                 folded, a, b, firsts = find_words(data, lines, FOLD)
-                chars, ends = line_chars(folded, a, b, firsts)
-                low, _ = line_sums(hash_words(folded, a, b), firsts)
-                line, key, extent = winnowed(chars, ends)
-                take = np.diff(firsts)[line] >= min_words
-                line, key, extent = line[take], key[take], extent[take]
-                ids = low[line]
-                _, once = np.unique(mix(key) ^ ids.view(U64), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[once])), pa.array(ids[once]), pa.array(extent[once].astype(np.int32))], ["key", "id", "sim"])
+                hashes = hash_words(folded, a, b)
+                low, _ = line_sums(hashes, firsts)
+                length = line_sizes(folded, a, b, firsts)
+                rows = np.flatnonzero((length >= EDIT_SHARE - 1) & (np.diff(firsts) >= min_words))
+                rows = rows[recent.fresh(low[rows])]
+                line, key, role = line_keys(folded, a, b, firsts, hashes, rows, length[rows])
+                form = np.minimum(length[line], (1 << 28)) * 4 + role
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(low[line]), pa.array(form.astype(np.int32))], ["key", "id", "form"])
 
-    rows = per_batch(docs.select("text"), run, "key long, id long, sim int")
-    return rows.repartition("key").groupBy("key", "id").agg(F.min("sim").alias("sim"))
+    return per_batch(docs.select("text"), run, "key long, id long, form int")
 
 
 def line_sums(words: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
@@ -194,7 +258,7 @@ def line_sums(words: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
 
 
 def find_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, doc_id, line, low, high, sim, chars, counts) of every line of enough words."""
+    """(doc, doc_id, line, low, high) of every line of enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,119 +267,139 @@ def find_lines(docs: DataFrame, min_words: int) -> DataFrame:
                 folded, a, b, firsts = find_words(data, lines, FOLD)
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(first_line))
                 number = np.arange(len(text)) - first_line[:-1][text]
-                head, tail = firsts[:-1], firsts[1:]
-                take = np.flatnonzero(tail - head >= min_words)
+                take = np.flatnonzero(np.diff(firsts) >= min_words)
                 if not len(take):
                     continue
-                head, tail = head[take], tail[take]
-                words = hash_words(folded, a, b)
-                low, high = (s[take] for s in line_sums(words, firsts))
-                chars, ends = line_chars(folded, a, b, firsts)
-                counts = char_counts(chars, ends)[take]
+                low, high = (s[take] for s in line_sums(hash_words(folded, a, b), firsts))
                 rows = pa.array(start + text[take])
-                flat = [number[take].astype(np.int32), low, high, signed(simhash(words, head, tail)), np.diff(ends)[take].astype(np.int32), *(counts[:, k].copy() for k in range(4))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, flat)], ["doc", "doc_id", "line", "low", "high", "sim", *SHAPE])
+                flat = [number[take].astype(np.int32), low, high]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, flat)], ["doc", "doc_id", "line", "low", "high"])
 
-    schema = docs.select("doc", "doc_id").schema.add("line", "integer").add("low", "long").add("high", "long").add("sim", "long").add("chars", "integer")
-    for name in SHAPE[1:]:
-        schema = schema.add(name, "long")
+    schema = docs.select("doc", "doc_id").schema.add("line", "integer").add("low", "long").add("high", "long")
     return per_batch(docs.select("doc", "doc_id", "text"), run, schema)
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, line, normal): the normalised text of every line."""
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the column ``id``: at most 2**(BITS_LOG2 - 6) rows reach the driver."""
+    at = F.pmod("id", F.lit(1 << BITS_LOG2))
+    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(id, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS_LOG2 - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, normal): the normalised texts of all lines with an ``id``, and of some others, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent, bits = Recent(), shared.value
         for batch in batches:
-            for start, _, data, bounds in blocks(batch.column(2)):
-                lines, first_line = line_bounds(data, bounds)
-                folded = FOLD[data]
-                raw = np.where(folded == 0, 32, folded).astype(np.uint8).tobytes()
-                text = np.repeat(np.arange(len(bounds) - 1), np.diff(first_line))
-                normal = [b" ".join(raw[a:b].split()).decode() for a, b in zip(lines[:-1].tolist(), lines[1:].tolist(), strict=True)]
-                rows = pa.array(start + text)
-                number = (np.arange(len(text)) - first_line[:-1][text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), pa.array(normal, pa.string())], ["doc", "doc_id", "line", "normal"])
-
-    schema = docs.select("doc", "doc_id").schema.add("line", "integer").add("normal", "string")
-    return per_batch(docs.select("doc", "doc_id", "text"), run, schema)
+            for _, _, data, bounds in blocks(batch.column(0)):
+                lines, _ = line_bounds(data, bounds)
+                folded, a, b, firsts = find_words(data, lines, FOLD)
+                low, _ = line_sums(hash_words(folded, a, b), firsts)
+                at = low & np.int64((1 << BITS_LOG2) - 1)
+                rows = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+                rows = rows[recent.fresh(low[rows])]
+                folded[folded == 0] = 32
+                normal = [b" ".join(folded[x:y].tobytes().split()).decode() for x, y in zip(lines[rows].tolist(), lines[rows + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(low[rows]), pa.array(normal, pa.string())], ["id", "normal"])
+
+    return per_batch(docs.select("text"), run, "id long, normal string").dropDuplicates(["id"])
+
+
+def common_start(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether so many edits turn ``a`` into ``b``: common ends go, then a column of the distance table is one number
+    whose bits say where it rises and falls, a few operations a character."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    cut = common_start(a, b)
+    a, b = a[cut:], b[cut:]
+    cut = common_start(a[::-1], b[::-1])
+    a, b = sorted((a[: len(a) - cut], b[: len(b) - cut]), key=len)
+    if not a or len(b) <= edits:
+        return len(b) <= edits
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, score = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = places.get(c, 0)
+        across = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | (full & ~(across | rises)), rises & across
+        score += 1 if up & top else -1 if down & top else 0
+        if score - left > edits:
+            return False
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        same |= falls
+        rises, falls = down | (full & ~(same | up)), up & same
+    return score <= edits
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """Pairs (a_id, b_id, a_normal, b_normal) to (a_id, b_id) of those that are alike."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = a.as_py(), b.as_py()
+                keep.append(within(a, b, max(len(a), len(b)) // EDIT_SHARE))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a_id", "b_id"])
 
-def block_keys(sim: str, distance: int, count: int):
-    """All choices of ``count - distance`` blocks of the 64 bits, each with its number in front."""
-    cuts = [64 * k // count for k in range(count + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(count), count - distance)):
-        key, used = F.lit(number).cast("long"), 0
-        for k in chosen:
-            width = cuts[k + 1] - cuts[k]
-            part = F.shiftrightunsigned(F.col(sim), cuts[k]).bitwiseAND(F.lit((1 << width) - 1))
-            key, used = F.shiftleft(key, width).bitwiseOR(part), used + width
-        keys.append(key)
-    return F.array(*keys)
+    return per_batch(pairs, run, pairs.select("a_id", "b_id").schema)
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, distance: int | None = DISTANCE, count: int = BLOCKS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, doc_id, removed): for each document that has some, the numbers of its lines that go, ascending.
 
-    ``docs`` has doc (a hash of the row's doc_id and text), doc_id and text."""
+    ``docs`` has doc (a hash of the row's doc_id and text), doc_id and text. Lines are paired by the first half of their
+    hashes, so as if no two different lines of the corpus had that in common."""
     lines = durable(find_lines(docs, min_words))
     place = F.struct("doc_id", "doc", "line")
-    distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *SHAPE))))
+    distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    # One shuffle of the keys: copies fold, keys that nobody can meet at go, and each key learns a line to begin with.
     key = Window.partitionBy("key")
-    if distance is None:
-        assert similarity >= SIMILARITY, "the runs are those of SIMILARITY"
-        keyed = run_keys(docs, min_words).withColumnRenamed("id", "low").withColumn("met", F.count("*").over(key)).where("met > 1").drop("met")
-    else:
-        keyed = distinct.select(F.explode(block_keys("sim", distance, count)).alias("key"), "low", "sim")
-
-    def alike(x, y):
-        """What two lines of a key have to fulfil, by their ``sim``."""
-        if distance is not None:
-            return F.bit_count(x.bitwiseXOR(y)) <= distance
-        (n, low, high), (m, start, end) = ([F.shiftright(v, k).bitwiseAND(F.lit(255)) for k in (16, 8, 0)] for v in (x, y))
-        shift = (F.greatest(n, m) + 1) * F.lit(1 - similarity) + F.lit(1 + 1e-6)  # units are rounded down
-        return (F.abs(n - m) <= shift) & (low - end <= shift) & (start - high <= shift)
-
-    def shaped(a: str, b: str):
-        """Lengths and counts of characters differ by no more than the edits allowed."""
-        allowed = F.floor(F.greatest(f"{a}_chars", f"{b}_chars") * F.lit(1 - similarity) + F.lit(1e-9))
-        byte = lambda s, c, k: F.shiftrightunsigned(F.col(f"{s}_{c}"), k).bitwiseAND(F.lit(255))
-        apart = sum((F.abs(byte(a, c, k) - byte(b, c, k)) for c in SHAPE[1:] for k in range(0, 64, 8)), F.lit(0))
-        return (F.abs(F.col(f"{a}_chars") - F.col(f"{b}_chars")) <= allowed) & (apart <= 2 * allowed)
-
-    # Pairs are sought by the first half of the lines' hashes; what shares it by chance is told apart by the occurrence.
-    # A key of few lines is settled where it lies: each line is held against those after it. Only the keys of many go on.
-    lines_of_key = F.count("*").over(key)
-    after = F.collect_list(F.struct(F.col("low").alias("id"), "sim")).over(key.orderBy("sim", "low").rowsBetween(1, crowd - 1))
-    close = F.transform(F.filter(after, lambda x: alike(x["sim"], F.col("sim"))), lambda x: x["id"])
-    first = F.min(F.struct(F.col("low").alias("id"), "sim")).over(key)
-    dealt = keyed.withColumn("crowded", lines_of_key > crowd).withColumn("near", close).withColumn("first", F.when(F.col("crowded"), first))
-    dealt = durable(dealt.where("crowded or size(near) > 0").select("key", F.col("low").alias("id"), "sim", "first", F.when(~F.col("crowded"), F.col("near")).alias("near")))
-    shared = dealt.where("near is null").drop("near")
-    pairs = dealt.select(F.col("id").alias("a_id"), F.explode("near").alias("b_id")).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
-    names = distinct.select(F.col("low").alias("id"), F.col("first").alias("name"))
-    shapes = distinct.select(F.col("low").alias("id"), *SHAPE)
+    folded = key_rows(docs, min_words).repartition("key").groupBy("key", "id").agg(F.bit_or("form").alias("form"))
+    first = F.min(F.struct((F.col("form").bitwiseAND(F.lit(INDEXED)) == 0).alias("seeks"), "id", "form")).over(key)
+    met = folded.withColumn("met", F.count("*").over(key)).withColumn("first", first)
+    shared = durable(met.where("met > 1 and not first.seeks").select("key", "id", "form", F.struct("first.id", "first.form").alias("first")))
+    texts = durable(line_texts(docs, shared.select("id")))
 
     def near(a: str, b: str):
-        return alike(F.col(f"{a}_sim"), F.col(f"{b}_sim"))
+        """The lengths allow it, and one of the two seeks what the other has indexed."""
+        n, m = (F.shiftright(f"{s}_form", 2) for s in (a, b))
+        has = lambda s, bit: F.col(f"{s}_form").bitwiseAND(F.lit(bit)) != 0
+        meet = (has(a, INDEXED) & has(b, SOUGHT)) | (has(a, SOUGHT) & has(b, INDEXED))
+        return (F.abs(n - m) * EDIT_SHARE <= F.greatest(n, m)) & meet
 
     def verify(found: DataFrame) -> DataFrame:
-        a, b = (distinct.select(F.col("low").alias(f"{s}_id"), F.col("first").alias(f"{s}_name"), *(F.col(c).alias(f"{s}_{c}") for c in SHAPE)) for s in "ab")
-        pairs = durable(found.join(a, "a_id").join(b, "b_id").where(shaped("a", "b")).select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
-        wanted = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct()
-        held = sieve(docs, "doc", wanted.select(F.col("id.doc").alias("doc")), "doc")
-        texts = durable(line_texts(held).select(F.struct("doc_id", "doc", "line").alias("id"), "normal").join(wanted, "id", "left_semi").distinct())
         a, b = (texts.select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
-        longest = "greatest(length(a_normal), length(b_normal))"
-        allowed = f"cast(floor({longest} * {1 - similarity:.6f} + 1e-9) as int)"
-        close = F.expr(f"levenshtein(a_normal, b_normal, {allowed}) >= 0")
-        return pairs.join(a, "a_id").join(b, "b_id").where(close).select("a_id", "b_id")
-
-    groups = linked_groups(shared, "key", near, verify, names=names, pairs=pairs, extra=shapes, strict=shaped)
-    moved = distinct.join(groups.select(F.col("id").alias("first"), "component"), "first", "left").select("low", "high", F.coalesce("component", "first").alias("kept"), "n", "first")
-    moved = moved.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("low", "high", "kept")
-    gone = lines.join(moved, ["low", "high"]).where(F.struct("doc_id", "doc", "line") != F.col("kept"))
+        return verified(found.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_normal", "b_normal"))
+
+    groups = linked_groups(shared, "key", near, verify)
+    grouped = durable(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
+    discard(shared, texts, groups)
+    members = grouped.join(distinct, F.col("id") == F.col("low")).select("component", "low", "high", "first", "n")
+    heads = durable(members.groupBy("component").agg(F.min("first").alias("kept")))
+    moved = members.join(heads, "component").where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("low", "high", "kept")
+    alone = distinct.where("n > 1").join(grouped, F.col("low") == F.col("id"), "left_anti").select("low", "high", F.col("first").alias("kept"))
+    moved = durable(moved.unionByName(alone))
+    discard(distinct, grouped, heads)
+    gone = sieve(lines, "low", moved, "low").join(moved, ["low", "high"]).where(F.struct("doc_id", "doc", "line") != F.col("kept"))
     return gone.groupBy("doc", "doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from plumbline.llm.linededup import MIN_WORDS, WHOLE, dedup_lines, find_lines, keyed, removals
+from plumbline.llm.linededup import dedup_lines, removals, segments, within
 from plumbline.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -43,26 +43,19 @@ def fixture():
     return docs
 
 
-def expected(spark, docs):
-    """Every pair of distinct lines within the distance is compared."""
-    sims = {}
-    frame = keyed(spark.createDataFrame(docs, "doc_id long, text string"))
-    for r in find_lines(frame, 5).collect():
-        sims[r["doc_id"], r["line"]] = r["sim"] & (2**64 - 1)
+def by_edits(docs, min_words=1):
+    """Every pair of distinct lines is compared, by edit similarity alone."""
     lines, first = {}, {}
     for doc_id, text in docs:
         for k, line in enumerate(text.split("\n") if text is not None else []):
             n = normal(line)
-            if len(n.split()) >= 5:
+            if len(n.split()) >= min_words:
                 lines[doc_id, k] = n
                 first.setdefault(n, (doc_id, k))
-    assert set(lines) == set(sims)
 
     def linked(a, b):
-        if bin(sims[first[a]] ^ sims[first[b]]).count("1") > 3:
-            return False
-        longest = max(len(a), len(b))
-        return abs(len(a) - len(b)) <= longest * 0.1 and distance(a, b) <= int(longest * 0.1 + 1e-9)
+        allowed = int(max(len(a), len(b)) * 0.1 + 1e-9)
+        return abs(len(a) - len(b)) <= allowed and distance(a, b) <= allowed
 
     group = brute.components(sorted(first, key=first.get), linked)
     best = {}
@@ -78,9 +71,8 @@ def expected(spark, docs):
 def test_matches_all_pairs(spark):
     docs = fixture()
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'z' as line", "doc_id", "text", "doc_id as low")
-    want = expected(spark, docs)
+    want = by_edits(docs)
     assert {r["doc_id"]: r["removed_lines"] for r in removals(frame).collect()} == want
-    assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, crowd=2).collect()} == want
     cut = {r["doc_id"]: r for r in dedup_lines(frame).collect()}
     for doc_id, text in docs:
         left = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[doc_id])
@@ -120,38 +112,56 @@ def edited():
     return [(k, line) for k, line in enumerate(rng.sample(lines, len(lines)))]
 
 
-def by_edits(docs, min_words):
-    """Every pair of distinct lines is compared, by edit similarity alone."""
-    lines, first = {}, {}
-    for doc_id, text in docs:
-        for k, line in enumerate(text.split("\n") if text is not None else []):
-            n = normal(line)
-            if len(n.split()) >= min_words:
-                lines[doc_id, k] = n
-                first.setdefault(n, (doc_id, k))
-
-    def linked(a, b):
-        allowed = int(max(len(a), len(b)) * 0.1 + 1e-9)
-        return abs(len(a) - len(b)) <= allowed and distance(a, b) <= allowed
-
-    group = brute.components(sorted(first, key=first.get), linked)
-    best = {}
-    for n, g in group.items():
-        best[g] = min(best.get(g, first[n]), first[n])
-    out = {doc_id: [] for doc_id, _ in docs}
-    for (doc_id, k), n in sorted(lines.items()):
-        if best[group[n]] != (doc_id, k):
-            out[doc_id].append(k)
-    return out
-
-
 def test_edit_similarity_alone_decides(spark):
-    for docs in (edited(), fixture()):
-        frame = spark.createDataFrame(docs, "doc_id long, text string")
-        want = by_edits(docs, WHOLE.get("min_words", MIN_WORDS))
-        assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, **WHOLE).collect()} == want
-        assert {r["doc_id"]: r["removed_lines"] for r in removals(frame, crowd=2, **WHOLE).collect()} == want
-        assert sum(map(len, want.values())) > 25
+    """Lines under 60 characters: every link, wherever the edits are. Longer ones: no wrong link, and nearly all."""
+    docs = edited()
+    want = by_edits(docs)
+    got = {r["doc_id"]: r["removed_lines"] for r in removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    short = {k for k, line in docs if len(normal(line)) < 54}
+    assert {k: v for k, v in got.items() if k in short} == {k: v for k, v in want.items() if k in short}
+    assert all(not v or want[k] for k, v in got.items())
+    assert sum(map(len, got.values())) >= 0.9 * sum(map(len, want.values())) > 25
+
+
+def test_recall_of_longer_lines(spark):
+    """Pairs of one to four edited words in lines of 60 to 1,200 characters."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs, pairs = [], 0
+    for k in range(240):
+        words = ["".join(rng.choices(letters, k=rng.choice([2, 3, 5, 7, 9]))) for _ in range(rng.choice([14, 20, 35, 60, 120, 200]))]
+        line = " ".join(words)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [words[at], "".join(rng.choices(letters, k=4))], ["".join(rng.choices(letters, k=5))]])
+        pairs += within(line, " ".join(words), max(len(line), len(" ".join(words))) // 10)
+        docs += [(2 * k, line), (2 * k + 1, " ".join(words))]
+    got = {r["doc_id"]: r["n_removed"] for r in removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert pairs > 150 and pairs >= sum(got.values()) >= 0.93 * pairs
+
+
+def test_within_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(1500):
+        a = "".join(rng.choices("ab é", k=rng.randrange(0, 25)))
+        b = list(a) if rng.random() < 0.7 else rng.choices("ab é", k=rng.randrange(0, 25))
+        for _ in range(rng.randrange(4)):
+            b[(at := rng.randrange(len(b) + 1)) : at + rng.randrange(2)] = rng.choice(["", "a", "é"])
+        b, edits = "".join(b), rng.randrange(5)
+        assert within(a, b, edits) == (distance(a, b) <= edits)
+
+
+def test_a_segment_of_every_short_pair_meets():
+    rng = random.Random(2)
+    for _ in range(4000):
+        a = "".join(rng.choices("abc", k=rng.randrange(9, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(1, 7)):
+            b[(at := rng.randrange(len(b) + 1)) : at + rng.randrange(2)] = rng.choice(["", "a", "b"])
+        a, b = sorted((a, "".join(b)), key=len)
+        if 9 <= len(a) and len(b) < 60 and distance(a, b) <= len(b) // 10:
+            keys = [{(salt, text[x : x + w]): role for x, w, salt, role in zip(*map(list, segments(len(text))), strict=True)} for text in (a, b)]
+            assert any(role & 1 and keys[0].get(key, 0) & 2 for key, role in keys[1].items())
 
 
 def test_query_finds_a_changed_word(spark, tmp_path):

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from plumbline.llm.queries import PIECES, vocabulary
 from tests.llm import brute
-from tests.llm.test_linededup import expected as repeated
+from tests.llm.test_linededup import by_edits
 
 PASSAGES = [" ".join(f"bench{k}{j}" for j in range(14)) for k in range(3)]
 
@@ -25,7 +25,7 @@ def corpus():
 def plain(spark, docs):
     """The five stages, each the plain way."""
     docs = [(i, t) for i, t in docs if t and re.search(r"[^\W\d_]", t)]
-    gone = repeated(spark, docs)
+    gone = by_edits(docs)
     cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in docs]
     docs = [(i, t) for i, t in cut if not gone[i] or brute.words(t)]
     groups = brute.jaccard_components(docs)
