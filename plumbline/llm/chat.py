@@ -19,6 +19,7 @@ columns are ignored in row layouts. One conversation is one row of output, and s
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,8 @@ def unescape(value: Column) -> Column:
 def paths(kind: T.DataType, prefix: str = "") -> list[str]:
     """The nested field paths of a type; list elements are written ``[]``."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
+        mark = lambda name: re.sub(r"([\\.\[\]\n])", r"\\\1", name)
+        return [p for f in kind.fields for p in paths(f.dataType, f"{prefix}.{mark(f.name)}" if prefix else mark(f.name))]
     if isinstance(kind, T.ArrayType):
         return paths(kind.elementType, prefix + "[]")
     return [prefix]
@@ -99,7 +101,8 @@ def turns_from(layout: dict, at) -> Column:
     """A list or field layout's turns; ``at(path)`` gives a field as a string, or a list of structs of strings."""
     if "list" in layout:
         name, role, text = layout["list"]
-        return F.transform(at(name), lambda m: F.struct(canonical_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        named = canonical_role if role == "from" else lambda r: F.coalesce(r, F.lit(""))
+        return F.transform(at(name), lambda m: F.struct(named(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
     turns = []
     for role, path in layout["fields"]:
         first, *more = path.split("\n")
@@ -120,18 +123,43 @@ def canonical_turns(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
     return df.groupBy(conversation).agg(F.array_sort(F.collect_list(row)).alias("rows")).select(conversation, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
+def escaped(name: Column) -> Column:
+    """A field's name as part of a path: what would read as structure is marked."""
+    return F.regexp_replace(name, r"([\\.\[\]\n])", r"\\$1")
+
+
+def kind_mark(variant: Column) -> Column:
+    """Nothing for a plain value, ``[]`` for a list, ``{}`` for an object."""
+    kind = F.schema_of_variant(variant)
+    return F.when(kind.startswith("ARRAY"), "[]").when(kind.startswith("OBJECT"), "{}").otherwise("")
+
+
+def fields_of(variant: Column) -> Column:
+    """(key, value) of an object's fields; null for anything else."""
+    return F.map_entries(F.try_variant_get(variant, "$", "map<string,variant>"))
+
+
+def record_paths(variant: Column) -> Column:
+    """The distinct nested field paths of a JSON record: fields, fields of objects and of objects in lists. What is nested
+    deeper ends in a mark of its kind, so that it equals no path of a plain value."""
+
+    def below(head: Column, inner: Column) -> Column:
+        return F.transform(fields_of(inner), lambda f: F.concat(head, F.lit("."), escaped(f["key"]), kind_mark(f["value"])))
+
+    def one(field: Column) -> Column:
+        name, value = escaped(field["key"]), field["value"]
+        items = F.try_variant_get(value, "$", "array<variant>")
+        listed = F.concat(name, F.lit("[]"))
+        in_list = F.flatten(F.transform(items, lambda x: F.coalesce(below(listed, x), F.array(F.concat(listed, kind_mark(x))))))
+        return F.when(kind_mark(value) == "", F.array(name)).when(kind_mark(value) == "{}", below(name, value)).when(F.size(items) == 0, F.array(listed)).otherwise(in_list)
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields_of(variant), one))))
+
+
 def canonical_records(records: DataFrame, json: str = "record") -> DataFrame:
-    """``records`` with ``layout`` (a mapping's name) and ``turns``; each JSON record by its own fingerprint."""
-    variant = F.try_parse_json(json)
-    shape = F.schema_of_variant(variant)
-    # OBJECT<a: ARRAY<OBJECT<b: STRING, c: STRING>>, d: VOID> has the paths a[].b, a[].c and d.
-    items = F.regexp_extract_all(shape, F.lit(r"(\w+: ARRAY<OBJECT<[^<>]*>>|\w+: [^<>,]+)"), 1)
-    inner = lambda item: F.transform(
-        F.regexp_extract_all(F.regexp_extract(item, r"ARRAY<OBJECT<([^<>]*)>>", 1), F.lit(r"(\w+): "), 1),
-        lambda f: F.concat(F.regexp_extract(item, r"^(\w+):", 1), F.lit("[]."), f),
-    )
-    listed = F.flatten(F.transform(items, lambda i: F.when(i.contains("ARRAY<OBJECT<"), inner(i)).otherwise(F.array(F.regexp_extract(i, r"^(\w+):", 1)))))
-    mark = F.sha2(F.array_join(F.array_sort(listed), "\n").cast("binary"), 256)
+    """``records`` with ``layout`` (a mapping's name) and ``turns``; each JSON record by its own fingerprint. Numbers and
+    booleans in the place of a text are its JSON; a record beyond Spark's limit of a variant (16 MB) has no layout."""
+    mark = F.sha2(F.array_join(record_paths(F.try_parse_json(json)), "\n").cast("binary"), 256)
     given = records.withColumn("__mark", mark)
     known = [(m, x) for m, x in BY_FINGERPRINT.items() if "rows" not in x]
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)

@@ -69,11 +69,36 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grade(docs, model, tail=2)
 
 
+#: Conversations of more characters keep their row layout in op7: as records they could pass the limit of a JSON value.
+LONG_RECORD = 2_000_000
+
+
+def chat_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): the query's conversations in the layouts of four sources. A question with its answer is a prompt
+    and a completion for every second conv_id; the others are lists of messages, turns or from and value."""
+    named = lambda role, text: F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text)))
+    is_role = lambda k, role: F.coalesce(F.try_element_at(F.col("turns"), F.lit(k))["role"] == role, F.lit(False))
+    pair = (F.size("turns") == 2) & is_role(1, "user") & is_role(2, "assistant") & (F.col("conv_id") % 2 == 0)
+    plain = ~F.exists("turns", lambda t: t["role"].isin(list(chat.ROLES)))
+    text = lambda k: F.try_element_at(F.col("turns"), F.lit(k))["text"]
+    record = (
+        F.when(pair, F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("completion"))))
+        .when((F.col("conv_id") % 3 == 0) & plain, F.to_json(F.struct(named("from", "value").alias("conversations"))))
+        .when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(named("role", "text").alias("turns"))))
+        .otherwise(F.to_json(F.struct(named("role", "content").alias("messages"))))
+    )
+    return turns.select("conv_id", record.alias("record"))
+
+
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows by turn are gathered by their fingerprint, written as records of four layouts, and read by theirs."""
     rows = table(spark, folder, "conversations")
     control = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.format_turns(chat.canonical_turns(rows.select("conv_id", "turn", "role", "text").unionByName(own))))
+    turns = chat.canonical_turns(rows.select("conv_id", "turn", "role", "text").unionByName(own))
+    long = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["role"]) + F.length(t["text"])) > LONG_RECORD
+    read = chat.canonical_records(chat_records(turns.where(~long))).drop("record", "layout")
+    return chat.digest(chat.format_turns(read.unionByName(turns.where(long))))
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
