@@ -75,6 +75,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def file_bytes(path: str) -> bytes:
+    """A vocabulary or model file, read where the driver runs; executors get its bytes."""
+    return Path(path).read_bytes()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
