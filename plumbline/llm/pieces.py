@@ -1,24 +1,29 @@
 """SentencePiece encoding and decoding as weighted transduction.
 
-Three machines are compiled from a model file: the normaliser (a dummy prefix, spaces to the visible space), the piece
-lexicon with byte fallback for characters that no piece has, and a bigram acceptor over pieces. The acceptor's weight
-is 0 for two pieces that stay apart when their joined string is merged, and infinite otherwise. Composed with an
-input, exactly one finite path is left: a merge sequence never crosses a boundary of the result, so a piece string is
-the model's encoding if and only if each neighbouring pair encodes to itself. The tropical shortest path is therefore
-the encoding. Every prefix has one finite path too, so the search goes longest arc first and never enters a place again
-that it has left as dead.
-
-The composition falls apart at places that no piece spans (before a visible space after other text, around line
-breaks), so it is done once per distinct segment and remembered in a bounded memo.
-
-Defined results: null and empty text have no ids; equal texts have equal ids; decoding gives the text back with every
-visible space read as a space, whatever the text; texts of any length are whole; extra columns pass through.
+Three machines are compiled from a model file: the normaliser as the file sets it (dummy prefix, spaces to the visible
+space; a character map or another setting is refused), the piece lexicon with byte fallback for characters that no piece
+has, and a bigram acceptor over pieces. Weights are of the tropical semiring, the least sum wins. The file's kind is BPE,
+whose encoding is no best-scoring path of the lexicon; so the acceptor carries the kind's weights: two pieces that stay
+apart when their joined string is merged weigh 0, all others infinity. A merge sequence never crosses a boundary of the
+result, so a piece string is the model's encoding of an input if and only if each neighbouring pair encodes to itself,
+and the shortest path through input, lexicon and acceptor is the encoding. ``path`` relaxes arcs, the lightest first; a
+state is a place with the last piece. The same holds for every prefix of the input, so that a place has one state of
+finite weight at most.
+
+The composition falls apart at places that no piece spans (before a space after other text, around line breaks). These
+segments are found for a block of texts at a time, and each distinct one is composed once and remembered in a memo of
+bounded size that ends with the task.
+
+Defined results: null and empty text have no ids; equal texts have equal ids, repeated rows repeat them; decoding gives
+the text back with every visible space read as a space, whatever the text; texts of any length are whole; an empty table
+stays empty; of extra columns the carried ones pass through and the output columns replace those of the same name. No
+ties arise: the path of finite weight is the only one. (Segments of a block are told apart by 64-bit hashes.)
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import heapq
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -26,44 +31,59 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.blocks import per_batch
+from plumbline.llm.blocks import blocks, hash_words, per_batch
+from plumbline.session import file_bytes
 
 SPACE = "▁"
-MEMO = 250_000
-PAIRS = 500_000
-NEVER = float("-inf")
+#: Entries of a memo's generation, of segments of REMEMBERED bytes or less; entries of the acceptor's compiled arcs.
+MEMO, REMEMBERED = 300_000, 48
+PAIRS = 300_000
+#: Segments of more characters are cut where no piece can join them, before they are composed.
+WHOLE = 24
+NEVER, INFINITE = float("-inf"), float("inf")
+#: Fixed values of the model file: kinds of models, kinds of pieces.
+BPE = 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
 class Transducer:
-    """Normaliser, lexicon with byte fallback and bigram acceptor of one model file."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
+    """Normaliser, lexicon with byte fallback and bigram acceptor of one model file, given as bytes."""
+
+    def __init__(self, model: bytes):
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(model)
+        train, normal = spec.trainer_spec, spec.normalizer_spec
+        refused = {
+            "a kind other than BPE": train.model_type != BPE, "no byte fallback": not train.byte_fallback, "spaces as suffixes": train.treat_whitespace_as_suffix,
+            "a character map": bool(normal.precompiled_charsmap), "removal of spaces": normal.remove_extra_whitespaces, "unescaped spaces": not normal.escape_whitespaces,
+            "pieces of the user": any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in spec.pieces),
+        }
+        if any(refused.values()):
+            raise ValueError("this model file has " + ", ".join(k for k, v in refused.items() if v))
+        self.prefix = bool(normal.add_dummy_prefix)
         self.surface: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
-        for k in range(size):
-            piece = model.id_to_piece(k)
-            if model.is_byte(k):
-                self.bytes[int(piece[3:5], 16)] = k
-                self.surface.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(k) or model.is_unknown(k):
-                self.surface.append(b"")
+        for k, piece in enumerate(spec.pieces):
+            if piece.type == BYTE:
+                self.bytes[int(piece.piece[3:5], 16)] = k
+                self.surface.append(bytes([int(piece.piece[3:5], 16)]))
+            elif piece.type == NORMAL:
+                self.ids[piece.piece], self.scores[piece.piece] = k, piece.score
+                self.surface.append(piece.piece.replace(SPACE, " ").encode())
             else:
-                self.ids[piece], self.scores[piece] = k, model.get_score(k)
-                self.surface.append(piece.replace(SPACE, " ").encode())
+                self.surface.append(b"")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece of this model spans a segment boundary")
-        self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.clear: dict[tuple[str, str], bool] = {}
         self.proper = {p for p in self.ids if self.merged(p) == [p]}
         #: Neighbouring characters of some piece; between any others the composition falls apart.
         self.joints = {p[k : k + 2] for p in self.proper for k in range(len(p) - 1)}
@@ -84,53 +104,58 @@ class Transducer:
                 gains[k - 1] = score(parts[k - 1] + parts[k], NEVER)
         return parts
 
-    def apart(self, a: str, b: str) -> bool:
-        """The acceptor's finite arcs, compiled on demand."""
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+    def weight(self, last: str, piece: str) -> float:
+        """The acceptor's arc from one piece to the next, compiled on demand."""
+        apart = self.clear.get((last, piece))
+        if apart is None:
+            if len(self.clear) >= PAIRS:
+                self.clear.clear()
+            apart = self.clear[last, piece] = self.merged(last + piece) == [last, piece]
+        return 0.0 if apart else INFINITE
 
     def cut(self, segment: str) -> list[str]:
         at = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.joints]
         return [segment[a:b] for a, b in pairwise([0, *at, len(segment)])]
 
-    def arcs(self, segment: str, place: int) -> list[str]:
-        """The lexicon's arcs that leave a place, the longest last."""
+    def arcs(self, segment: str, place: int) -> list[tuple[int, str]]:
+        """The lexicon's arcs (end, piece) that leave a place; of a character without a piece, its bytes as one arc."""
         heads, proper, out = self.heads, self.proper, []
         for end in range(place + 1, len(segment) + 1):
             piece = segment[place:end]
             if piece not in heads:
                 break
             if piece in proper:
-                out.append(piece)
-        return out or [segment[place : place + 1]]
+                out.append((end, piece))
+        return out or [(place + 1, segment[place])]
 
     def path(self, segment: str) -> list[int]:
-        """Ids on the shortest path through the composition with ``segment``."""
-        found: list[str] = []
-        places, open_ = [0], [self.arcs(segment, 0)]
-        dead: set[int] = set()
-        pairs, size = self.pairs, len(segment)
-        while places[-1] < size:
-            place, arcs = places[-1], open_[-1]
-            while arcs:
-                piece = arcs.pop()
-                if (end := place + len(piece)) in dead:
-                    continue
-                if found:
-                    clear = pairs.get((found[-1], piece))
-                    if not (self.apart(found[-1], piece) if clear is None else clear):
-                        continue
-                found.append(piece)
-                places.append(end)
-                open_.append(self.arcs(segment, end))
-                break
-            else:  # every path over this place is infinite
-                dead.add(place)
-                places.pop(), open_.pop(), found.pop()
+        """Ids on the shortest path through the composition with ``segment``. The lightest arc is relaxed first, among
+        equals the one that reaches furthest; its acceptor weight, never under 0, is looked up only then. An arc that turns
+        out finite so has the least weight that its end can have, and settles it."""
+        size = len(segment)
+        #: The last piece of the places settled.
+        last: list[str | None] = [None] * (size + 1)
+        waiting = [(0.0, -end, 0, piece) for end, piece in self.arcs(segment, 0)]
+        heapq.heapify(waiting)
+        while last[size] is None:
+            so_far, end, place, piece = heapq.heappop(waiting)
+            end = -end
+            if last[end] is not None:
+                continue
+            total = so_far + (self.weight(last[place], piece) if place else 0.0)
+            if total == INFINITE:
+                continue
+            last[end] = piece
+            if end < size:
+                for further, next_piece in self.arcs(segment, end):
+                    if last[further] is None:
+                        heapq.heappush(waiting, (total, -further, end, next_piece))
+        found, place = [], size
+        while place:
+            found.append(last[place])
+            place -= len(found[-1])
         out: list[int] = []
-        for piece in found:
+        for piece in reversed(found):
             k = self.ids.get(piece)
             out.extend([k] if k is not None else [self.bytes[b] for b in piece.encode()])
         return out
@@ -138,64 +163,107 @@ class Transducer:
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces and bytes end to end, without the dummy prefix."""
         whole = b"".join(map(self.surface.__getitem__, ids.tolist()))
-        return whole.removeprefix(b" ").decode("utf-8", "replace")
+        return (whole.removeprefix(b" ") if self.prefix else whole).decode("utf-8", "replace")
 
 
-class Memo(dict):
-    """Segment to its ids as bytes. Two bounded generations: what is still in use moves to the younger one."""
+class Memo:
+    """Segments (bytes, with plain spaces) to their ids. Two bounded generations: what is in use moves to the younger."""
 
     def __init__(self, machine: Transducer):
-        super().__init__()
-        self.machine, self.older = machine, {}
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = self.older.get(segment)
-        if ids is None:
-            parts = self.machine.cut(segment)
-            ids = array("i", self.machine.path(segment)).tobytes() if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
-        if len(segment) <= 64:
-            if len(self) > MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[segment] = ids
-        return ids
-
-
-SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.machine, self.young, self.old = machine, {}, {}
+
+    def ids(self, segment: bytes) -> bytes:
+        known = self.young.get(segment)
+        if known is not None:
+            return known
+        known = self.old.get(segment)
+        if known is None:
+            text = segment.decode().replace(" ", SPACE)
+            parts = self.machine.cut(text) if len(text) > WHOLE else [text]
+            if len(parts) == 1:
+                known = array("i", self.machine.path(text)).tobytes()
+            else:
+                known = b"".join(self.ids(x.replace(SPACE, " ").encode()) for x in parts)
+        if len(segment) <= REMEMBERED:
+            if len(self.young) >= MEMO:
+                self.old, self.young = self.young, {}
+            self.young[segment] = known
+        return known
 
 
 @cache
-def machine(path: str) -> tuple[Transducer, Memo]:
-    compiled = Transducer(path)
-    return compiled, Memo(compiled)
-
-
-def encode(text: str, path: str) -> np.ndarray:
-    if not text:
-        return np.zeros(0, np.int32)
-    memo = machine(path)[1]
-    line = SPACE + text.replace(" ", SPACE)
-    return np.frombuffer(b"".join(map(memo.__getitem__, SEGMENT.findall(line))), np.int32)
+def machine(digest: str, model: bytes) -> Transducer:
+    """One transducer a file and worker."""
+    return Transducer(model)
+
+
+def compiled(model: bytes) -> Transducer:
+    return machine(hashlib.sha256(model).hexdigest(), model)
+
+
+def padded(data: np.ndarray, bounds: np.ndarray, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the dummy prefix, as the normaliser writes it: a space before each that is not empty."""
+    if not prefix:
+        return data, bounds
+    held = (np.diff(bounds) > 0).astype(np.int64)
+    edges = bounds + np.concatenate([[0], np.cumsum(held)])
+    out = np.full(edges[-1], 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.cumsum(held), np.diff(bounds))] = data
+    return out, edges
+
+
+def segment_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where segments start: at a text, at a line break and after it, at a space after other text."""
+    start = np.zeros(len(data), bool)
+    space, line = data == 32, data == 10
+    start[1:] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+    start[edges[:-1][edges[:-1] < edges[1:]]] = True
+    return np.flatnonzero(start)
+
+
+def encode_block(memo: Memo, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, bounds of the texts among them, whether decoding gives each text back)."""
+    text, edges = padded(data, bounds, memo.machine.prefix)
+    starts = segment_starts(text, edges)
+    if not len(starts):
+        rows = len(bounds) - 1
+        return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64), np.ones(rows, bool)
+    ends = np.concatenate([starts[1:], [len(text)]])
+    _, first, which = np.unique(hash_words(text, starts, ends), return_index=True, return_inverse=True)
+    raw = text.tobytes()
+    segments = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    found = [memo.ids(x) for x in segments]
+    surface = memo.machine.surface.__getitem__
+    same = np.array([b"".join(map(surface, np.frombuffer(k, np.int32).tolist())) == x for k, x in zip(found, segments, strict=True)])
+    size = np.array([len(k) // 4 for k in found])
+    heads = np.cumsum(size) - size
+    counts = size[which]
+    ends_at = np.concatenate([[0], np.cumsum(counts)])
+    ids = np.frombuffer(b"".join(found), np.int32)[np.arange(ends_at[-1]) + np.repeat(heads[which] - ends_at[:-1], counts)]
+    texts = np.searchsorted(starts, edges)
+    wrong = np.concatenate([[0], np.cumsum(~same[which])])
+    return ids, ends_at[texts], wrong[texts[1:]] == wrong[texts[:-1]]
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with ``ids``, ``n_tokens``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first)
     and ``round_trip`` (decoding the ids gives the text back, visible spaces read as spaces)."""
     given = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    width = len(carry)
+    width, shared = len(carry), docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = machine(model)[0]
+        memo = Memo(compiled(shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column(width).to_pylist()
-                ids = [encode(t, model) for t in texts]
-                same = [compiled.decode(k) == t.replace(SPACE, " ") for k, t in zip(ids, texts, strict=True)]
-                sums = [hashlib.sha256(k.astype("<i4").tobytes()).hexdigest() for k in ids]
-                bounds = np.concatenate([[0], np.cumsum([len(k) for k in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], lists, pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(same, pa.bool_())], [*batch.schema.names[:width], "ids", "n_tokens", "ids_sha256", "round_trip"])
+            column = pc.replace_substring(batch.column(width), SPACE, " ")
+            for a, b, data, bounds in blocks(column):
+                ids, edges, same = encode_block(memo, data, bounds)
+                flat = ids.astype("<i4").tobytes()
+                sums = [hashlib.sha256(flat[4 * x : 4 * y]).hexdigest() for x, y in pairwise(edges.tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns[:width]), lists, pa.array(np.diff(edges)), pa.array(sums, pa.string()), pa.array(same)],
+                    [*batch.schema.names[:width], "ids", "n_tokens", "ids_sha256", "round_trip"],
+                )
 
     schema = given.select(*carry).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("ids_sha256", "string").add("round_trip", "boolean")
     return per_batch(given, run, schema)
@@ -204,12 +272,12 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tup
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with ``text`` read back from ids; null ids give an empty text."""
     given = encoded.select(*carry, F.col(ids).alias("__ids"))
-    width = len(carry)
+    width, shared = len(carry), encoded.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = machine(model)[0]
+        machine = compiled(shared.value)
         for batch in batches:
-            texts = [compiled.decode(np.array(k.as_py() or [], np.int32)) for k in batch.column(width)]
+            texts = [machine.decode(np.array(k.as_py() or [], np.int32)) for k in batch.column(width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], [*batch.schema.names[:width], "text"])
 
     return per_batch(given, run, given.select(*carry).schema.add("text", "string"))

@@ -82,3 +82,42 @@ def test_popcounts_against_sets():
     assert (masks[0][:5] == 1).all()
     counts, total = langid.tally(model, np.frombuffer(b"abcdefg", np.uint8), np.array([0, 7]))
     assert counts[0, 1] == 0 and counts[0, 0] <= total[0]
+
+
+def test_piece_models_of_other_settings_are_refused():
+    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    spec = pb2.ModelProto()
+    with open(vocabulary(PIECES), "rb") as file:
+        spec.ParseFromString(file.read())
+    for change in ({"model_type": 1}, {"byte_fallback": False}, {"precompiled_charsmap": b"x"}, {"remove_extra_whitespaces": True}):
+        other = pb2.ModelProto()
+        other.CopyFrom(spec)
+        for name, value in change.items():
+            setattr(other.normalizer_spec if hasattr(other.normalizer_spec, name) else other.trainer_spec, name, value)
+        with pytest.raises(ValueError):
+            pieces.Transducer(other.SerializeToString())
+
+
+def test_shortest_path_is_the_only_finite_one():
+    """Against all paths of short strings: exactly one has finite weight, and ``path`` returns it."""
+    with open(vocabulary(PIECES), "rb") as file:
+        machine = pieces.Transducer(file.read())
+
+    def every(text, place, last):
+        if place == len(text):
+            yield []
+            return
+        for end, piece in machine.arcs(text, place):
+            if last is None or machine.weight(last, piece) == 0:
+                for rest in every(text, end, piece):
+                    yield [piece, *rest]
+
+    for text in ["▁the", "▁thening", "ationth", "▁un▁", "éàé", "▁▁▁x", "xyzzy", "▁inter", "erheration"]:
+        paths = list(every(text, 0, None))
+        assert len(paths) == 1
+        want = [k for p in paths[0] for k in ([machine.ids[p]] if p in machine.ids else [machine.bytes[b] for b in p.encode()])]
+        assert machine.path(text) == want
+    memo = pieces.Memo(machine)
+    data, bounds = np.frombuffer("a bba b\n\n".encode(), np.uint8), np.array([0, 0, 3, 5, 9])
+    ids, edges, same = pieces.encode_block(memo, data, bounds)
+    assert same.all() and [machine.decode(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] == ["", "a b", "ba", " b\n\n"]
