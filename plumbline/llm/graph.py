@@ -54,33 +54,59 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def linked_groups(
     shared: DataFrame, key: str, screen: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
-    need: Callable[[str, str], Column] = lambda a, b: F.lit(1), names: DataFrame | None = None, pairs: DataFrame | None = None,
-    extra: DataFrame | None = None, strict: Callable[[str, str], Column] = lambda a, b: F.lit(True),
+    need: Callable[[str, str], Column] = lambda a, b: F.lit(1), extra: DataFrame | None = None,
+    strict: Callable[[str, str], Column] = lambda a, b: F.lit(True), given: DataFrame | None = None, stars: int = 3,
 ) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
-    ``shared`` has a row for each key of an id: (key, id, further columns), and ``first``, a struct of the same columns for
-    one of the key's ids. First every id is tried against the first of each of its keys. A key whose ids are then all in one component is done: no link among them can change a component. For the other keys the pairs of
-    different components are tried, if they pass ``screen(a, b)`` (over the two sides' columns) for a key and share
-    ``need(a, b)`` keys. So a group of copies costs its size and not its square, and no pair of different components is
-    left untried. ``verify`` turns pairs (a_id, b_id) into links (a_id, b_id); if those have other ids than ``shared``,
-    ``names`` has (id, name) for all of them. ``pairs`` (a_id, b_id) are tried as well, at first.
-    ``strict(a, b)`` is a second screen over the columns of ``extra`` (id, ...), applied where pairs of keys are made.
+    ``shared`` has a row for each key of an id: (key, id, met, further columns), met being the number of the key's ids.
+    First every id is tried against one of each of its keys, the one that meets most others over all its keys: of a group
+    of edited copies the least edited. A key whose ids are then all in one component is done, as no link among them can
+    change a component. In the keys that are left the same is done for ids of the second and third component (``stars``
+    rounds in all), and then all pairs of different components are tried that pass ``screen(a, b)`` (over the two sides'
+    columns) and ``strict(a, b)`` (over the columns of ``extra`` (id, ...)) for a key and share ``need(a, b)`` keys. So a
+    group of copies costs its size and not its square, and no pair of different components is left untried. ``verify``
+    turns pairs (a_id, b_id) into links (a_id, b_id); ``given`` has links that hold anyway.
     """
-    others = [c for c in shared.columns if c not in (key, "id", "first")]
+    others = [c for c in shared.columns if c not in (key, "id", "met")]
+    score = shared.groupBy("id").agg(F.sum("met").alias("score"))
+    rows = durable(shared.drop("met").join(score, "id"))
+    whole = [F.col(c) for c in ("score", "id", *others)]
     sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("id", *others)] for s in "ab"}
-    stars = shared.where(F.col("first.id") != F.col("id")).select(*[F.col(f"first.{c}").alias(f"a_{c}") for c in ("id", *others)], *sides["b"]).where(screen("a", "b"))
-    stars = stars.select("a_id", "b_id")
-    tried = durable((stars if pairs is None else stars.unionByName(pairs)).distinct())
+    fields = lambda s, of: [F.col(f"{of}.{c}").alias(f"{s}_{c}") for c in ("id", *others)]
+    ordered = [F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")]
+
+    # A table of its own, so that the join can split a key of many ids over tasks.
+    centers = durable(rows.groupBy(key).agg(F.max(F.struct(*whole)).alias("center")))
+    met = rows.join(centers, key).where(F.col("center.id") != F.col("id")).select(*fields("a", "center"), *sides["b"]).where(screen("a", "b"))
+    tried = durable(met.select(*ordered).distinct())
     links = durable(verify(tried))
+    links = links if given is None else links.unionByName(given)
     known = components(links, "a_id", "b_id")
-    if names is None:
-        tagged = shared.drop("first").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    else:
-        placed = names.join(known.withColumnRenamed("id", "name"), "name", "left").select("id", F.coalesce("component", "name").alias("component"))
-        tagged = shared.drop("first").join(placed, "id")
-    whole = Window.partitionBy(key)
-    mixed = durable(tagged.withColumn("__low", F.min("component").over(whole)).withColumn("__high", F.max("component").over(whole)).where(F.col("__low") != F.col("__high")).drop("__low", "__high"))
+
+    def mixed_of(rows: DataFrame) -> DataFrame:
+        tagged = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        both = durable(tagged.groupBy(key).agg(F.min("component").alias("__low"), F.max("component").alias("__high")).where("__low <> __high").select(key))
+        out = durable(tagged.join(both, key, "left_semi"))
+        discard(both)
+        return out
+
+    mixed = mixed_of(rows)
+    discard(rows, centers)
+    for place in range(2, stars + 1):
+        heads = mixed.groupBy(key, "component").agg(F.max(F.struct(*whole)).alias("center"))
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("center").desc()))
+        centers = durable(heads.withColumn("__rank", rank).where(F.col("__rank") == place).select(key, "center", F.col("component").alias("__of")))
+        met = mixed.join(centers, key).where(F.col("component") != F.col("__of")).select(*fields("a", "center"), *sides["b"]).where(screen("a", "b"))
+        fresh = durable(met.select(*ordered).distinct().join(tried, ["a_id", "b_id"], "left_anti"))
+        more = durable(verify(fresh))
+        tried = tried.unionByName(fresh)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            known = components(links, "a_id", "b_id")
+            before, mixed = mixed, mixed_of(mixed)
+            discard(before)
+        discard(centers)
     if extra is not None:
         mixed = mixed.join(extra, "id")
         sides = {s: [*sides[s], *(F.col(c).alias(f"{s}_{c}") for c in extra.columns if c != "id")] for s in "ab"}
@@ -88,7 +114,7 @@ def linked_groups(
     right = mixed.select(key, F.col("component").alias("__cb"), *sides["b"])
     met = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b") & strict("a", "b"))
     counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
-    rest = durable(counted.join(tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti"))
+    rest = durable(counted.join(tried, ["a_id", "b_id"], "left_anti"))
     more = durable(verify(rest))
     if more.isEmpty():
         return known

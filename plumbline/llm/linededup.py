@@ -371,12 +371,12 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     lines = durable(find_lines(docs, min_words))
     place = F.struct("doc_id", "doc", "line")
     distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    # One shuffle of the keys: copies fold, keys that nobody can meet at go, and each key learns a line to begin with.
+    # One shuffle of the keys: copies fold, and keys that nobody can meet at go.
     key = Window.partitionBy("key")
     folded = key_rows(docs, min_words).repartition("key").groupBy("key", "id").agg(F.bit_or("form").alias("form"))
-    first = F.min(F.struct((F.col("form").bitwiseAND(F.lit(INDEXED)) == 0).alias("seeks"), "id", "form")).over(key)
-    met = folded.withColumn("met", F.count("*").over(key)).withColumn("first", first)
-    shared = durable(met.where("met > 1 and not first.seeks").select("key", "id", "form", F.struct("first.id", "first.form").alias("first")))
+    indexed = F.max(F.col("form").bitwiseAND(F.lit(INDEXED))).over(key)
+    met = folded.withColumn("met", F.count("*").over(key)).withColumn("indexed", indexed)
+    shared = durable(met.where(f"met > 1 and indexed = {INDEXED}").drop("indexed"))
     texts = durable(line_texts(docs, shared.select("id")))
 
     def near(a: str, b: str):
@@ -390,7 +390,13 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
         return verified(found.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_normal", "b_normal"))
 
-    groups = linked_groups(shared, "key", near, verify)
+    def need(a: str, b: str):
+        """Long lines that are alike share several of their blocks, and those that just miss it mostly one. (Pairs with the
+        line that a key begins with are verified with one.)"""
+        long = CLASSES[1][0] << 2
+        return F.when((F.col(f"{a}_form") >= long) & (F.col(f"{b}_form") >= long), 2).otherwise(1)
+
+    groups = linked_groups(shared, "key", near, verify, need)
     grouped = durable(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
     discard(shared, texts, groups)
     members = grouped.join(distinct, F.col("id") == F.col("low")).select("component", "low", "high", "first", "n")

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.blocks import SPACED, U64, blocks, distinct, find_words, hash_words, mix, per_batch, shingles, signed
+from plumbline.llm.blocks import SPACED, U64, Recent, blocks, distinct, find_words, hash_words, mix, per_batch, shingles, signed
 from plumbline.llm.graph import linked_groups, sieve
-from plumbline.session import durable
+from plumbline.session import discard, durable
 
 WIDTH = 5
 #: Jaccard threshold NUMERATOR / DENOMINATOR.
@@ -108,6 +108,13 @@ def counters(described: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def taken(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sets, with their bounds."""
+    size = np.diff(bounds)[rows]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.arange(ends[-1]) + np.repeat(bounds[:-1][rows] - ends[:-1], size)], ends
+
+
 def prefixes(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places in ``values`` of all prefix shingles, prefix length of each set, its number of matches asked for)."""
     n = np.diff(bounds)
@@ -130,25 +137,31 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray, noise:
 
 
 def prefix_rows(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """(token, id, n, place, matches) for the prefix of every set; the id is half of its 128-bit sum."""
+    """(token, id, n, place, matches) for the prefix of every set; the id is half of its 128-bit sum. A task sends an equal
+    set once, unless so many others came between that it was forgotten: copies fold before the shuffle."""
     mean = float(counts.mean())
     shared, noise = docs.sparkSession.sparkContext.broadcast(counts), mean + 3 * mean**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in batches:
             for _, values, bounds in sets_of(batch.column(0), width):
+                low = signed(sums(mix(values), bounds))
+                rows = np.flatnonzero(np.diff(bounds) > 0)
+                rows = rows[recent.fresh(low[rows])]
+                low, (values, bounds) = low[rows], taken(values, bounds, rows)
                 at, size, best = prefixes(values, bounds, shared.value, noise)
                 owner = np.repeat(np.arange(len(size)), size)
-                low = sums(mix(values), bounds)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-                flat = [signed(values[at]), signed(low)[owner], *(x.astype(np.int32) for x in (np.diff(bounds)[owner], place, best[owner]))]
+                flat = [signed(values[at]), low[owner], *(x.astype(np.int32) for x in (np.diff(bounds)[owner], place, best[owner]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["token", "id", "n", "place", "matches"])
 
     return per_batch(docs.select("text"), run, "token long, id long, n int, place int, matches int")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (a_id, b_id) of documents to those whose whole sets reach the threshold. ``texts`` has (doc_id, text)."""
+    """Pairs (a_id, b_id, a_name, b_name) to (a_id, b_id) of those whose whole sets reach the threshold. The names are
+    documents, whose texts ``texts`` has (doc_id, text)."""
 
     def one(column: pa.Array) -> np.ndarray:
         return next(sets_of(column, width))[1]
@@ -166,8 +179,8 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     keep[k] = common > 0 and DENOMINATOR * common >= NUMERATOR * (len(both) - common)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a_id", "b_id"])
 
-    a, b = (texts.select(F.col("doc_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_text")) for s in "ab")
-    return per_batch(pairs.join(b, "b_id").join(a, "a_id").select("a_id", "b_id", "a_text", "b_text"), run, pairs.select("a_id", "b_id").schema)
+    a, b = (texts.select(F.col("doc_id").alias(f"{s}_name"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    return per_batch(pairs.join(b, "b_name").join(a, "a_name").select("a_id", "b_id", "a_text", "b_text"), run, pairs.select("a_id", "b_id").schema)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -177,15 +190,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     counts = counters(described)
     rows = described.where("slice is null").drop("slice", "counts")
     equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"), F.min("parity").alias("parity"))
-    members = durable(rows.drop("parity").join(equal.drop("parity"), ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
-    vertices = durable(equal.where("representative is not null").select(F.col("low").alias("id"), F.col("representative").alias("name"), "n", "parity"))
-    names = vertices.select("id", "name")
-    token = Window.partitionBy("token")
-    # One shuffle of the prefixes: equal sets fold, single shingles go, and each shingle learns its first set.
+    # A table of its own, so that the join can split a large group of copies over tasks.
+    vertices = durable(equal.select(F.col("low").alias("id"), F.col("representative").alias("name"), "n", "high", "parity"))
+    known = vertices.select("n", F.col("id").alias("low"), "high", F.col("name").alias("representative"))
+    members = durable(rows.drop("parity").join(known, ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
+    vertices = vertices.where("name is not null").drop("high")
+    # One shuffle of the prefixes: equal sets fold, and single shingles go.
     folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(*(F.min(c).alias(c) for c in ("n", "place", "matches")))
-    # A shingle's first set is the one with the fewest rarer shingles, so of a group of edited copies the least edited.
-    first = F.min(F.struct("place", "id", "n", "matches")).over(token)
-    shared = durable(folded.withColumn("__met", F.count("*").over(token)).withColumn("first", first).where("__met > 1").drop("__met"))
+    shared = durable(folded.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1"))
+    # The sets of a doc_id that stands there with several texts.
+    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.collect_set("low").alias("lows")).where("size(lows) > 1")
+    given = several.select(F.col("lows")[0].alias("a_id"), F.explode("lows").alias("b_id"))
 
     def possible(a: str, b: str):
         """Whatever precedes a common shingle in both sets and follows it in both must reach the threshold together."""
@@ -201,10 +216,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (vertices.select(*(F.col(c).alias(f"{s}_{c}") for c in vertices.columns)) for s in "ab")
-        named = durable(pairs.join(a, "a_id").join(b, "b_id").where(differ("a", "b")).select(F.col("a_name").alias("a_id"), F.col("b_name").alias("b_id")))
-        wanted = named.select(F.col("a_id").alias("id")).unionByName(named.select(F.col("b_id").alias("id"))).distinct()
+        named = durable(pairs.join(a, "a_id").join(b, "b_id").where(differ("a", "b")).select("a_id", "b_id", "a_name", "b_name"))
+        wanted = named.select(F.col("a_name").alias("id")).unionByName(named.select(F.col("b_name").alias("id"))).distinct()
         return alike(named, sieve(docs, "doc_id", wanted, "id"), width)
 
-    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), names, extra=vertices.select("id", "parity"), strict=differ)
-    found = members.join(groups.withColumnRenamed("id", "representative"), "representative", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "representative", F.coalesce("component", "representative").alias("component_id"))
+    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), extra=vertices.select("id", "parity"), strict=differ, given=given)
+    grouped = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
+    placed = durable(grouped.join(vertices.select("id", "name"), "id"))
+    heads = durable(placed.groupBy("component").agg(F.min("name").alias("component_id")))
+    final = durable(placed.join(heads, "component").select("id", "component_id"))
+    discard(described, shared, placed, heads, groups)
+    found = members.join(final, F.col("low") == F.col("id"), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "representative", F.coalesce("component_id", "representative").alias("component_id"))
