@@ -54,6 +54,8 @@ FOLD[0x30:0x3A] = 0x30
 INDEXED, SOUGHT = 1, 2
 #: A byte to its eight bits, a byte each.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64).ravel()
+#: Pairs are verified SIDE_BY_SIDE at a time, but for longer ones than LONG_PATTERN, FEW, and those of MANY_LETTERS.
+SIDE_BY_SIDE, LONG_PATTERN, FEW, MANY_LETTERS = 2048, 1536, 12, 160
 #: The bitmap that says of which lines the texts are needed has 2**BITS_LOG2 bits (2 MB).
 BITS_LOG2 = 24
 
@@ -320,17 +322,18 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether so many edits turn ``a`` into ``b``: common ends go, then a column of the distance table is one number
-    whose bits say where it rises and falls, a few operations a character."""
-    if abs(len(a) - len(b)) > edits:
-        return False
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Without their common ends, the shorter one first."""
     cut = common_start(a, b)
     a, b = a[cut:], b[cut:]
     cut = common_start(a[::-1], b[::-1])
-    a, b = sorted((a[: len(a) - cut], b[: len(b) - cut]), key=len)
-    if not a or len(b) <= edits:
-        return len(b) <= edits
+    a, b = a[: len(a) - cut], b[: len(b) - cut]
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
+def one_within(a: str, b: str, edits: int) -> bool:
+    """Whether so many edits turn ``a``, not empty and not longer, into ``b``: a column of the distance table is one number
+    whose bits say where it rises and falls, so that a character of ``b`` takes a few operations."""
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
@@ -349,16 +352,82 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
+def all_within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
+    """``one_within`` for many pairs side by side, whose columns all take the same number of 64-bit words. A step takes a
+    character of every ``b`` that still has one: the longest come first. Only the words that hold rows within the edits of
+    the diagonal are kept up; what lies outside of them is above the edits anyway, and an upper bound stands in for it."""
+    order = np.argsort([-len(x) for x in b], kind="stable")
+    a, b, edits = [a[k] for k in order], [b[k] for k in order], edits[order]
+    pairs, size, steps = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    letters = np.frombuffer("".join(a + b).encode("utf-32-le"), np.uint32)
+    known, letter = np.unique(letters, return_inverse=True)
+    words, kinds = int(-(-size.max() // 64)), len(known)
+    in_a = letter[: size.sum()]
+    place = np.arange(len(in_a)) - np.repeat(np.cumsum(size) - size, size)
+    masks = np.zeros((words, pairs * kinds), U64)
+    np.add.at(masks.reshape(-1), (place >> 6) * (pairs * kinds) + np.repeat(np.arange(pairs), size) * kinds + in_a, U64(1) << (place & 63).astype(U64))
+    in_b, heads = letter[size.sum() :], np.cumsum(steps) - steps
+    rises, falls = [np.full(pairs, ~U64(0)) for _ in range(words)], [np.zeros(pairs, U64) for _ in range(words)]
+    bit, one, last, most = ((size - 1) & 63).astype(U64), U64(1), U64(63), int(edits.max())
+    rows, bottom = np.arange(pairs) * kinds, min(words - 1, most // 64)
+    score = size.copy() if bottom == words - 1 else np.full(pairs, 64 * (bottom + 1))  # of the last row that is kept up
+    active = np.searchsorted(-steps, -np.arange(steps.max()) - 1, "right")  # pairs whose b has more characters than the step
+    for step, k in enumerate(active.tolist()):
+        at = rows[:k] + in_b[heads[:k] + step]
+        if bottom < words - 1 and (step + most) // 64 > bottom:
+            bottom += 1
+            score += 64 if bottom < words - 1 else size - 64 * bottom
+        into_up, into_down = one, U64(0)
+        for w in range(max(0, (step - most) // 64), bottom + 1):
+            rise, fall = rises[w][:k], falls[w][:k]
+            same = masks[w][at]
+            vertical = same | fall
+            same |= into_down
+            across = (((same & rise) + rise) ^ rise) | same
+            up, down = fall | ~(across | rise), rise & across
+            out_up, out_down = up >> last, down >> last
+            if w == bottom:
+                low_up, low_down = (up >> bit[:k] & one, down >> bit[:k] & one) if w == words - 1 else (out_up, out_down)
+                score[:k] += low_up.astype(np.int64) - low_down.astype(np.int64)
+            up, down = (up << one) | into_up, (down << one) | into_down
+            rises[w][:k], falls[w][:k] = down | ~(vertical | up), up & vertical
+            into_up, into_down = out_up, out_down
+    out = np.zeros(pairs, bool)
+    out[order] = score <= edits
+    return out
+
+
+def within(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair, whether its edit distance is at most a tenth of the longer one."""
+    keep, side_by_side = np.zeros(len(a), bool), {}
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        edits = max(len(x), len(y)) // EDIT_SHARE
+        if abs(len(x) - len(y)) > edits:
+            continue
+        x, y = trimmed(x, y)
+        if not x or len(y) <= edits:
+            keep[k] = len(y) <= edits
+        elif len(x) > LONG_PATTERN:
+            keep[k] = one_within(x, y, edits)
+        else:
+            side_by_side.setdefault(-(-len(x) // 64), []).append((k, x, y, edits))
+    for some in side_by_side.values():
+        for at in range(0, len(some), SIDE_BY_SIDE):
+            k, x, y, edits = (list(v) for v in zip(*some[at : at + SIDE_BY_SIDE], strict=True))
+            if len(k) < FEW or len(set("".join(x))) > MANY_LETTERS:
+                keep[k] = [one_within(*v) for v in zip(x, y, edits, strict=True)]
+            else:
+                keep[k] = all_within(x, y, np.array(edits))
+    return keep
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """Pairs (a_id, b_id, a_normal, b_normal) to (a_id, b_id) of those that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = a.as_py(), b.as_py()
-                keep.append(within(a, b, max(len(a), len(b)) // EDIT_SHARE))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a_id", "b_id"])
+            keep = within(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a_id", "b_id"])
 
     return per_batch(pairs, run, pairs.select("a_id", "b_id").schema)
 

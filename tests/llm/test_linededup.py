@@ -134,7 +134,7 @@ def test_recall_of_longer_lines(spark):
         for _ in range(rng.choice([1, 1, 2, 2, 3, 4])):
             at = rng.randrange(len(words))
             words[at : at + 1] = rng.choice([[], [words[at], "".join(rng.choices(letters, k=4))], ["".join(rng.choices(letters, k=5))]])
-        pairs += within(line, " ".join(words), max(len(line), len(" ".join(words))) // 10)
+        pairs += int(within([line], [" ".join(words)])[0])
         docs += [(2 * k, line), (2 * k + 1, " ".join(words))]
     got = {r["doc_id"]: r["n_removed"] for r in removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert pairs > 150 and pairs >= sum(got.values()) >= 0.93 * pairs
@@ -142,13 +142,18 @@ def test_recall_of_longer_lines(spark):
 
 def test_within_is_the_edit_distance():
     rng = random.Random(1)
-    for _ in range(1500):
-        a = "".join(rng.choices("ab é", k=rng.randrange(0, 25)))
-        b = list(a) if rng.random() < 0.7 else rng.choices("ab é", k=rng.randrange(0, 25))
-        for _ in range(rng.randrange(4)):
-            b[(at := rng.randrange(len(b) + 1)) : at + rng.randrange(2)] = rng.choice(["", "a", "é"])
-        b, edits = "".join(b), rng.randrange(5)
-        assert within(a, b, edits) == (distance(a, b) <= edits)
+    pairs = []
+    for k in range(3000):
+        a = "".join(rng.choices("ab é", k=rng.randrange(0, 25) if k % 3 else rng.randrange(60, 200)))
+        b = list(a) if rng.random() < 0.8 else rng.choices("ab é", k=len(a))
+        for _ in range(rng.randrange(1 + len(a) // 8)):
+            b[(at := rng.randrange(len(b) + 1)) : at + rng.randrange(2)] = rng.choice(["", "a", "é", "日"])
+        pairs.append((a, "".join(b)))
+    got = within([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [distance(a, b) <= max(len(a), len(b)) // 10 for a, b in pairs]
+    assert 500 < got.sum() < 2500
+    long = ["ab cd" * 500 + "x" * 40 + "y" * 900, "ab cd" * 500 + "y" * 900]
+    assert within(long[:1], long[1:]).all() and not within(long[:1], ["z" * 3400]).any()
 
 
 def test_a_segment_of_every_short_pair_meets():
