@@ -99,16 +99,23 @@ _state: dict[str, np.ndarray] = {}
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random value per byte, powers of the multiplier and of its inverse."""
-    if len(_state.get("up", ())) < size + 1:
-        count = max(size + 1, 2 * BLOCK_BYTES)
-        inverse = U64(pow(int(MULTIPLIER), -1, 1 << 64))
-        for name, factor in (("up", MULTIPLIER), ("down", inverse)):
-            steps = np.full(count, factor, U64)
-            steps[0] = 1
-            _state[name] = np.cumprod(steps, dtype=U64)
+    """Random value per byte, powers of the multiplier and of its inverse. Those of a block are kept by the worker; those
+    of a longer text go with it."""
+    if not _state:
         _state["byte"] = mix(np.arange(1, 257, dtype=U64) * MULTIPLIER)
-    return _state["byte"], _state["up"], _state["down"]
+        _state["up"], _state["down"] = steps(BLOCK_BYTES + (BLOCK_BYTES >> 2))
+    up, down = (_state["up"], _state["down"]) if size < len(_state["up"]) else steps(size + 1)
+    return _state["byte"], up, down
+
+
+def steps(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    out = []
+    for factor in (MULTIPLIER, U64(pow(int(MULTIPLIER), -1, 1 << 64))):
+        power = np.full(count, factor, U64)
+        power[0] = 1
+        out.append(np.cumprod(power, dtype=U64))
+    return tuple(out)
 
 
 def hash_words(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

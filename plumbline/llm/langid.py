@@ -7,7 +7,8 @@ corrected for the false positives that the filter's fill predicts.
 
 Defined results: null text or text without a letter gives ``und`` and score 0; whole texts are read, and memory
 follows the longest one; equal texts get equal answers; ties go to the language with more training rows, then to the
-smaller name; without training rows every text is ``und``. Extra columns pass through ``predict`` untouched (``carry``
+smaller name; without training rows every text is ``und``; repeated rows repeat their answer; an empty table stays empty.
+Extra columns pass through ``predict`` untouched (``carry``
 names those to return) except that the output columns replace columns of the same name.
 """
 
@@ -28,6 +29,8 @@ from plumbline.llm.blocks import U64, blocks, fold_table, mix, per_batch, signed
 UNKNOWN = "und"
 #: Byte n-gram lengths; accented letters are two bytes.
 ORDERS = (4, 6)
+#: Bytes of a block of texts here: each byte takes two n-grams, several numbers each.
+SMALL = 1 << 18
 LETTERS = fold_table(lambda b: not 0x61 <= b <= 0x7A and b < 0x80)
 
 
@@ -101,7 +104,7 @@ def fit(docs: DataFrame, *, rows_per_language: int = 2500, min_count: int = 3, m
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, bounds in blocks(batch.column(0)):
+            for a, b, data, bounds in blocks(batch.column(0), SMALL):
                 gram, owner = grams_of(data, bounds)
                 language = tags[a:b][owner]
                 for k in np.unique(language):
@@ -166,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
             column = batch.column(place)
             lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names, scores = [], [np.zeros(0)]
-            for a, b, data, bounds in blocks(column):
+            for a, b, data, bounds in blocks(column, SMALL):
                 counts, total = tally(model, data, bounds)
                 said, score = decide(model, wrong, counts, total, lettered[a:b])
                 names += said

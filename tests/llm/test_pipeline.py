@@ -73,3 +73,22 @@ def test_language_rejects_what_no_filter_knows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
     assert left == {i for i, _ in corpus()} - {53, 54}
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Repeated rows, a very long text, null ids, ties and extra columns."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su", "no") for b in ("ka", "ve", "dri", "po", "shen", "gul", "fa")]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    long, one, two = text(120_000), text(40), text(40)
+    rows = [(1, long), (2, one), (2, one), (3, one), (4, two), (None, text(30)), (5, None), (6, ""), (7, text(30))]
+    rows = [(i, t, "en", "s", len(t or ""), 7, "x") for i, t in rows]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, low long, lang_pred string")
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = given
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS
+    got = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(got) == {1, 2, 4, None, 7} and got[1] == long and got[2] == one
