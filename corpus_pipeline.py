@@ -1,6 +1,10 @@
 """A filtering pipeline over ``documents``: each stage is one operator, written as Parquet and read by the next.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``; extra columns of their input
+are left out. Defined results: rows of null text and of text without a letter go in the first stage, and empty ones with
+them; texts of any length are whole; of equal texts the one with the smallest doc_id stays, of rows that repeat a doc_id
+one; null doc_ids stay and are ordered first; an empty table stays empty in every stage, and an empty benchmark removes
+nothing.
 """
 
 from __future__ import annotations
@@ -36,12 +40,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, and of rows that repeat that doc_id
+    one; rows without a doc_id stay."""
     docs = docs.select(*COLUMNS)
-    found = ngramjoin.near_duplicates(docs)
+    found = durable(ngramjoin.near_duplicates(docs).select("doc_id", "component_id"))
     gone = durable(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
+    again = durable(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"))
     maybe = sieve(docs, "doc_id", gone, "__gone").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return sieve(docs, "doc_id", gone, "__gone", keep=False).unionByName(maybe)
+    left = sieve(docs, "doc_id", gone, "__gone", keep=False).unionByName(maybe)
+    if again.isEmpty():
+        return left
+    repeated = sieve(left, "doc_id", again, "__again").join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+    others = sieve(left, "doc_id", again, "__again").join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return sieve(left, "doc_id", again, "__again", keep=False).unionByName(others).unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
