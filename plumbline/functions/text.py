@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of identifiers and numbers, words that carry no signal, and words of obligation.
@@ -34,6 +34,16 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: number(t) | ((F.length(t) > 1) & ~F.array_contains(strings(STOPWORDS), t)))
 
 
+def token_rows(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, token, n): the tokens of texts and how often each occurs. Parts of identifiers are counted as they stand
+    first, so that case and stopwords are looked at once for each, in generated code."""
+    parts = rows.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("part"))
+    token = F.lower("part")
+    counted = parts.groupBy(*keys, "part").agg(F.count("*").alias("n")).select(*keys, token.alias("token"), "n")
+    kept = counted.where(is_number(F.col("token")) | ((F.length("token") > 1) & ~F.col("token").isin(STOPWORDS)))
+    return kept.groupBy(*keys, "token").agg(F.sum("n").alias("n"))
+
+
 def is_number(token: Column) -> Column:
     return F.substring(token, 1, 1).between("0", "9")
 

@@ -27,7 +27,7 @@ def keyword_verdicts(rules: DataFrame, projects: DataFrame) -> DataFrame:
     """
     words = rules.select("project", "rule_id", F.explode(F.array_distinct(F.concat(X.key_words(F.col("text")), X.key_numbers(F.col("text"))))).alias("token"))
     asked = words.select("project", "token").distinct()
-    held = projects.select("project", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).join(asked, ["project", "token"], "left_semi").distinct()
+    held = X.token_rows(projects, ["project"]).join(asked, ["project", "token"], "left_semi").select("project", "token")
     found = words.join(held.withColumn("__has", F.lit(True)), ["project", "token"], "left").where("__has").groupBy("project", "rule_id").agg(F.collect_set("token").alias("__held"))
     joined = rules.join(found, ["project", "rule_id"], "left").withColumn("__held", F.coalesce("__held", F.array().cast("array<string>")))
     own, numbers = X.key_words(F.col("text")), X.key_numbers(F.col("text"))

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text as X
-from plumbline.session import ship
+from plumbline.session import durable, ship
 
 DIMENSIONS = 2048
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, token, n): how often each token occurs in each document."""
-    return docs.select(*keys, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    return X.token_rows(docs, keys, text)
 
 
 def document_frequency(terms: DataFrame, group: list[str]) -> DataFrame:
@@ -31,13 +31,16 @@ def idf(total: Column, df: Column) -> Column:
     return F.log((F.greatest(total, F.lit(1)) + 1) / (F.coalesce(df, F.lit(0)) + 1)) + 1
 
 
-def weighted(terms: DataFrame, frequency: DataFrame, totals: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
-    """(keys, token, w): TF-IDF vectors of length 1. ``totals`` has (group, total)."""
-    joined = terms.join(frequency, [*group, "token"], "left")
-    joined = joined.join(F.broadcast(totals), group) if group else joined.crossJoin(F.broadcast(totals))  # one row, or one a group
+def weighted(terms: DataFrame, frequency: DataFrame, totals: DataFrame, keys: list[str], group: list[str], asked: DataFrame | None = None) -> DataFrame:
+    """(keys, token, w): TF-IDF vectors of length 1. ``totals`` has (group, total). With ``asked`` (group, token) only those
+    tokens are returned; the length counts all. A document's tokens meet in one aggregation, of as many as it has."""
+    known = frequency if asked is None else frequency.join(asked.withColumn("__asked", F.lit(True)), [*group, "token"], "left")
+    joined = terms.join(known, [*group, "token"], "left")
+    joined = joined.join(totals, group) if group else joined.crossJoin(F.broadcast(totals))  # one row
     raw = joined.withColumn("w", (1 + F.log("n")) * idf(F.col("total"), F.col("df")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return raw.withColumn("w", F.col("w") / norm).select(*keys, "token", "w")
+    kept = F.struct("token", "w") if asked is None else F.when(F.coalesce("__asked", F.lit(False)), F.struct("token", "w"))
+    listed = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("kept"))
+    return listed.select(*keys, "norm", F.explode("kept").alias("t")).select(*keys, "t.token", (F.col("t.w") / F.col("norm")).alias("w"))
 
 
 def bucketed(vectors: DataFrame, keys: list[str], bucket: Column, weight: str = "w") -> DataFrame:
@@ -70,27 +73,34 @@ def top_chunks(rules: DataFrame, chunks: DataFrame, k: int, group: list[str] | N
     first chunk ids at score 0, as a ranking of all pairs would.
     """
     group = group or []
-    both = rules.select(*group, F.concat(F.lit("r"), F.col("rule_id").cast("string")).alias("doc"), "text").unionByName(chunks.select(*group, F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("doc"), "text"))
-    totals = both.groupBy(*group).agg(F.count("*").alias("total"))
-    terms = term_counts(both, [*group, "doc"])
-    vectors = weighted(terms, document_frequency(terms, group), totals, [*group, "doc"], group)
-    left = vectors.where("doc like 'r%'").select(*group, F.expr("substring(doc, 2)").alias("rule_key"), "token", F.col("w").alias("wr"))
-    right = vectors.where("doc like 'c%'").select(*group, F.expr("substring(doc, 2)").alias("chunk_key"), "token", F.col("w").alias("wc"))
+    sides = [(rules, "rule_id", True), (chunks, "chunk_id", False)]
+    both = [side.select(*group, F.col(name).cast("string").alias("doc"), F.lit(rule).alias("rule"), "text") for side, name, rule in sides]
+    keys = [*group, "rule", "doc"]
+    terms = durable(term_counts(both[0].unionByName(both[1]), keys))
+    count = [side.groupBy(*group).agg(F.count("*").alias("total")) for side in both]
+    totals = count[0].unionByName(count[1]).groupBy(*group).agg(F.sum("total").alias("total"))
+    asked = terms.where("rule").select(*group, "token").distinct()
+    # Of the chunks only tokens of rules are kept: what is joined after this grows with their meetings.
+    vectors = durable(weighted(terms, document_frequency(terms, group), totals, keys, group, asked))
+    left = vectors.where("rule").select(*group, F.col("doc").alias("rule_key"), "token", F.col("w").alias("wr"))
+    right = vectors.where("not rule").select(*group, F.col("doc").alias("chunk_key"), "token", F.col("w").alias("wc"))
     scored = left.join(right, [*group, "token"]).groupBy(*group, "rule_key", "chunk_key").agg(F.bround(F.sum(F.col("wr") * F.col("wc")), decimals).alias("score")).where("score > 0")
-    chunk_keys = chunks.select(*group, F.col("chunk_id").cast("string").alias("chunk_key"), "chunk_id")
-    rule_keys = rules.select(*group, F.col("rule_id").cast("string").alias("rule_key"), "rule_id")
-    order = Window.partitionBy(*group, "rule_id").orderBy(F.col("score").desc(), "chunk_id")
-    named = scored.join(chunk_keys, [*group, "chunk_key"]).join(rule_keys, [*group, "rule_key"]).select(*group, "rule_id", "chunk_id", "score")
-    best = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kind = dict(chunks.dtypes)["chunk_id"]
+    order = Window.partitionBy(*group, "rule_key").orderBy(F.col("score").desc(), "chunk_id")
+    named = scored.withColumn("chunk_id", F.col("chunk_key").cast(kind)).drop("chunk_key")
+    best = durable(named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     # A rule needs at most k fillers beyond its own hits, so the first 2k chunk ids of its group are enough.
-    first = chunk_keys.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("chunk_id")) if group else F.lit(0))
-    first = first.where(F.col("__n") <= 2 * k) if group else chunk_keys.orderBy("chunk_id").limit(2 * k)
-    short = rule_keys.join(best.groupBy(*group, "rule_id").agg(F.count("*").alias("__have")), [*group, "rule_id"], "left").where(f"coalesce(__have, 0) < {k}")
-    fill = short.select(*group, "rule_id")
-    fill = fill.join(F.broadcast(first.select(*group, "chunk_id")), group) if group else fill.crossJoin(F.broadcast(first.select("chunk_id")))  # at most 2k rows a group
-    fill = fill.join(best.select(*group, "rule_id", "chunk_id"), [*group, "rule_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = best.drop("rank").unionByName(fill)
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*group, "rule_id", "rank", "chunk_id", "score")
+    ids, rule_keys = chunks.select(*group, "chunk_id"), rules.select(*group, "rule_id", F.col("rule_id").cast("string").alias("rule_key"))
+    if group:
+        first = ids.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("chunk_id"))).where(F.col("__n") <= 2 * k).drop("__n")
+    else:
+        first = ids.orderBy("chunk_id").limit(2 * k)
+    short = rule_keys.join(best.groupBy(*group, "rule_key").agg(F.count("*").alias("__have")), [*group, "rule_key"], "left").where(f"coalesce(__have, 0) < {k}")
+    fill = short.select(*group, "rule_key")
+    fill = fill.join(first, group) if group else fill.crossJoin(F.broadcast(first))  # at most 2k rows
+    fill = fill.join(best.select(*group, "rule_key", "chunk_id"), [*group, "rule_key", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    every = best.drop("rank").unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return every.join(rule_keys, [*group, "rule_key"]).select(*group, "rule_id", "rank", "chunk_id", "score")
 
 
 def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -101,16 +111,18 @@ def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5))
     return asked.agg(F.count("*").alias("n"), *map(share, ks))
 
 
-def constant_context(hits: DataFrame, chunks: DataFrame, most: int = 2) -> DataFrame:
-    """(group_id, rank, file, module_id): for ranked hits, the module chunks of the hits' files that define a constant which
-    a hit names, at most ``most``, in the order of the hits and not among them.
+def constant_context(hits: DataFrame, chunks: DataFrame, most: int = 2, within: list[str] | None = None) -> DataFrame:
+    """(within, group_id, rank, file, module_id): for ranked hits, the module chunks of the hits' files that define a constant
+    which a hit names, at most ``most``, in the order of the hits and not among them.
 
-    ``hits`` has (group_id, rank, chunk_id); ``chunks`` (chunk_id, file, qualname, source).
+    ``hits`` has (within, group_id, rank, chunk_id); ``chunks`` (within, chunk_id, file, qualname, source). ``within`` names
+    the columns that tell workspaces apart: equal paths of others are other files.
     """
-    shown = hits.join(chunks.select("chunk_id", "file", "qualname", F.col("source").alias("hit_source")), "chunk_id")
-    modules = chunks.where("qualname = '<module>'").select("file", F.col("chunk_id").alias("module_id"), "source")
-    met = shown.join(modules, "file").where(F.arrays_overlap(X.constants(F.col("hit_source")), X.defined_constants(F.col("source"))))
-    first = met.groupBy("group_id", "file", "module_id").agg(F.min("rank").alias("rank"))
-    fresh = first.join(hits.select("group_id", F.col("chunk_id").alias("module_id")), ["group_id", "module_id"], "left_anti")
-    order = Window.partitionBy("group_id").orderBy("rank", "module_id")
-    return fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("group_id", "rank", "file", "module_id")
+    within = within or []
+    named = chunks.select(*within, "chunk_id", "file", F.explode(F.array_distinct(X.constants(F.col("source")))).alias("constant"))
+    shown = hits.select(*within, "group_id", "rank", "chunk_id").join(named, [*within, "chunk_id"])
+    modules = chunks.where("qualname = '<module>'").select(*within, "file", F.col("chunk_id").alias("module_id"), F.explode(F.array_distinct(X.defined_constants(F.col("source")))).alias("constant"))
+    first = shown.join(modules, [*within, "file", "constant"]).groupBy(*within, "group_id", "file", "module_id").agg(F.min("rank").alias("rank"))
+    fresh = first.join(hits.select(*within, "group_id", F.col("chunk_id").alias("module_id")), [*within, "group_id", "module_id"], "left_anti")
+    order = Window.partitionBy(*within, "group_id").orderBy("rank", "module_id")
+    return fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(*within, "group_id", "rank", "file", "module_id")

@@ -6,9 +6,11 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators.scoring import rates, ratio, tally
 from plumbline.schemas import CATEGORIES
+from plumbline.session import durable
 
 METRICS = ("precision", "recall", "f1", "false_alarm_rate")
 
@@ -43,9 +45,23 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def interval(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, lo, hi) of a bounded number of draws a key."""
-    listed = draws.groupBy(*keys).agg(F.collect_list(value).alias("__all"))
-    return listed.select(*keys, nearest_rank(F.col("__all"), 0.025).alias("lo"), nearest_rank(F.col("__all"), 0.975).alias("hi"))
+    """(keys, lo, hi) of any number of values a key: equal values are counted first, then a running count finds the ranks."""
+    counted = draws.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    rank = lambda q: F.greatest(F.lit(1), F.bround(F.lit(q) * (F.col("__all") - 1)).cast("long") + 1)
+    at = lambda q: F.min(F.when(F.col("__upto") >= rank(q), F.col(value)))
+    return placed.groupBy(*keys).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with their place in the order of ``by``, from 0: places within ranges, and how many stand before each range."""
+    ranged = durable(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # a row a partition
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1 + F.col("__before")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__part", "__before")
 
 
 def hashed_bootstrap(scored: DataFrame, draws: int, seed: int = 0) -> DataFrame:
@@ -54,14 +70,12 @@ def hashed_bootstrap(scored: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     ``scored`` has (case_id, tp, fn, fp, tn), pooled over runs. Cases are numbered by id; the numbering and the draws are
     one equi-join, and every draw's counts are one aggregation.
     """
-    from pyspark.sql.window import Window
-
-    numbered = scored.withColumn("slot", F.row_number().over(Window.orderBy("case_id")) - 1)  # cases of a benchmark, not data
+    cases = numbered(scored, "case_id", "slot")
     n = scored.agg(F.count("*").alias("n"))
     token = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")))
     picked = F.conv(F.substring(token, 1, 8), 16, 10).cast("long") % F.col("n")
-    slots = numbered.select("slot").crossJoin(F.broadcast(n)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = slots.select("draw", picked.alias("slot")).join(numbered, "slot")
+    slots = cases.select("slot").crossJoin(F.broadcast(n)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = slots.select("draw", picked.alias("slot")).join(cases, "slot")
     return rates(drawn.groupBy("draw").agg(*(F.sum(k).alias(k) for k in ("tp", "fn", "fp", "tn"))), None)
 
 

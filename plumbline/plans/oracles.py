@@ -187,7 +187,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, digest, coalesce(known, false) AND verdict = 'DRIFT' AS accepted, CASE WHEN coalesce(known, false) THEN CASE WHEN verdict = 'DRIFT' THEN 'COMPLIANT' ELSE verdict END ELSE verdict END AS verdict
         FROM f LEFT JOIN b USING (lang, digest)""",
     "q24_target_join": f"""WITH {_cases()}, t AS (SELECT case_id, unnest(list_distinct(targets)) AS rule_id FROM cases)
-        SELECT case_id, t.rule_id, CAST(length(text) AS BIGINT) AS rule_chars FROM t JOIN benchmark ON t.rule_id = 'R' || item_id WHERE item_id < 5""",
+        SELECT case_id, t.rule_id, CAST(length(text) AS BIGINT) AS rule_chars FROM t JOIN benchmark ON t.rule_id = 'R' || item_id""",
     "q25_flips_self_join": f"WITH {_verdicts('1', 'a')}, {_verdicts('2', 'b')} SELECT a.case_id, a.rule_id, a.verdict AS was, b.verdict AS now FROM a JOIN b USING (case_id, rule_id, k) WHERE a.verdict <> b.verdict",
     "q26_explorer_filter_page": f"""WITH {_cases()} SELECT case_id, project, category, note FROM cases WHERE label = 'no_drift' AND coalesce(escapes, false)
         AND (contains(lower(case_id), 'r3') OR contains(lower(note), 'r3') OR contains(lower(gold), 'r3') OR len(list_filter(targets, lambda t: contains(lower(t), 'r3'))) > 0) ORDER BY case_id LIMIT 5 OFFSET 5""",
@@ -197,13 +197,13 @@ ORACLES: dict[str, str] = {
         SELECT outcome, case_id, rule_id, verdict FROM first JOIN cases USING (case_id) LEFT JOIN verdicts USING (case_id)
         QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY CASE WHEN verdict = 'DRIFT' THEN 0 WHEN coalesce(list_contains(targets, rule_id), false) THEN 1 ELSE 2 END, k) = 1""",
     "q30_heading_carry": r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-        marked AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN '## ' || line WHEN pos % 2 = 1 THEN '- **R' || lpad(CAST(pos % 100 AS VARCHAR), 2, '0') || '** x' || left(line, 20) ELSE line END AS line FROM lines),
+        marked AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN '## ' || line WHEN pos % 2 = 1 THEN '- **R' || lpad(CAST(pos % 100 AS VARCHAR), 2, '0') || '** x' || line ELSE line END AS line FROM lines),
         parsed AS (SELECT *, nullif(regexp_extract(line, '^\s*#{2,}\s+(.+?)\s*$', 1), '') AS heading, regexp_extract(line, '^\s*[-*]\s+\*\*(R\d+)\*\*\s+(.+?)\s*$', 1) AS rule_id,
                           regexp_extract(line, '^\s*[-*]\s+\*\*(R\d+)\*\*\s+(.+?)\s*$', 2) AS body FROM marked),
         carried AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS section FROM parsed)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS rule_pos, rule_id, md5(body || '|' || section) AS digest FROM carried WHERE rule_id <> ''""",
-    "q31_reply_parse": f"""WITH {_REPLIES} SELECT CAST(k AS INTEGER) AS k, {_SAID} AS verdict, {_clamp(_reply('confidence'))} AS confidence, {_line(_reply('evidence.start_line'))} AS start_line FROM parsed
-        UNION ALL SELECT CAST(event_id AS INTEGER), 'UNCERTAIN', {_clamp("json_extract_string(props, '$.k')")}, {_line("json_extract_string(props, '$.k')")} FROM events WHERE event_id > 100""",
+    "q31_reply_parse": f"""WITH {_REPLIES} SELECT CAST(-k AS INTEGER) AS k, {_SAID} AS verdict, {_clamp(_reply('confidence'))} AS confidence, {_line(_reply('evidence.start_line'))} AS start_line FROM parsed
+        UNION ALL SELECT CAST(event_id AS INTEGER), 'UNCERTAIN', {_clamp("json_extract_string(props, '$.k')")}, {_line("json_extract_string(props, '$.k')")} FROM events""",
     "q32_evidence_gate": f"""WITH {_REPLIES}, g AS (SELECT k, {_SAID} AS verdict, {' AND '.join(f"trim(coalesce({_reply(f)}, '')) <> ''" for f in ('violated_clause', 'counterexample.input', 'counterexample.actual'))} AS shown FROM parsed)
         SELECT CAST(k AS INTEGER) AS k, CASE WHEN verdict = 'DRIFT' AND NOT shown THEN 'UNCERTAIN' ELSE verdict END AS verdict, verdict = 'DRIFT' AND NOT shown AS downgraded FROM g""",
     "q34_reply_index_last_wins": f"""WITH given AS (SELECT question_key, CAST(response AS JSON) AS j FROM {_values(LISTED, 'question_key, response')}),
@@ -216,7 +216,7 @@ ORACLES: dict[str, str] = {
     "q37_gutter_render": """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
         n AS (SELECT doc_id, pos, line, CAST(doc_id * 10 + pos - 1 AS VARCHAR) AS number FROM lines)
         SELECT doc_id, md5(string_agg(lpad(number, CAST(greatest(4, length(number)) AS INTEGER), ' ') || ' | ' || line, chr(10) ORDER BY pos)) AS digest FROM n GROUP BY doc_id""",
-    "q38_constant_context": r"""WITH chunks AS (SELECT doc_id AS id, source AS file, doc_id % 7 = 0 AS module, left(text, 100) || chr(10) || 'LIMIT_' || doc_id % 5 || CASE WHEN doc_id % 7 = 0 THEN ' = 1' || chr(10) ELSE ' used' || chr(10) END AS s FROM documents),
+    "q38_constant_context": r"""WITH chunks AS (SELECT doc_id AS id, source AS file, doc_id % 7 = 0 AS module, text || chr(10) || 'LIMIT_' || doc_id % 5 || CASE WHEN doc_id % 7 = 0 THEN ' = 1' || chr(10) ELSE ' used' || chr(10) END AS s FROM documents),
         hits AS (SELECT id % 40 AS group_id, id, row_number() OVER (PARTITION BY id % 40 ORDER BY id) AS rank FROM chunks WHERE NOT module QUALIFY rank <= 3),
         named AS (SELECT DISTINCT group_id, rank, file, unnest(regexp_extract_all(s, '\b[A-Z][A-Z0-9_]{2,}\b')) AS c FROM hits JOIN chunks USING (id)),
         defined AS (SELECT DISTINCT id AS module_id, file, unnest(regexp_extract_all(s, '(?m)^([A-Z][A-Z0-9_]{2,})\s*[:=]', 1)) AS c FROM chunks WHERE module),

@@ -16,7 +16,7 @@ from plumbline.functions import replies as R
 from plumbline.functions import text as X
 from plumbline.operators import chunking, detectors, merge, reports, retrieval, scoring, stability
 from plumbline.schemas import CASES
-from plumbline.session import table
+from plumbline.session import spread, table
 from plumbline.sources import intake, specs
 from plumbline.streaming import checks
 
@@ -55,7 +55,7 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def text_id(name: str, value: Column) -> Column:
@@ -140,7 +140,15 @@ def q04_tfidf_topk(spark, d):
 @query
 def q05_recall_at_k(spark, d):
     docs, asked = documents(spark, d).select("doc_id", "text"), rules(spark, d)
-    gold = docs.join(F.broadcast(asked.select("rule_id", F.col("text").alias("passage"))), F.contains("text", "passage")).groupBy("rule_id").agg(F.min("doc_id").alias("chunk_id"))  # the passages are a stated set of queries
+    # A text with the passage has each of its inner words; the longest of them is sought by an equality, and the rest looked up.
+    words = lambda text: F.split(text, " ")
+    inner = lambda text: F.slice(words(text), 2, F.greatest(F.size(words(text)) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner(F.col("text")), lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    passages = asked.select("rule_id", F.col("text").alias("passage"), longest.alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    maybe = held.join(passages.where("word is not null").select("rule_id", "word"), "word").select("doc_id", "rule_id")
+    maybe = maybe.unionByName(docs.select("doc_id").crossJoin(passages.where("word is null").select("rule_id")))  # passages of one or two words
+    gold = docs.join(maybe, "doc_id").join(passages, "rule_id").where(F.contains("text", "passage")).groupBy("rule_id").agg(F.min("doc_id").alias("chunk_id"))
     return retrieval.recall_at(retrieval.top_chunks(asked, docs.withColumnRenamed("doc_id", "chunk_id"), 5), gold)
 
 
@@ -253,8 +261,8 @@ def q23_accept_baseline(spark, d):
 
 @query
 def q24_target_join(spark, d):
-    known = rules(spark, d).where("rule_id < 5").select(text_id("R", F.col("rule_id")).alias("rule_id"), F.col("text").alias("rule_text"))
-    return cases(spark, d).select("case_id", F.explode(F.array_distinct("target_rules")).alias("rule_id")).join(F.broadcast(known), "rule_id").select("case_id", "rule_id", F.length("rule_text").cast("long").alias("rule_chars"))
+    known = rules(spark, d).select(text_id("R", F.col("rule_id")).alias("rule_id"), F.col("text").alias("rule_text"))
+    return cases(spark, d).select("case_id", F.explode(F.array_distinct("target_rules")).alias("rule_id")).join(known, "rule_id").select("case_id", "rule_id", F.length("rule_text").cast("long").alias("rule_chars"))
 
 
 @query
@@ -290,7 +298,7 @@ def q30_heading_carry(spark, d):
     """Lines of documents as a specification: every fourth line is a heading, every second other line a rule."""
     lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     number = F.lpad((F.col("pos") % 100).cast("string"), 2, "0")
-    marked = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("## "), F.col("line"))).when(F.col("pos") % 2 == 1, F.concat(F.lit("- **R"), number, F.lit("** x"), F.left("line", F.lit(20)))).otherwise(F.col("line"))
+    marked = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("## "), F.col("line"))).when(F.col("pos") % 2 == 1, F.concat(F.lit("- **R"), number, F.lit("** x"), F.col("line"))).otherwise(F.col("line"))
     joined = lines.select("doc_id", "pos", marked.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
     found = specs.rule_rows(joined, "doc_id")
     return found.select("doc_id", F.col("rule_pos").cast("long").alias("rule_pos"), "rule_id", F.md5(F.concat_ws("|", "text", "section")).alias("digest"))
@@ -304,7 +312,7 @@ def replies_frame(spark: SparkSession) -> DataFrame:
 def q31_reply_parse(spark, d):
     said = replies_frame(spark).select("k", R.verdict_of(F.col("r.verdict")).alias("verdict"), R.clamped(F.col("r.confidence")).alias("confidence"), R.line_number(F.col("r.evidence.start_line")).cast("long").alias("start_line"))
     props = table(spark, d, "events").select(F.col("event_id").cast("int").alias("k"), F.lit("UNCERTAIN").alias("verdict"), R.clamped(F.get_json_object("props", "$.k")).alias("confidence"), R.line_number(F.get_json_object("props", "$.k")).cast("long").alias("start_line"))
-    return said.unionByName(props.where("k > 100"))
+    return said.withColumn("k", -F.col("k")).unionByName(props)
 
 
 @query
@@ -343,7 +351,7 @@ def constant_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks of a file a source: those of ids divisible by 7 are modules that define a constant."""
     i = F.col("doc_id")
     line = F.concat(F.lit("\nLIMIT_"), (i % 5).cast("string"), F.when(i % 7 == 0, " = 1\n").otherwise(" used\n"))
-    return documents(spark, d).select(i.alias("chunk_id"), F.col("source").alias("file"), F.when(i % 7 == 0, "<module>").otherwise("f").alias("qualname"), F.concat(F.left("text", F.lit(100)), line).alias("source"))
+    return documents(spark, d).select(i.alias("chunk_id"), F.col("source").alias("file"), F.when(i % 7 == 0, "<module>").otherwise("f").alias("qualname"), F.concat("text", line).alias("source"))
 
 
 @query
