@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import replies as R
 from plumbline.functions import text as X
 from plumbline.operators import retrieval
-from plumbline.session import ship
+from plumbline.session import durable, ship
 
 MATCH_THRESHOLD = 0.60
 NUMBER = r"\b([0-9]+(?:\.[0-9]+)?)\b"
@@ -129,55 +130,142 @@ def answered(questions: DataFrame, answers: DataFrame, make: Callable[[], Comple
     return stored.unionByName(fresh)
 
 
-def questions(rules: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(workspace, rule_id, user, chunk_ids): one prompt a rule over its ranked chunks, with line numbers."""
-    shown = hits.join(chunks.dropDuplicates(["workspace", "chunk_id"]), ["workspace", "chunk_id"])
-    text = F.concat(F.lit("["), F.col("file"), F.lit("] ("), F.col("qualname"), F.lit(")\n"), X.gutter(F.col("source"), F.col("start_line")))
-    excerpt = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id"), text.alias("excerpt"))))
-    listed = shown.groupBy("workspace", "rule_id").agg(excerpt.alias("e"))
-    user = F.concat(F.lit("Rule "), F.col("rule_id"), F.lit(": "), F.col("text"), F.lit("\n\nExcerpts:\n"), F.array_join(F.transform("e", lambda x: x["excerpt"]), "\n\n"))
-    return rules.join(listed, ["workspace", "rule_id"], "left").select("workspace", "rule_id", user.alias("user"), F.transform("e", lambda x: x["chunk_id"]).alias("chunk_ids"))
+def rules_block(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rules_text, rules_listed): the texts of a workspace's rules, and with their ids, in the order of the ids."""
+    listed = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rule_id", "text"))).alias("r"))
+    joined = lambda f: F.array_join(F.transform("r", f), "\n")
+    return listed.select(*keys, joined(lambda r: r["text"]).alias("rules_text"), joined(lambda r: F.concat(r["rule_id"], F.lit(": "), r["text"])).alias("rules_listed"))
 
 
-def keyword(rules: DataFrame, chunks: DataFrame) -> DataFrame:
-    projects = chunks.select(F.col("workspace").alias("project"), F.col("source").alias("text"))
-    said = keyword_verdicts(rules.select(F.col("workspace").alias("project"), "rule_id", "text"), projects)
-    return said.select(F.col("project").alias("workspace"), "rule_id", "verdict", "confidence", F.array().cast("array<string>").alias("retrieved_chunks"), F.lit("forward").alias("direction"))
+def rendered(chunk: Column) -> Column:
+    """An excerpt as a prompt shows it: where it is from, and its lines with their numbers."""
+    return F.concat(F.lit("["), chunk["file"], F.lit("] ("), chunk["qualname"], F.lit(")\n"), X.gutter(chunk["source"], chunk["start_line"]))
 
 
-def ranked(rules: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """Retrieval and the stand-in judge on what was retrieved."""
+def questions(rules: DataFrame, chunks: DataFrame, k: int = 3, run: int = 1) -> DataFrame:
+    """(workspace, rule_id, text, key, user, code, retrieved_chunks): one prompt a rule over its best chunks and the module
+    constants that they name; ``key`` is the question's content, so equal questions are asked once."""
     documents = chunks.select("workspace", "chunk_id", X.chunk_document(F.col("file"), F.col("qualname"), F.col("source")).alias("text"))
     asked = rules.select("workspace", "rule_id", X.rule_document(F.col("section"), F.col("text")).alias("text"))
-    hits = retrieval.top_chunks(asked, documents, k, ["workspace"])
-    shown = hits.join(chunks.select("workspace", "chunk_id", "source"), ["workspace", "chunk_id"]).groupBy("workspace", "rule_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source"))).alias("e"))
-    joined = rules.join(shown, ["workspace", "rule_id"], "left").withColumn("j", judged(F.col("text"), F.coalesce(F.array_join(F.transform("e", lambda x: x["source"]), "\n"), F.lit(""))))
-    return joined.select("workspace", "rule_id", "j.verdict", "j.confidence", F.transform("e", lambda x: x["chunk_id"]).alias("retrieved_chunks"), F.lit("forward").alias("direction"))
+    hits = durable(retrieval.top_chunks(asked, documents, k, ["workspace"]).select("workspace", "rule_id", "rank", "chunk_id"))
+    context = retrieval.constant_context(hits.withColumnRenamed("rule_id", "group_id"), chunks, within=["workspace"])
+    added = context.select("workspace", F.col("group_id").alias("rule_id"), (F.col("rank") + k).alias("rank"), F.col("module_id").alias("chunk_id"))
+    shown = hits.unionByName(added).join(chunks, ["workspace", "chunk_id"])
+    excerpt = F.struct("rank", "chunk_id", "file", "qualname", "start_line", "source")
+    listed = shown.groupBy("workspace", "rule_id").agg(F.array_sort(F.collect_list(excerpt)).alias("e"))
+    every = rules.join(listed, ["workspace", "rule_id"], "left").withColumn("e", F.coalesce("e", F.array().cast(dict(listed.dtypes)["e"])))
+    sources = F.transform("e", lambda x: x["source"])
+    key = X.content_key(F.col("text"), F.array_join(sources, "\0"), F.lit(RULE_PROMPT), run=F.lit(run))
+    user = F.concat(F.lit("Rule "), F.col("rule_id"), F.lit(": "), F.col("text"), F.lit("\n\nExcerpts:\n"), F.array_join(F.transform("e", rendered), "\n\n"))
+    return every.select("workspace", "rule_id", "text", key.alias("key"), user.alias("user"), F.array_join(sources, "\n").alias("code"), F.transform("e", lambda x: x["chunk_id"]).alias("retrieved_chunks"))
+
+
+#: Versions of the prompts; part of a question's key, so that a new prompt asks anew.
+RULE_PROMPT, WHOLE_PROMPT, REVERSE_PROMPT = "rule-1", "whole-1", "reverse-1"
+NO_JSON, NO_ENTRY = "model did not return valid JSON", "model returned no entry for this rule"
+
+
+def stand_in(rule: Column, code: Column) -> Column:
+    """The stand-in judge's reply to one rule, as JSON."""
+    j = judged(rule, code)
+    drift = j["verdict"] == "DRIFT"
+    told = lambda text: F.when(drift, text).otherwise("")
+    shown = F.struct(told(F.concat(F.lit("a case with "), j["reason"])).alias("input"), F.lit("").alias("expected"), told(F.lit("not as stated")).alias("actual"))
+    return F.to_json(F.struct(j["verdict"].alias("verdict"), j["confidence"].alias("confidence"), told(rule).alias("violated_clause"), shown.alias("counterexample")))
+
+
+def settled(answered: DataFrame, missing: str = NO_JSON) -> DataFrame:
+    """The columns of a verdict from ``reply`` (JSON): parsed with tolerance, held to the bar of evidence, uncertain with
+    the reason where nothing can be read."""
+    read = answered.withColumn("r", R.fields(R.parsed_reply(F.col("reply")))).withColumn("unread", R.parsed_reply(F.col("reply")).isNull())
+    gate = read.withColumn("g", R.evidence_gate(F.col("r")))
+    clause = F.when(F.col("unread"), missing).otherwise(F.trim(F.coalesce("r.violated_clause", F.lit(""))))
+    return gate.select(
+        *[c for c in answered.columns if c != "reply"], F.when(F.col("unread"), "UNCERTAIN").otherwise(F.col("g.verdict")).alias("verdict"), F.when(F.col("unread"), 0.0).otherwise(R.clamped(F.col("r.confidence"))).alias("confidence"),
+        clause.alias("violated_clause"), (~F.col("unread") & F.col("g.downgraded")).alias("downgraded"), F.col("unread").alias("parse_error"),
+    )
+
+
+def with_replies(asked: DataFrame, replies: DataFrame | None, own: Column) -> DataFrame:
+    """``asked`` with ``reply`` and ``cache_hit``: what ``replies`` (key, response) has for the key, else the stand-in's."""
+    if replies is None:
+        return asked.withColumn("reply", own).withColumn("cache_hit", F.lit(False))
+    known = replies.select("key", F.col("response").alias("__stored")).dropDuplicates(["key"])
+    joined = asked.join(known, "key", "left")
+    return joined.withColumn("reply", F.coalesce("__stored", own)).withColumn("cache_hit", F.col("__stored").isNotNull()).drop("__stored")
+
+
+VERDICT = ["workspace", "rule_id", "verdict", "confidence", "violated_clause", "downgraded", "parse_error", "cache_hit", "retrieved_chunks", "direction"]
+
+
+def keyword(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    projects = chunks.select(F.col("workspace").alias("project"), F.col("source").alias("text"))
+    said = keyword_verdicts(rules.select(F.col("workspace").alias("project"), "rule_id", "text"), projects)
+    no = F.lit(False)
+    return said.select(F.col("project").alias("workspace"), "rule_id", "verdict", "confidence", F.lit("").alias("violated_clause"), no.alias("downgraded"), no.alias("parse_error"), no.alias("cache_hit"), F.array().cast("array<string>").alias("retrieved_chunks"), F.lit("forward").alias("direction"))
+
+
+def ranked(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """Retrieval with constant context, one question a rule, the reply parsed and held to the bar of evidence."""
+    asked = with_replies(questions(rules, chunks, k), replies, stand_in(F.col("text"), F.col("code")))
+    return settled(asked).withColumn("direction", F.lit("forward")).select(*VERDICT)
+
+
+def whole_project(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """All rules of a workspace against all its sources, in path order, in one question, which by design holds the whole
+    workspace. The reply is read by rule, the last entry of a rule wins; a rule without one is uncertain."""
+    code = chunks.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("file", "start_line", "source"))).alias("c"))
+    code = code.select("workspace", F.transform("c", lambda x: x["source"]).alias("sources"))
+    asked = rules_block(rules, ["workspace"]).join(code, "workspace", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    asked = asked.withColumn("key", X.content_key(F.col("rules_text"), F.array_join("sources", "\0"), F.lit(WHOLE_PROMPT))).withColumn("code", F.array_join("sources", "\n"))
+    own = rules.join(asked.select("workspace", "code"), "workspace").select("workspace", F.struct("rule_id", stand_in(F.col("text"), F.col("code")).alias("reply")).alias("one"))
+    entry = F.transform(F.array_sort("all"), lambda x: F.concat(F.lit('{"rule_id": '), F.to_json(x["rule_id"].cast("variant")), F.lit(", "), F.substring(x["reply"], F.lit(2), F.length(x["reply"]))))
+    listed = own.groupBy("workspace").agg(F.collect_list("one").alias("all")).select("workspace", F.concat(F.lit("["), F.array_join(entry, ", "), F.lit("]")).alias("own"))
+    told = with_replies(asked.join(listed, "workspace"), replies, F.col("own")).select("workspace", "reply", "cache_hit")
+    entries = R.indexed_replies(told, "workspace", "reply").withColumnRenamed("item", "reply")
+    said = rules.select("workspace", "rule_id").join(entries, ["workspace", "rule_id"], "left").join(told.select("workspace", "cache_hit"), "workspace")
+    return settled(said, NO_ENTRY).withColumn("retrieved_chunks", F.array().cast("array<string>")).withColumn("direction", F.lit("forward")).select(*VERDICT)
+
+
+def reverse(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None, pristine: DataFrame | None = None) -> DataFrame:
+    """Every reviewable function against all rules of its workspace; a finding has to quote the code. ``pristine`` has the
+    chunks (workspace, qualname, kind, source, ...) of the accepted state: what is found there as well is compliant."""
 
+    def audited(chunks: DataFrame) -> DataFrame:
+        asked = chunks.where(reviewable(F.col("qualname"), F.col("kind"))).join(rules_block(rules, ["workspace"]), "workspace")
+        asked = asked.withColumn("key", X.content_key(F.col("rules_text"), F.col("source"), F.lit(REVERSE_PROMPT)))
+        head = F.coalesce(F.try_element_at(F.filter(F.split("source", "\n"), lambda x: x.rlike(r"^\s*(async )?def ")), F.lit(1)), F.try_element_at(F.split("source", "\n"), F.lit(1)))
+        raw = reverse_judged(F.col("qualname"), F.col("rules_text"))
+        found = raw == "UNAUTHORISED"
+        own = F.to_json(F.struct(raw.alias("verdict"), F.lit(0.6).alias("confidence"), F.when(found, F.concat(F.lit("it has "), F.col("qualname"))).otherwise("").alias("behaviour"), F.when(found, head).otherwise("").alias("quote"), F.lit("none").alias("closest_rule")))
+        read = with_replies(asked, replies, own).withColumn("parsed", R.parsed_reply(F.col("reply"))).withColumn("r", F.from_json(F.to_json("parsed"), REVERSE_FIELDS))
+        gate = read.withColumn("g", R.reverse_gate(F.col("r"), X.locate_quote(F.col("source"), F.coalesce("r.quote", F.lit("")))))
+        unread = F.col("parsed").isNull()
+        return gate.select(
+            "workspace", F.concat(F.lit("CREEP:"), F.col("qualname")).alias("rule_id"), F.when(unread, "UNCERTAIN").otherwise(F.col("g.verdict")).alias("verdict"), F.when(unread, 0.0).otherwise(R.clamped(F.col("r.confidence"))).alias("confidence"),
+            F.when(unread, NO_JSON).otherwise(F.col("g.clause")).alias("violated_clause"), (~unread & F.col("g.downgraded")).alias("downgraded"), unread.alias("parse_error"), "cache_hit", F.array("chunk_id").alias("retrieved_chunks"), F.lit("reverse").alias("direction"), "source",
+        )
 
-def whole_project(rules: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every rule against all sources of its workspace, in path order. One question holds a whole workspace by design."""
-    code = chunks.groupBy("workspace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "start_line", "source"))), lambda x: x["source"]), "\n").alias("code"))
-    joined = rules.join(code, "workspace", "left").withColumn("j", judged(F.col("text"), F.coalesce("code", F.lit(""))))
-    return joined.select("workspace", "rule_id", "j.verdict", "j.confidence", F.array().cast("array<string>").alias("retrieved_chunks"), F.lit("forward").alias("direction"))
+    said = audited(chunks)
+    if pristine is None:
+        return said.select(*VERDICT)
+    known = audited(pristine).where("verdict = 'DRIFT'").select(F.col("workspace").alias("project"), X.source_digest(F.col("source")).alias("digest"))
+    taken = accept_baseline(said.withColumnRenamed("workspace", "project"), known).withColumnRenamed("project", "workspace")
+    return taken.withColumn("violated_clause", F.when(F.col("accepted"), "accepted: already reported on the pristine project").otherwise(F.col("violated_clause"))).select(*VERDICT)
 
 
-def reverse(rules: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every reviewable function against the words of all rules of its workspace."""
-    spec = rules.groupBy("workspace").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("spec"))
-    asked = chunks.where(reviewable(F.col("qualname"), F.col("kind"))).join(spec, "workspace")
-    said = reverse_judged(F.col("qualname"), F.col("spec"))
-    return asked.select("workspace", F.concat(F.lit("CREEP:"), F.col("qualname")).alias("rule_id"), F.when(said == "UNAUTHORISED", "DRIFT").otherwise("COMPLIANT").alias("verdict"), F.lit(0.6).alias("confidence"), F.array("chunk_id").alias("retrieved_chunks"), F.lit("reverse").alias("direction"))
+REVERSE_FIELDS = "verdict string, confidence string, behaviour string, quote string, closest_rule string"
 
 
-def both(rules: DataFrame, chunks: DataFrame) -> DataFrame:
-    return ranked(rules, chunks).unionByName(reverse(rules, chunks))
+def both(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    return ranked(rules, chunks, replies).unionByName(reverse(rules, chunks, replies))
 
 
-DETECTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"keyword": keyword, "ranked": ranked, "whole-project": whole_project, "reverse": reverse, "ranked-reverse": both}
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"keyword": keyword, "ranked": ranked, "whole-project": whole_project, "reverse": reverse, "ranked-reverse": both}
 
 
-def detect(name: str, rules: DataFrame, chunks: DataFrame) -> DataFrame:
+def detect(name: str, rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """The verdicts of a registered detector; ``replies`` (key, response) are a judge's stored answers."""
     if name not in DETECTORS:
         raise ValueError(f"unknown detector {name!r}; known are {', '.join(DETECTORS)}")
-    return DETECTORS[name](rules, chunks).withColumn("detector", F.lit(name))
+    return DETECTORS[name](rules, chunks, replies).withColumn("detector", F.lit(name))

@@ -124,6 +124,48 @@ def _strip(value: str) -> str:
     return value
 
 
+def _judged(rule: str, code: str, source: str) -> str:
+    """CTEs that end in ``judged``: all columns of ``source`` with verdict, confidence and reason."""
+    numbers = r"list_transform(regexp_extract_all({0}, '\b([0-9]+(?:\.[0-9]+)?)\b', 1), lambda x: CAST(x AS DOUBLE))"
+    return rf"""cut AS (SELECT *, CASE WHEN contains({code}, '|') THEN array_to_string(list_transform(list_filter(string_split({code}, chr(10)), lambda x: contains(x, '|')), lambda x: regexp_replace(x, '^[^|]*\|', '')), chr(10)) ELSE {code} END AS bare FROM {source}),
+        plain AS (SELECT *, regexp_replace(regexp_replace(bare, '#[^\n]*', '', 'g'), '(?s)""" + '"""' + r""".*?""" + '"""' + rf"""', '', 'g') AS p FROM cut),
+        sets AS (SELECT *, list_filter({numbers.format(rule)}, lambda x: x NOT IN (0, 1, 2)) AS wanted, {numbers.format('p')} AS there, regexp_extract_all({rule}, '`([A-Z][A-Za-z]+)`', 1) AS named, contains(p, 'raise ') AS raises FROM plain),
+        gaps AS (SELECT *, CASE WHEN len(there) > 0 THEN list_filter(wanted, lambda x: NOT list_contains(there, x)) ELSE [] END AS missing,
+                 CASE WHEN raises THEN list_filter(named, lambda x: NOT contains(p, 'raise ' || x)) ELSE [] END AS unraised FROM sets),
+        judged AS (SELECT *, CASE WHEN len(missing) > 0 OR len(unraised) > 0 THEN 'DRIFT' WHEN (len(wanted) > 0 AND len(there) = 0) OR (len(named) > 0 AND NOT raises) THEN 'UNCERTAIN' ELSE 'COMPLIANT' END AS verdict,
+                 CAST(CASE WHEN len(missing) > 0 THEN 0.72 WHEN len(unraised) > 0 THEN 0.68 WHEN (len(wanted) > 0 AND len(there) = 0) OR (len(named) > 0 AND NOT raises) THEN 0.3 ELSE 0.6 END AS DOUBLE) AS confidence FROM gaps)"""
+
+
+_WORKSPACES = r"""chunks AS (SELECT 'w' || doc_id // 20 AS workspace, doc_id // 20 AS num, 'd' || doc_id AS chunk_id, source || '.py' AS file,
+        CASE WHEN doc_id % 7 = 0 THEN '<module>' ELSE 'Box._' || regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z]+', '_', 'g') END AS qualname, doc_id % 7 = 0 AS module,
+        text || chr(10) || 'LIMIT_' || doc_id % 5 || CASE WHEN doc_id % 7 = 0 THEN ' = 1' ELSE ' used' END || chr(10) || 'limit = ' || doc_id % 13 || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'raise LimitError' || chr(10) ELSE chr(10) END AS s FROM documents),
+    rules AS (SELECT workspace, 'R' || item_id AS rule_id, text || ' at least ' || (item_id % 9 + 3) || CASE WHEN item_id % 3 = 0 THEN ' or raise `LimitError`' ELSE '' END AS rule
+        FROM (SELECT DISTINCT workspace, num FROM chunks) JOIN benchmark ON item_id % 40 = num % 40)"""
+_RANKED = rf"""docs AS (SELECT workspace, 'r' AS side, rule_id AS id, rule AS text FROM rules UNION ALL SELECT workspace, 'c', chunk_id, regexp_replace(file, '[/.]', ' ', 'g') || ' ' || qualname || ' ' || s FROM chunks),
+    totals AS (SELECT workspace, count(*) AS total FROM docs GROUP BY 1),
+    terms AS (SELECT workspace, side, id, token, count(*) AS n FROM (SELECT workspace, side, id, unnest({_tokens('text')}) AS token FROM docs) GROUP BY ALL),
+    df AS (SELECT workspace, token, count(*) AS df FROM terms GROUP BY ALL),
+    raw AS (SELECT workspace, side, id, token, (1 + ln(n)) * (ln((total + 1) / (df + 1)) + 1) AS w FROM terms JOIN df USING (workspace, token) JOIN totals USING (workspace)),
+    unit AS (SELECT workspace, side, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY workspace, side, id)) AS w FROM raw),
+    scores AS (SELECT workspace, r.id AS rule_id, c.id AS chunk_id, round_even(sum(r.w * c.w), 6) AS score FROM unit r JOIN unit c USING (workspace, token) WHERE r.side = 'r' AND c.side = 'c' GROUP BY ALL),
+    every AS (SELECT workspace, rule_id, chunk_id, coalesce(score, 0.0) AS score FROM rules JOIN chunks USING (workspace) LEFT JOIN scores USING (workspace, rule_id, chunk_id)),
+    hits AS (SELECT workspace, rule_id, chunk_id, row_number() OVER (PARTITION BY workspace, rule_id ORDER BY score DESC, chunk_id) AS rank FROM every QUALIFY rank <= 3),
+    named AS (SELECT DISTINCT workspace, rule_id, rank, file, unnest(regexp_extract_all(s, '\b[A-Z][A-Z0-9_]{{2,}}\b')) AS c FROM hits JOIN chunks USING (workspace, chunk_id)),
+    defined AS (SELECT DISTINCT workspace, chunk_id, file, unnest(regexp_extract_all(s, '(?m)^([A-Z][A-Z0-9_]{{2,}})\s*[:=]', 1)) AS c FROM chunks WHERE module),
+    met AS (SELECT workspace, rule_id, d.chunk_id, min(rank) AS rank FROM named JOIN defined d USING (workspace, file, c) GROUP BY ALL),
+    context AS (SELECT * FROM met ANTI JOIN hits USING (workspace, rule_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY workspace, rule_id ORDER BY rank, chunk_id) <= 2),
+    shown AS (SELECT workspace, rule_id, rank, chunk_id FROM hits UNION ALL SELECT workspace, rule_id, rank + 3, chunk_id FROM context),
+    asked AS (SELECT workspace, rule_id, rule, string_agg(s, chr(10) ORDER BY rank, chunk_id) AS code, string_agg(chunk_id, ',' ORDER BY rank, chunk_id) AS chunks
+        FROM shown JOIN chunks USING (workspace, chunk_id) JOIN rules USING (workspace, rule_id) GROUP BY ALL)"""
+_AUDITED = r"""spec AS (SELECT workspace, string_agg(rule, chr(10) ORDER BY rule_id) AS spec FROM rules GROUP BY 1),
+    heads AS (SELECT workspace, chunk_id, qualname, lower(spec) AS spec, coalesce(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '^\s*(async )?def '))[1], string_split(s, chr(10))[1]) AS quote
+        FROM chunks JOIN spec USING (workspace) WHERE NOT module AND NOT regexp_matches(regexp_extract(qualname, '[^.]*$', 0), '^__')),
+    parts AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(qualname, '[^.]*$', 0), '^_+', '')), '_+'), lambda w: length(w) > 3) AS words FROM heads),
+    raws AS (SELECT *, len(words) > 0 AND len(list_filter(words, lambda w: contains(spec, left(w, 5)))) = 0 AS found, trim(regexp_replace(quote, '\s+', ' ', 'g')) <> '' AS quoted FROM parts),
+    audited AS (SELECT workspace, 'CREEP:' || qualname AS rule_id, CASE WHEN NOT found THEN 'COMPLIANT' WHEN quoted THEN 'DRIFT' ELSE 'UNCERTAIN' END AS verdict, CAST(0.6 AS DOUBLE) AS confidence,
+        CASE WHEN found AND quoted THEN 'No rule authorises: it has ' || qualname ELSE '' END AS violated_clause, found AND NOT quoted AS downgraded, chunk_id AS chunks FROM raws)"""
+_CLAUSE = "CASE WHEN verdict = 'DRIFT' THEN trim(rule) ELSE '' END AS violated_clause"
+
 _SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _KEY = "sha256(CASE WHEN doc_id % 2 = 0 THEN 'v1' || chr(0) || text ELSE 'v1' || chr(0) || text || chr(0) || 'run=2' END)"
 
@@ -259,4 +301,10 @@ ORACLES: dict[str, str] = {
     "q49_confidence_clamp": "SELECT round_even(CASE WHEN l_linenumber = 3 THEN 0.0 ELSE greatest(0.0, least(1.0, CAST(round_even(l_discount * 10, 3) AS DOUBLE))) END, 4) AS confidence, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1",
     "q50_oracle_status": f"""WITH {_cases()} SELECT case_id, CASE WHEN i % 7 = 0 THEN 'waived' WHEN i % 3 = 0 THEN 'missing' WHEN i % 10 = 1 THEN 'broken' WHEN i % 4 = 2 THEN 'blind' ELSE 'confirmed' END AS status
         FROM cases WHERE label = 'drift' AND status = 'valid' AND escapes""",
+    "q51_ranked_detector": f"WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')} SELECT workspace, rule_id, verdict, confidence, {_CLAUSE}, false AS downgraded, chunks FROM judged",
+    "q52_whole_project_detector": f"""WITH {_WORKSPACES}, code AS (SELECT workspace, string_agg(s, chr(10) ORDER BY file, s) AS code FROM chunks GROUP BY 1), asked AS (SELECT * FROM rules JOIN code USING (workspace)),
+        {_judged('rule', 'code', 'asked')} SELECT workspace, rule_id, verdict, confidence, {_CLAUSE}, false AS parse_error FROM judged""",
+    "q53_reverse_detector": f"WITH {_WORKSPACES}, {_AUDITED} SELECT * FROM audited",
+    "q54_both_directions": f"""WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')}, {_AUDITED}, both_ AS (SELECT 'forward' AS direction, verdict FROM judged UNION ALL SELECT 'reverse', verdict FROM audited)
+        SELECT 'ranked-reverse' AS detector, direction, verdict, CAST(count(*) AS BIGINT) AS n FROM both_ GROUP BY ALL""",
 }

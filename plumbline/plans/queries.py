@@ -454,6 +454,53 @@ def q50_oracle_status(spark, d):
     return merge.oracle_status(held, waived, ran)
 
 
+def detector_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Workspaces of twenty documents: one of seven is a module that defines a constant, the others are methods named after
+    their first lines, whose code uses a constant and states a limit."""
+    i = F.col("doc_id")
+    module = i % 7 == 0
+    name = F.concat(F.lit("Box._"), F.regexp_replace(F.lower(F.element_at(F.split("text", "\n"), 1)), "[^a-z]+", "_"))
+    line = F.concat(F.lit("\nLIMIT_"), (i % 5).cast("string"), F.when(module, " = 1\n").otherwise(" used\n"), F.lit("limit = "), (i % 13).cast("string"), F.when(i % 2 == 0, "\nraise LimitError\n").otherwise("\n"))
+    return documents(spark, d).select(
+        F.floor(i / 20).alias("n"), text_id("w", F.floor(i / 20)).alias("workspace"), text_id("d", i).alias("chunk_id"), F.concat("source", F.lit(".py")).alias("file"), F.when(module, "<module>").otherwise(name).alias("qualname"),
+        F.when(module, "module").otherwise("method").alias("kind"), F.lit(1).alias("start_line"), F.concat("text", line).alias("source"),
+    )
+
+
+def detector_rules(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """Every workspace has the items of its slot as rules, each with a limit and every third with an exception."""
+    i = F.col("rule_id")
+    text = F.concat("text", F.lit(" at least "), (i % 9 + 3).cast("string"), F.when(i % 3 == 0, " or raise `LimitError`").otherwise(""))
+    items = rules(spark, d).select(text_id("R", i).alias("rule_id"), text.alias("text"), F.lit("").alias("section"), (i % 40).alias("slot"))
+    return chunks.select("workspace", (F.col("n") % 40).alias("slot")).distinct().join(items, "slot").drop("slot")
+
+
+def detected(spark: SparkSession, d: str, name: str) -> DataFrame:
+    chunks = detector_chunks(spark, d)
+    said = detectors.detect(name, detector_rules(spark, d, chunks), chunks.drop("n"))
+    return said.withColumn("chunks", F.array_join("retrieved_chunks", ","))
+
+
+@query
+def q51_ranked_detector(spark, d):
+    return detected(spark, d, "ranked").select("workspace", "rule_id", "verdict", "confidence", "violated_clause", "downgraded", "chunks")
+
+
+@query
+def q52_whole_project_detector(spark, d):
+    return detected(spark, d, "whole-project").select("workspace", "rule_id", "verdict", "confidence", "violated_clause", "parse_error")
+
+
+@query
+def q53_reverse_detector(spark, d):
+    return detected(spark, d, "reverse").select("workspace", "rule_id", "verdict", "confidence", "violated_clause", "downgraded", "chunks")
+
+
+@query
+def q54_both_directions(spark, d):
+    return detected(spark, d, "ranked-reverse").groupBy("detector", "direction", "verdict").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Keyword verdicts of all projects, counted beside the overall score."""
     said = q03_keyword_verdicts(spark, d).groupBy("project").agg(F.count_if(F.col("verdict") == "DRIFT").alias("drift"), F.count_if(F.col("verdict") == "COMPLIANT").alias("compliant"))

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import math
@@ -127,6 +128,44 @@ def test_detectors(spark):
         detectors.detect("none", rules, chunks)
 
 
+def chunk_frame(spark, rows):
+    """(workspace, file, qualname, kind, source) to chunks."""
+    rows = [(w, f"{f}::{q}", f, q, k, 1, 1 + s.count("\n"), s) for w, f, q, k, s in rows]
+    return spark.createDataFrame(rows, "workspace string, chunk_id string, file string, qualname string, kind string, start_line int, end_line int, source string")
+
+
+def test_constants_of_the_own_workspace_count(spark):
+    """A limit that stands in the module's constants is met, but not by the equal path of another workspace."""
+    rows = [(w, "src/a.py", "renew", "function", "def renew(loan):\n    return loan.count < LOAN_LIMIT + 9") for w in ("w1", "w2")]
+    rows += [("w1", "src/a.py", "<module>", "module", "LOAN_LIMIT = 5"), ("w2", "src/a.py", "<module>", "module", "OTHER = 1"), ("w2", "src/b.py", "<module>", "module", "LOAN_LIMIT = 5")]
+    rules = spark.createDataFrame([(w, "R1", "renew a loan at most 5 times", "") for w in ("w1", "w2")], "workspace string, rule_id string, text string, section string")
+    got = {r["workspace"]: r for r in detectors.ranked(rules, chunk_frame(spark, rows), k=1).collect()}
+    assert (got["w1"]["verdict"], got["w1"]["retrieved_chunks"]) == ("COMPLIANT", ["src/a.py::renew", "src/a.py::<module>"])
+    assert (got["w2"]["verdict"], got["w2"]["retrieved_chunks"]) == ("DRIFT", ["src/a.py::renew"]) and got["w2"]["violated_clause"]
+
+
+def test_stored_replies_and_gates(spark):
+    """Stored answers are used by content; claims without evidence, quotes that are nowhere and missing rules are uncertain."""
+    rules = spark.createDataFrame([("w", "R1", "fee is 5", ""), ("w", "R2", "fee is 6", ""), ("w", "R3", "fee is 7", "")], "workspace string, rule_id string, text string, section string")
+    chunks = chunk_frame(spark, [("w", "a.py", "fee", "function", "def fee():\n    return 5"), ("w", "a.py", "grant_bonus", "function", "def grant_bonus():\n    return 1")])
+    asked = {r["rule_id"]: r["key"] for r in detectors.questions(rules, chunks).collect()}
+    replies = spark.createDataFrame([(asked["R1"], '{"verdict": "DRIFT", "confidence": 0.9}'), (asked["R2"], "no json"), ("other", "{}")], "key string, response string")
+    got = {r["rule_id"]: r for r in detectors.ranked(rules, chunks, replies).collect()}
+    assert (got["R1"]["verdict"], got["R1"]["downgraded"], got["R1"]["cache_hit"]) == ("UNCERTAIN", True, True)
+    assert (got["R2"]["verdict"], got["R2"]["parse_error"], got["R2"]["violated_clause"]) == ("UNCERTAIN", True, detectors.NO_JSON)
+    assert (got["R3"]["verdict"], got["R3"]["cache_hit"]) == ("DRIFT", False)
+    whole = detectors.rules_block(rules, ["workspace"]).first()["rules_text"]
+    key = hashlib.sha256("\0".join([whole, "def fee():\n    return 5", "def grant_bonus():\n    return 1", detectors.WHOLE_PROMPT]).encode()).hexdigest()
+    stored = spark.createDataFrame([(key, '[{"rule_id": "R1", "verdict": "COMPLIANT", "confidence": 1}, {"rule_id": "R2", "verdict": "UNCERTAIN"}, {"rule_id": "R1", "verdict": "DRIFT"}]')], "key string, response string")
+    got = {r["rule_id"]: r for r in detectors.whole_project(rules, chunks, stored).collect()}
+    assert [got[k]["verdict"] for k in ("R1", "R2", "R3")] == ["UNCERTAIN"] * 3 and got["R1"]["downgraded"] and got["R3"]["violated_clause"] == detectors.NO_ENTRY
+    back = {r["rule_id"]: r for r in detectors.reverse(rules, chunks).collect()}
+    assert (back["CREEP:fee"]["verdict"], back["CREEP:grant_bonus"]["verdict"]) == ("COMPLIANT", "DRIFT")
+    assert back["CREEP:grant_bonus"]["violated_clause"].startswith("No rule authorises")
+    accepted = {r["rule_id"]: r for r in detectors.reverse(rules, chunks, pristine=chunks).collect()}
+    assert accepted["CREEP:grant_bonus"]["verdict"] == "COMPLIANT" and accepted["CREEP:grant_bonus"]["violated_clause"].startswith("accepted")
+
+
 class Echo:
     def complete(self, system, user):
         if user == "bad":
