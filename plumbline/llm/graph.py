@@ -43,26 +43,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return out
         before = (count, mark)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A table of its own, so that the join can split a hub's edges over tasks.
-        low = durable(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
-        large = durable(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where(F.col("u") != F.col("v"))
         older, links = links, durable(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct())
-        discard(older, low, large)
+        discard(older)
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (id, component) after more links: what they join are components, so that only those are worked over."""
+    at = {s: known.select(F.col("id").alias(f"{s}_id"), F.col("component").alias(f"{s}_of")) for s in "ab"}
+    placed = links.join(at["a"], "a_id", "left").join(at["b"], "b_id", "left")
+    heads = components(placed.select(F.coalesce("a_of", "a_id").alias("a"), F.coalesce("b_of", "b_id").alias("b")))
+    # A component's name is the least of its ids, so the name that a head gets is no larger than it.
+    moved = known.join(heads.select(F.col("id").alias("component"), F.col("component").alias("__new")), "component", "left")
+    again = moved.select("id", F.coalesce("__new", "component").alias("component"))
+    return durable(again.unionByName(heads.join(known.select("id"), "id", "left_anti")))
 
 
 def linked_groups(
     shared: DataFrame, key: str, screen: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
     need: Callable[[str, str], Column] = lambda a, b: F.lit(1), extra: DataFrame | None = None,
-    strict: Callable[[str, str], Column] = lambda a, b: F.lit(True), given: DataFrame | None = None, stars: int = 3,
+    strict: Callable[[str, str], Column] = lambda a, b: F.lit(True), given: DataFrame | None = None, stars: int = 2,
 ) -> DataFrame:
     """(id, component) of all verified links among ids that share a key, without trying all pairs of a key.
 
     ``shared`` has a row for each key of an id: (key, id, met, further columns), met being the number of the key's ids.
     First every id is tried against one of each of its keys, the one that meets most others over all its keys: of a group
     of edited copies the least edited. A key whose ids are then all in one component is done, as no link among them can
-    change a component. In the keys that are left the same is done for ids of the second and third component (``stars``
+    change a component. In the keys that are left the same is done for an id of the second component (and so on, ``stars``
     rounds in all), and then all pairs of different components are tried that pass ``screen(a, b)`` (over the two sides'
     columns) and ``strict(a, b)`` (over the columns of ``extra`` (id, ...)) for a key and share ``need(a, b)`` keys. So a
     group of copies costs its size and not its square, and no pair of different components is left untried. ``verify``
@@ -76,37 +86,32 @@ def linked_groups(
     fields = lambda s, of: [F.col(f"{of}.{c}").alias(f"{s}_{c}") for c in ("id", *others)]
     ordered = [F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")]
 
-    # A table of its own, so that the join can split a key of many ids over tasks.
-    centers = durable(rows.groupBy(key).agg(F.max(F.struct(*whole)).alias("center")))
+    centers = rows.groupBy(key).agg(F.max(F.struct(*whole)).alias("center"))
     met = rows.join(centers, key).where(F.col("center.id") != F.col("id")).select(*fields("a", "center"), *sides["b"]).where(screen("a", "b"))
     tried = durable(met.select(*ordered).distinct())
     links = durable(verify(tried))
-    links = links if given is None else links.unionByName(given)
-    known = components(links, "a_id", "b_id")
+    known = components(links if given is None else links.unionByName(given), "a_id", "b_id")
+    over = Window.partitionBy(key)
 
     def mixed_of(rows: DataFrame) -> DataFrame:
         tagged = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        both = durable(tagged.groupBy(key).agg(F.min("component").alias("__low"), F.max("component").alias("__high")).where("__low <> __high").select(key))
-        out = durable(tagged.join(both, key, "left_semi"))
-        discard(both)
-        return out
+        ends = tagged.withColumn("__low", F.min("component").over(over)).withColumn("__high", F.max("component").over(over))
+        return durable(ends.where("__low <> __high").drop("__low", "__high"))
 
     mixed = mixed_of(rows)
-    discard(rows, centers)
+    discard(rows)
     for place in range(2, stars + 1):
         heads = mixed.groupBy(key, "component").agg(F.max(F.struct(*whole)).alias("center"))
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("center").desc()))
-        centers = durable(heads.withColumn("__rank", rank).where(F.col("__rank") == place).select(key, "center", F.col("component").alias("__of")))
+        rank = F.row_number().over(over.orderBy(F.col("center").desc()))
+        centers = heads.withColumn("__rank", rank).where(F.col("__rank") == place).select(key, "center", F.col("component").alias("__of"))
         met = mixed.join(centers, key).where(F.col("component") != F.col("__of")).select(*fields("a", "center"), *sides["b"]).where(screen("a", "b"))
         fresh = durable(met.select(*ordered).distinct().join(tried, ["a_id", "b_id"], "left_anti"))
         more = durable(verify(fresh))
         tried = tried.unionByName(fresh)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            known = components(links, "a_id", "b_id")
+            known = merged(known, more)
             before, mixed = mixed, mixed_of(mixed)
             discard(before)
-        discard(centers)
     if extra is not None:
         mixed = mixed.join(extra, "id")
         sides = {s: [*sides[s], *(F.col(c).alias(f"{s}_{c}") for c in extra.columns if c != "id")] for s in "ab"}
@@ -116,6 +121,4 @@ def linked_groups(
     counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
     rest = durable(counted.join(tried, ["a_id", "b_id"], "left_anti"))
     more = durable(verify(rest))
-    if more.isEmpty():
-        return known
-    return components(links.unionByName(more), "a_id", "b_id")
+    return known if more.isEmpty() else merged(known, more)

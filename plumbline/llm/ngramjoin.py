@@ -35,8 +35,8 @@ from plumbline.session import discard, durable
 WIDTH = 5
 #: Jaccard threshold NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Counters of the shingle frequencies: 2**20, cut into slices for their sum.
-COUNTERS, SLICES = 1 << 20, 64
+#: Counters of the shingle frequencies, cut into slices for their sum; a task counts to 65535. (They only steer the order.)
+COUNTERS, SLICES, MOST = 1 << 22, 64, 65535
 LONGEST = 4
 #: Words of 64 bits of a set's parity bitmap.
 PARITY = 8
@@ -73,7 +73,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             names, n, low, high = [*batch.schema.names[:1], "n", "low", "high", "parity", "slice", "counts"], [], [], []
             marks = []
             for _, values, bounds in sets_of(batch.column(1), width):
-                counts += np.bincount((values & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+                np.add.at(counts, (values & U64(COUNTERS - 1)).astype(np.int64), 1)
                 n.append(np.diff(bounds))
                 low.append(signed(sums(mix(values), bounds)))
                 high.append(signed(sums(mix(values ^ U64(0x5851F42D4C957F2D)), bounds)))
@@ -85,7 +85,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         if names:
             parts = counts.reshape(SLICES, -1)
             empty = [pa.nulls(SLICES, t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([np.minimum(p, MOST).astype(np.uint16).tobytes() for p in parts], pa.binary())], names)
 
     schema = docs.select("doc_id").schema.add("n", "long").add("low", "long").add("high", "long").add("parity", T.ArrayType(T.LongType())).add("slice", "integer").add("counts", "binary")
     return per_batch(docs.select("doc_id", "text"), run, schema)
@@ -98,7 +98,7 @@ def counters(described: DataFrame) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                totals[k] = totals.get(k, np.int64(0)) + np.frombuffer(part, np.int32)
+                totals[k] = totals.get(k, np.int64(0)) + np.frombuffer(part, np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in totals.values()], pa.binary())], ["slice", "counts"])
 
     parts = per_batch(described.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice"), run, "slice int, counts binary").collect()
