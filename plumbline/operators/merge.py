@@ -49,6 +49,31 @@ def page(rows: DataFrame, order: list, number: int = 1, size: int = 200) -> Data
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def counted_page(rows: DataFrame, order: list, number: int = 1, size: int = 200) -> DataFrame:
+    """A page with ``total``, the number of rows of all pages."""
+    total = rows.agg(F.count("*").alias("total"))
+    return page(rows, order, number, size).crossJoin(F.broadcast(total))  # one row
+
+
+def case_rows(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """A list's rows: each case with ``verdicts``, a map from detector to its collapsed verdict: drift if one of its verdicts is,
+    else the first. ``verdicts`` has (case_id, detector, verdict, verdict_pos)."""
+    drift = F.max(F.col("verdict") == "DRIFT")
+    one = verdicts.groupBy("case_id", "detector").agg(F.when(drift, "DRIFT").otherwise(F.min_by("verdict", "verdict_pos")).alias("said"))
+    mapped = one.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("detector", "said")))).alias("verdicts"))
+    return cases.join(mapped, "case_id", "left").withColumn("verdicts", F.coalesce("verdicts", F.create_map().cast("map<string,string>")))
+
+
+def case_detail(cases: DataFrame, rules: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(case_id, ..., targets, by_detector): a case's page with the texts of its target rules, and its verdicts by detector in
+    their order. ``rules`` has (project, rule_id, text)."""
+    targets = cases.select("case_id", "project", F.explode("target_rules").alias("rule_id")).join(rules, ["project", "rule_id"])
+    texts = targets.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "text"))).alias("targets"))
+    row = F.struct("verdict_pos", "rule_id", "verdict", "confidence")
+    listed = verdicts.groupBy("case_id", "detector").agg(F.array_sort(F.collect_list(row)).alias("v")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("detector", "v"))).alias("by_detector"))
+    return cases.join(texts, "case_id", "left").join(listed, "case_id", "left")
+
+
 def first_per(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -80,3 +105,8 @@ def narrowed(chunks: DataFrame, changed: DataFrame) -> DataFrame:
     """Chunks of changed files; all of them when none of the files is known."""
     kept = chunks.join(changed.select("file").distinct(), "file", "left_semi")
     return chunks if kept.isEmpty() else kept
+
+
+def oracle_tally(statuses: DataFrame) -> DataFrame:
+    """(status, n): how many cases have each oracle status."""
+    return statuses.groupBy("status").agg(F.count("*").alias("n"))

@@ -111,6 +111,24 @@ def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5))
     return asked.agg(F.count("*").alias("n"), *map(share, ks))
 
 
+def gold_ranks(hits: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rank): each query's best rank of a gold chunk, null where none was found. ``gold`` has (keys, rule_id, chunk_id)."""
+    found = hits.join(gold, ["rule_id", "chunk_id"]).groupBy(*keys).agg(F.min("rank").alias("rank"))
+    return gold.select(*keys).distinct().join(found, keys, "left")
+
+
+def recall_by_category(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """(category, n, r1, r3, ...): recall of each category, and of all as ``all``. ``ranks`` has (category, rank)."""
+    share = lambda k: F.bround(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 4).alias(f"r{k}")
+    sets = ranks.groupingSets([["category"], []], "category").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *map(share, ks))
+    return sets.select(F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "n", *[f"r{k}" for k in ks])
+
+
+def misses(ranks: DataFrame, order: list[str], k: int = 5, most: int = 15) -> DataFrame:
+    """The first ``most`` queries whose gold chunk is not within the first ``k``."""
+    return ranks.where(f"coalesce(rank, {k + 1}) > {k}").drop("rank").orderBy(*order).limit(most)
+
+
 def constant_context(hits: DataFrame, chunks: DataFrame, most: int = 2, within: list[str] | None = None) -> DataFrame:
     """(within, group_id, rank, file, module_id): for ranked hits, the module chunks of the hits' files that define a constant
     which a hit names, at most ``most``, in the order of the hits and not among them.

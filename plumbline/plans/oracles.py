@@ -164,6 +164,7 @@ _AUDITED = r"""spec AS (SELECT workspace, string_agg(rule, chr(10) ORDER BY rule
     raws AS (SELECT *, len(words) > 0 AND len(list_filter(words, lambda w: contains(spec, left(w, 5)))) = 0 AS found, trim(regexp_replace(quote, '\s+', ' ', 'g')) <> '' AS quoted FROM parts),
     audited AS (SELECT workspace, 'CREEP:' || qualname AS rule_id, CASE WHEN NOT found THEN 'COMPLIANT' WHEN quoted THEN 'DRIFT' ELSE 'UNCERTAIN' END AS verdict, CAST(0.6 AS DOUBLE) AS confidence,
         CASE WHEN found AND quoted THEN 'No rule authorises: it has ' || qualname ELSE '' END AS violated_clause, found AND NOT quoted AS downgraded, chunk_id AS chunks FROM raws)"""
+_GOLD = "gold AS (SELECT item_id AS rule_id, min(doc_id) AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id), ranked AS (SELECT gold.rule_id, min(rank) AS rank FROM gold LEFT JOIN hits USING (rule_id, chunk_id) GROUP BY 1)"
 _CLAUSE = "CASE WHEN verdict = 'DRIFT' THEN trim(rule) ELSE '' END AS violated_clause"
 
 _SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -307,4 +308,14 @@ ORACLES: dict[str, str] = {
     "q53_reverse_detector": f"WITH {_WORKSPACES}, {_AUDITED} SELECT * FROM audited",
     "q54_both_directions": f"""WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')}, {_AUDITED}, both_ AS (SELECT 'forward' AS direction, verdict FROM judged UNION ALL SELECT 'reverse', verdict FROM audited)
         SELECT 'ranked-reverse' AS detector, direction, verdict, CAST(count(*) AS BIGINT) AS n FROM both_ GROUP BY ALL""",
+    "q55_recall_by_category": f"""WITH {_vectors(5)}, {_GOLD} SELECT CASE WHEN grouping('D' || (1 + rule_id % 9)) = 1 THEN 'all' ELSE 'D' || (1 + rule_id % 9) END AS category, CAST(count(*) AS BIGINT) AS n,
+        {', '.join(f"round_even(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 4) AS r{k}" for k in (1, 3, 5))} FROM ranked GROUP BY GROUPING SETS (('D' || (1 + rule_id % 9)), ())""",
+    "q57_check_events": f"""WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')}, per AS (SELECT workspace, count(*) AS n, CASE WHEN bool_or(verdict = 'DRIFT') THEN 'DRIFT' WHEN bool_or(verdict = 'UNCERTAIN') THEN 'NEEDS_HUMAN' ELSE 'PASS' END AS status FROM judged GROUP BY 1)
+        SELECT workspace, event, CAST(CASE event WHEN 'stage' THEN 12 WHEN 'summary' THEN 1 ELSE n END AS BIGINT) AS n, CASE WHEN event = 'summary' THEN status END AS status FROM per, unnest(['stage', 'rule_start', 'verdict', 'rule_detail', 'summary']) t(event)""",
+    "q58_sweep_events": f"""WITH {_cases()}, {_verdicts()}, r AS (SELECT case_id, coalesce(bool_or(verdict = 'DRIFT' AND (len(targets) = 0 OR list_contains(targets, rule_id))), false) AS caught FROM cases LEFT JOIN verdicts USING (case_id) GROUP BY 1),
+        s AS (SELECT category, count(*) FILTER (caught) AS n FROM r JOIN cases USING (case_id) GROUP BY 1)
+        SELECT 'case_start' AS event, NULL AS caught, CAST(count(*) AS BIGINT) AS n FROM r UNION ALL SELECT 'case_result', CAST(caught AS VARCHAR), CAST(count(*) AS BIGINT) FROM r GROUP BY caught
+        UNION ALL SELECT 'sweep_summary', CAST(n AS VARCHAR), CAST(count(*) AS BIGINT) FROM s GROUP BY n""",
+    "q59_case_rows": f"""WITH {_cases()}, {_verdicts('1', 'a')}, {_verdicts('2', 'b')}, {', '.join(f"{t}s AS (SELECT case_id, CASE WHEN bool_or(verdict = 'DRIFT') THEN 'DRIFT' ELSE arg_min(verdict, k) END AS said FROM {t} GROUP BY 1)" for t in 'ab')}
+        SELECT case_id, a_.said AS one, b_.said AS two, (SELECT CAST(count(*) AS BIGINT) FROM cases) AS total FROM cases LEFT JOIN as_ a_ USING (case_id) LEFT JOIN bs b_ USING (case_id) ORDER BY case_id LIMIT 50 OFFSET 50""".replace("as AS (", "as_ AS ("),
 }

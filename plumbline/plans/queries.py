@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import replies as R
 from plumbline.functions import text as X
-from plumbline.operators import chunking, detectors, merge, reports, retrieval, scoring, stability
+from plumbline.operators import chunking, detectors, merge, progress, reports, retrieval, scoring, stability
 from plumbline.schemas import CASES
-from plumbline.session import spread, table
+from plumbline.session import durable, spread, table
 from plumbline.sources import intake, specs
 from plumbline.streaming import checks
 
@@ -137,9 +137,8 @@ def q04_tfidf_topk(spark, d):
     return hits.select("rule_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.bround("score", 4).alias("score"))
 
 
-@query
-def q05_recall_at_k(spark, d):
-    docs, asked = documents(spark, d).select("doc_id", "text"), rules(spark, d)
+def gold_chunks(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rule_id, chunk_id): the first document that holds an item's text."""
     # A text with the passage has each of its inner words; the longest of them is sought by an equality, and the rest looked up.
     words = lambda text: F.split(text, " ")
     inner = lambda text: F.slice(words(text), 2, F.greatest(F.size(words(text)) - 2, F.lit(0)))
@@ -149,6 +148,13 @@ def q05_recall_at_k(spark, d):
     maybe = held.join(passages.where("word is not null").select("rule_id", "word"), "word").select("doc_id", "rule_id")
     maybe = maybe.unionByName(docs.select("doc_id").crossJoin(passages.where("word is null").select("rule_id")))  # passages of one or two words
     gold = docs.join(maybe, "doc_id").join(passages, "rule_id").where(F.contains("text", "passage")).groupBy("rule_id").agg(F.min("doc_id").alias("chunk_id"))
+    return gold
+
+
+@query
+def q05_recall_at_k(spark, d):
+    docs, asked = documents(spark, d).select("doc_id", "text"), rules(spark, d)
+    gold = gold_chunks(docs, asked)
     return retrieval.recall_at(retrieval.top_chunks(asked, docs.withColumnRenamed("doc_id", "chunk_id"), 5), gold)
 
 
@@ -501,6 +507,42 @@ def q54_both_directions(spark, d):
     return detected(spark, d, "ranked-reverse").groupBy("detector", "direction", "verdict").agg(F.count("*").alias("n"))
 
 
+def ranked_gold(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, category, rule_id, rank): the items of the documents that hold them, a category by id."""
+    docs, asked = documents(spark, d).select("doc_id", "text"), rules(spark, d)
+    gold = gold_chunks(docs, asked).withColumn("case_id", text_id("c", F.col("rule_id"))).withColumn("category", text_id("D", 1 + F.col("rule_id") % 9))
+    hits = retrieval.top_chunks(asked, docs.withColumnRenamed("doc_id", "chunk_id"), 5)
+    return retrieval.gold_ranks(hits, gold, ["case_id", "category", "rule_id"])
+
+
+@query
+def q55_recall_by_category(spark, d):
+    return retrieval.recall_by_category(ranked_gold(spark, d))
+
+
+@query
+def q57_check_events(spark, d):
+    chunks = detector_chunks(spark, d).drop("n")
+    asked = detector_rules(spark, d, detector_chunks(spark, d))
+    said = durable(detectors.ranked(asked, chunks))
+    events = progress.check_events(asked, chunks, said)
+    return events.groupBy("workspace", "event").agg(F.count("*").alias("n"), F.max(F.get_json_object("payload", "$.status")).alias("status"))
+
+
+@query
+def q58_sweep_events(spark, d):
+    events = progress.sweep_events(cases(spark, d), verdicts(spark, d))
+    return events.groupBy("event", F.get_json_object("payload", "$.caught").alias("caught")).agg(F.count("*").alias("n"))
+
+
+@query
+def q59_case_rows(spark, d):
+    said = verdicts(spark, d, 1, "one").unionByName(verdicts(spark, d, 2, "two"))
+    rows = merge.case_rows(cases(spark, d), said)
+    shown = rows.select("case_id", F.col("verdicts")["one"].alias("one"), F.col("verdicts")["two"].alias("two"))
+    return merge.counted_page(shown, ["case_id"], 2, 50)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Keyword verdicts of all projects, counted beside the overall score."""
     said = q03_keyword_verdicts(spark, d).groupBy("project").agg(F.count_if(F.col("verdict") == "DRIFT").alias("drift"), F.count_if(F.col("verdict") == "COMPLIANT").alias("compliant"))

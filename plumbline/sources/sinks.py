@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators.merge import merged
-from plumbline.session import durable
 
 
 def write_verdicts(verdicts: DataFrame, root: str) -> None:
@@ -17,12 +16,26 @@ def write_verdicts(verdicts: DataFrame, root: str) -> None:
     verdicts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("detector", "run").parquet(root)
 
 
+def swapped(df: DataFrame, path: str) -> None:
+    """Write ``df`` beside the table at ``path`` and put it in its place: a reader finds the old rows or the new ones, and a
+    crash leaves one of them whole under ``path``, ``path.new`` or ``path.old``."""
+    spark = df.sparkSession
+    fresh, place, old = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", "", ".old"))
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    df.write.mode("overwrite").parquet(path + ".new")
+    files.delete(old, True)
+    if files.exists(place):
+        files.rename(place, old)
+    files.rename(fresh, place)
+    files.delete(old, True)
+
+
 def merge_into(path: str, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows without the fresh keys, and the fresh rows, in the place of the stored table."""
-    stored = fresh.sparkSession.read.schema(fresh.schema).parquet(path)
-    out = durable(merged(stored, fresh, keys))
-    out.write.mode("overwrite").parquet(path)
-    return out
+    spark = fresh.sparkSession
+    stored = spark.read.schema(fresh.schema).parquet(path)
+    swapped(merged(stored, fresh, keys), path)
+    return spark.read.schema(fresh.schema).parquet(path)
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
@@ -38,6 +51,13 @@ def write_categories(categories: DataFrame, path: str) -> None:
     category_rows(categories).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)  # at most twelve rows
 
 
+def write_metrics(overall: DataFrame, categories: DataFrame, path: str) -> None:
+    """One JSON object a detector: its rates, and its categories in their order."""
+    row = F.struct("ord", "category", "name", "n", "metric", "value", "uncertain")
+    listed = categories.groupBy("detector").agg(F.array_sort(F.collect_list(row)).alias("per_category"))  # at most twelve rows
+    overall.join(listed, "detector", "left").coalesce(1).write.mode("overwrite").json(path)  # a row a detector
+
+
 def markdown(overall: DataFrame, categories: DataFrame, title: str = "Conformance report") -> str:
     """A report of a few bounded frames: one row a detector, at most twelve a detector and category."""
     shares = ("precision", "strict_precision", "recall", "f1", "false_alarm_rate", "uncertain_rate")

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.session import durable_folder, ship
 
 WINDOW_SECONDS = 60.0
+#: A client's state goes when it has been idle for so many windows.
+IDLE_WINDOWS = 10
 
 
 def admit(times: list[float], at: float, limit: int, window: float = WINDOW_SECONDS) -> tuple[list[float], bool]:
@@ -23,9 +25,10 @@ def admit(times: list[float], at: float, limit: int, window: float = WINDOW_SECO
     return [*kept, at], True
 
 
-def rate_limited(hits: DataFrame, limit: int, window: float = WINDOW_SECONDS) -> DataFrame:
+def rate_limited(hits: DataFrame, limit: int, window: float = WINDOW_SECONDS, expire: bool = False) -> DataFrame:
     """(client, at, admitted) for a stream or table of (client, at). State is the admitted times of the last minute, so at
-    most ``limit`` numbers a client."""
+    most ``limit`` numbers a client. With ``expire`` a client's state goes after some idle windows; that is for streams that
+    run on, as a replay of what is there (``availableNow``) would never be done with waiting for it."""
     ship(hits.sparkSession)
     hits = hits.select(F.col("client").cast("string").alias("client"), F.col("at").cast("double").alias("at"))
 
@@ -44,6 +47,9 @@ def rate_limited(hits: DataFrame, limit: int, window: float = WINDOW_SECONDS) ->
         return hits.repartition("client").sortWithinPartitions("client", "at").mapInPandas(run, "client string, at double, admitted boolean")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # idle for longer than the window: nothing that it holds counts any more
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         said = []
@@ -51,9 +57,11 @@ def rate_limited(hits: DataFrame, limit: int, window: float = WINDOW_SECONDS) ->
             kept, ok = admit(kept, at, limit, window)
             said.append(ok)
         state.update((kept,))
+        if expire:
+            state.setTimeoutDuration(int(IDLE_WINDOWS * window * 1000))
         yield pd.DataFrame({"client": key[0], "at": rows["at"].to_numpy(), "admitted": said})
 
-    return hits.groupBy("client").applyInPandasWithState(step, "client string, at double, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("client").applyInPandasWithState(step, "client string, at double, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def verdict_counts(events: DataFrame) -> DataFrame:

@@ -166,6 +166,22 @@ def test_stored_replies_and_gates(spark):
     assert accepted["CREEP:grant_bonus"]["verdict"] == "COMPLIANT" and accepted["CREEP:grant_bonus"]["violated_clause"].startswith("accepted")
 
 
+def test_misses_and_recall_by_category(spark):
+    ranks = spark.createDataFrame([("c1", "D1", 1), ("c2", "D1", 7), ("c3", "D2", None), ("c4", "D2", 3)], "case_id string, category string, rank int")
+    assert [r["case_id"] for r in retrieval.misses(ranks, ["case_id"]).collect()] == ["c2", "c3"]
+    assert [r["case_id"] for r in retrieval.misses(ranks, ["case_id"], most=1).collect()] == ["c2"]
+    got = {r["category"]: (r["n"], r["r1"], r["r5"]) for r in retrieval.recall_by_category(ranks).collect()}
+    assert got == {"D1": (2, 0.5, 0.5), "D2": (2, 0.0, 0.5), "all": (4, 0.25, 0.5)}
+
+
+def test_merge_into_swaps(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(path)
+    out = sinks.merge_into(path, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])
+    assert sorted((r["k"], r["v"]) for r in out.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 class Echo:
     def complete(self, system, user):
         if user == "bad":
