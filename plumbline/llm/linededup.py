@@ -45,6 +45,8 @@ EDIT_SHARE = 10
 SHORT = 60
 #: (first length, blocks of the SimHash, blocks of a key) of the length classes.
 CLASSES = ((SHORT, 6, 2), (216, 8, 1), (400, 12, 1))
+#: SimHashes of 64 bits of two long lines that are alike differ in so many bits at most, where pairs of a key are all tried.
+DISTANCE = 10
 #: A key has to stand for so many bytes of words, or for this share of what it stands for on average in a line of few.
 COVER, COVER_SHARE = 16, 0.6
 #: Words of more bytes vote by their characters.
@@ -239,7 +241,7 @@ def key_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 lines, _ = line_bounds(data, bounds)
                 folded, a, b, firsts = find_words(data, lines, FOLD)
                 hashes = hash_words(folded, a, b)
-                low, _ = line_sums(hashes, firsts)
+                (low,) = line_sums(hashes, firsts, 1)
                 length = line_sizes(folded, a, b, firsts)
                 rows = np.flatnonzero((length >= EDIT_SHARE - 1) & (np.diff(firsts) >= min_words))
                 rows = rows[recent.fresh(low[rows])]
@@ -250,12 +252,12 @@ def key_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return per_batch(docs.select("text"), run, "key long, id long, form int")
 
 
-def line_sums(words: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-    """The two halves of the hash of each line."""
+def line_sums(words: np.ndarray, firsts: np.ndarray, halves: int = 2) -> list[np.ndarray]:
+    """The two halves of the hash of each line, or the first."""
     head, tail = firsts[:-1], firsts[1:]
     owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     position = (np.arange(len(words)) - head[owner]).astype(U64)
-    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(words + position * U64(factor)), dtype=U64)]) for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(words + position * U64(factor)), dtype=U64)]) for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[:halves]]
     return [signed(s[tail] - s[head]) for s in sums]
 
 
@@ -291,7 +293,8 @@ def id_bits(ids: DataFrame) -> np.ndarray:
 
 
 def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, normal): the normalised texts of all lines with an ``id``, and of some others, each once."""
+    """(id, normal, sim): the normalised texts of all lines with an ``id``, and of some others, each once, with the SimHash
+    of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +303,18 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for _, _, data, bounds in blocks(batch.column(0)):
                 lines, _ = line_bounds(data, bounds)
                 folded, a, b, firsts = find_words(data, lines, FOLD)
-                low, _ = line_sums(hash_words(folded, a, b), firsts)
+                hashes = hash_words(folded, a, b)
+                (low,) = line_sums(hashes, firsts, 1)
                 at = low & np.int64((1 << BITS_LOG2) - 1)
                 rows = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
                 rows = rows[recent.fresh(low[rows])]
                 folded[folded == 0] = 32
                 normal = [b" ".join(folded[x:y].tobytes().split()).decode() for x, y in zip(lines[rows].tolist(), lines[rows + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(low[rows]), pa.array(normal, pa.string())], ["id", "normal"])
+                words, bounds = pick(firsts, rows)
+                sim, _ = block_sums(hashes[words], (b - a)[words], bounds, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(low[rows]), pa.array(normal, pa.string()), pa.array(signed(sim.ravel()))], ["id", "normal", "sim"])
 
-    return per_batch(docs.select("text"), run, "id long, normal string").dropDuplicates(["id"])
+    return per_batch(docs.select("text"), run, "id long, normal string, sim long").dropDuplicates(["id"])
 
 
 def common_start(a: str, b: str) -> int:
@@ -397,6 +403,29 @@ def all_within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     return out
 
 
+def surely_within(a: str, b: str, edits: int) -> bool:
+    """Whether a first try at an alignment gets by with so many edits: common runs are kept, and where they end, the next
+    characters of ``a`` are looked for a little further on in ``b``. False says nothing."""
+    i = j = cost = 0
+    while cost <= edits:
+        run = common_start(a[i:], b[j:])
+        i, j = i + run, j + run
+        if cost + max(len(a) - i, len(b) - j) <= edits:
+            return True
+        for skip in range(0, 48, 4):
+            probe = a[i + skip : i + skip + 12]
+            at = b.find(probe, j, j + skip + 48) if len(probe) == 12 else -1
+            if at >= 0:
+                back = min(skip, at - j)
+                while back and a[i + skip - back : i + skip] != b[at - back : at]:
+                    back -= 1
+                i, cost, j = i + skip - back, cost + max(skip, at - j) - back, at - back
+                break
+        else:
+            return False
+    return False
+
+
 def within(a: list[str], b: list[str]) -> np.ndarray:
     """For each pair, whether its edit distance is at most a tenth of the longer one."""
     keep, side_by_side = np.zeros(len(a), bool), {}
@@ -407,6 +436,8 @@ def within(a: list[str], b: list[str]) -> np.ndarray:
         x, y = trimmed(x, y)
         if not x or len(y) <= edits:
             keep[k] = len(y) <= edits
+        elif surely_within(x, y, edits):
+            keep[k] = True
         elif len(x) > LONG_PATTERN:
             keep[k] = one_within(x, y, edits)
         else:
@@ -459,13 +490,19 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
         return verified(found.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_normal", "b_normal"))
 
+    long = CLASSES[1][0] << 2
+
     def need(a: str, b: str):
         """Long lines that are alike share several of their blocks, and those that just miss it mostly one. (Pairs with the
         line that a key begins with are verified with one.)"""
-        long = CLASSES[1][0] << 2
         return F.when((F.col(f"{a}_form") >= long) & (F.col(f"{b}_form") >= long), 2).otherwise(1)
 
-    groups = linked_groups(shared, "key", near, verify, need)
+    def close(a: str, b: str):
+        """The SimHashes of long lines are near."""
+        apart = F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim")))
+        return (F.col(f"{a}_form") < long) | (F.col(f"{b}_form") < long) | (apart <= DISTANCE)
+
+    groups = linked_groups(shared, "key", near, verify, need, extra=texts.select("id", "sim"), strict=close)
     grouped = durable(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
     discard(shared, texts, groups)
     members = grouped.join(distinct, F.col("id") == F.col("low")).select("component", "low", "high", "first", "n")
