@@ -21,6 +21,17 @@ HEADING = r"^\s*#{2,}\s+(.+?)\s*$"
 CONSTANT = r"\b[A-Z][A-Z0-9_]{2,}\b"
 ID = r"R[0-9]{2}"
 IDS = rf"{ID}(?:\s*(?:/|,\s*and|,|and|to)\s*{ID})*"
+#: Where rule ids stand in sources, and what their removal leaves, each with what takes its place.
+STRIPPED = [
+    (rf"(?m)[ \t]+#\s*{IDS}[ \t]*$", ""),
+    (rf"(?m)\s*Enforces\s+{IDS}(?:\s+on\s+[^.\n]*)?\.", ""),
+    (rf"{IDS}\s+[-–—]\s+", ""),
+    (rf"\s+from\s+{IDS}", ""),
+    (rf"\b{IDS}\b", ""),
+    ('""" +', '"""'),
+    (r"(?m)^[ \t]*#[ \t]*$", ""),
+    (r"\n{3,}", "\n\n"),
+]
 
 
 def strings(values) -> Column:
@@ -107,11 +118,7 @@ def patch_error(text: Column, find: Column) -> Column:
 def strip_rule_ids(text: Column) -> Column:
     """Rule ids out of source text: id comments, then statements naming them, prefixes, provenance and whatever is left;
     then the empty comments and blank runs that this leaves."""
-    steps = [
-        (rf"(?m)[ \t]+#\s*{IDS}[ \t]*$", ""), (rf"(?m)\s*Enforces\s+{IDS}(?:\s+on\s+[^.\n]*)?\.", ""), (rf"{IDS}\s+[-–—]\s+", ""),
-        (rf"\s+from\s+{IDS}", ""), (rf"\b{IDS}\b", ""), ('""" +', '"""'), (r"(?m)^[ \t]*#[ \t]*$", ""), (r"\n{3,}", "\n\n"),
-    ]
-    return reduce(lambda x, step: F.regexp_replace(x, *step), steps, text)
+    return reduce(lambda x, step: F.regexp_replace(x, *step), STRIPPED, text)
 
 
 def has_rule_id(text: Column) -> Column:
