@@ -41,7 +41,7 @@ from plumbline.session import file_bytes
 
 SPACE = "▁"
 #: Entries of a memo's generation, of segments of REMEMBERED bytes or less; entries of the acceptor's compiled arcs.
-MEMO, REMEMBERED = 300_000, 48
+MEMO, REMEMBERED = 200_000, 48
 PAIRS = 200_000
 #: Segments of more characters are cut where no piece can join them, before they are composed.
 WHOLE = 24
