@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_folders: dict[str, str] = {}
+BATCH, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -29,8 +30,11 @@ def build_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers through Spark's own file server, once per application."""
+    """Give this package to the Python workers through Spark's own file server, once per application. Where nothing else is
+    set, the session's batches for Python become smaller, as rows hold whole texts, or two of them."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
