@@ -36,7 +36,7 @@ WIDTH = 5
 #: Jaccard threshold NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of the shingle frequencies, cut into slices for their sum; a task counts to 65535. (They only steer the order.)
-COUNTERS, SLICES, MOST = 1 << 22, 64, 65535
+COUNTERS, SLICES, MOST = 1 << 21, 64, 65535
 LONGEST = 4
 #: Words of 64 bits of a set's parity bitmap.
 PARITY = 8
