@@ -26,11 +26,13 @@ def per_batch(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def fold_table(separators: Callable[[int], bool]) -> np.ndarray:
-    """Byte to byte: A-Z to a-z, separators to 0."""
+def fold_table(separators: Callable[[int], bool], *, cased: bool = False) -> np.ndarray:
+    """Byte to byte: A-Z to a-z unless ``cased``, separators to 0; NUL is 0xFF, which UTF-8 does not use, unless it separates."""
     table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    for code in range(256):
+    table[0] = 0 if separators(0) else 0xFF
+    if not cased:
+        table[65:91] += 32
+    for code in range(1, 256):
         if separators(int(table[code])):
             table[code] = 0
     return table
@@ -40,6 +42,7 @@ def fold_table(separators: Callable[[int], bool]) -> np.ndarray:
 ALNUM = fold_table(lambda b: b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F)
 #: Words between ASCII white space.
 SPACED = fold_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
+CASED = fold_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D, cased=True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +152,11 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def totals(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many flags are set within each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[bounds])
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 

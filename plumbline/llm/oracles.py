@@ -97,4 +97,71 @@ SELECT page_id, url, fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active, nam
 FROM captures LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (page_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op3_url_lists": OP3, "op7_chat": OP7}
+OP11 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT d.doc_id, part,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+counts AS (SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS earlier FROM orders, range(1, 6) t(step)),
+each AS (
+  SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS failed, fails = x AS alone,
+         len(list_filter(string_split(earlier, ''), lambda c: c <> '' AND contains(fails, c))) > 0 AS gone
+  FROM counts, steps),
+summed AS (
+  SELECT part, filter_order, step, x,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failed), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND failed), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND failed AND good), 0) AS good_lost,
+         coalesce(sum(n) FILTER (NOT gone AND failed AND toxic), 0) AS toxic_lost
+  FROM each GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
+def _round(k: int) -> str:
+    """Round k of the clustering: the nearest centroid of every vector, then the floor of each cluster's mean."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT r, arg_min(j, [d, j]) AS j, min(d) AS d FROM (
+    SELECT r, j, sum((v - c) * (v - c)) AS d FROM vectors JOIN c{k} USING (i) GROUP BY r, j) GROUP BY r),
+sums{k} AS MATERIALIZED (SELECT j, i, sum(v) AS s, count(*) AS n FROM vectors JOIN near{k} USING (r) GROUP BY j, i),
+c{k + 1} AS MATERIALIZED (
+  SELECT j, i, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n + n) % n)) / n AS BIGINT) END AS c FROM c{k} LEFT JOIN sums{k} USING (j, i))"""
+
+
+OP13 = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+vectors AS MATERIALIZED (SELECT r, i, v[i] AS v FROM kept, range(1, 65) t(i)),
+first_rows AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS j FROM kept QUALIFY j < 8),
+c0 AS MATERIALIZED (SELECT j, i, v AS c FROM vectors JOIN first_rows USING (r)),{",".join(_round(k) for k in range(11))},
+digests AS (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near10 JOIN kept USING (r) JOIN digests USING (j)
+"""
+
+ORACLES = {
+    "op1_decontaminate": OP1,
+    "op2_jaccard_join": OP2,
+    "op3_url_lists": OP3,
+    "op7_chat": OP7,
+    "op11_filter_audit": OP11,
+    "op13_centroids": OP13,
+}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, fingerprint, langid, linededup, ngramjoin, pieces, quality, tokencount, urllists
+from plumbline.llm import (
+    centroids, chat, decontaminate, filteraudit, fingerprint, langid, linededup, ngramjoin, pieces, quality, rulesforest, tokencount, urllists,
+)
 from plumbline.llm.oracles import ORACLES
 from plumbline.session import spread, table
 
@@ -121,11 +123,25 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.removals(documents(spark, folder))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, folder), table(spark, folder, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    forest = rulesforest.fit(docs, table(spark, folder, "labels"))
+    return rulesforest.judge(docs, forest).select("doc_id", *rulesforest.BASE, "base_failed", "kept", "anomaly")
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(spread(table(spark, folder, "embeddings").select("vec_id", "embedding")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_jaccard_join, op3_url_lists, op4_fingerprints, op5_quality, op6_token_counts, op7_chat, op8_sentencepiece,
-        op9_language_id, op10_line_dedup,
+        op9_language_id, op10_line_dedup, op11_filter_audit, op12_quality_rules, op13_centroids,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
