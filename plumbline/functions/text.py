@@ -46,13 +46,11 @@ def tokens(text: Column) -> Column:
 
 
 def token_rows(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, token, n): the tokens of texts and how often each occurs. Parts of identifiers are counted as they stand
-    first, so that case and stopwords are looked at once for each, in generated code."""
+    """(keys, token, n): the tokens of texts and how often each occurs, counted as they stand, in generated code."""
     parts = rows.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("part"))
     token = F.lower("part")
-    counted = parts.groupBy(*keys, "part").agg(F.count("*").alias("n")).select(*keys, token.alias("token"), "n")
-    kept = counted.where(is_number(F.col("token")) | ((F.length("token") > 1) & ~F.col("token").isin(STOPWORDS)))
-    return kept.groupBy(*keys, "token").agg(F.sum("n").alias("n"))
+    kept = parts.where(is_number(F.col("part")) | ((F.length("part") > 1) & ~token.isin(STOPWORDS))).select(*keys, token.alias("token"))
+    return kept.groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
 def is_number(token: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import text as X
-from plumbline.session import durable, ship
+from plumbline.session import discard, durable, ship
 
 DIMENSIONS = 2048
 
@@ -31,16 +32,22 @@ def idf(total: Column, df: Column) -> Column:
     return F.log((F.greatest(total, F.lit(1)) + 1) / (F.coalesce(df, F.lit(0)) + 1)) + 1
 
 
-def weighted(terms: DataFrame, frequency: DataFrame, totals: DataFrame, keys: list[str], group: list[str], asked: DataFrame | None = None) -> DataFrame:
-    """(keys, token, w): TF-IDF vectors of length 1. ``totals`` has (group, total). With ``asked`` (group, token) only those
-    tokens are returned; the length counts all. A document's tokens meet in one aggregation, of as many as it has."""
-    known = frequency if asked is None else frequency.join(asked.withColumn("__asked", F.lit(True)), [*group, "token"], "left")
-    joined = terms.join(known, [*group, "token"], "left")
-    joined = joined.join(totals, group) if group else joined.crossJoin(F.broadcast(totals))  # one row
-    raw = joined.withColumn("w", (1 + F.log("n")) * idf(F.col("total"), F.col("df")))
-    kept = F.struct("token", "w") if asked is None else F.when(F.coalesce("__asked", F.lit(False)), F.struct("token", "w"))
-    listed = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("kept"))
-    return listed.select(*keys, "norm", F.explode("kept").alias("t")).select(*keys, "t.token", (F.col("t.w") / F.col("norm")).alias("w"))
+def weighted(
+    terms: DataFrame, frequency: DataFrame, totals: DataFrame, keys: list[str], group: list[str], asked: DataFrame | None = None
+) -> DataFrame:
+    """(keys, token, w, band): TF-IDF vectors of length 1. ``totals`` has (group, total). With ``asked`` (group, token) only
+    those tokens are returned; the length counts all. ``band`` is the binary logarithm of the document's number of tokens.
+    ``terms`` is read twice: lengths add up within the tasks that hold a document's terms, so few rows are shuffled for them."""
+
+    def raw(rows: DataFrame) -> DataFrame:
+        joined = rows.join(frequency, [*group, "token"], "left")
+        joined = joined.join(totals, group) if group else joined.crossJoin(F.broadcast(totals))  # one row
+        return joined.select(*keys, "token", ((1 + F.log("n")) * idf(F.col("total"), F.col("df"))).alias("w"))
+
+    length = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    norms = raw(terms).groupBy(*keys).agg(length, F.floor(F.log2(F.count("*"))).cast("int").alias("band"))
+    kept = terms if asked is None else terms.join(asked, [*group, "token"], "left_semi")
+    return raw(kept).join(norms, keys).select(*keys, "token", (F.col("w") / F.col("norm")).alias("w"), "band")
 
 
 def bucketed(vectors: DataFrame, keys: list[str], bucket: Column, weight: str = "w") -> DataFrame:
@@ -65,26 +72,120 @@ def md5_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
 
 
-def top_chunks(rules: DataFrame, chunks: DataFrame, k: int, group: list[str] | None = None, decimals: int = 6) -> DataFrame:
-    """(group, rule_id, rank, chunk_id, score): the ``k`` best chunks of each rule, ties by chunk id.
+#: For a first threshold a rule looks at the best chunks of its best tokens: SEED_TOKENS (token, band) pairs of it and
+#: SEED_CHUNKS * k chunks of each. Tokens that together reach less than SHARE of the threshold are looked at in a second
+#: pass, for the pairs that are left; with 1 the first pass is smallest, with less the second. Results are the same with any.
+SEED_TOKENS, SEED_CHUNKS, SHARE = 8, 2, 0.5
+
 
-    ``rules`` has (group, rule_id, text), ``chunks`` (group, chunk_id, text); both are documents of the frequencies. Scores come
-    from a join on tokens, so only pairs with a common token are made; a rule with fewer than ``k`` of those is filled up by the
-    first chunk ids at score 0, as a ranking of all pairs would.
+@dataclass(frozen=True)
+class Postings:
+    """Unit vectors of rules and of chunks, as tables of one row a token.
+
+    ``asked``: (group, rule_key, token, wr). ``held``: (group, chunk_key, band, token, wc), only tokens that rules have.
+    ``peaks``: (group, band, token, peak), the largest weight of a token among the chunks of a band. Bands of like length
+    keep peaks low: a token's weight falls with the number of tokens beside it.
     """
-    group = group or []
+
+    asked: DataFrame
+    held: DataFrame
+    peaks: DataFrame
+    group: list[str]
+    slack: float
+
+
+def postings(rules: DataFrame, chunks: DataFrame, group: list[str], decimals: int = 6) -> Postings:
+    """Both sides are documents of the frequencies. ``slack`` is what rounding can add to a score."""
     sides = [(rules, "rule_id", True), (chunks, "chunk_id", False)]
     both = [side.select(*group, F.col(name).cast("string").alias("doc"), F.lit(rule).alias("rule"), "text") for side, name, rule in sides]
     keys = [*group, "rule", "doc"]
-    terms = durable(term_counts(both[0].unionByName(both[1]), keys))
+    terms = durable(term_counts(both[0].unionByName(both[1]).repartition(*keys), keys))  # texts move once, their tokens stay
     count = [side.groupBy(*group).agg(F.count("*").alias("total")) for side in both]
     totals = count[0].unionByName(count[1]).groupBy(*group).agg(F.sum("total").alias("total"))
-    asked = terms.where("rule").select(*group, "token").distinct()
-    # Of the chunks only tokens of rules are kept: what is joined after this grows with their meetings.
-    vectors = durable(weighted(terms, document_frequency(terms, group), totals, keys, group, asked))
-    left = vectors.where("rule").select(*group, F.col("doc").alias("rule_key"), "token", F.col("w").alias("wr"))
-    right = vectors.where("not rule").select(*group, F.col("doc").alias("chunk_key"), "token", F.col("w").alias("wc"))
-    scored = left.join(right, [*group, "token"]).groupBy(*group, "rule_key", "chunk_key").agg(F.bround(F.sum(F.col("wr") * F.col("wc")), decimals).alias("score")).where("score > 0")
+    wanted = durable(terms.where("rule").select(*group, "token").distinct())
+    frequency = durable(document_frequency(terms, group))  # written, so that Spark knows its size before it joins
+    vectors = durable(weighted(terms, frequency, totals, keys, group, wanted))
+    discard(terms, wanted, frequency)
+    asked = vectors.where("rule").select(*group, F.col("doc").alias("rule_key"), "token", F.col("w").alias("wr"))
+    held = vectors.where("not rule").select(*group, F.col("doc").alias("chunk_key"), "band", "token", F.col("w").alias("wc"))
+    peaks = held.groupBy(*group, "band", "token").agg(F.max("wc").alias("peak"))
+    return Postings(asked, held, durable(peaks), group, 2.0 * 10**-decimals)
+
+
+def thresholds(index: Postings, k: int) -> DataFrame:
+    """(group, rule_key, threshold): a score that the rule's k-th best chunk has at least. Rules for which ``k`` chunks were
+    not met are left out."""
+    g, seeds = index.group, k * SEED_CHUNKS
+    impact = index.asked.join(index.peaks, [*g, "token"]).withColumn("impact", F.col("wr") * F.col("peak"))
+    best = Window.partitionBy(*g, "rule_key").orderBy(F.col("impact").desc(), "token", "band")
+    chosen = impact.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= SEED_TOKENS).select(*g, "rule_key", "token", "band")
+    heaviest = Window.partitionBy(*g, "band", "token").orderBy(F.col("wc").desc(), "chunk_key")
+    asked = index.held.join(chosen.select(*g, "band", "token").distinct(), [*g, "band", "token"], "left_semi")
+    champions = asked.withColumn("__n", F.row_number().over(heaviest)).where(F.col("__n") <= seeds).select(*g, "band", "token", "chunk_key")
+    pairs = chosen.join(champions, [*g, "band", "token"]).select(*g, "rule_key", "chunk_key").distinct()
+    met = pairs.join(index.asked, [*g, "rule_key"]).join(index.held, [*g, "chunk_key", "token"])
+    score = met.groupBy(*g, "rule_key", "chunk_key").agg(F.sum(F.col("wr") * F.col("wc")).alias("score"))
+    order = Window.partitionBy(*g, "rule_key").orderBy(F.col("score").desc())
+    kth = score.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == k)
+    return kth.select(*g, "rule_key", F.col("score").alias("threshold"))
+
+
+def split_tokens(index: Postings, reached: DataFrame, share: float = SHARE) -> DataFrame:
+    """(group, rule_key, band, token, wr, essential, rest, threshold): which tokens a chunk of the band has to share with the
+    rule. Tokens count up from the least impact; those whose sum stays below ``share`` of the threshold cannot reach it
+    together, and ``rest`` is that sum."""
+    g = index.group
+    impact = index.asked.join(index.peaks, [*g, "token"]).withColumn("impact", F.col("wr") * F.col("peak"))
+    known = impact.join(reached, [*g, "rule_key"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    upwards = Window.partitionBy(*g, "rule_key", "band").orderBy("impact", "token").rowsBetween(Window.unboundedPreceding, 0)
+    summed = known.withColumn("essential", F.sum("impact").over(upwards) >= share * F.col("threshold") - index.slack)
+    whole = Window.partitionBy(*g, "rule_key", "band")
+    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("impact"))).over(whole)
+    return summed.withColumn("rest", rest).select(*g, "rule_key", "band", "token", "wr", "essential", "rest", "threshold")
+
+
+def candidates(index: Postings, tokens: DataFrame, k: int) -> DataFrame:
+    """(group, rule_key, chunk_key, band, partial): pairs that share an essential token and can still be among the rule's
+    first ``k``; ``partial`` is their score from the essential tokens. The k-th best of these is a threshold as well."""
+    g = index.group
+    met = tokens.where("essential").join(index.held, [*g, "band", "token"])
+    summed = met.groupBy(*g, "rule_key", "chunk_key", "band").agg(
+        F.sum(F.col("wr") * F.col("wc")).alias("partial"), F.max("rest").alias("rest"), F.max("threshold").alias("threshold")
+    )
+    can = durable(summed.where(F.col("partial") + F.col("rest") >= F.col("threshold") - index.slack))
+    order = Window.partitionBy(*g, "rule_key").orderBy(F.col("partial").desc())
+    kth = can.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == k).select(*g, "rule_key", F.col("partial").alias("__kth"))
+    raised = F.greatest("threshold", F.coalesce("__kth", F.lit(0.0)))
+    left = can.join(kth, [*g, "rule_key"], "left").where(F.col("partial") + F.col("rest") >= raised - index.slack)
+    return left.select(*g, "rule_key", "chunk_key", "band", "partial")
+
+
+def best_pairs(index: Postings, k: int, decimals: int = 6) -> DataFrame:
+    """(group, rule_key, chunk_key, score): every pair whose rounded score is above 0 and may be among the rule's first
+    ``k``, with its whole score; the pairs that are left out have at least ``k`` better ones.
+
+    As in ranked retrieval with score bounds: a first threshold from the heaviest chunks of a rule's heaviest tokens, then
+    only pairs by tokens without which the threshold is out of reach, then the other tokens for the pairs that are left.
+    """
+    g = index.group
+    tokens = durable(split_tokens(index, thresholds(index, k)))
+    found = durable(candidates(index, tokens, k))
+    others = tokens.where("not essential").select(*g, "rule_key", "band", "token", "wr")
+    added = found.select(*g, "rule_key", "chunk_key", "band").join(others, [*g, "rule_key", "band"]).join(index.held, [*g, "chunk_key", "band", "token"])
+    parts = found.select(*g, "rule_key", "chunk_key", F.col("partial").alias("part"))
+    every = parts.unionByName(added.select(*g, "rule_key", "chunk_key", (F.col("wr") * F.col("wc")).alias("part")))
+    return every.groupBy(*g, "rule_key", "chunk_key").agg(F.bround(F.sum("part"), decimals).alias("score")).where("score > 0")
+
+
+def top_chunks(rules: DataFrame, chunks: DataFrame, k: int, group: list[str] | None = None, decimals: int = 6) -> DataFrame:
+    """(group, rule_id, rank, chunk_id, score): the ``k`` best chunks of each rule, ties by chunk id.
+
+    ``rules`` has (group, rule_id, text), ``chunks`` (group, chunk_id, text); both are documents of the frequencies. Pairs
+    that cannot be among the first ``k`` are not made (``best_pairs``). A rule with fewer than ``k`` chunks of a common token
+    is filled up by the first chunk ids at score 0, as a ranking of all pairs would.
+    """
+    group = group or []
+    scored = best_pairs(postings(rules, chunks, group, decimals), k, decimals)
     kind = dict(chunks.dtypes)["chunk_id"]
     order = Window.partitionBy(*group, "rule_key").orderBy(F.col("score").desc(), "chunk_id")
     named = scored.withColumn("chunk_id", F.col("chunk_key").cast(kind)).drop("chunk_key")

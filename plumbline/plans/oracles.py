@@ -298,6 +298,14 @@ ORACLES: dict[str, str] = {
         SELECT upload, path, CASE WHEN coalesce(rank, 0) > 0 AND twins > 1 THEN 'more than one ' || regexp_extract(path, '[^/]*$', 0) END AS error FROM kept
         QUALIFY row_number() OVER (PARTITION BY upload ORDER BY coalesce(rank, 0) = 0, CASE WHEN coalesce(rank, 0) > 0 THEN 0 ELSE -rules END, depth, rank, path) = 1""",
     "q46_retention": "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-13 00:00:00'",
+    "q47_rate_limit_stateful": """WITH RECURSIVE hits AS (
+  SELECT CAST(user_id AS VARCHAR) AS client, CAST(event_id + 1 AS DOUBLE) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+walk AS (
+  SELECT DISTINCT client, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS "at", CAST([] AS DOUBLE[]) AS kept, CAST(NULL AS BOOLEAN) AS admitted FROM hits
+  UNION ALL
+  SELECT client, n, "at", CASE WHEN len(recent) >= 2 THEN recent ELSE list_append(recent, "at") END, len(recent) < 2
+  FROM (SELECT h.client, h.n, h."at", list_filter(w.kept, lambda x: h."at" - x <= 60) AS recent FROM walk w JOIN hits h ON h.client = w.client AND h.n = w.n + 1))
+SELECT client, "at", admitted FROM walk WHERE n > 0""",
     "q48_stream_verdict_counts": f"WITH {_EVENTS} SELECT user_id % 20 AS check_id, verdict, CAST(count(*) AS BIGINT) AS n FROM said GROUP BY ALL",
     "q49_confidence_clamp": "SELECT round_even(CASE WHEN l_linenumber = 3 THEN 0.0 ELSE greatest(0.0, least(1.0, CAST(round_even(l_discount * 10, 3) AS DOUBLE))) END, 4) AS confidence, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1",
     "q50_oracle_status": f"""WITH {_cases()} SELECT case_id, CASE WHEN i % 7 = 0 THEN 'waived' WHEN i % 3 = 0 THEN 'missing' WHEN i % 10 = 1 THEN 'broken' WHEN i % 4 = 2 THEN 'blind' ELSE 'confirmed' END AS status
@@ -312,6 +320,18 @@ ORACLES: dict[str, str] = {
         {', '.join(f"round_even(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 4) AS r{k}" for k in (1, 3, 5))} FROM ranked GROUP BY GROUPING SETS (('D' || (1 + rule_id % 9)), ())""",
     "q57_check_events": f"""WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')}, per AS (SELECT workspace, count(*) AS n, CASE WHEN bool_or(verdict = 'DRIFT') THEN 'DRIFT' WHEN bool_or(verdict = 'UNCERTAIN') THEN 'NEEDS_HUMAN' ELSE 'PASS' END AS status FROM judged GROUP BY 1)
         SELECT workspace, event, CAST(CASE event WHEN 'stage' THEN 12 WHEN 'summary' THEN 1 ELSE n END AS BIGINT) AS n, CASE WHEN event = 'summary' THEN status END AS status FROM per, unnest(['stage', 'rule_start', 'verdict', 'rule_detail', 'summary']) t(event)""",
+    "q60_live_check": """WITH said AS (
+  SELECT CAST(user_id % 20 AS VARCHAR) AS check_id, event_id, 'R' || event_id % 7 AS rule_id, CAST((event_id % 10) / 10 AS VARCHAR) AS confidence, CAST(event_id % 4 AS VARCHAR) AS retrieved,
+         CASE WHEN event_type = 'error' THEN 'DRIFT' WHEN event_type = 'click' THEN 'UNCERTAIN' ELSE 'COMPLIANT' END AS verdict FROM events),
+last AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY check_id, rule_id ORDER BY event_id DESC) = 1),
+stand AS (
+  SELECT check_id, CASE WHEN bool_or(verdict = 'DRIFT') THEN 'DRIFT' WHEN bool_or(verdict = 'UNCERTAIN') THEN 'NEEDS_HUMAN' ELSE 'PASS' END AS status FROM last GROUP BY check_id)
+SELECT check_id, rule_id, verdict, confidence, retrieved, status, CAST(n_events AS BIGINT) AS n_events
+FROM last JOIN stand USING (check_id) JOIN (SELECT check_id, 3 * count(*) AS n_events FROM said GROUP BY check_id) USING (check_id)""",
+    "q61_live_sweep": f"""WITH {_cases()}, {_verdicts()}, r AS (
+  SELECT case_id, any_value(category) AS category, coalesce(bool_or(verdict = 'DRIFT' AND (len(targets) = 0 OR list_contains(targets, rule_id))), false) AS caught
+  FROM cases LEFT JOIN verdicts USING (case_id) GROUP BY case_id)
+SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (caught) AS BIGINT) AS caught, round_even(count(*) FILTER (caught) / count(*), 4) AS rate FROM r GROUP BY category""",
     "q58_sweep_events": f"""WITH {_cases()}, {_verdicts()}, r AS (SELECT case_id, coalesce(bool_or(verdict = 'DRIFT' AND (len(targets) = 0 OR list_contains(targets, rule_id))), false) AS caught FROM cases LEFT JOIN verdicts USING (case_id) GROUP BY 1),
         s AS (SELECT category, count(*) FILTER (caught) AS n FROM r JOIN cases USING (case_id) GROUP BY 1)
         SELECT 'case_start' AS event, NULL AS caught, CAST(count(*) AS BIGINT) AS n FROM r UNION ALL SELECT 'case_result', CAST(caught AS VARCHAR), CAST(count(*) AS BIGINT) FROM r GROUP BY caught

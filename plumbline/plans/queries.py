@@ -6,6 +6,7 @@ a case a labelled document, a verdict a rule over its id, a client a user.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,9 @@ from plumbline.functions import replies as R
 from plumbline.functions import text as X
 from plumbline.operators import chunking, detectors, merge, progress, reports, retrieval, scoring, stability
 from plumbline.schemas import CASES
-from plumbline.session import durable, spread, table
+from plumbline.session import durable, durable_folder, spread, table
 from plumbline.sources import intake, specs
-from plumbline.streaming import checks
+from plumbline.streaming import checks, limiter, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Judge replies in every shape: (key, rule_id, reply).
@@ -50,6 +51,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, for a stream's input, state and output."""
+    return f"{durable_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), "text")
 
@@ -426,16 +432,35 @@ def q46_retention(spark, d):
     return specs.retained(table(spark, d, "events"), "ts", "2024-01-20 00:00:00", 7 * 86_400).select("event_id", "user_id")
 
 
+def slices(column: Column, low: int, high: int, n: int) -> list[Column]:
+    """Conditions that part a column's range into ``n`` runs, in order."""
+    edges = [low + (high + 1 - low) * k // n for k in range(n + 1)]
+    return [(column >= a) & (column < b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def event_range(events: DataFrame) -> tuple[int, int]:
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    return (0, 0) if low is None else (low, high)
+
+
 @query
 def q47_rate_limit_stateful(spark, d):
-    hits = table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("at"))
-    return checks.rate_limited(hits, 2)
+    """Events as requests, fed to the stream in three runs; each goes on from the state that the one before has left."""
+    events = table(spark, d, "events")
+    hits = events.select(F.col("user_id").cast("string").alias("client"), (F.col("event_id") + 1).cast("double").alias("at"))
+    folder = scratch(spark)
+    out = "client string, at double, admitted boolean"
+
+    def step(stream: DataFrame) -> None:
+        writer = limiter.limited(stream, 2).writeStream.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
+        writer.format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    checks.fed(hits, slices(F.col("at") - 1, *event_range(events), 3), f"{folder}/in", step, limiter.state_session(spark))
+    return spark.read.schema(out).parquet(f"{folder}/rows")
 
 
 @query
 def q48_stream_verdict_counts(spark, d):
-    import uuid
-
     given = table(spark, d, "events")
     root, _, name = given.inputFiles()[0].rpartition("/")  # a file, or one of a folder
     stream = spark.readStream.schema(given.schema).option("pathGlobFilter", name if name == "events.parquet" else "*.parquet").parquet(root)
@@ -543,6 +568,49 @@ def q59_case_rows(spark, d):
     return merge.counted_page(shown, ["case_id"], 2, 50)
 
 
+@query
+def q60_live_check(spark, d):
+    """Events as verdicts of twenty checks, fed to a stream in three runs of which the second comes twice: where each check
+    stands, how many events were told, and each rule's last verdict and detail."""
+    events = table(spark, d, "events")
+    i, kind = F.col("event_id"), F.col("event_type")
+    said = F.when(kind == "error", "DRIFT").when(kind == "click", "UNCERTAIN").otherwise("COMPLIANT")
+    verdicts = events.select(
+        (F.col("user_id") % 20).cast("string").alias("check_id"), i.alias("pos"), text_id("R", i % 7).alias("rule_id"), text_id("rule ", i % 7).alias("text"),
+        said.alias("verdict"), ((i % 10) / 10).alias("confidence"), (i % 4).alias("retrieved"), (i % 3).alias("constant_context"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    folder = scratch(spark)
+
+    def step(stream: DataFrame) -> None:
+        told = live.told_once(live.rule_events(stream))
+        live.stored(told, f"{folder}/events", f"{folder}/state").awaitTermination()
+
+    first, second, third = slices(F.col("pos"), *event_range(events), 3)
+    checks.fed(verdicts, [first, second, second, third], f"{folder}/in", step)
+    told = live.upserted(spark, f"{folder}/events", live.EVENTS, ["check_id", "place"])
+    last = durable(live.last_of_batch(told).drop("place"))
+    field = lambda event, name: F.max(F.when(F.col("event") == event, F.get_json_object("payload", f"$.{name}"))).alias(name)
+    rules = last.groupBy("check_id", F.col("key").alias("rule_id")).agg(field("verdict", "verdict"), field("verdict", "confidence"), field("rule_detail", "retrieved"))
+    n = told.groupBy("check_id").agg(F.count("*").alias("n_events"))
+    return rules.join(live.statuses(last).select("check_id", "status"), "check_id").join(n, "check_id")
+
+
+@query
+def q61_live_sweep(spark, d):
+    """A sweep over cases that arrive in three runs, of which the second comes twice."""
+    given, said = cases(spark, d), durable(verdicts(spark, d))
+    given = given.withColumn("n", F.substring("case_id", 2, 20).cast("long"))
+    low, high = given.agg(F.min("n"), F.max("n")).first()
+    folder = scratch(spark)
+
+    def step(stream: DataFrame) -> None:
+        live.stored(stream.drop("n"), f"{folder}/events", f"{folder}/state", live.swept(said)).awaitTermination()
+
+    first, second, third = slices(F.col("n"), low or 0, high or 0, 3)
+    checks.fed(given, [first, second, second, third], f"{folder}/in", step)
+    return live.sweep_summary(live.upserted(spark, f"{folder}/events", live.SWEEP, ["place"]))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Keyword verdicts of all projects, counted beside the overall score."""
     said = q03_keyword_verdicts(spark, d).groupBy("project").agg(F.count_if(F.col("verdict") == "DRIFT").alias("drift"), F.count_if(F.col("verdict") == "COMPLIANT").alias("compliant"))

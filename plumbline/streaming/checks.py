@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -98,3 +98,11 @@ def read_frames(stream: DataFrame, text: str = "frame") -> DataFrame:
     whole = F.slice(F.split(text, "\n\n"), 1, F.greatest(F.size(F.split(text, "\n\n")) - 1, F.lit(1)))
     one = stream.where(F.contains(F.col(text), F.lit("\n\n"))).select(F.explode(whole).alias("f"))
     return one.select(F.regexp_extract("f", r"(?m)^event: (.*)$", 1).alias("event"), F.regexp_extract("f", r"(?m)^data: (.*)$", 1).alias("data"))
+
+
+def fed(rows: DataFrame, parts: list[Column], folder: str, step: Callable[[DataFrame], None], session: SparkSession | None = None) -> None:
+    """Feed a stream bit by bit: the rows of each condition of ``parts`` are added to ``folder``, and ``step`` gets a stream over
+    all of it, to run over what is new there. Each call starts its query anew, as after a crash."""
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(folder)
+        step((session or rows.sparkSession).readStream.schema(rows.schema).parquet(folder))
