@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
@@ -14,6 +15,7 @@ from plumbline.functions import replies as R
 from plumbline.functions import text as X
 from plumbline.operators import retrieval
 from plumbline.session import durable, ship
+from plumbline.sources.stores import KeyedStore, looked_up
 
 MATCH_THRESHOLD = 0.60
 NUMBER = r"\b([0-9]+(?:\.[0-9]+)?)\b"
@@ -112,24 +114,46 @@ def with_retries(ask: Callable[[], str], attempts: int = 3, pause: float = 1.5)
     return None
 
 
-def answered(questions: DataFrame, answers: DataFrame, make: Callable[[], Completer]) -> DataFrame:
-    """(key, response, hit): stored answers for known keys; each other key is asked once, by ``make()`` on the executors.
-    ``questions`` has (key, system, user), ``answers`` (key, response)."""
-    ship(questions.sparkSession)
-    asked = questions.dropDuplicates(["key"])
-    missing = asked.join(answers.select("key"), "key", "left_anti").select("key", "system", "user")
+def asked_once(missing: DataFrame, make: Callable[[], Completer]) -> DataFrame:
+    """(key, response) of questions (key, system, user), by ``make()`` on the executors; null where all attempts failed."""
+    ship(missing.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = make()
+        judge = None
         for frame in frames:
-            said = [with_retries(lambda s=s, u=u: judge.complete(s, u)) for s, u in zip(frame["system"], frame["user"], strict=True)]
-            yield pd.DataFrame({"key": frame["key"], "response": said})
+            if len(frame):
+                judge = judge or make()
+                said = [with_retries(lambda s=s, u=u: judge.complete(s, u)) for s, u in zip(frame["system"], frame["user"], strict=True)]
+                yield pd.DataFrame({"key": frame["key"], "response": said})
+
+    return missing.select("key", "system", "user").mapInPandas(run, "key string, response string")
+
 
-    fresh = missing.mapInPandas(run, "key string, response string").withColumn("hit", F.lit(False))
+def answered(questions: DataFrame, answers: DataFrame, make: Callable[[], Completer]) -> DataFrame:
+    """(key, response, hit): stored answers for known keys; each other key is asked once. ``questions`` has (key, system,
+    user), ``answers`` (key, response)."""
+    asked = questions.dropDuplicates(["key"])
+    missing = asked.join(answers.select("key"), "key", "left_anti")
+    fresh = asked_once(missing, make).withColumn("hit", F.lit(False))
     stored = answers.select("key", "response").dropDuplicates(["key"]).join(asked.select("key"), "key", "left_semi").withColumn("hit", F.lit(True))
     return stored.unionByName(fresh)
 
 
+@dataclass(frozen=True)
+class Judge:
+    """A model that detectors ask, behind a store of its answers. ``counts`` adds up what was stored and what was not."""
+
+    make: Callable[[], Completer]
+    store: KeyedStore
+    counts: dict[str, int] = field(default_factory=dict)
+
+    def replies(self, asked: DataFrame) -> DataFrame:
+        """(key, response, hit) of questions (key, system, user)."""
+        found = looked_up(self.store, asked.select("key", "system", "user"), lambda missing: asked_once(missing, self.make))
+        self.counts.update(hits=self.counts.get("hits", 0) + found.hits, misses=self.counts.get("misses", 0) + found.misses)
+        return found.rows
+
+
 def rules_block(rules: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, rules_text, rules_listed): the texts of a workspace's rules, and with their ids, in the order of the ids."""
     listed = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rule_id", "text"))).alias("r"))
@@ -157,8 +181,27 @@ def questions(rules: DataFrame, chunks: DataFrame, k: int = 3, run: int = 1) ->
     sources = F.transform("e", lambda x: x["source"])
     key = X.content_key(F.col("text"), F.array_join(sources, "\0"), F.lit(RULE_PROMPT), run=F.lit(run))
     user = F.concat(F.lit("Rule "), F.col("rule_id"), F.lit(": "), F.col("text"), F.lit("\n\nExcerpts:\n"), F.array_join(F.transform("e", rendered), "\n\n"))
-    return every.select("workspace", "rule_id", "text", key.alias("key"), user.alias("user"), F.array_join(sources, "\n").alias("code"), F.transform("e", lambda x: x["chunk_id"]).alias("retrieved_chunks"))
-
+    return every.select("workspace", "rule_id", "text", key.alias("key"), F.lit(RULE_SYSTEM).alias("system"), user.alias("user"), F.array_join(sources, "\n").alias("code"), F.transform("e", lambda x: x["chunk_id"]).alias("retrieved_chunks"))
+
+
+#: What each kind of question asks for; the answers are read with tolerance all the same.
+VERDICT_SHAPE = (
+    '{"verdict": "COMPLIANT" | "DRIFT" | "UNCERTAIN", "confidence": 0 to 1, "violated_clause": words of the rule, '
+    '"evidence": {"file", "start_line", "end_line"}, "counterexample": {"input", "expected", "actual"}}'
+)
+RULE_SYSTEM = (
+    "You compare code with one numbered rule of its specification. Go by what the code does, not by its comments or names. Say DRIFT only "
+    f"if you can name the clause and an input for which the outcome differs. Answer with one JSON object: {VERDICT_SHAPE}"
+)
+WHOLE_SYSTEM = (
+    "You compare a project's code with all numbered rules of its specification. Answer with a JSON list that has one object a rule, each "
+    f'with "rule_id" and, as for a single rule: {VERDICT_SHAPE}'
+)
+REVERSE_SYSTEM = (
+    "You are shown one function and all rules of its specification. Say UNAUTHORISED if the function has an effect that callers can see and "
+    "that no rule asks for or implies, else AUTHORISED. Answer with one JSON object: "
+    '{"verdict", "confidence", "behaviour": what it does, "quote": a line of the code word for word, "closest_rule": an id or "none"}'
+)
 
 #: Versions of the prompts; part of a question's key, so that a new prompt asks anew.
 RULE_PROMPT, WHOLE_PROMPT, REVERSE_PROMPT = "rule-1", "whole-1", "reverse-1"
@@ -186,38 +229,49 @@ def settled(answered: DataFrame, missing: str = NO_JSON) -> DataFrame:
     )
 
 
-def with_replies(asked: DataFrame, replies: DataFrame | None, own: Column) -> DataFrame:
-    """``asked`` with ``reply`` and ``cache_hit``: what ``replies`` (key, response) has for the key, else the stand-in's."""
+Replies = DataFrame | Judge | None
+
+
+def with_replies(asked: DataFrame, replies: Replies, own: Column) -> DataFrame:
+    """``asked`` (key, system, user, ...) with ``reply`` and ``cache_hit``: what a ``Judge`` answers; or what a table (key,
+    response) has for the key, else the stand-in's reply ``own``. Written, so that everything is judged once."""
+    if isinstance(replies, Judge):
+        asked = durable(asked)
+        said = replies.replies(asked).withColumnRenamed("response", "reply").withColumnRenamed("hit", "cache_hit")
+        return asked.join(said, "key", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))).drop("system", "user")
+    asked = asked.drop("system", "user")
     if replies is None:
-        return asked.withColumn("reply", own).withColumn("cache_hit", F.lit(False))
+        return durable(asked.withColumn("reply", own).withColumn("cache_hit", F.lit(False)))
     known = replies.select("key", F.col("response").alias("__stored")).dropDuplicates(["key"])
     joined = asked.join(known, "key", "left")
-    return joined.withColumn("reply", F.coalesce("__stored", own)).withColumn("cache_hit", F.col("__stored").isNotNull()).drop("__stored")
+    return durable(joined.withColumn("reply", F.coalesce("__stored", own)).withColumn("cache_hit", F.col("__stored").isNotNull()).drop("__stored"))
 
 
 VERDICT = ["workspace", "rule_id", "verdict", "confidence", "violated_clause", "downgraded", "parse_error", "cache_hit", "retrieved_chunks", "direction"]
 
 
-def keyword(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def keyword(rules: DataFrame, chunks: DataFrame, replies: Replies = None) -> DataFrame:
     projects = chunks.select(F.col("workspace").alias("project"), F.col("source").alias("text"))
     said = keyword_verdicts(rules.select(F.col("workspace").alias("project"), "rule_id", "text"), projects)
     no = F.lit(False)
     return said.select(F.col("project").alias("workspace"), "rule_id", "verdict", "confidence", F.lit("").alias("violated_clause"), no.alias("downgraded"), no.alias("parse_error"), no.alias("cache_hit"), F.array().cast("array<string>").alias("retrieved_chunks"), F.lit("forward").alias("direction"))
 
 
-def ranked(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None, k: int = 3) -> DataFrame:
+def ranked(rules: DataFrame, chunks: DataFrame, replies: Replies = None, k: int = 3) -> DataFrame:
     """Retrieval with constant context, one question a rule, the reply parsed and held to the bar of evidence."""
     asked = with_replies(questions(rules, chunks, k), replies, stand_in(F.col("text"), F.col("code")))
     return settled(asked).withColumn("direction", F.lit("forward")).select(*VERDICT)
 
 
-def whole_project(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def whole_project(rules: DataFrame, chunks: DataFrame, replies: Replies = None) -> DataFrame:
     """All rules of a workspace against all its sources, in path order, in one question, which by design holds the whole
     workspace. The reply is read by rule, the last entry of a rule wins; a rule without one is uncertain."""
-    code = chunks.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("file", "start_line", "source"))).alias("c"))
-    code = code.select("workspace", F.transform("c", lambda x: x["source"]).alias("sources"))
+    code = chunks.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("file", "start_line", "qualname", "source"))).alias("c"))
+    code = code.select("workspace", F.transform("c", lambda x: x["source"]).alias("sources"), F.array_join(F.transform("c", rendered), "\n\n").alias("shown"))
     asked = rules_block(rules, ["workspace"]).join(code, "workspace", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
     asked = asked.withColumn("key", X.content_key(F.col("rules_text"), F.array_join("sources", "\0"), F.lit(WHOLE_PROMPT))).withColumn("code", F.array_join("sources", "\n"))
+    user = F.concat(F.lit("Rules:\n"), "rules_listed", F.lit("\n\nCode:\n"), F.coalesce("shown", F.lit("")))
+    asked = asked.withColumn("system", F.lit(WHOLE_SYSTEM)).withColumn("user", user).drop("shown")
     own = rules.join(asked.select("workspace", "code"), "workspace").select("workspace", F.struct("rule_id", stand_in(F.col("text"), F.col("code")).alias("reply")).alias("one"))
     entry = F.transform(F.array_sort("all"), lambda x: F.concat(F.lit('{"rule_id": '), F.to_json(x["rule_id"].cast("variant")), F.lit(", "), F.substring(x["reply"], F.lit(2), F.length(x["reply"]))))
     listed = own.groupBy("workspace").agg(F.collect_list("one").alias("all")).select("workspace", F.concat(F.lit("["), F.array_join(entry, ", "), F.lit("]")).alias("own"))
@@ -227,13 +281,15 @@ def whole_project(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None
     return settled(said, NO_ENTRY).withColumn("retrieved_chunks", F.array().cast("array<string>")).withColumn("direction", F.lit("forward")).select(*VERDICT)
 
 
-def reverse(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None, pristine: DataFrame | None = None) -> DataFrame:
+def reverse(rules: DataFrame, chunks: DataFrame, replies: Replies = None, pristine: DataFrame | None = None) -> DataFrame:
     """Every reviewable function against all rules of its workspace; a finding has to quote the code. ``pristine`` has the
     chunks (workspace, qualname, kind, source, ...) of the accepted state: what is found there as well is compliant."""
 
     def audited(chunks: DataFrame) -> DataFrame:
         asked = chunks.where(reviewable(F.col("qualname"), F.col("kind"))).join(rules_block(rules, ["workspace"]), "workspace")
-        asked = asked.withColumn("key", X.content_key(F.col("rules_text"), F.col("source"), F.lit(REVERSE_PROMPT)))
+        asked = asked.withColumn("key", X.content_key(F.col("rules_text"), F.col("source"), F.lit(REVERSE_PROMPT))).withColumn("system", F.lit(REVERSE_SYSTEM))
+        excerpt = rendered(F.struct("file", "qualname", "start_line", "source"))
+        asked = asked.withColumn("user", F.concat(F.lit("Rules:\n"), "rules_listed", F.lit("\n\nFunction:\n"), excerpt))
         head = F.coalesce(F.try_element_at(F.filter(F.split("source", "\n"), lambda x: x.rlike(r"^\s*(async )?def ")), F.lit(1)), F.try_element_at(F.split("source", "\n"), F.lit(1)))
         raw = reverse_judged(F.col("qualname"), F.col("rules_text"))
         found = raw == "UNAUTHORISED"
@@ -257,15 +313,16 @@ def reverse(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = Non
 REVERSE_FIELDS = "verdict string, confidence string, behaviour string, quote string, closest_rule string"
 
 
-def both(rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def both(rules: DataFrame, chunks: DataFrame, replies: Replies = None) -> DataFrame:
     return ranked(rules, chunks, replies).unionByName(reverse(rules, chunks, replies))
 
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {"keyword": keyword, "ranked": ranked, "whole-project": whole_project, "reverse": reverse, "ranked-reverse": both}
 
 
-def detect(name: str, rules: DataFrame, chunks: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """The verdicts of a registered detector; ``replies`` (key, response) are a judge's stored answers."""
+def detect(name: str, rules: DataFrame, chunks: DataFrame, replies: Replies = None) -> DataFrame:
+    """The verdicts of a registered detector. ``replies`` is a ``Judge`` to ask, or a table (key, response) of answers; what that does not
+    have, and everything without one, the stand-in judge answers."""
     if name not in DETECTORS:
         raise ValueError(f"unknown detector {name!r}; known are {', '.join(DETECTORS)}")
     return DETECTORS[name](rules, chunks, replies).withColumn("detector", F.lit(name))
