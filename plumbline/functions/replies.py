@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from contextlib import suppress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,33 +73,41 @@ def reverse_gate(reply: Column, located: Column) -> Column:
     return F.struct(final.alias("verdict"), down.alias("downgraded"), clause.alias("clause"))
 
 
-def complete_objects(text: str) -> list[dict]:
-    """Every whole object of a list that may be cut off: decoded from each opening brace that is not inside one."""
-    decoder, found, at = json.JSONDecoder(), [], 0
-    while (at := text.find("{", at)) >= 0:
-        try:
-            value, at = decoder.raw_decode(text, at)
-        except json.JSONDecodeError:
-            at += 1
-            continue
-        if isinstance(value, dict):
-            found.append(value)
-    return found
+#: What matters for nesting: strings, whole or cut off, and braces.
+MARKS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}]', re.DOTALL)
 
 
-def salvage(replies: DataFrame, reply: str = "response") -> DataFrame:
-    """``replies`` with ``pos`` and ``item``: a row for each whole object of a reply."""
-    columns = replies.columns
-    place = columns.index(reply)
-    ship(replies.sparkSession)
+def complete_objects(text: str) -> Iterator[dict]:
+    """Every whole outermost object of a text that may be cut off, in one pass over its strings and braces. What stands within
+    an object that has no end is not told; a closing brace too many hides as many that open after it."""
+    depth, start = 0, None
+    for mark in MARKS.finditer(text):
+        brace = mark.group()
+        if brace == "{":
+            start = mark.start() if depth == 0 else start
+            depth += 1
+        elif brace == "}":
+            depth -= 1
+            if depth == 0 and start is not None:
+                with suppress(json.JSONDecodeError, RecursionError):
+                    found = json.loads(text[start : mark.end()])
+                    if isinstance(found, dict):
+                        yield found
+                start = None
+
+
+class Salvaged:
+    """Table function: a row for each whole object of a reply, its keys in order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(*row, k, json.dumps(x, sort_keys=True)) for row in frame.itertuples(index=False, name=None) for k, x in enumerate(complete_objects(row[place] or ""))]
-            yield pd.DataFrame(rows, columns=[*columns, "pos", "item"])
+    def eval(self, reply: str | None):
+        for pos, found in enumerate(complete_objects(reply or "")):
+            yield pos, json.dumps(found, sort_keys=True)
 
-    schema = replies.select("*").schema.add("pos", "integer").add("item", "string")
-    return replies.mapInPandas(run, schema)
+
+def salvage(replies: DataFrame, reply: str = "response") -> DataFrame:
+    """``replies`` with ``pos`` and ``item``: a row for each whole object of a reply, by a lateral join."""
+    ship(replies.sparkSession)
+    return replies.lateralJoin(F.udtf(Salvaged, returnType="pos int, item string")(F.col(reply).outer()))
 
 
 def indexed_replies(replies: DataFrame, key: str = "question_key", reply: str = "response") -> DataFrame:

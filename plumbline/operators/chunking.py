@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.session import ship
 
@@ -39,7 +40,7 @@ def chunk_rows(path: str, source: str) -> list[dict]:
     """Chunks of one file; none if it does not parse."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     lines = source.splitlines()
     return [
@@ -51,18 +52,23 @@ def chunk_rows(path: str, source: str) -> list[dict]:
     ]
 
 
-def chunked(sources: DataFrame) -> DataFrame:
-    """(workspace, path, source) to chunks, file by file."""
-    ship(sources.sparkSession)
-    names = ["workspace", "chunk_id", "file", "qualname", "kind", "start_line", "end_line", "source"]
+CHUNK = "chunk_id string, file string, qualname string, kind string, start_line int, end_line int, source string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"workspace": w, **c} for w, p, s in zip(frame["workspace"], frame["path"], frame["source"], strict=True) for c in chunk_rows(p, s or "")]
-            yield pd.DataFrame(rows, columns=names)
 
-    schema = "workspace string, chunk_id string, file string, qualname string, kind string, start_line int, end_line int, source string"
-    return sources.select("workspace", "path", "source").mapInPandas(run, schema)
+class Chunks:
+    """Table function: the chunks of one Python file; no row if it does not parse."""
+
+    def eval(self, path: str | None, source: str | None):
+        for chunk in chunk_rows(path or "", source or ""):
+            yield tuple(chunk.values())
+
+
+def chunked(sources: DataFrame) -> DataFrame:
+    """(workspace, path, source) to chunks, file by file, by a lateral join."""
+    ship(sources.sparkSession)
+    given = sources.select("workspace", F.col("path").alias("__path"), F.col("source").alias("__source"))
+    rows = given.lateralJoin(F.udtf(Chunks, returnType=CHUNK)(F.col("__path").outer(), F.col("__source").outer()))
+    return rows.drop("__path", "__source")
 
 
 def changed_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:

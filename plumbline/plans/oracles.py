@@ -98,7 +98,13 @@ def _reply(field: str) -> str:
     return f"json_extract_string(j, '$.{field}')"
 
 
-_REPLIES = f"""given AS (SELECT k, coalesce(reply, '') AS reply FROM {_values(REPLIES, "k, rule_id, reply")}),
+def _patterned(rows, columns: str) -> str:
+    """Documents with the pattern of their number."""
+    return f"documents JOIN {_values([(n, *r) for n, r in enumerate(rows)], 'n, ' + columns)} ON n = doc_id % {len(rows)}"
+
+
+_REPLIES = f"""given AS (
+  SELECT doc_id + 1 AS k, coalesce(replace(pattern, '"c"', '"' || md5(text) || '"'), '') AS reply FROM {_patterned([r[1:] for r in REPLIES], "rule_id, pattern")}),
 bare AS (SELECT k, trim(regexp_replace(reply, '(?m)^\\s*```(?:json)?\\s*|\\s*```\\s*$', '', 'g')) AS b FROM given),
 found AS (SELECT k, CASE WHEN json_valid(b) THEN b WHEN json_valid(regexp_extract(b, '(?s)\\{{.*\\}}', 0)) THEN regexp_extract(b, '(?s)\\{{.*\\}}', 0) END AS f FROM bare),
 parsed AS (SELECT k, CASE WHEN f IS NOT NULL AND json_type(CAST(f AS JSON)) = 'OBJECT' THEN CAST(f AS JSON) END AS j FROM found)"""
@@ -249,13 +255,21 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT CAST(event_id AS INTEGER), 'UNCERTAIN', {_clamp("json_extract_string(props, '$.k')")}, {_line("json_extract_string(props, '$.k')")} FROM events""",
     "q32_evidence_gate": f"""WITH {_REPLIES}, g AS (SELECT k, {_SAID} AS verdict, {' AND '.join(f"trim(coalesce({_reply(f)}, '')) <> ''" for f in ('violated_clause', 'counterexample.input', 'counterexample.actual'))} AS shown FROM parsed)
         SELECT CAST(k AS INTEGER) AS k, CASE WHEN verdict = 'DRIFT' AND NOT shown THEN 'UNCERTAIN' ELSE verdict END AS verdict, verdict = 'DRIFT' AND NOT shown AS downgraded FROM g""",
-    "q34_reply_index_last_wins": f"""WITH given AS (SELECT question_key, CAST(response AS JSON) AS j FROM {_values(LISTED, 'question_key, response')}),
+    "q33_salvage_objects": """WITH entries AS (
+  SELECT doc_id, k, '{"n": {"k": ' || k || '}, "rule_id": "R' || k || '", "t": "} ' || md5(string_split(text, chr(10))[k + 1]) || ' \\"{"}' AS item
+  FROM documents, unnest(range(0, len(string_split(text, chr(10))))) t(k)),
+placed AS (SELECT *, 1 + sum(length(item) + 2) OVER (PARTITION BY doc_id ORDER BY k) - 2 AS last, sum(length(item) + 2) OVER (PARTITION BY doc_id) AS total FROM entries)
+SELECT doc_id, k AS pos, item FROM placed WHERE last <= total * 3 // 4""",
+    "q34_reply_index_last_wins": f"""WITH given AS (
+  SELECT doc_id AS question_key, CAST(replace(pattern, '"rule_id": "', '"rule_id": "' || doc_id % 10) AS JSON) AS j FROM {_patterned([r[1:] for r in LISTED], 'pattern')}),
         lists AS (SELECT question_key, CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE coalesce(json_extract(j, '$.rules'), json_extract(j, '$.verdicts'), json_array(j)) END AS l FROM given),
         items AS (SELECT question_key, i, json_extract(l, '$[' || i || ']') AS x FROM lists, unnest(range(0, CAST(json_array_length(l) AS BIGINT))) t(i))
         SELECT question_key, json_extract_string(x, '$.rule_id') AS rule_id, arg_max(json_extract_string(x, '$.verdict'), i) AS verdict FROM items WHERE coalesce(json_extract_string(x, '$.rule_id'), '') <> '' GROUP BY 1, 2""",
     "q35_exact_once_patch": """WITH c AS (SELECT doc_id, text, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents)
         SELECT doc_id, n, md5(CASE WHEN n = 1 THEN replace(text, 'the', '<the>') ELSE '-' END) AS digest, CASE WHEN n <> 1 THEN 'pattern found ' || n || ' times, expected 1' END AS error FROM c""",
-    "q36_strip_ids": f"WITH s AS (SELECT k, {_strip('source')} AS stripped FROM {_values(IDS, 'k, source')}) SELECT CAST(k AS INTEGER) AS k, stripped, regexp_matches(stripped, '\\bR[0-9][0-9]\\b') AS left_over FROM s",
+    "q36_strip_ids": f"""WITH given AS (SELECT doc_id, pattern || chr(10) || text AS source FROM {_patterned([r[1:] for r in IDS], "pattern")}),
+s AS (SELECT doc_id, {_strip("source")} AS s FROM given)
+SELECT doc_id, md5(s) AS digest, CAST(length(s) AS BIGINT) AS n_chars, regexp_matches(s, '\\bR[0-9][0-9]\\b') AS left_over FROM s""",
     "q37_gutter_render": """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
         n AS (SELECT doc_id, pos, line, CAST(doc_id * 10 + pos - 1 AS VARCHAR) AS number FROM lines)
         SELECT doc_id, md5(string_agg(lpad(number, CAST(greatest(4, length(number)) AS INTEGER), ' ') || ' | ' || line, chr(10) ORDER BY pos)) AS digest FROM n GROUP BY doc_id""",
@@ -289,7 +303,8 @@ ORACLES: dict[str, str] = {
             CASE WHEN raw = 'UNAUTHORISED' AND first_line IS NOT NULL THEN 'No rule authorises: b' ELSE '' END AS clause, CAST(first_line AS BIGINT) AS first_line, CAST(last_line AS BIGINT) AS last_line FROM spots""",
     "q41_gold_match": "SELECT page_id, page_id % 5 <> 0 AND (page_id % 3 = 0 OR page_id % 3 = 1) AS matches FROM pages",
     "q42_union_directions": f"WITH {_verdicts()} SELECT 'both' AS detector, direction, verdict, CAST(count(*) AS BIGINT) AS n FROM verdicts GROUP BY ALL",
-    "q43_spec_pick": f"""WITH given AS (SELECT * FROM {_values(SPEC_FILES, 'upload, path, text')}),
+    "q43_spec_pick": f"""WITH given AS (
+          SELECT name || '-' || doc_id // {len(SPEC_FILES)} AS upload, path, head || chr(10) || text AS text FROM {_patterned(SPEC_FILES, 'name, path, head')}),
         heads AS (SELECT *, min(CASE WHEN contains(path, '/') THEN 1 ELSE 0 END) OVER w = 1 AND min(string_split(path, '/')[1]) OVER w = max(string_split(path, '/')[1]) OVER w AS wrapped FROM given WINDOW w AS (PARTITION BY upload)),
         files AS (SELECT upload, CASE WHEN wrapped THEN substr(path, instr(path, '/') + 1) ELSE path END AS path, text FROM heads),
         rated AS (SELECT upload, path, list_position(['spec.md', 'specification.md', 'specs.md'], lower(regexp_extract(path, '[^/]*$', 0))) AS rank, len(string_split(path, '/')) - 1 AS depth,
@@ -297,6 +312,14 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT *, count(*) OVER (PARTITION BY upload, coalesce(rank, 0), depth) AS twins FROM rated WHERE coalesce(rank, 0) > 0 OR (lower(path) LIKE '%.md' AND rules > 0))
         SELECT upload, path, CASE WHEN coalesce(rank, 0) > 0 AND twins > 1 THEN 'more than one ' || regexp_extract(path, '[^/]*$', 0) END AS error FROM kept
         QUALIFY row_number() OVER (PARTITION BY upload ORDER BY coalesce(rank, 0) = 0, CASE WHEN coalesce(rank, 0) > 0 THEN 0 ELSE -rules END, depth, rank, path) = 1""",
+    "q45_chunker": """WITH files AS (
+  SELECT doc_id, 'w' || doc_id % 3 AS workspace, 'src/m' || doc_id || '.py' AS file, md5(text) AS digest, doc_id % 5 AS last FROM documents WHERE doc_id % 11 <> 0),
+parts AS (
+  SELECT *, '<module>' AS qualname, 'module' AS kind, 1 AS start_line, 2 AS end_line, repeat(chr(34), 3) || 'Module ' || digest || '.' || repeat(chr(34), 3) || chr(10) || 'LIMIT = ' || doc_id AS source FROM files
+  UNION ALL SELECT *, 'first', 'function', 5, 7, '@wrap' || chr(10) || 'def first(a):' || chr(10) || '    return a' FROM files
+  UNION ALL SELECT *, 'Box', 'class', 10, 12, 'class Box:' || chr(10) || '    size = 0' || chr(10) FROM files
+  UNION ALL SELECT f.*, 'Box.m' || k, 'method', CAST(13 + 3 * k AS INTEGER), CAST(14 + 3 * k AS INTEGER), '    def m' || k || '(self):' || chr(10) || '        return ' || k FROM files f, unnest(range(0, last + 1)) t(k))
+SELECT workspace, file || '::' || qualname AS chunk_id, file, qualname, kind, start_line, end_line, md5(source) AS source FROM parts""",
     "q46_retention": "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-13 00:00:00'",
     "q47_rate_limit_stateful": """WITH RECURSIVE hits AS (
   SELECT CAST(user_id AS VARCHAR) AS client, CAST(event_id + 1 AS DOUBLE) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

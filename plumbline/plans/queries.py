@@ -35,7 +35,6 @@ LISTED = [
     ("a", '[{"rule_id": "R1", "verdict": "DRIFT"}, {"rule_id": "R2", "verdict": "COMPLIANT"}, {"rule_id": "R1", "verdict": "UNCERTAIN"}]'),
     ("b", '{"rules": [{"rule_id": "R3", "verdict": "DRIFT"}]}'), ("c", '{"rule_id": "R4", "verdict": "DRIFT"}'), ("d", '{"verdicts": [{"rule_id": "R5", "verdict": "x"}, {"verdict": "none"}]}'),
 ]
-CUT = [("x", '[{"rule_id": "R1", "t": "a } b"}, {"rule_id": "R2", "t": "q\\"{"}, {"rule_id": "R3", "t": "cut'), ("y", "nothing"), ("z", '{"a": {"b": 1}} {"c"')]
 SOURCE = '"""A module."""\nLIMIT = 3\n\n@wrap\ndef first(a):\n    return a\n\nclass Box:\n    """Holds."""\n    size: int = 0\n\n    @property\n    def inner(self):\n        return 1\n\n    def __len__(self):\n        return 2\n\nasync def last():\n    pass\n'
 SPEC_FILES = [
     ("u1", "proj/spec.md", "- **R01** a"), ("u1", "proj/src/a.py", "x = 1"), ("u2", "docs/SPEC.md", "- **R1** x"), ("u2", "notes.md", "- **R1** x\n- **R2** y"), ("u2", "deep/er/specification.md", "z"),
@@ -316,31 +315,55 @@ def q30_heading_carry(spark, d):
     return found.select("doc_id", F.col("rule_pos").cast("long").alias("rule_pos"), "rule_id", F.md5(F.concat_ws("|", "text", "section")).alias("digest"))
 
 
-def replies_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "k int, rule_id string, reply string").withColumn("r", R.fields(R.parsed_reply(F.col("reply"))))
+def by_pattern(docs: DataFrame, patterns: DataFrame, size: int) -> DataFrame:
+    """Each document with the pattern of its number; ``patterns`` are a stated few and have ``n``."""
+    return docs.withColumn("n", F.col("doc_id") % size).join(F.broadcast(patterns), "n").drop("n")
+
+
+def numbered(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"n long, {schema}")
+
+
+def replies_frame(spark: SparkSession, d: str) -> DataFrame:
+    """A reply for each document, of one of the shapes of ``REPLIES``, whose clause is a digest of the document."""
+    patterns = numbered(spark, [r[1:] for r in REPLIES], "rule_id string, pattern string")
+    clause = F.concat(F.lit('"'), F.md5("text"), F.lit('"'))
+    made = by_pattern(documents(spark, d), patterns, len(REPLIES)).withColumn("reply", F.replace("pattern", F.lit('"c"'), clause))
+    return durable(made.select((F.col("doc_id") + 1).cast("int").alias("k"), "reply")).withColumn("r", R.fields(R.parsed_reply(F.col("reply"))))
 
 
 @query
 def q31_reply_parse(spark, d):
-    said = replies_frame(spark).select("k", R.verdict_of(F.col("r.verdict")).alias("verdict"), R.clamped(F.col("r.confidence")).alias("confidence"), R.line_number(F.col("r.evidence.start_line")).cast("long").alias("start_line"))
+    said = replies_frame(spark, d).select("k", R.verdict_of(F.col("r.verdict")).alias("verdict"), R.clamped(F.col("r.confidence")).alias("confidence"), R.line_number(F.col("r.evidence.start_line")).cast("long").alias("start_line"))
     props = table(spark, d, "events").select(F.col("event_id").cast("int").alias("k"), F.lit("UNCERTAIN").alias("verdict"), R.clamped(F.get_json_object("props", "$.k")).alias("confidence"), R.line_number(F.get_json_object("props", "$.k")).cast("long").alias("start_line"))
     return said.withColumn("k", -F.col("k")).unionByName(props)
 
 
 @query
 def q32_evidence_gate(spark, d):
-    return replies_frame(spark).select("k", R.evidence_gate(F.col("r")).alias("g")).select("k", "g.verdict", "g.downgraded")
+    return replies_frame(spark, d).select("k", R.evidence_gate(F.col("r")).alias("g")).select("k", "g.verdict", "g.downgraded")
+
+
+def cut_replies(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, response): a list with an object for each line of a document, cut off after three quarters."""
+    lines = F.split("text", "\n")
+    entry = lambda line, k: F.concat(F.lit('{"n": {"k": '), k.cast("string"), F.lit('}, "rule_id": "R'), k.cast("string"), F.lit('", "t": "} '), F.md5(line), F.lit(' \\"{"}'))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(lines, entry), ", "), F.lit("]"))
+    return documents(spark, d).select("doc_id", whole.alias("w")).select("doc_id", F.expr("left(w, cast(length(w) * 3 div 4 as int))").alias("response"))
 
 
 @query
 def q33_salvage_objects(spark, d):
-    return R.salvage(spark.createDataFrame(CUT, "question_key string, response string")).select("question_key", "pos", "item")
+    return R.salvage(cut_replies(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "item")
 
 
 @query
 def q34_reply_index_last_wins(spark, d):
-    found = R.indexed_replies(spark.createDataFrame(LISTED, "question_key string, response string"))
-    return found.select("question_key", "rule_id", F.get_json_object("item", "$.verdict").alias("verdict"))
+    """A whole-project reply for each document, of one of four shapes, whose rule ids tell of the document."""
+    patterns = numbered(spark, [r[1:] for r in LISTED], "pattern string")
+    named = F.concat(F.lit('"rule_id": "'), (F.col("doc_id") % 10).cast("string"))
+    given = by_pattern(documents(spark, d), patterns, len(LISTED)).select(F.col("doc_id").alias("question_key"), F.replace("pattern", F.lit('"rule_id": "'), named).alias("response"))
+    return R.indexed_replies(given).select("question_key", "rule_id", F.get_json_object("item", "$.verdict").alias("verdict"))
 
 
 @query
@@ -351,7 +374,10 @@ def q35_exact_once_patch(spark, d):
 
 @query
 def q36_strip_ids(spark, d):
-    return spark.createDataFrame(IDS, "k int, source string").select("k", X.strip_rule_ids(F.col("source")).alias("stripped"), X.has_rule_id(X.strip_rule_ids(F.col("source"))).alias("left_over"))
+    """Documents as sources with rule ids in comments, docstrings and prose."""
+    patterns = numbered(spark, [r[1:] for r in IDS], "pattern string")
+    source = by_pattern(documents(spark, d), patterns, len(IDS)).select("doc_id", F.concat("pattern", F.lit("\n"), "text").alias("source"))
+    return source.select("doc_id", X.strip_rule_ids(F.col("source")).alias("s")).select("doc_id", F.md5("s").alias("digest"), F.length("s").cast("long").alias("n_chars"), X.has_rule_id(F.col("s")).alias("left_over"))
 
 
 @query
@@ -412,8 +438,12 @@ def q42_union_directions(spark, d):
 
 @query
 def q43_spec_pick(spark, d):
-    files = intake.without_common_root(spark.createDataFrame(SPEC_FILES, "upload string, path string, text string"), "upload")
-    return intake.picked_spec(files, "upload")
+    """Runs of eleven documents as the files of five uploads."""
+    patterns = numbered(spark, SPEC_FILES, "name string, path string, head string")
+    given = by_pattern(documents(spark, d), patterns, len(SPEC_FILES))
+    upload = F.concat("name", F.lit("-"), F.floor(F.col("doc_id") / len(SPEC_FILES)).cast("string"))
+    files = given.select(upload.alias("upload"), "path", F.concat("head", F.lit("\n"), "text").alias("text"))
+    return intake.picked_spec(durable(intake.without_common_root(files, "upload")), "upload")
 
 
 @query
@@ -422,9 +452,19 @@ def q44_changed_lines(spark, d):
     return chunking.changed_lines(pairs, ["doc_id"])
 
 
+def python_files(spark: SparkSession, d: str) -> DataFrame:
+    """(workspace, path, source): a module for each document, with as many methods as its number says; every eleventh does not
+    parse."""
+    i, text = F.col("doc_id"), F.md5("text")
+    method = lambda k: F.concat(F.lit("\n\n    def m"), k.cast("string"), F.lit("(self):\n        return "), k.cast("string"))
+    methods = F.array_join(F.transform(F.sequence(F.lit(0), i % 5), method), "")
+    body = F.concat(F.lit('"""Module '), text, F.lit('."""\nLIMIT = '), i.cast("string"), F.lit("\n\n\n@wrap\ndef first(a):\n    return a\n\n\nclass Box:\n    size = 0"), methods, F.lit("\n"))
+    return documents(spark, d).select(text_id("w", i % 3).alias("workspace"), F.concat(F.lit("src/m"), i.cast("string"), F.lit(".py")).alias("path"), F.when(i % 11 == 0, "def (").otherwise(body).alias("source"))
+
+
 @query
 def q45_chunker(spark, d):
-    return chunking.chunked(spark.createDataFrame([("w", "src/a.py", SOURCE), ("w", "src/bad.py", "def (")], "workspace string, path string, source string"))
+    return chunking.chunked(python_files(spark, d)).withColumn("source", F.md5("source"))
 
 
 @query

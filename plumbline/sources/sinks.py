@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators.merge import merged
+from plumbline.operators.merge import LAST
+from plumbline.schemas import VERDICTS
+from plumbline.sources.versions import Conflict, VersionedTable
 
 
 def write_verdicts(verdicts: DataFrame, root: str) -> None:
@@ -16,26 +18,42 @@ def write_verdicts(verdicts: DataFrame, root: str) -> None:
     verdicts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("detector", "run").parquet(root)
 
 
-def swapped(df: DataFrame, path: str) -> None:
-    """Write ``df`` beside the table at ``path`` and put it in its place: a reader finds the old rows or the new ones, and a
-    crash leaves one of them whole under ``path``, ``path.new`` or ``path.old``."""
-    spark = df.sparkSession
-    fresh, place, old = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", "", ".old"))
-    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    df.write.mode("overwrite").parquet(path + ".new")
-    files.delete(old, True)
-    if files.exists(place):
-        files.rename(place, old)
-    files.rename(fresh, place)
-    files.delete(old, True)
-
-
-def merge_into(path: str, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows without the fresh keys, and the fresh rows, in the place of the stored table."""
-    spark = fresh.sparkSession
-    stored = spark.read.schema(fresh.schema).parquet(path)
-    swapped(merged(stored, fresh, keys), path)
-    return spark.read.schema(fresh.schema).parquet(path)
+def merge_into(stored: VersionedTable, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows without the fresh keys, and the fresh rows, as the table's next version; a crash leaves the last one."""
+    return stored.merge(fresh, keys)
+
+
+#: The verdicts of one detector and run, and their place: the number of their case, null where they stay as they came.
+STORED_VERDICTS = f"{VERDICTS}, ord int"
+
+
+def merge_verdicts(stored: VersionedTable, fresh: DataFrame, cases: DataFrame, touched: DataFrame | None = None, attempts: int = 5) -> DataFrame:
+    """Fresh verdicts beside the stored ones of untouched cases, read in order.
+
+    ``cases`` has (case_id, ord), ``touched`` (case_id): the cases that were checked, also those without a verdict; by default the cases
+    of ``fresh``. If any were kept, all get their case's place (unknown cases the last) and are read by place, case and rule;
+    otherwise the fresh ones stay as they came."""
+    touched = (fresh if touched is None else touched).select("case_id").distinct()
+    for k in range(attempts):
+        base = stored.version()
+        kept = stored.read(base).drop("ord").join(touched, "case_id", "left_anti")
+        if kept.isEmpty():
+            made = fresh.withColumn("ord", F.lit(None).cast("int"))
+        else:
+            order = cases.select("case_id", F.col("ord").cast("int").alias("ord"))
+            made = kept.unionByName(fresh).join(order, "case_id", "left").withColumn("ord", F.coalesce("ord", F.lit(LAST)))
+        try:
+            return ordered_verdicts(stored.read(stored.replace(made, base)))
+        except Conflict:
+            if k + 1 == attempts:
+                raise
+    raise AssertionError
+
+
+def ordered_verdicts(rows: DataFrame) -> DataFrame:
+    """Stored verdicts in their order."""
+    came = F.when(F.col("ord").isNull(), F.monotonically_increasing_id())
+    return rows.orderBy(came.asc_nulls_first(), "ord", "case_id", "rule_id", "verdict_pos")
 
 
 def write_stats(stats: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from plumbline.functions import text as X
 from plumbline.operators import chunking, detectors, retrieval, scoring, stability
 from plumbline.plans.queries import SOURCE
 from plumbline.schemas import CASES, VERDICTS
-from plumbline.sources import intake, sinks, specs
+from plumbline.sources import intake, sinks, specs, versions
 from plumbline.streaming import checks
 
 BASE = dict(case_id="c", project="p", category="D1", label="drift", target_rules=["R1"], gold_symbol="f", file="src/a.py", note="", status="valid", escapes_tests=None, oracle=None, error=None, workspace="w")
@@ -174,12 +174,22 @@ def test_misses_and_recall_by_category(spark):
     assert got == {"D1": (2, 0.5, 0.5), "D2": (2, 0.0, 0.5), "all": (4, 0.25, 0.5)}
 
 
-def test_merge_into_swaps(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(path)
-    out = sinks.merge_into(path, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])
+def test_merge_into_makes_a_version(spark, tmp_path):
+    stored = versions.VersionedTable(spark, f"{tmp_path}/t", "k long, v string")
+    stored.append(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"))
+    out = sinks.merge_into(stored, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])
     assert sorted((r["k"], r["v"]) for r in out.collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_merge_verdicts_keeps_untouched_cases_in_order(spark, tmp_path):
+    stored = versions.VersionedTable(spark, f"{tmp_path}/v", sinks.STORED_VERDICTS)
+    frame = lambda rows: spark.createDataFrame(rows, VERDICTS).coalesce(1)
+    cases = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "case_id string, ord int")
+    first = sinks.merge_verdicts(stored, frame([verdict("c", "R1"), verdict("a", "R2"), verdict("b", "R1"), verdict("x", "R1")]), cases)
+    assert [r["case_id"] for r in first.collect()] == ["c", "a", "b", "x"]  # nothing was kept, so as they came
+    touched = spark.createDataFrame([("a",), ("c",)], "case_id string")
+    got = sinks.merge_verdicts(stored, frame([verdict("a", "R9"), verdict("a", "R1")]), cases, touched).collect()
+    assert [(r["case_id"], r["rule_id"]) for r in got] == [("b", "R1"), ("a", "R1"), ("a", "R9"), ("x", "R1")]
 
 
 class Echo:
@@ -199,7 +209,21 @@ def test_answers_are_asked_once(spark):
 
 def test_salvage_is_aware_of_strings():
     cut = '[{"a": "x } y"}, {"b": "q\\"{"}, {"c": {"d": 1}}, {"e": "cu'
-    assert R.complete_objects(cut) == [{"a": "x } y"}, {"b": 'q"{'}, {"c": {"d": 1}}]
+    assert list(R.complete_objects(cut)) == [{"a": "x } y"}, {"b": 'q"{'}, {"c": {"d": 1}}]
+    assert list(R.complete_objects('{"a": {"b": 1}, "c": [{"d": 2}')) == []  # nothing of an object without an end
+    assert list(R.complete_objects('} {"a": 1} {"b": 2}')) == [] and list(R.complete_objects('{"a": 1} } { {"b": 2}')) == [{"a": 1}, {"b": 2}]
+    assert list(R.complete_objects('{"a": "no end')) == [] and list(R.complete_objects('{"a": "x\\')) == []
+    assert list(R.complete_objects("{" * 500_000)) == [] and len(list(R.complete_objects('{"a": 1} ' * 100_000))) == 100_000
+
+
+def test_table_functions_over_large_and_broken_files(spark):
+    large = "x = 1\n" + "".join(f"def f{k}(a):\n    return a + {k}\n" for k in range(30_000))
+    rows = [("w", "a.py", large), ("w", "b.py", "def ("), ("w", "c.py", None), ("w", "d.py", "x = (" + "(" * 5000), ("w", "e.py", "a\0b")]
+    got = chunking.chunked(spark.createDataFrame(rows, "workspace string, path string, source string")).groupBy("file").count().collect()
+    assert len(large) > 1_000_000 and {r["file"]: r["count"] for r in got} == {"a.py": 30_001}
+    replies = [("x", '[{"a": 1}, {"b": "}"}, {"c"'), ("x", '[{"a": 1}, {"b": "}"}, {"c"'), ("y", None), ("z", "[" + ", ".join('{"k": "%s"}' % ("v" * 90) for _ in range(12_000)) + ', {"k"')]
+    found = R.salvage(spark.createDataFrame(replies, "key string, response string")).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in found} == {"x": 4, "z": 12_000}
 
 
 def test_chunker(spark):
@@ -254,10 +278,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r["rule_pos"], r["rule_id"], r["text"], r["section"]) for r in rules.orderBy("rule_pos").collect()] == [(0, "R1", "one", "A"), (1, "R2", "two", "A"), (2, "R1", "three", "B")]
     with pytest.raises(ValueError):
         specs.checked_rules(rules)
-    path = str(tmp_path / "t")
-    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
-    sinks.merge_into(path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def limiter(rows, limit):
