@@ -6,7 +6,9 @@ A block is a run of whole texts laid end to end with their bounds. All helpers w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,22 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 3)
 U64 = np.uint64
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system, so that a reused worker does not keep the peak of each task before."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package present on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def fold_table(separators: Callable[[int], bool], *, cased: bool = False) -> np.ndarray:

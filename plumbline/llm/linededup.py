@@ -45,8 +45,8 @@ EDIT_SHARE = 10
 SHORT = 60
 #: (first length, blocks of the SimHash, blocks of a key) of the length classes.
 CLASSES = ((SHORT, 6, 2), (216, 8, 1), (400, 12, 1))
-#: SimHashes of 64 bits of two long lines that are alike differ in so many bits at most, where pairs of a key are all tried.
-DISTANCE = 10
+#: Characters fall into so many bins by the last bits of their first byte; four bins are a number of 64 bits.
+BINS = 32
 #: A key has to stand for so many bytes of words, or for this share of what it stands for on average in a line of few.
 COVER, COVER_SHARE = 16, 0.6
 #: Words of more bytes vote by their characters.
@@ -292,9 +292,18 @@ def id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def character_counts(lines: list[bytes]) -> np.ndarray:
+    """(lines, BINS / 4): how many characters of each bin a line has, 16 bits a bin, 65,535 at most."""
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    opens = (data & 0xC0) != 0x80
+    found = np.bincount(owner[opens] * BINS + (data[opens] & (BINS - 1)), minlength=len(lines) * BINS)
+    return np.minimum(found, 0xFFFF).astype("<u2").reshape(-1, BINS).view("<i8")
+
+
 def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, normal, sim): the normalised texts of all lines with an ``id``, and of some others, each once, with the SimHash
-    of their words."""
+    """(id, normal, bins): the normalised texts of all lines with an ``id``, and of some others, each once, with their counts of
+    characters."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,18 +312,17 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for _, _, data, bounds in blocks(batch.column(0)):
                 lines, _ = line_bounds(data, bounds)
                 folded, a, b, firsts = find_words(data, lines, FOLD)
-                hashes = hash_words(folded, a, b)
-                (low,) = line_sums(hashes, firsts, 1)
+                (low,) = line_sums(hash_words(folded, a, b), firsts, 1)
                 at = low & np.int64((1 << BITS_LOG2) - 1)
                 rows = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
                 rows = rows[recent.fresh(low[rows])]
                 folded[folded == 0] = 32
-                normal = [b" ".join(folded[x:y].tobytes().split()).decode() for x, y in zip(lines[rows].tolist(), lines[rows + 1].tolist(), strict=True)]
-                words, bounds = pick(firsts, rows)
-                sim, _ = block_sums(hashes[words], (b - a)[words], bounds, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(low[rows]), pa.array(normal, pa.string()), pa.array(signed(sim.ravel()))], ["id", "normal", "sim"])
+                normal = [b" ".join(folded[x:y].tobytes().split()) for x, y in zip(lines[rows].tolist(), lines[rows + 1].tolist(), strict=True)]
+                bins = character_counts(normal)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * bins.shape[1], pa.int32()), pa.array(bins.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(low[rows]), pa.array(normal, pa.binary()).cast(pa.string()), lists], ["id", "normal", "bins"])
 
-    return per_batch(docs.select("text"), run, "id long, normal string, sim long").dropDuplicates(["id"])
+    return per_batch(docs.select("text"), run, "id long, normal string, bins array<long>").dropDuplicates(["id"])
 
 
 def common_start(a: str, b: str) -> int:
@@ -490,19 +498,15 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
         return verified(found.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_normal", "b_normal"))
 
-    long = CLASSES[1][0] << 2
-
-    def need(a: str, b: str):
-        """Long lines that are alike share several of their blocks, and those that just miss it mostly one. (Pairs with the
-        line that a key begins with are verified with one.)"""
-        return F.when((F.col(f"{a}_form") >= long) & (F.col(f"{b}_form") >= long), 2).otherwise(1)
-
     def close(a: str, b: str):
-        """The SimHashes of long lines are near."""
-        apart = F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim")))
-        return (F.col(f"{a}_form") < long) | (F.col(f"{b}_form") < long) | (apart <= DISTANCE)
-
-    groups = linked_groups(shared, "key", near, verify, need, extra=texts.select("id", "sim"), strict=close)
+        """An edit changes the counts of two bins by one at most, or of one bin and the length: what differs in more is not
+        alike, so that no pair is lost."""
+        lane = lambda side, k: F.shiftrightunsigned(F.col(f"{side}_bins")[k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF))
+        apart = sum((F.abs(lane(a, k) - lane(b, k)) for k in range(BINS)), F.lit(0))
+        n, m = (F.shiftright(f"{side}_form", 2) for side in (a, b))
+        return EDIT_SHARE * (apart + F.abs(n - m)) <= 2 * F.greatest(n, m) + 2 * EDIT_SHARE - 2
+
+    groups = linked_groups(shared, "key", near, verify, extra=texts.select("id", "bins"), strict=close)
     grouped = durable(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
     discard(shared, texts, groups)
     members = grouped.join(distinct, F.col("id") == F.col("low")).select("component", "low", "high", "first", "n")
