@@ -4,16 +4,19 @@ Offline, ``prove`` runs the merges on every vocabulary string and keeps those th
 pre-token found in that set counts one without any merging; only the rest is merged, and a bounded memo keeps what
 was merged before. Special strings inside a text split it and count one each, as the library does by default.
 
-Defined results: null is empty and has 0 tokens; equal texts have equal counts; a pre-token of any length is merged
+Files whose settings are not followed here (normalisers, other pre-tokenizers, added tokens that are not special) are refused.
+
+Defined results: null is empty and has 0 tokens; equal texts have equal counts, repeated rows one each; an empty table stays empty; a pre-token of any length is merged
 with a heap in n log n steps; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import pairwise, repeat
 
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import per_batch
+from plumbline.session import file_bytes
 
 #: The pre-token pattern of byte-level BPE, white space spelled out as Unicode defines it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,16 +43,39 @@ def byte_letters() -> list[str]:
     return [chr(rest.get(b, b)) for b in range(256)]
 
 
+#: The settings of a vocabulary file that are followed here; any other is refused.
+FOLLOWED = {
+    "normalizer": [None], "truncation": [None], "padding": [None],
+    "pre_tokenizer": [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": t, "use_regex": True} for t in (True, False)],
+}
+FOLLOWED_MODEL = {
+    "type": ["BPE", None], "dropout": [None], "unk_token": [None], "continuing_subword_prefix": [None, ""], "end_of_word_suffix": [None, ""],
+    "byte_fallback": [False, None], "ignore_merges": [False, None],
+}
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+
+
+def refused(spec: dict) -> str | None:
+    """What a vocabulary file asks for that is not followed here."""
+    for part, known in ((spec, FOLLOWED), (spec["model"], FOLLOWED_MODEL)):
+        for name, values in known.items():
+            if part.get(name) not in values:
+                return f"{name} {part.get(name)!r}"
+    odd = [t["content"] for t in spec.get("added_tokens") or [] if any(t.get(k, v) != v for k, v in PLAIN_TOKEN.items())]
+    return f"added token {odd[0]!r}" if odd else None
+
+
 class Merger:
-    """Ranked merges of one vocabulary file."""
+    """Ranked merges of one vocabulary file, given by its bytes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
+        if why := refused(spec):
+            raise ValueError(f"a vocabulary with {why} is not supported")
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.ranks = {pair: k for k, pair in enumerate(pairs)}
         self.vocabulary = spec["model"]["vocab"]
-        self.specials = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        self.specials = [t["content"] for t in spec.get("added_tokens") or []]
         self.letters = byte_letters()
 
     def spell(self, pretoken: str) -> str:
@@ -120,10 +147,15 @@ class Counts(dict):
         return n
 
 
-@cache
-def counter(path: str, whole: frozenset[str] | None = None) -> Callable[[str], int]:
-    """A function from text to its number of tokens."""
-    merger = Merger(path)
+@lru_cache(maxsize=1)
+def merger_of(digest: str, data: bytes) -> Merger:
+    """One merger a worker, of the file that it met last."""
+    return Merger(data)
+
+
+def counter(data: bytes, whole: frozenset[str] | None = None) -> Callable[[str], int]:
+    """A function from text to its number of tokens; its memo goes with it."""
+    merger = merger_of(hashlib.sha256(data).hexdigest(), data)
     counts = Counts(merger, merger.prove() if whole is None else whole)
     split = regex.compile(PRETOKEN).findall
     special = regex.compile("|".join(map(regex.escape, merger.specials))) if merger.specials else None
@@ -140,12 +172,13 @@ def counter(path: str, whole: frozenset[str] | None = None) -> Callable[[str], i
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with ``n_bytes`` and ``n_tokens`` of every whole text."""
     spark = docs.sparkSession
-    whole = spark.sparkContext.broadcast(Merger(vocabulary).prove())  # at most the vocabulary
+    data = file_bytes(vocabulary)  # read where the driver runs; executors need not see the file
+    shared = spark.sparkContext.broadcast((data, Merger(data).prove()))  # the file and at most its vocabulary
     given = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     width = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary, whole.value)
+        count = counter(*shared.value)
         for batch in batches:
             found = [count(t.as_py()) for t in batch.column(width)]
             sizes = pc.binary_length(batch.column(width)).cast(pa.int64())

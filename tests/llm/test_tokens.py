@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import langid, pieces, tokencount
 from plumbline.llm.queries import PIECES, VOCABULARY, vocabulary
+from plumbline.session import file_bytes
 
 rng = random.Random(1)
 TEXTS = ["", " hi", "a\n\n b\t", "x" * 3000, "\x1c\x1d a\x85b\xa0 c d​e", "日本語テスト🎉" * 50, "  hi   \n\n x", "ab" * 500 + " " * 77, "'s'll don't I'M ²½Ⅷ", "</s> <s> <unk><0x0A>", "▁▁ a▁b", " " * 40, "a<|endoftext|>b", " <|endoftext|> <|endoftext|>", "été " * 30, "The quick brown fox"]
@@ -31,7 +33,7 @@ def test_counts_equal_the_library(spark):
 
 
 def test_whole_tokens_are_proven():
-    merger = tokencount.Merger(vocabulary(VOCABULARY))
+    merger = tokencount.Merger(file_bytes(vocabulary(VOCABULARY)))
     whole = merger.prove()
     assert len(whole) > 0.9 * len(merger.vocabulary) * 0.98 and " the" in whole
     long = merger.spell("abcdefgh" * 40)
@@ -44,6 +46,20 @@ def test_whole_tokens_are_proven():
     assert merger.count(long) == len(parts)
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda s: s.update(normalizer={"type": "NFC"}), lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s["model"].update(byte_fallback=True),
+        lambda s: s["added_tokens"].append(s["added_tokens"][0] | {"content": "<x>", "special": False}), lambda s: s["added_tokens"][0].update(lstrip=True),
+    ],
+)
+def test_other_vocabularies_are_refused(change):
+    spec = json.loads(file_bytes(vocabulary(VOCABULARY)))
+    change(spec)
+    with pytest.raises(ValueError, match="not supported"):
+        tokencount.Merger(json.dumps(spec).encode())
+
+
 def test_ids_equal_the_library_and_decode(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = vocabulary(PIECES)

@@ -47,3 +47,11 @@ def test_matches_history(spark):
         assert got == brute(captures, entries)
     assert filter_captures(c, e.limit(0)).where("blocked or n_active > 0").count() == 0
     assert filter_captures(c.limit(0), e).count() == 0
+
+
+def test_paths_of_many_steps(spark):
+    deep = "http://h.example/" + "/".join("a" * (k % 3 + 1) for k in range(20_000))
+    captures = spark.createDataFrame([(deep, "2024-03-01"), (deep + "x", "2024-03-01"), (None, "2024-03-01"), ("http://h.example/a", None)], "url string, fetched_at string")
+    entries = [("block", "prefix", "h.example/a/aa", "add", "2024-01-01"), ("allow", "prefix", "h.example/a/aa/aaa", "add", "2024-02-01"), ("block", "prefix", "h.example", "add", "2024-01-01")]
+    got = filter_captures(captures, spark.createDataFrame(entries, "list string, kind string, value string, action string, at string")).collect()
+    assert sorted((r["n_active"], r["matched"] or "", r["blocked"]) for r in got) == [(0, "", False)] * 2 + [(2, "allow:prefix:h.example/a/aa/aaa", False)] * 2
