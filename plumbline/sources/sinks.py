@@ -1,13 +1,10 @@
-"""Sinks: incremental tables, metric files and rendered reports."""
+"""Sinks: incremental tables and metric files."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import text as X
 from plumbline.operators.merge import LAST
 from plumbline.schemas import VERDICTS
 from plumbline.sources.versions import Conflict, VersionedTable
@@ -74,26 +71,3 @@ def write_metrics(overall: DataFrame, categories: DataFrame, path: str) -> None:
     row = F.struct("ord", "category", "name", "n", "metric", "value", "uncertain")
     listed = categories.groupBy("detector").agg(F.array_sort(F.collect_list(row)).alias("per_category"))  # at most twelve rows
     overall.join(listed, "detector", "left").coalesce(1).write.mode("overwrite").json(path)  # a row a detector
-
-
-def markdown(overall: DataFrame, categories: DataFrame, title: str = "Conformance report") -> str:
-    """A report of a few bounded frames: one row a detector, at most twelve a detector and category."""
-    shares = ("precision", "strict_precision", "recall", "f1", "false_alarm_rate", "uncertain_rate")
-    rows = overall.select("detector", *[X.percent(F.col(c)).alias(c) for c in shares]).orderBy("detector").collect()
-    lines = [f"# {title}", "", "| detector | " + " | ".join(shares) + " |", "| --- |" + " --- |" * len(shares)]
-    lines += [f"| {r['detector']} | " + " | ".join(r[c] for c in shares) + " |" for r in rows]
-    lines += ["", "| category | name | n | metric | value |", "| --- | --- | --- | --- | --- |"]
-    lines += [f"| {r['category']} | {r['name']} | {r['n']} | {r['metric']} | {r['value']:.4f} |" for r in category_rows(categories).collect()]
-    return "\n".join(lines) + "\n"
-
-
-def html(text: str) -> str:
-    import html as escape
-
-    return f"<!doctype html><meta charset='utf-8'><pre>{escape.escape(text)}</pre>\n"
-
-
-def write_report(text: str, folder: str) -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / "report.md").write_text(text, encoding="utf-8")
-    (Path(folder) / "report.html").write_text(html(text), encoding="utf-8")
