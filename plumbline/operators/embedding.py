@@ -80,15 +80,15 @@ def dense(rows: DataFrame, dimensions: int) -> DataFrame:
                 out = np.zeros((len(parts), dimensions))
                 out[owner, flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
                 norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                out = (out / np.where(norm == 0, 1, norm)).astype(np.float32)
+                out = out / np.where(norm == 0, 1, norm)
                 yield pa.RecordBatch.from_arrays([part.column(0), rows_of(out)], ["id", "vector"])
 
-    return rows.select("id", "parts").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vector array<float>")
+    return rows.select("id", "parts").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vector array<double>")
 
 
 def rows_of(x: np.ndarray) -> pa.Array:
     """A matrix as lists of its rows."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float32()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
 class Encoder(Protocol):

@@ -19,6 +19,12 @@ def event(keys: list[str], place: list[Column], name: str, *payload: Column) ->
     return [*keys, F.struct(*[c.alias(f"p{k}") for k, c in enumerate(place)]).alias("place"), F.lit(name).alias("event"), F.to_json(F.struct(*payload)).alias("payload")]
 
 
+def source_counts(sources: DataFrame) -> DataFrame:
+    """(workspace, files, lines) of sources (workspace, path, source): what a check tells of what it has read."""
+    lines = F.length("source") - F.length(F.replace("source", F.lit("\n"))) + 1
+    return sources.groupBy("workspace").agg(F.count_distinct("path").alias("files"), F.sum(F.coalesce(lines, F.lit(0)).cast("long")).alias("lines"))
+
+
 def check_events(rules: DataFrame, chunks: DataFrame, verdicts: DataFrame, model: str = "stand-in", k: int = 3) -> DataFrame:
     """(workspace, place, event, payload) of a check: each stage running and done, for each rule its start, its verdict and how
     much of what was shown had been retrieved, and a summary. ``place`` orders a workspace's events.

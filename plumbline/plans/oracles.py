@@ -343,6 +343,28 @@ SELECT client, "at", admitted FROM walk WHERE n > 0""",
         {', '.join(f"round_even(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 4) AS r{k}" for k in (1, 3, 5))} FROM ranked GROUP BY GROUPING SETS (('D' || (1 + rule_id % 9)), ())""",
     "q57_check_events": f"""WITH {_WORKSPACES}, {_RANKED}, {_judged('rule', 'code', 'asked')}, per AS (SELECT workspace, count(*) AS n, CASE WHEN bool_or(verdict = 'DRIFT') THEN 'DRIFT' WHEN bool_or(verdict = 'UNCERTAIN') THEN 'NEEDS_HUMAN' ELSE 'PASS' END AS status FROM judged GROUP BY 1)
         SELECT workspace, event, CAST(CASE event WHEN 'stage' THEN 12 WHEN 'summary' THEN 1 ELSE n END AS BIGINT) AS n, CASE WHEN event = 'summary' THEN status END AS status FROM per, unnest(['stage', 'rule_start', 'verdict', 'rule_detail', 'summary']) t(event)""",
+    "q62_dense_topk": f"""WITH docs AS (SELECT 'r' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'c', doc_id, text FROM documents),
+terms AS (SELECT side, id, token, count(*) AS n FROM (SELECT side, id, unnest({_tokens("text")}) AS token FROM docs) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM terms GROUP BY token),
+raw AS (
+  SELECT side, id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 256 AS bucket, sum((1 + ln(n)) * (ln(((SELECT count(*) FROM docs) + 1) / (df + 1)) + 1)) AS w
+  FROM terms JOIN df USING (token) GROUP BY ALL),
+unit AS (SELECT side, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM raw),
+scores AS (
+  SELECT r.id AS rule_id, c.id AS chunk_id, round_even(sum(r.w * c.w), 6) AS score FROM unit r JOIN unit c ON r.side = 'r' AND c.side = 'c' AND r.bucket = c.bucket GROUP BY ALL),
+every AS (SELECT item_id AS rule_id, doc_id AS chunk_id, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN scores ON rule_id = item_id AND chunk_id = doc_id)
+SELECT rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round_even(score, 4) AS score FROM every QUALIFY rank <= 3""",
+    "q63_case_detail": f"""WITH {_cases()}, {_verdicts("1", "one")}, {_verdicts("2", "two")},
+wanted AS (SELECT DISTINCT case_id, rule_id, text FROM (SELECT case_id, unnest(targets) AS rule_id FROM cases) JOIN (SELECT 'R' || item_id AS rule_id, text FROM benchmark) USING (rule_id)),
+texts AS (SELECT case_id, string_agg(rule_id, '|' ORDER BY rule_id) AS targets, string_agg(text, '|' ORDER BY rule_id) AS t FROM wanted GROUP BY case_id),
+told AS (
+  SELECT case_id, d || ':' || string_agg(rule_id || '=' || verdict, ',' ORDER BY k) AS one_said
+  FROM (SELECT 'one' AS d, * FROM one UNION ALL SELECT 'two', * FROM two) GROUP BY case_id, d)
+SELECT case_id, coalesce(texts.targets, '') AS targets, md5(coalesce(t, '')) AS digest, coalesce(said, '') AS said
+FROM cases LEFT JOIN texts USING (case_id) LEFT JOIN (SELECT case_id, string_agg(one_said, ';' ORDER BY one_said) AS said FROM told GROUP BY case_id) USING (case_id)""",
+    "q64_retrieval_misses": f"""WITH {_vectors(5)}, {_GOLD}
+SELECT 'c' || rule_id AS case_id, 'D' || (1 + rule_id % 9) AS category, rule_id FROM ranked WHERE coalesce(rank, 6) > 5 ORDER BY case_id LIMIT 15""",
+    "q65_source_counts": """SELECT 'w' || doc_id % 3 AS workspace, count(*) AS files, CAST(sum(CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 12 + 3 * (doc_id % 5 + 1) END) AS BIGINT) AS lines FROM documents GROUP BY 1""",
     "q60_live_check": """WITH said AS (
   SELECT CAST(user_id % 20 AS VARCHAR) AS check_id, event_id, 'R' || event_id % 7 AS rule_id, CAST((event_id % 10) / 10 AS VARCHAR) AS confidence, CAST(event_id % 4 AS VARCHAR) AS retrieved,
          CASE WHEN event_type = 'error' THEN 'DRIFT' WHEN event_type = 'click' THEN 'UNCERTAIN' ELSE 'COMPLIANT' END AS verdict FROM events),

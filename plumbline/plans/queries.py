@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import replies as R
 from plumbline.functions import text as X
-from plumbline.operators import chunking, detectors, merge, progress, reports, retrieval, scoring, stability
+from plumbline.operators import chunking, detectors, embedding, merge, progress, reports, retrieval, scoring, stability
 from plumbline.schemas import CASES
 from plumbline.session import durable, durable_folder, spread, table
 from plumbline.sources import intake, specs
@@ -651,6 +651,39 @@ def q61_live_sweep(spark, d):
     return live.sweep_summary(live.upserted(spark, f"{folder}/events", live.SWEEP, ["place"]))
 
 
+@query
+def q62_dense_topk(spark, d):
+    """The best documents of each item by dense vectors; buckets by MD5, as SQL has no BLAKE2b."""
+    embedder = embedding.HashingEmbedder(dimensions=256, bucket=retrieval.md5_bucket)
+    chunks = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = embedding.embedded_top(embedder, rules(spark, d), chunks, 3)
+    return hits.select("rule_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.bround("score", 4).alias("score"))
+
+
+@query
+def q63_case_detail(spark, d):
+    """Each case's page: its target rules and their texts, and its verdicts by detector."""
+    held = cases(spark, d)
+    known = rules(spark, d).select(text_id("R", F.col("rule_id")).alias("rule_id"), "text")
+    projects = held.select("project").distinct()
+    said = verdicts(spark, d, 1, "one").unionByName(verdicts(spark, d, 2, "two"))
+    pages = merge.case_detail(held, projects.crossJoin(F.broadcast(known.where("rule_id in ('R0','R1','R2','R3','R4','R5','R6')"))), said)
+    told = lambda b: F.concat(b["detector"], F.lit(":"), F.array_join(F.transform(b["v"], lambda v: F.concat(v["rule_id"], F.lit("="), v["verdict"])), ","))
+    targets = lambda part: F.coalesce(F.array_join(F.transform(F.array_distinct("targets"), lambda t: t[part]), "|"), F.lit(""))
+    return pages.select("case_id", targets("rule_id").alias("targets"), F.md5(targets("text")).alias("digest"), F.coalesce(F.array_join(F.transform("by_detector", told), ";"), F.lit("")).alias("said"))
+
+
+@query
+def q64_retrieval_misses(spark, d):
+    """The first items whose document is not among the best five; a report of fifteen rows."""
+    return retrieval.misses(ranked_gold(spark, d), ["case_id"])
+
+
+@query
+def q65_source_counts(spark, d):
+    return progress.source_counts(python_files(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Keyword verdicts of all projects, counted beside the overall score."""
     said = q03_keyword_verdicts(spark, d).groupBy("project").agg(F.count_if(F.col("verdict") == "DRIFT").alias("drift"), F.count_if(F.col("verdict") == "COMPLIANT").alias("compliant"))

@@ -182,7 +182,7 @@ def test_recall_with_both_embedders_and_nothing_encoded_twice(spark, tmp_path):
 def test_dense_ranking_equals_all_pairs(spark, limit):
     rng = np.random.default_rng(3)
     left, right = rng.integers(-2, 3, (7, 4)) / 2, rng.integers(-2, 3, (60, 4)) / 2
-    frame = lambda x: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>").repartition(3)
+    frame = lambda x: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>").repartition(3)
     got = embedding.dense_top(frame(left), frame(right), 4, rule_bytes=limit * 64).collect()
     want = {(r, n + 1): (c, s) for r in range(7) for n, (s, c) in enumerate(sorted((-float(left[r] @ right[c]), c) for c in range(60))[:4])}
     assert {(r["rule_id"], r["rank"]): (r["chunk_id"], -r["score"]) for r in got} == {k: (c, s) for k, (c, s) in want.items()}
