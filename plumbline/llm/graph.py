@@ -72,7 +72,7 @@ def linked_groups(
     ``shared`` has a row for each key of an id: (key, id, met, further columns), met being the number of the key's ids.
     First every id is tried against one of each of its keys, the one that meets most others over all its keys: of a group
     of edited copies the least edited. A key whose ids are then all in one component is done, as no link among them can
-    change a component. In the keys that are left the same is done for an id of the second component (and so on, ``stars``
+    change a component, and so is a key of two ids, whose one pair has been tried. In the keys that are left the same is done for an id of the second component (and so on, ``stars``
     rounds in all), and then all pairs of different components are tried that pass ``screen(a, b)`` (over the two sides'
     columns) and ``strict(a, b)`` (over the columns of ``extra`` (id, ...)) for a key and share ``need(a, b)`` keys. So a
     group of copies costs its size and not its square, and no pair of different components is left untried. ``verify``
@@ -80,7 +80,7 @@ def linked_groups(
     """
     others = [c for c in shared.columns if c not in (key, "id", "met")]
     score = shared.groupBy("id").agg(F.sum("met").alias("score"))
-    rows = durable(shared.drop("met").join(score, "id"))
+    rows = durable(shared.join(score, "id"))
     whole = [F.col(c) for c in ("score", "id", *others)]
     sides = {s: [F.col(c).alias(f"{s}_{c}") for c in ("id", *others)] for s in "ab"}
     fields = lambda s, of: [F.col(f"{of}.{c}").alias(f"{s}_{c}") for c in ("id", *others)]
@@ -91,14 +91,15 @@ def linked_groups(
     tried = durable(met.select(*ordered).distinct())
     links = durable(verify(tried))
     known = components(links if given is None else links.unionByName(given), "a_id", "b_id")
-    over = Window.partitionBy(key)
+    discard(links)
+    parts, over = [tried], Window.partitionBy(key)
 
     def mixed_of(rows: DataFrame) -> DataFrame:
         tagged = rows.drop("component").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         ends = tagged.withColumn("__low", F.min("component").over(over)).withColumn("__high", F.max("component").over(over))
         return durable(ends.where("__low <> __high").drop("__low", "__high"))
 
-    mixed = mixed_of(rows)
+    mixed = mixed_of(rows.where("met > 2").drop("met"))  # the one pair of a key of two ids has been tried
     discard(rows)
     for place in range(2, stars + 1):
         heads = mixed.groupBy(key, "component").agg(F.max(F.struct(*whole)).alias("center"))
@@ -108,10 +109,13 @@ def linked_groups(
         fresh = durable(met.select(*ordered).distinct().join(tried, ["a_id", "b_id"], "left_anti"))
         more = durable(verify(fresh))
         tried = tried.unionByName(fresh)
+        parts.append(fresh)
         if not more.isEmpty():
-            known = merged(known, more)
+            older, known = known, merged(known, more)
             before, mixed = mixed, mixed_of(mixed)
-            discard(before)
+            discard(before, older)
+        discard(more)
+    rows = mixed
     if extra is not None:
         mixed = mixed.join(extra, "id")
         sides = {s: [*sides[s], *(F.col(c).alias(f"{s}_{c}") for c in extra.columns if c != "id")] for s in "ab"}
@@ -120,5 +124,8 @@ def linked_groups(
     met = left.join(right, key).where((F.col("a_id") < F.col("b_id")) & (F.col("__ca") != F.col("__cb")) & screen("a", "b") & strict("a", "b"))
     counted = met.groupBy("a_id", "b_id").agg(F.count("*").alias("__n"), F.min(need("a", "b")).alias("__need")).where("__n >= __need").select("a_id", "b_id")
     rest = durable(counted.join(tried, ["a_id", "b_id"], "left_anti"))
+    discard(rows, *parts)
     more = durable(verify(rest))
-    return known if more.isEmpty() else merged(known, more)
+    out = known if more.isEmpty() else merged(known, more)
+    discard(rest, more, *([] if out is known else [known]))
+    return out
