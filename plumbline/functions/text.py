@@ -19,7 +19,7 @@ MODALS = ["must", "shall", "should", "may", "mustnot", "required"]
 RULE_LINE = r"^\s*[-*]\s+\*\*(R\d+)\*\*\s+(.+?)\s*$"
 HEADING = r"^\s*#{2,}\s+(.+?)\s*$"
 CONSTANT = r"\b[A-Z][A-Z0-9_]{2,}\b"
-ID = r"R[0-9]{2}"
+ID = r"R\d{2}"
 IDS = rf"{ID}(?:\s*(?:/|,\s*and|,|and|to)\s*{ID})*"
 #: Where rule ids stand in sources, and what their removal leaves, each with what takes its place.
 STRIPPED = [

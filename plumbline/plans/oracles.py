@@ -289,9 +289,9 @@ SELECT doc_id, md5(s) AS digest, CAST(length(s) AS BIGINT) AS n_chars, regexp_ma
         SELECT doc_id, CASE WHEN len(missing) > 0 OR (named AND raises AND NOT contains(code, 'raise LimitError')) THEN 'DRIFT' WHEN (len(wanted) > 0 AND len(there) = 0) OR (named AND NOT raises) THEN 'UNCERTAIN' ELSE 'COMPLIANT' END AS verdict,
             CAST(CASE WHEN len(missing) > 0 THEN 0.72 WHEN named AND raises AND NOT contains(code, 'raise LimitError') THEN 0.68 WHEN (len(wanted) > 0 AND len(there) = 0) OR (named AND NOT raises) THEN 0.3 ELSE 0.6 END AS DOUBLE) AS confidence,
             CASE WHEN len(missing) > 0 THEN CAST(list_min(missing) AS VARCHAR) WHEN named AND raises AND NOT contains(code, 'raise LimitError') THEN 'LimitError' ELSE '' END AS reason FROM rated""".replace('\\"', '"'),
-    "q40_reverse_judge": r"""WITH asked AS (SELECT item_id % 40 AS slot, min(text) AS rules_text FROM benchmark GROUP BY 1),
-        docs AS (SELECT doc_id, doc_id % 40 AS slot, regexp_replace('_' || regexp_replace(lower(left(text, 24)), '[^a-z]+', '_', 'g'), '^_+', '') AS name, text,
-            CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[1] WHEN doc_id % 3 = 1 THEN 'not there at all' ELSE '  ' || left(text, 30) END AS quote FROM documents),
+    "q40_reverse_judge": r"""WITH asked AS (SELECT item_id % 40 AS slot, string_agg(text, chr(10) ORDER BY text) AS rules_text FROM benchmark GROUP BY 1),
+        docs AS (SELECT doc_id, doc_id % 40 AS slot, regexp_replace('_' || regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z]+', '_', 'g'), '^_+', '') AS name, text,
+            CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[1] WHEN doc_id % 3 = 1 THEN 'not there at all' ELSE '  ' || string_split(text, chr(10))[-1] END AS quote FROM documents),
         said AS (SELECT doc_id, text, quote, list_filter(regexp_split_to_array(lower(name), '_+'), lambda w: length(w) > 3) AS words, lower(rules_text) AS r FROM docs JOIN asked USING (slot)),
         raws AS (SELECT doc_id, CASE WHEN len(words) = 0 OR len(list_filter(words, lambda w: contains(r, left(w, 5)))) > 0 THEN 'AUTHORISED' ELSE 'UNAUTHORISED' END AS raw,
             list_transform(list_filter(string_split(trim(quote), chr(10)), lambda x: trim(x) <> ''), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS wanted,

@@ -411,15 +411,19 @@ def q39_number_gap_judge(spark, d):
 
 @query
 def q40_reverse_judge(spark, d):
-    """A function named after a document's first words, against the text of a benchmark item; with its quote located."""
-    i = F.col("doc_id")
-    asked = rules(spark, d).select((F.col("rule_id") % 40).alias("slot"), "text").groupBy("slot").agg(F.min("text").alias("rules_text"))
-    name = F.concat(F.lit("Box._"), F.regexp_replace(F.lower(F.left("text", F.lit(24))), "[^a-z]+", "_"))
-    quote = F.when(i % 3 == 0, F.element_at(F.split("text", "\n"), 1)).when(i % 3 == 1, F.lit("not there at all")).otherwise(F.concat(F.lit("  "), F.left("text", F.lit(30))))
+    """A function named after a document's first line, against the texts of a slot's benchmark items; with its quote located."""
+    i, lines = F.col("doc_id"), F.split("text", "\n")
+    items = rules(spark, d).select((F.col("rule_id") % 40).alias("slot"), "text")
+    asked = items.groupBy("slot").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("rules_text"))
+    name = F.concat(F.lit("Box._"), F.regexp_replace(F.lower(F.element_at(lines, 1)), "[^a-z]+", "_"))
+    quote = F.when(i % 3 == 0, F.element_at(lines, 1)).when(i % 3 == 1, F.lit("not there at all")).otherwise(F.concat(F.lit("  "), F.element_at(lines, -1)))
     docs = documents(spark, d).select("doc_id", (i % 40).alias("slot"), name.alias("name"), quote.alias("quote"), "text")
-    said = docs.join(F.broadcast(asked), "slot").withColumn("raw", detectors.reverse_judged(F.col("name"), F.col("rules_text"))).withColumn("at", X.locate_quote(F.col("text"), F.col("quote")))
+    said = docs.join(asked, "slot").withColumn("raw", detectors.reverse_judged(F.col("name"), F.col("rules_text")))
+    said = said.withColumn("at", X.locate_quote(F.col("text"), F.col("quote")))
     reply = F.struct(F.col("raw").alias("verdict"), F.lit("b").alias("behaviour"), F.col("quote"), F.lit("none").alias("closest_rule"))
-    return said.select("doc_id", "raw", R.reverse_gate(reply, F.col("at")).alias("g"), "at").select("doc_id", "raw", "g.verdict", "g.downgraded", "g.clause", F.col("at.first").cast("long").alias("first_line"), F.col("at.last").cast("long").alias("last_line"))
+    gate = said.select("doc_id", "raw", R.reverse_gate(reply, F.col("at")).alias("g"), "at")
+    place = [F.col("at.first").cast("long").alias("first_line"), F.col("at.last").cast("long").alias("last_line")]
+    return gate.select("doc_id", "raw", "g.verdict", "g.downgraded", "g.clause", *place)
 
 
 @query
