@@ -363,7 +363,7 @@ told AS (
 SELECT case_id, coalesce(texts.targets, '') AS targets, md5(coalesce(t, '')) AS digest, coalesce(said, '') AS said
 FROM cases LEFT JOIN texts USING (case_id) LEFT JOIN (SELECT case_id, string_agg(one_said, ';' ORDER BY one_said) AS said FROM told GROUP BY case_id) USING (case_id)""",
     "q64_retrieval_misses": f"""WITH {_vectors(5)}, {_GOLD}
-SELECT 'c' || rule_id AS case_id, 'D' || (1 + rule_id % 9) AS category, rule_id FROM ranked WHERE coalesce(rank, 6) > 5 ORDER BY case_id LIMIT 15""",
+SELECT 'c' || rule_id AS case_id, 'D' || (1 + rule_id % 9) AS category, rule_id FROM ranked WHERE coalesce(rank, 2) > 1 ORDER BY case_id LIMIT 15""",
     "q65_source_counts": """SELECT 'w' || doc_id % 3 AS workspace, count(*) AS files, CAST(sum(CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 12 + 3 * (doc_id % 5 + 1) END) AS BIGINT) AS lines FROM documents GROUP BY 1""",
     "q60_live_check": """WITH said AS (
   SELECT CAST(user_id % 20 AS VARCHAR) AS check_id, event_id, 'R' || event_id % 7 AS rule_id, CAST((event_id % 10) / 10 AS VARCHAR) AS confidence, CAST(event_id % 4 AS VARCHAR) AS retrieved,
