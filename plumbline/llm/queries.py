@@ -9,7 +9,7 @@ from plumbline.llm import (
     centroids, chat, decontaminate, filteraudit, fingerprint, langid, linededup, ngramjoin, pieces, quality, rulesforest, tokencount, urllists,
 )
 from plumbline.llm.oracles import ORACLES
-from plumbline.session import spread, table
+from plumbline.session import durable, spread, table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -128,9 +128,9 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).select("doc_id", "text")
-    forest = rulesforest.fit(docs, table(spark, folder, "labels"))
-    return rulesforest.judge(docs, forest).select("doc_id", *rulesforest.BASE, "base_failed", "kept", "anomaly")
+    counted = durable(rulesforest.statistics(documents(spark, folder).select("doc_id", "text")))
+    forest = rulesforest.fit_counted(counted, table(spark, folder, "labels"))
+    return rulesforest.judge_counted(counted, forest).select("doc_id", *rulesforest.BASE, "base_failed", "kept", "anomaly")
 
 
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:

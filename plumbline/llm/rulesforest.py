@@ -1,14 +1,15 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Each text gets counts that quality rules look at (words, symbols, repeated lines and words, ...). Two base rules decide
-first; the rest is judged by an isolation forest over ratios of the counts. A tree splits a small draw of documents at
-random features and values until each stands alone; odd documents are alone after few splits. The score is
+first; the rest is judged by an isolation forest over ratios of the counts. A tree splits its share of the labelled
+documents at random features and values until each stands alone; odd documents are alone after few splits. The score is
 2 ** (-mean path length / expected length), near 1 for odd documents and below 0.5 for common ones. A cut for each band of
 lengths (short texts have odder ratios) is set from labelled rows: the cut that tells poor from good best among those that
 lose at most ``good_loss`` of the good.
 
-The forest and the cuts are learned from at most about ``fit_rows`` labelled documents, drawn by a hash of doc_id; counts
-and scores cover all documents and whole texts.
+All labelled documents take part: each is dealt to a tree, and to several where trees would else have fewer than ``DRAW``
+rows. All trees grow by a level in a pass over the counts, in which tasks keep the least and largest values of each node.
+Cuts come from how many good and poor rows have each score, in steps of 1 / ``STEPS``. What the driver gets is of fixed size.
 
 Defined results: null text is empty, has no words and fails; equal texts have equal scores; of several labels of a
 document the lowest quality holds; null labels and labels of unknown documents are not used; a band without good or
@@ -24,13 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import CASED, blocks, find_words, hash_words, per_batch, shingles, totals
+from plumbline.llm.blocks import CASED, U64, blocks, find_words, hash_words, mix, per_batch, shingles, totals
+from plumbline.session import discard, durable
 
-FIT_ROWS = 8000
 TREES, DRAW, DEPTH = 100, 256, 8
+#: Scores are between 0 and 1; cuts are looked for in so many steps.
+STEPS = 1 << 16
 WINDOW = 8
 #: Cuts are set apart for texts of fewer words than these, and for the rest.
 BANDS = (50, 200, 1000)
@@ -148,100 +151,185 @@ def band(n_words: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(BANDS), n_words, "right")
 
 
+class Growing:
+    """Trees that grow by a level at a time, in the arrays of a ``Forest``, from the extents of their nodes."""
+
+    def __init__(self, trees: int, depth: int = DEPTH):
+        inner = (1 << depth) - 1
+        self.depth, self.feature, self.value = depth, np.full((trees, inner), -1), np.zeros((trees, inner))
+        self.lengths = np.full((trees, inner + 1), np.nan)
+
+    def nodes(self, x: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
+        """The node of ``level`` that each row reaches in its tree."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(level):
+            f = self.feature[tree, node]
+            node = 2 * node + 1 + ((f >= 0) & (x[rows, f] >= self.value[tree, node]))
+        return node
+
+    def split(self, level: int, tree: np.ndarray, node: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> None:
+        """Split the nodes of a level, of ``n`` rows each, or end them where all rows are equal or the tree is deep enough."""
+        wide = high > low
+        ended = ~wide.any(axis=1) | (level == self.depth)
+        first = ((node + 1) << (self.depth - level)) - 1 - self.feature.shape[1]  # the leftmost of the deepest nodes below
+        new = ended & np.isnan(self.lengths[tree, first])  # a node below one that has ended changes nothing
+        self.lengths[tree[new], first[new]] = level + expected_length(n[new])
+        drawn, at = np.where(wide, rng.random(wide.shape), -1.0), rng.random(len(node))
+        f, row = np.argmax(drawn, axis=1), np.arange(len(node))
+        low, high = low[row, f], high[row, f]
+        cut = np.maximum(low + (high - low) * (1 - at), np.nextafter(low, np.inf))  # both sides have rows
+        self.feature[tree[~ended], node[~ended]], self.value[tree[~ended], node[~ended]] = f[~ended], cut[~ended]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.feature, self.value, np.nan_to_num(self.lengths)
+
+
+class Extents:
+    """Number of rows, least and largest values of the nodes of a level; of fixed size."""
+
+    def __init__(self, nodes: int, width: int):
+        self.n = np.zeros(nodes, np.int64)
+        self.low, self.high = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
+
+    def add(self, x: np.ndarray, at: np.ndarray) -> None:
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            there, start, n = np.unique(at[order], return_index=True, return_counts=True)
+            self.n[there] += n
+            self.low[there] = np.minimum(self.low[there], np.minimum.reduceat(x[order], start))
+            self.high[there] = np.maximum(self.high[there], np.maximum.reduceat(x[order], start))
+
+
 def grow(x: np.ndarray, rng: np.random.Generator, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tree over the rows of ``x``, level by level."""
-    inner = (1 << depth) - 1
-    feature, value, lengths = np.full(inner, -1), np.zeros(inner), np.zeros(inner + 1)
-    here: list[tuple[int, int, np.ndarray]] = [(0, 0, np.arange(len(x)))]
-    while here:
-        node, level, own = here.pop()
-        low, high = (x[own].min(axis=0), x[own].max(axis=0)) if len(own) else (np.zeros(1), np.zeros(1))
-        wide = np.flatnonzero(high > low)
-        if level == depth or len(own) < 2 or not len(wide):
-            first = ((node + 1) << (depth - level)) - 1 - inner  # the leftmost of the deepest nodes below
-            lengths[first] = level + expected_length(len(own))
-            continue
-        feature[node] = f = rng.choice(wide)
-        value[node] = cut = low[f] + (high[f] - low[f]) * (1 - rng.random())
-        right = x[own, f] >= cut
-        here += [(2 * node + 1, level + 1, own[~right]), (2 * node + 2, level + 1, own[right])]
-    return feature, value, lengths
-
-
-def best_cut(score: np.ndarray, good: np.ndarray, good_loss: float) -> float:
+    """One tree over the rows of ``x``."""
+    growing, own = Growing(1, depth), np.zeros(len(x), np.int64)
+    for level in range(depth + 1):
+        first, extents = (1 << level) - 1, Extents(1 << level, x.shape[1])
+        extents.add(x, growing.nodes(x, own, level) - first)
+        there = np.flatnonzero(extents.n)
+        growing.split(level, there * 0, there + first, extents.n[there], extents.low[there], extents.high[there], rng)
+    return tuple(part[0] for part in growing.arrays())
+
+
+def dealt(ids: np.ndarray, copies: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree): ``copies`` different trees for each row, by a hash of its id."""
+    hashes = mix(ids.astype(np.int64).view(U64))
+    strides = np.array([s for s in range(1, TREES) if np.gcd(s, TREES) == 1])
+    stride = strides[(hashes >> U64(32)) % U64(len(strides))]
+    trees = (hashes % U64(TREES)).astype(np.int64)[:, None] + stride[:, None] * np.arange(copies)
+    return np.repeat(np.arange(len(ids)), copies), (trees % TREES).ravel()
+
+
+def best_cut(step: np.ndarray, good: np.ndarray, poor: np.ndarray, good_loss: float) -> float:
     """Scores from it on are rejected: the cut with the largest share of poor minus share of good rows above it, among those
-    that lose ``good_loss`` of the good at most."""
-    cuts = np.unique(score)
-    share = lambda s: 1 - np.searchsorted(np.sort(s), cuts, "left") / max(len(s), 1)
-    lost, caught = share(score[good]), share(score[~good])
+    that lose ``good_loss`` of the good at most. ``good`` and ``poor`` count the rows of each ``step``, which ascend."""
+    above = lambda n: np.cumsum(n[::-1])[::-1] / max(n.sum(), 1)
+    lost, caught = above(good), above(poor)
     gain = np.where(lost <= good_loss, caught - lost, -1.0)
     k = int(np.argmax(gain))
     if gain[k] <= 0:
         return np.inf
-    below = cuts[k - 1] if k else cuts[k]
-    return float((cuts[k] + below) / 2)  # halfway to the next score that is kept
-
-
-def train(found: dict[str, np.ndarray], good: np.ndarray, good_loss: float = GOOD_LOSS, seed: int = 7) -> Forest:
-    x, rng, n = ratios(found), np.random.default_rng(seed), len(good)
-    none = np.zeros((0, (1 << DEPTH) - 1))
-    if not n:
-        return Forest(none.astype(int), none, np.zeros((0, 1 << DEPTH)), DRAW, np.full(len(BANDS) + 1, np.inf))
-    draw = min(DRAW, n)
-    trees = [grow(x[rng.choice(n, draw, replace=False)], rng) for _ in range(TREES)]
-    feature, value, lengths = (np.stack(t) for t in zip(*trees, strict=True))
-    forest = Forest(feature, value, lengths, draw, np.full(len(BANDS) + 1, np.inf))
-    judged = ~base_failed(found)
-    score, of, good = forest.score(x)[judged], band(found["n_words"])[judged], good[judged]
-    both = good.any() and (~good).any()
-    overall = best_cut(score, good, good_loss) if both else np.inf
-    for k in range(len(BANDS) + 1):
-        own = of == k
-        forest.cuts[k] = best_cut(score[own], good[own], good_loss) if good[own].any() and (~good[own]).any() else overall
-    return forest
+    below = step[k - 1] + 1 if k else step[k]
+    return float((step[k] + below) / 2 / STEPS)  # halfway to the next score that is kept
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """The given columns but ``text``, with ``COUNTS``."""
-    return _judged(docs, None)
+    carry = [c for c in docs.columns if c != "text"]
+    given, width = docs.select(*carry, "text"), len(carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, bounds in blocks(batch.column(width)):
+                found = counts(data, bounds)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:width], *[pa.array(found[c], pa.int64()) for c in COUNTS]], [*carry, *COUNTS])
+
+    schema = given.select(*carry).schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    return per_batch(given, run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, good_loss: float = GOOD_LOSS) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, *, good_loss: float = GOOD_LOSS, seed: int = 7) -> Forest:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``."""
+    return fit_counted(statistics(docs.select("doc_id", "text")), labels, good_loss=good_loss, seed=seed)
+
+
+def fit_counted(counted: DataFrame, labels: DataFrame, *, good_loss: float = GOOD_LOSS, seed: int = 7) -> Forest:
+    """``fit`` from ``counted(doc_id, COUNTS)``."""
     rated = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, fit_rows / max(rated.count(), 1))
-    drawn = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)  # about fit_rows rows, so small enough to broadcast
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).toArrow()
-    columns = {c: rows.column(c).to_numpy().astype(np.int64) for c in ["doc_id", "quality", *COUNTS]}
-    order = np.lexsort([columns[c] for c in columns][::-1])
-    return train({c: columns[c][order] for c in COUNTS}, columns["quality"][order] == 1, good_loss)
+    rows = durable(counted.select("doc_id", *COUNTS).join(rated, "doc_id"))
+    n, rng = rows.count(), np.random.default_rng(seed)
+    growing = Growing(TREES if n else 0)
+    copies = min(TREES, max(1, -(-TREES * DRAW // max(n, 1))))
+    for level in range(DEPTH + 1 if n else 0):
+        found = _extents(rows, growing, level, copies)
+        growing.split(level, *found, rng)
+    forest = Forest(*growing.arrays(), max(1, n * copies // TREES), np.full(len(BANDS) + 1, np.inf))
+    steps = judge_counted(rows, forest).where("not base_failed").select(
+        "quality", _band(F.col("n_words")).alias("band"), F.floor(F.col("anomaly") * STEPS).alias("step")
+    )
+    good = F.col("quality") == 1
+    cells = steps.groupBy("band", "step").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("poor")).orderBy("step").toArrow()  # of fixed size
+    band_of, step, good, poor = (cells.column(c).to_numpy() for c in ("band", "step", "good", "poor"))
+    both = good.any() and poor.any()
+    every, at = np.unique(step, return_inverse=True)
+    overall = best_cut(every, np.bincount(at, good), np.bincount(at, poor), good_loss) if both else np.inf
+    for k in range(len(BANDS) + 1):
+        own = band_of == k
+        forest.cuts[k] = best_cut(step[own], good[own], poor[own], good_loss) if good[own].any() and poor[own].any() else overall
+    discard(rows)
+    return forest
+
+
+def _band(n_words: Column) -> Column:
+    return sum(((n_words >= b).cast("int") for b in BANDS), F.lit(0))
+
+
+def _features(batch: pa.RecordBatch) -> np.ndarray:
+    return ratios({c: batch.column(c).to_numpy() for c in COUNTS})
+
+
+def _extents(rows: DataFrame, growing: Growing, level: int, copies: int) -> tuple[np.ndarray, ...]:
+    """(tree, node, n, low, high) of the nodes of a level that have rows."""
+    shared, size, first = rows.sparkSession.sparkContext.broadcast(growing), 1 << level, (1 << level) - 1
+    width = len(ratios({c: np.zeros(0) for c in COUNTS}).T)
+    lows, highs = [f"low{k}" for k in range(width)], [f"high{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        growing, extents = shared.value, Extents(TREES * size, width)
+        for batch in batches:
+            x, ids = _features(batch), batch.column("doc_id").to_numpy()
+            row, tree = dealt(ids, copies)
+            extents.add(x[row], tree * size + growing.nodes(x[row], tree, level) - first)
+        there = np.flatnonzero(extents.n)
+        columns = [there, extents.n[there], *extents.low[there].T, *extents.high[there].T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "n", *lows, *highs])
+
+    schema = "at long, n long, " + ", ".join(f"{c} double" for c in [*lows, *highs])
+    parts = per_batch(rows.select("doc_id", *COUNTS), run, schema)
+    whole = parts.groupBy("at").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).orderBy("at").toArrow()  # of fixed size
+    at, n = whole.column("at").to_numpy(), whole.column("n").to_numpy()
+    stack = lambda names: np.stack([whole.column(c).to_numpy() for c in names], axis=1)
+    return at // size, at % size + first, n, stack(lows), stack(highs)
 
 
 def judge(docs: DataFrame, forest: Forest) -> DataFrame:
     """The given columns but ``text``, with ``COUNTS``, ``base_failed``, ``anomaly`` and ``kept``."""
-    return _judged(docs, forest)
+    return judge_counted(statistics(docs), forest)
 
 
-def _judged(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    carry = [c for c in docs.columns if c != "text"]
-    given, width = docs.select(*carry, "text"), len(carry)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # of fixed size
-    names = [*carry, *COUNTS, *(["base_failed", "anomaly", "kept"] if forest else [])]
+def judge_counted(counted: DataFrame, forest: Forest) -> DataFrame:
+    """The given columns, among them ``COUNTS``, with ``base_failed``, ``anomaly`` and ``kept``."""
+    shared = counted.sparkSession.sparkContext.broadcast(forest)  # of fixed size
+    names = [*counted.columns, "base_failed", "anomaly", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
-            for a, b, data, bounds in blocks(batch.column(width)):
-                found = counts(data, bounds)
-                columns = [*batch.slice(a, b - a).columns[:width], *[pa.array(found[c], pa.int64()) for c in COUNTS]]
-                if forest:
-                    score = forest.score(ratios(found))
-                    columns += [pa.array(base_failed(found)), pa.array(score), pa.array(forest.kept(found, score))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            found = {c: batch.column(c).to_numpy() for c in COUNTS}
+            score = forest.score(ratios(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(found)), pa.array(score), pa.array(forest.kept(found, score))], names)
 
-    schema = given.select(*carry).schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
-    if forest:
-        schema = schema.add("base_failed", "boolean").add("anomaly", "double").add("kept", "boolean")
-    return per_batch(given, run, schema)
+    schema = counted.select("*").schema  # of its own, as ``add`` changes it
+    return per_batch(counted, run, schema.add("base_failed", "boolean").add("anomaly", "double").add("kept", "boolean"))

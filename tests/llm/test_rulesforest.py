@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm import rulesforest
 from plumbline.llm.queries import QUERIES
@@ -90,3 +91,22 @@ def test_query_over_the_whole_table(spark):
         assert {c: r[c] for c in rulesforest.BASE} == {c: want[c] for c in rulesforest.BASE}
         failed = want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"]
         assert r["base_failed"] == failed and not (failed and r["kept"])
+
+
+def test_every_labelled_row_counts(spark):
+    """Poor rows are among those that a draw of 8,000 of 9,000 by a hash leaves out; without them nothing is cut off."""
+    ids = spark.range(9000).selectExpr("id as doc_id", "pmod(xxhash64(id), 1000003) >= 8000 / 9000 * 1000003 and id % 7 = 0 as poor")
+    docs = ids.selectExpr("doc_id", "array_join(transform(sequence(1, 30), k -> concat('word', (doc_id * k) % 97, if(poor, '###', ''))), ' ') as text")
+    labels = ids.selectExpr("doc_id", "if(poor, 0, 1) as quality")
+    counted = rulesforest.statistics(docs)
+    tree, node, n, _, _ = rulesforest._extents(counted, rulesforest.Growing(rulesforest.TREES), 0, 3)
+    assert n.sum() == 27_000 and len(set(tree)) == rulesforest.TREES and not node.any()
+    judged = rulesforest.judge_counted(counted, rulesforest.fit_counted(counted, labels)).where("not base_failed").join(labels, "doc_id")
+    kept = {r["quality"]: r["kept"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1] >= 0.99 and kept[0] < 0.1
+
+
+def test_rows_are_dealt_to_different_trees():
+    row, tree = rulesforest.dealt(np.arange(-500, 500), 7)
+    assert sorted(row) == sorted(list(range(1000)) * 7)
+    assert len(set(zip(row, tree, strict=True))) == 7000 and set(tree) == set(range(rulesforest.TREES))
