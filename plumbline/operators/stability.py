@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.scoring import rates, ratio, tally
 from plumbline.schemas import CATEGORIES
-from plumbline.session import durable
+from plumbline.session import durable, ship
 
 METRICS = ("precision", "recall", "f1", "false_alarm_rate")
+#: A draw is followed in arrays of so many picks.
+PICKED = 1 << 20
 
 
 def run_rates(scored: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def hashed_bootstrap(scored: DataFrame, draws: int, seed: int = 0) -> DataFrame:
 
 def exact_bootstrap(outcomes: list[tuple[str, str, list[str]]], draws: int = 2000, seed: int = 0) -> list[tuple]:
     """(scope, metric, mean, lo, hi) with Python's own generator: all cases first, then the categories on the same stream
-    in first-seen order. ``outcomes`` has (case_id, category, outcomes by run) in case order; a benchmark, small by nature."""
+    in first-seen order. ``outcomes`` has (case_id, category, outcomes by run) in case order. The plain form, for a small benchmark; ``exact_intervals`` draws the same from tables."""
 
     def rated(chosen: list[list[str]]) -> dict[str, float]:
         flat = [o for runs in chosen for o in runs]
@@ -110,8 +115,91 @@ def exact_bootstrap(outcomes: list[tuple[str, str, list[str]]], draws: int = 200
     return rows
 
 
+def stream(state: tuple) -> np.random.MT19937:
+    """Python's own generator in a given state, whose words come in arrays."""
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    return words
+
+
+def picks(words: np.random.MT19937, n: int, count: int) -> Iterator[np.ndarray]:
+    """``count`` times what ``random.choice`` picks of ``n``, in arrays: the high bits of a word, and the next word where
+    they are ``n`` or more. No word is taken that ``random.choice`` would not take."""
+    shift = np.uint64(32 - n.bit_length())
+    while count:
+        found = words.random_raw(min(count, PICKED)) >> shift
+        found = found[found < n]
+        count -= len(found)
+        yield found
+
+
 def exact_intervals(spark: SparkSession, scored: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """``exact_bootstrap`` over outcomes (case_id, category, case_pos, run, outcome)."""
-    listed = scored.groupBy("case_id", "category", "case_pos").agg(F.array_sort(F.collect_list(F.struct("run", "outcome"))).alias("o"))
-    rows = [(r["case_id"], r["category"], [o["outcome"] for o in r["o"]]) for r in listed.orderBy("case_pos").collect()]
-    return spark.createDataFrame(exact_bootstrap(rows, draws, seed) if rows else [], "scope string, metric string, mean double, lo double, hi double")
+    """(scope, metric, mean, lo, hi) with Python's own generator: all cases first, then the categories on the same stream in
+    first-seen order. ``scored`` has (case_id, category, case_pos, run, outcome).
+
+    The stream is one, so the driver walks it for where each draw begins, for which it needs only how many cases there are.
+    Tasks follow it from there over the cases in their order, a byte or two each: which of the distinct outcomes by run it has."""
+    listed = scored.groupBy("case_id", "category", "case_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "outcome"))), lambda x: x["outcome"]), ",").alias("o"))
+    placed = durable(listed.select("category", "case_pos", "o"))
+    kinds = [r["o"] for r in placed.select("o").distinct().orderBy("o").collect()]  # outcomes by run, few
+    seen = [(r["category"], r["n"]) for r in placed.groupBy("category").agg(F.count("*").alias("n"), F.min("case_pos").alias("first")).orderBy("first").collect()]
+    if not kinds:
+        return spark.createDataFrame([], "scope string, metric string, mean double, lo double, hi double")
+    narrow = "smallint" if max(len(kinds), len(seen)) < 1 << 15 else "int"
+    code = lambda c, names: F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])[F.col(c)].cast(narrow).alias(c)
+    rows = placed.select("case_pos", code("o", kinds), code("category", [c for c, _ in seen])).orderBy("case_pos").select("o", "category").toArrow()
+    own, of = rows.column("o").to_numpy(), rows.column("category").to_numpy()
+    counted = np.array([[kind.split(",").count(k) for k in ("TP", "FN", "FP", "TN")] for kind in kinds], np.int64)
+    scopes = [("overall", own), *((category, own[of == k]) for k, (category, _) in enumerate(seen))]
+
+    words, begins = stream(random.Random(seed).getstate()[1]), []
+    for place, (_, cases) in enumerate(scopes):
+        for _ in range(draws):
+            at = words.state["state"]
+            begins.append((place, np.append(at["key"], at["pos"]).astype(np.uint32).tobytes()))
+            for _ in picks(words, len(cases), len(cases)):
+                pass
+    shared = spark.sparkContext.broadcast(([cases for _, cases in scopes], len(kinds)))
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cases, n_kinds = shared.value
+        for frame in frames:
+            for place, begin in zip(frame["place"], frame["begin"], strict=True):
+                n, total = len(cases[place]), np.zeros(n_kinds, np.int64)
+                for found in picks(stream(tuple(np.frombuffer(begin, np.uint32).tolist())), n, n):
+                    total += np.bincount(cases[place][found.astype(np.int64)], minlength=n_kinds)
+                yield pd.DataFrame({"place": [place], "kinds": [total.tolist()]})
+
+    tasks = spark.createDataFrame(begins, "place int, begin binary").repartition(spark.sparkContext.defaultParallelism)
+    drawn = [[] for _ in scopes]
+    for r in tasks.mapInPandas(run, "place int, kinds array<long>").collect():  # a row a draw
+        drawn[r["place"]].append(np.array(r["kinds"]) @ counted)
+    return spark.createDataFrame(_intervals(scopes, counted, drawn), "scope string, metric string, mean double, lo double, hi double")
+
+
+def _intervals(scopes: list[tuple[str, np.ndarray]], counted: np.ndarray, drawn: list[list[np.ndarray]]) -> list[tuple]:
+    """Rows from the (TP, FN, FP, TN) of each scope's draws."""
+    part = lambda a, b: a / b if b else 0.0
+
+    def rated(tally: np.ndarray) -> dict[str, float]:
+        tp, fn, fp, tn = map(int, tally)
+        p, r = part(tp, tp + fp), part(tp, tp + fn)
+        return {"precision": p, "recall": r, "f1": part(2 * p * r, p + r), "false_alarm_rate": part(fp, fp + tn)}
+
+    def bounds(values: list[float]) -> tuple[float, float]:
+        low, high = rank_places(len(values))
+        ordered = sorted(values)
+        return round(ordered[low - 1], 4), round(ordered[high - 1], 4)
+
+    drift, rows = {c for c, _, d in CATEGORIES if d}, []
+    for (scope, cases), samples in zip(scopes, drawn, strict=True):
+        whole = np.bincount(cases, minlength=len(counted)) @ counted
+        if not rows:
+            every = [rated(s) for s in samples]
+            rows = [(scope, metric, round(mean, 4), *bounds([s[metric] for s in every])) for metric, mean in rated(whole).items()]
+            continue
+        at, metric = (0, "recall") if scope in drift else (2, "false_alarm_rate")
+        share = lambda tally, at=at: int(tally[at]) / int(tally.sum())
+        rows.append((scope, metric, round(share(whole), 4), *bounds([share(s) for s in samples])))
+    return rows

@@ -2,6 +2,7 @@ import hashlib
 import io
 import json
 import math
+import random
 import re
 import zipfile
 
@@ -74,6 +75,21 @@ def test_published_intervals():
     assert stability.rank_places(2000) == (51, 1950)
 
 
+def test_exact_intervals_follow_pythons_stream(spark, monkeypatch):
+    """Equal to the plain form with the same seed, in arrays shorter than a draw as well; no case is drawn on the driver."""
+    rng = random.Random(5)
+    kinds = {"D1": ["TP", "FN"], "N1": ["FP", "TN"], "D2": ["TP", "FN"]}
+    cases = [(f"c{k}", c, k, [rng.choice(kinds[c]) for _ in range(3)]) for k in range(700) for c in [rng.choice(list(kinds))]]
+    rows = [(i, c, k, run, o) for i, c, k, outcomes in cases for run, o in enumerate(outcomes)]
+    scored = spark.createDataFrame(rows, "case_id string, category string, case_pos long, run int, outcome string").repartition(3)
+    want = stability.exact_bootstrap([(i, c, o) for i, c, _, o in cases], 30, seed=3)
+    monkeypatch.setattr(stability, "exact_bootstrap", None)
+    assert [tuple(r) for r in stability.exact_intervals(spark, scored, 30, seed=3).collect()] == want
+    monkeypatch.setattr(stability, "PICKED", 100)
+    assert [tuple(r) for r in stability.exact_intervals(spark, scored, 30, seed=3).collect()] == want
+    assert stability.exact_intervals(spark, scored.limit(0), 30).count() == 0
+
+
 def python_tokens(text):
     found = re.findall(X.TOKEN, text)
     return [t if t[0].isdigit() else t.lower() for t in found if t[0].isdigit() or (len(t) > 1 and t.lower() not in X.STOPWORDS)]
