@@ -50,6 +50,18 @@ def weighted(
     return raw(kept).join(norms, keys).select(*keys, "token", (F.col("w") / F.col("norm")).alias("w"), "band")
 
 
+def weighted_within(docs: DataFrame, totals: DataFrame, keys: list[str], group: list[str], parts: int) -> DataFrame:
+    """What ``weighted`` gives of ``docs`` (keys, text; ``rule`` among the keys) for the tokens that rules of the group have:
+    texts are dealt by group over ``parts`` partitions, and all else follows where they are."""
+    terms = term_counts(docs.repartition(parts, *group), keys).join(totals, group)
+    token = Window.partitionBy(*group, "token")
+    known = terms.withColumn("df", F.count("*").over(token)).withColumn("__asked", F.max("rule").over(token))
+    raw = known.select(*keys, "token", "__asked", ((1 + F.log("n")) * idf(F.col("total"), F.col("df"))).alias("w"))
+    doc = Window.partitionBy(*keys)
+    unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))
+    return raw.select(*keys, "token", "__asked", unit.alias("w"), F.floor(F.log2(F.count("*").over(doc))).cast("int").alias("band")).where("__asked").drop("__asked")
+
+
 def bucketed(vectors: DataFrame, keys: list[str], bucket: Column, weight: str = "w") -> DataFrame:
     """(keys, bucket, w): colliding tokens add up, then length 1."""
     added = vectors.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(weight).alias("w"))
@@ -78,6 +90,11 @@ def md5_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 SEED_TOKENS, SEED_CHUNKS, SHARE = 8, 2, 0.5
 
 
+#: Groups of at most WITHIN documents are weighted where their texts are, about PART documents in a task; with a larger group,
+#: tokens are dealt instead.
+WITHIN, PART = 1000, 4000
+
+
 @dataclass(frozen=True)
 class Postings:
     """Unit vectors of rules and of chunks, as tables of one row a token.
@@ -99,13 +116,20 @@ def postings(rules: DataFrame, chunks: DataFrame, group: list[str], decimals: in
     sides = [(rules, "rule_id", True), (chunks, "chunk_id", False)]
     both = [side.select(*group, F.col(name).cast("string").alias("doc"), F.lit(rule).alias("rule"), "text") for side, name, rule in sides]
     keys = [*group, "rule", "doc"]
-    terms = durable(term_counts(both[0].unionByName(both[1]).repartition(*keys), keys))  # texts move once, their tokens stay
     count = [side.groupBy(*group).agg(F.count("*").alias("total")) for side in both]
     totals = count[0].unionByName(count[1]).groupBy(*group).agg(F.sum("total").alias("total"))
-    wanted = durable(terms.where("rule").select(*group, "token").distinct())
-    frequency = durable(document_frequency(terms, group))  # written, so that Spark knows its size before it joins
-    vectors = durable(weighted(terms, frequency, totals, keys, group, wanted))
-    discard(terms, wanted, frequency)
+    totals = durable(totals) if group else totals
+    largest, documents = totals.agg(F.max("total"), F.sum("total")).first() if group else (None, None)
+    if group and (largest or 0) <= WITHIN:
+        parts = max(rules.sparkSession.sparkContext.defaultParallelism, -(-(documents or 0) // PART))
+        vectors = durable(weighted_within(both[0].unionByName(both[1]), totals, keys, group, parts))
+    else:
+        terms = durable(term_counts(both[0].unionByName(both[1]).repartition(*keys), keys))  # texts move once, their tokens stay
+        wanted = durable(terms.where("rule").select(*group, "token").distinct())
+        frequency = durable(document_frequency(terms, group))  # written, so that Spark knows its size before it joins
+        vectors = durable(weighted(terms, frequency, totals, keys, group, wanted))
+        discard(terms, wanted, frequency)
+    discard(totals)
     asked = vectors.where("rule").select(*group, F.col("doc").alias("rule_key"), "token", F.col("w").alias("wr"))
     held = vectors.where("not rule").select(*group, F.col("doc").alias("chunk_key"), "band", "token", F.col("w").alias("wc"))
     peaks = held.groupBy(*group, "band", "token").agg(F.max("wc").alias("peak"))

@@ -70,3 +70,24 @@ def test_few_pairs_are_candidates(spark):
     pairs = 40 * 1000
     assert left < 0.05 * pairs and left < 0.1 * meeting
     assert joined < 0.75 * index.asked.join(index.held, "token").count()
+
+
+def test_groups_are_weighted_where_their_texts_are(spark, monkeypatch):
+    """Vectors, peaks and hits equal those by joins, with empty texts and a group without rules; texts are the only rows dealt."""
+    rng = random.Random(11)
+    asked = [(f"g{g}", f"r{i}", t) for g in range(4) for i, t in enumerate(texts(3, rng, 2, 9))] + [("g1", "r9", "")]
+    held = [(f"g{g}", i, t) for g in range(5) for i, t in enumerate(texts(12, rng))] + [("g2", 99, ""), ("g2", 98, None)]
+    rules_, chunks = spark.createDataFrame(asked, "g string, rule_id string, text string"), spark.createDataFrame(held, "g string, chunk_id long, text string")
+
+    def found():
+        index = retrieval.postings(rules_, chunks, ["g"])
+        tables = [sorted((*[round(v, 12) if isinstance(v, float) else v for v in r],) for r in t.collect()) for t in (index.asked, index.held, index.peaks)]
+        return tables, sorted(tuple(r) for r in retrieval.top_chunks(rules_, chunks, 3, ["g"]).collect())
+
+    within = found()
+    monkeypatch.setattr(retrieval, "WITHIN", 0)
+    assert found() == within
+    docs = chunks.selectExpr("g", "false as rule", "cast(chunk_id as string) as doc", "text")
+    totals = spark.createDataFrame([(f"g{g}", 15) for g in range(5)], "g string, total long").localCheckpoint()
+    plan = retrieval.weighted_within(docs, totals, ["g", "rule", "doc"], ["g"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and not [x for x in plan.split("\n") if "Exchange" in x and "token" in x]
