@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,11 @@ def content_key(*parts: Column, run: Column | None = None) -> Column:
     return F.sha2(body.cast("binary"), 256)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a lambda would work out what stands around it for each element anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -167,9 +173,15 @@ def locate_quote(source: Column, quote: Column) -> Column:
     source; else the whole source if the squeezed quote is within it; else null."""
     wanted = F.transform(F.filter(F.split(F.trim(quote), r"\r?\n"), lambda x: F.trim(x) != ""), squeeze)
     lines = F.transform(F.split(source, r"\r?\n"), squeeze)
-    starts = F.when(F.size(lines) >= F.size(wanted), F.sequence(F.lit(0), F.size(lines) - F.size(wanted))).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(starts, lambda s: F.forall(F.sequence(F.lit(1), F.size(wanted)), lambda k: F.contains(F.element_at(lines, s + k), F.element_at(wanted, k))))
-    first = F.try_element_at(fits, F.lit(1))
     span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
-    whole = F.when(F.contains(squeeze(source), squeeze(quote)), span(F.lit(0), F.size(lines) - 1))
-    return F.when(F.size(wanted) > 0, F.when(first.isNotNull(), span(first, first + F.size(wanted) - 1)).otherwise(whole))
+
+    def place(p: Column) -> Column:
+        lines, wanted, last = p["lines"], p["wanted"], F.size(p["lines"]) - F.size(p["wanted"])
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(starts, lambda s: F.forall(F.sequence(F.lit(1), F.size(wanted)), lambda k: F.contains(F.element_at(lines, s + k), F.element_at(wanted, k))))
+        # Of one line, which most quotes are, the places need no look-up by number.
+        one = F.array_position(F.transform(lines, lambda x: F.contains(x, F.element_at(wanted, 1))), True) - 1
+        first = F.when(F.size(wanted) == 1, F.nullif(one, F.lit(-1)).cast("int")).otherwise(F.try_element_at(fits, F.lit(1)))
+        return once(first, lambda f: F.when(f.isNotNull(), span(f, f + F.size(wanted) - 1)).when(F.contains(squeeze(source), squeeze(quote)), span(F.lit(0), F.size(lines) - 1)))
+
+    return F.when(F.size(wanted) > 0, once(F.struct(lines.alias("lines"), wanted.alias("wanted")), place))

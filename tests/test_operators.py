@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zipfile
 
 import pytest
@@ -90,6 +91,16 @@ def test_exact_intervals_follow_pythons_stream(spark, monkeypatch):
     assert stability.exact_intervals(spark, scored.limit(0), 30).count() == 0
 
 
+def test_quotes_are_sought_in_lines_made_once(spark):
+    """In a text of many lines, each line is squeezed once and not for each place anew."""
+    text, quote = "\n".join(f"line  {k} of" for k in range(6000)), "line 5998 of\n  line 5999  of"
+    rows = [(text, quote), (text, "5998 of"), ("a b\nc  d", "b c d"), ("a", "a\nb"), ("a", " "), ("a\nb", "A")]
+    began = time.monotonic()
+    got = spark.createDataFrame(rows, "t string, q string").select(X.locate_quote(F.col("t"), F.col("q")).alias("at")).collect()
+    assert [r["at"] and tuple(r["at"]) for r in got] == [(5998, 5999), (5998, 5998), (0, 1), None, None, None]
+    assert time.monotonic() - began < 15
+
+
 def python_tokens(text):
     found = re.findall(X.TOKEN, text)
     return [t if t[0].isdigit() else t.lower() for t in found if t[0].isdigit() or (len(t) > 1 and t.lower() not in X.STOPWORDS)]
