@@ -15,6 +15,15 @@ from plumbline.functions import text as X
 from plumbline.session import discard, durable, ship
 
 DIMENSIONS = 2048
+#: Texts are counted by about PART documents in a task. Groups of at most WITHIN documents are weighted where their texts are;
+#: with a larger group, tokens are dealt instead.
+WITHIN, PART = 1000, 4000
+
+
+def dealt(docs: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``n`` documents dealt by ``keys`` over a partition per ``PART``, which no coalescing changes: what a task counts of them
+    in memory stays the same however many there are."""
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // PART)), *keys)
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -50,10 +59,10 @@ def weighted(
     return raw(kept).join(norms, keys).select(*keys, "token", (F.col("w") / F.col("norm")).alias("w"), "band")
 
 
-def weighted_within(docs: DataFrame, totals: DataFrame, keys: list[str], group: list[str], parts: int) -> DataFrame:
+def weighted_within(docs: DataFrame, totals: DataFrame, keys: list[str], group: list[str], n: int) -> DataFrame:
     """What ``weighted`` gives of ``docs`` (keys, text; ``rule`` among the keys) for the tokens that rules of the group have:
-    texts are dealt by group over ``parts`` partitions, and all else follows where they are."""
-    terms = term_counts(docs.repartition(parts, *group), keys).join(totals, group)
+    the ``n`` texts are dealt by group, and all else follows where they are."""
+    terms = term_counts(dealt(docs, group, n), keys).join(totals, group)
     token = Window.partitionBy(*group, "token")
     known = terms.withColumn("df", F.count("*").over(token)).withColumn("__asked", F.max("rule").over(token))
     raw = known.select(*keys, "token", "__asked", ((1 + F.log("n")) * idf(F.col("total"), F.col("df"))).alias("w"))
@@ -90,11 +99,6 @@ def md5_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 SEED_TOKENS, SEED_CHUNKS, SHARE = 8, 2, 0.5
 
 
-#: Groups of at most WITHIN documents are weighted where their texts are, about PART documents in a task; with a larger group,
-#: tokens are dealt instead.
-WITHIN, PART = 1000, 4000
-
-
 @dataclass(frozen=True)
 class Postings:
     """Unit vectors of rules and of chunks, as tables of one row a token.
@@ -118,13 +122,12 @@ def postings(rules: DataFrame, chunks: DataFrame, group: list[str], decimals: in
     keys = [*group, "rule", "doc"]
     count = [side.groupBy(*group).agg(F.count("*").alias("total")) for side in both]
     totals = count[0].unionByName(count[1]).groupBy(*group).agg(F.sum("total").alias("total"))
-    totals = durable(totals) if group else totals
-    largest, documents = totals.agg(F.max("total"), F.sum("total")).first() if group else (None, None)
-    if group and (largest or 0) <= WITHIN:
-        parts = max(rules.sparkSession.sparkContext.defaultParallelism, -(-(documents or 0) // PART))
-        vectors = durable(weighted_within(both[0].unionByName(both[1]), totals, keys, group, parts))
+    totals, docs = durable(totals), both[0].unionByName(both[1])
+    largest, n = (x or 0 for x in totals.agg(F.max("total"), F.sum("total")).first())
+    if group and largest <= WITHIN:
+        vectors = durable(weighted_within(docs, totals, keys, group, n))
     else:
-        terms = durable(term_counts(both[0].unionByName(both[1]).repartition(*keys), keys))  # texts move once, their tokens stay
+        terms = durable(term_counts(dealt(docs, keys, n), keys))  # texts move once, their tokens stay
         wanted = durable(terms.where("rule").select(*group, "token").distinct())
         frequency = durable(document_frequency(terms, group))  # written, so that Spark knows its size before it joins
         vectors = durable(weighted(terms, frequency, totals, keys, group, wanted))

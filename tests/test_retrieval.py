@@ -89,5 +89,16 @@ def test_groups_are_weighted_where_their_texts_are(spark, monkeypatch):
     assert found() == within
     docs = chunks.selectExpr("g", "false as rule", "cast(chunk_id as string) as doc", "text")
     totals = spark.createDataFrame([(f"g{g}", 15) for g in range(5)], "g string, total long").localCheckpoint()
-    plan = retrieval.weighted_within(docs, totals, ["g", "rule", "doc"], ["g"], 3)._jdf.queryExecution().executedPlan().toString()
+    plan = retrieval.weighted_within(docs, totals, ["g", "rule", "doc"], ["g"], 15)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and not [x for x in plan.split("\n") if "Exchange" in x and "token" in x]
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_a_task_counts_few_documents(spark, monkeypatch, group):
+    """Texts are dealt by their number, not by what a session joins into one partition."""
+    monkeypatch.setattr(retrieval, "PART", 10)
+    counted, counts = [], retrieval.term_counts
+    monkeypatch.setattr(retrieval, "term_counts", lambda docs, keys: counted.append(docs.rdd.getNumPartitions()) or counts(docs, keys))
+    chunks = spark.range(95).selectExpr("id as chunk_id", "'g' || id % 30 as g", "'lonek ' || id as text").coalesce(1)
+    retrieval.postings(spark.createDataFrame([("r", "g1", "lonek")], "rule_id string, g string, text string"), chunks, group)
+    assert counted == [10]
