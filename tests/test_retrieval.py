@@ -102,3 +102,11 @@ def test_a_task_counts_few_documents(spark, monkeypatch, group):
     chunks = spark.range(95).selectExpr("id as chunk_id", "'g' || id % 30 as g", "'lonek ' || id as text").coalesce(1)
     retrieval.postings(spark.createDataFrame([("r", "g1", "lonek")], "rule_id string, g string, text string"), chunks, group)
     assert counted == [10]
+
+
+def test_hashed_buckets_deal_texts_only(spark):
+    """One exchange, of texts; tokens and buckets are added up where they are."""
+    from plumbline.plans.queries import QUERIES
+
+    plan = QUERIES["q06_hash_bucket_norm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
