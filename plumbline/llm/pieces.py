@@ -6,7 +6,7 @@ has, and a bigram acceptor over pieces. Weights are of the tropical semiring, th
 whose encoding is no best-scoring path of the lexicon; so the acceptor carries the kind's weights: two pieces that stay
 apart when their joined string is merged weigh 0, all others infinity. A merge sequence never crosses a boundary of the
 result, so a piece string is the model's encoding of an input if and only if each neighbouring pair encodes to itself,
-and the shortest path through input, lexicon and acceptor is the encoding. ``path`` relaxes arcs, the lightest first; a
+and the shortest path through input, lexicon and acceptor is the encoding. ``path`` relaxes arcs of finite weight only; a
 state is a place with the last piece. The same holds for every prefix of the input, so that a place has one state of
 finite weight at most.
 
@@ -23,7 +23,7 @@ ties arise: the path of finite weight is the only one. (Segments of a block are
 from __future__ import annotations
 
 import hashlib
-import heapq
+import pickle
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -87,8 +87,11 @@ class Transducer:
         self.proper = {p for p in self.ids if self.merged(p) == [p]}
         #: Neighbouring characters of some piece; between any others the composition falls apart.
         self.joints = {p[k : k + 2] for p in self.proper for k in range(len(p) - 1)}
-        #: All beginnings of pieces: the lexicon as a trie.
-        self.heads = {p[:k] for p in self.proper for k in range(1, len(p) + 1)}
+        #: All beginnings of pieces, the lexicon as a trie: the id of a beginning that is a piece itself, else -1.
+        self.lexicon = {p[:k]: -1 for p in self.proper for k in range(1, len(p) + 1)} | {p: self.ids[p] for p in self.proper}
+        #: Surfaces end to end, with their bounds.
+        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in self.surface])])
 
     def merged(self, text: str) -> list[str]:
         """Best-score-first merges of a short string, leftmost among equals; only for compiling weights."""
@@ -119,47 +122,60 @@ class Transducer:
 
     def arcs(self, segment: str, place: int) -> list[tuple[int, str]]:
         """The lexicon's arcs (end, piece) that leave a place; of a character without a piece, its bytes as one arc."""
-        heads, proper, out = self.heads, self.proper, []
+        find, out = self.lexicon.get, []
         for end in range(place + 1, len(segment) + 1):
             piece = segment[place:end]
-            if piece not in heads:
+            k = find(piece)
+            if k is None:
                 break
-            if piece in proper:
+            if k >= 0:
                 out.append((end, piece))
         return out or [(place + 1, segment[place])]
 
     def path(self, segment: str) -> list[int]:
-        """Ids on the shortest path through the composition with ``segment``. The lightest arc is relaxed first, among
-        equals the one that reaches furthest; its acceptor weight, never under 0, is looked up only then. An arc that turns
-        out finite so has the least weight that its end can have, and settles it."""
-        size = len(segment)
+        """Ids on the shortest path through the composition with ``segment``. Weights are 0 or infinite, so an arc that turns out
+        finite has the least weight that its end can have, and settles it; which arc is relaxed first changes no result. It is
+        the one that reaches furthest from the place settled last; its acceptor weight is looked up only then."""
+        size, clear = len(segment), self.clear.get
         #: The last piece of the places settled.
         last: list[str | None] = [None] * (size + 1)
-        waiting = [(0.0, -end, 0, piece) for end, piece in self.arcs(segment, 0)]
-        heapq.heapify(waiting)
+        waiting = [(end, piece, None) for end, piece in self.arcs(segment, 0)]
         while last[size] is None:
-            so_far, end, place, piece = heapq.heappop(waiting)
-            end = -end
+            end, piece, before = waiting.pop()
             if last[end] is not None:
                 continue
-            total = so_far + (self.weight(last[place], piece) if place else 0.0)
-            if total == INFINITE:
-                continue
+            if before is not None:
+                apart = clear((before, piece))
+                if not (self.weight(before, piece) == 0.0 if apart is None else apart):
+                    continue
             last[end] = piece
             if end < size:
-                for further, next_piece in self.arcs(segment, end):
-                    if last[further] is None:
-                        heapq.heappush(waiting, (total, -further, end, next_piece))
-        found, place = [], size
-        while place:
-            found.append(last[place])
-            place -= len(found[-1])
+                waiting.extend((further, following, piece) for further, following in self.arcs(segment, end) if last[further] is None)
         out: list[int] = []
-        for piece in reversed(found):
+        while size:
+            piece = last[size]
             k = self.ids.get(piece)
-            out.extend([k] if k is not None else [self.bytes[b] for b in piece.encode()])
+            out.extend([k] if k is not None else [self.bytes[b] for b in reversed(piece.encode())])
+            size -= len(piece)
+        out.reverse()
         return out
 
+    def gives_back(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each segment (bytes of ``data``), whether the surfaces of its ids, ``sizes`` of them, end to end are its bytes."""
+        width = np.diff(self.edges)[ids]
+        place = np.concatenate([[0], np.cumsum(width)])
+        stops = np.cumsum(sizes)
+        made = place[stops] - place[stops - sizes]
+        same = made == ends - starts
+        held = np.repeat(same, sizes)
+        ids, width, length = ids[held], width[held], made[same]
+        said = self.surfaces[np.arange(width.sum()) + np.repeat(self.edges[ids] - (np.cumsum(width) - width), width)]
+        stops = np.cumsum(length)
+        given = data[np.arange(len(said)) + np.repeat(starts[same] - (stops - length), length)]
+        wrong = np.concatenate([[0], np.cumsum(said != given)])
+        same[same] = wrong[stops] == wrong[stops - length]
+        return same
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces and bytes end to end, without the dummy prefix."""
         whole = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -193,7 +209,7 @@ class Memo:
 
 @cache
 def machine(digest: str, model: bytes) -> Transducer:
-    """One transducer a file and worker."""
+    """One transducer a file; the driver's."""
     return Transducer(model)
 
 
@@ -201,6 +217,11 @@ def compiled(model: bytes) -> Transducer:
     return machine(hashlib.sha256(model).hexdigest(), model)
 
 
+def packed(model: str) -> bytes:
+    """The transducer of a file for the tasks: each unpacks one of its own, so that no worker keeps it after its task."""
+    return pickle.dumps(compiled(file_bytes(model)), pickle.HIGHEST_PROTOCOL)
+
+
 def padded(data: np.ndarray, bounds: np.ndarray, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
     """Texts with the dummy prefix, as the normaliser writes it: a space before each that is not empty."""
     if not prefix:
@@ -233,13 +254,13 @@ def encode_block(memo: Memo, data: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     raw = text.tobytes()
     segments = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     found = [memo.ids(x) for x in segments]
-    surface = memo.machine.surface.__getitem__
-    same = np.array([b"".join(map(surface, np.frombuffer(k, np.int32).tolist())) == x for k, x in zip(found, segments, strict=True)])
     size = np.array([len(k) // 4 for k in found])
+    every = np.frombuffer(b"".join(found), np.int32)
+    same = memo.machine.gives_back(every, size, text, starts[first], ends[first])
     heads = np.cumsum(size) - size
     counts = size[which]
     ends_at = np.concatenate([[0], np.cumsum(counts)])
-    ids = np.frombuffer(b"".join(found), np.int32)[np.arange(ends_at[-1]) + np.repeat(heads[which] - ends_at[:-1], counts)]
+    ids = every[np.arange(ends_at[-1]) + np.repeat(heads[which] - ends_at[:-1], counts)]
     texts = np.searchsorted(starts, edges)
     wrong = np.concatenate([[0], np.cumsum(~same[which])])
     return ids, ends_at[texts], wrong[texts[1:]] == wrong[texts[:-1]]
@@ -249,10 +270,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tup
     """The carried columns with ``ids``, ``n_tokens``, ``ids_sha256`` (of the ids as 32-bit numbers, low byte first)
     and ``round_trip`` (decoding the ids gives the text back, visible spaces read as spaces)."""
     given = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    width, shared = len(carry), docs.sparkSession.sparkContext.broadcast(file_bytes(model))
+    width, shared = len(carry), docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(compiled(shared.value))
+        memo = Memo(pickle.loads(shared.value))
         for batch in batches:
             column = pc.replace_substring(batch.column(width), SPACE, " ")
             for a, b, data, bounds in blocks(column):
@@ -272,10 +293,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tup
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with ``text`` read back from ids; null ids give an empty text."""
     given = encoded.select(*carry, F.col(ids).alias("__ids"))
-    width, shared = len(carry), encoded.sparkSession.sparkContext.broadcast(file_bytes(model))
+    width, shared = len(carry), encoded.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = compiled(shared.value)
+        machine = pickle.loads(shared.value)
         for batch in batches:
             texts = [machine.decode(np.array(k.as_py() or [], np.int32)) for k in batch.column(width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], [*batch.schema.names[:width], "text"])

@@ -1,4 +1,5 @@
 import json
+import pickle
 import random
 
 import numpy as np
@@ -137,3 +138,15 @@ def test_shortest_path_is_the_only_finite_one():
     data, bounds = np.frombuffer("a bba b\n\n".encode(), np.uint8), np.array([0, 0, 3, 5, 9])
     ids, edges, same = pieces.encode_block(memo, data, bounds)
     assert same.all() and [machine.decode(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] == ["", "a b", "ba", " b\n\n"]
+
+
+def test_surfaces_are_compared_for_all_segments_at_once_and_tasks_unpack_their_own_transducer():
+    machine = pickle.loads(pieces.packed(vocabulary(PIECES)))
+    assert machine is not pieces.compiled(pieces.file_bytes(vocabulary(PIECES))) and machine.clear is not None
+    found = [machine.path(x) for x in ("▁the", "é", "▁un")]
+    ids, sizes = np.array(sum(found, []), np.int32), np.array([len(x) for x in found])
+    data = np.frombuffer(" theé xx the".encode(), np.uint8)
+    starts, ends = np.array([0, 4, 6]), np.array([4, 6, 9])
+    assert machine.gives_back(ids, sizes, data, starts, ends).tolist() == [True, True, False]
+    assert machine.gives_back(ids, sizes, data, np.array([0, 4, 9]), np.array([4, 6, 13])).tolist() == [True, True, False]
+    assert machine.gives_back(ids[:0], sizes[:0], data, starts[:0], ends[:0]).tolist() == []
