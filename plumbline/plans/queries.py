@@ -632,8 +632,9 @@ def q60_live_check(spark, d):
         live.stored(told, f"{folder}/events", f"{folder}/state").awaitTermination()
 
     first, second, third = slices(F.col("pos"), *event_range(events), 3)
-    checks.fed(verdicts, [first, second, second, third], f"{folder}/in", step)
-    told = live.upserted(spark, f"{folder}/events", live.EVENTS, ["check_id", "place"])
+    n = events.count() * len(live.RULE_EVENTS)
+    checks.fed(verdicts, [first, second, second, third], f"{folder}/in", step, live.keyed_session(spark, n // 3))
+    told = live.upserted(spark, f"{folder}/events", live.EVENTS, ["check_id", "place"], live.parts_of(spark, n))
     last = durable(live.last_of_batch(told).drop("place"))
     field = lambda event, name: F.max(F.when(F.col("event") == event, F.get_json_object("payload", f"$.{name}"))).alias(name)
     rules = last.groupBy("check_id", F.col("key").alias("rule_id")).agg(field("verdict", "verdict"), field("verdict", "confidence"), field("rule_detail", "retrieved"))

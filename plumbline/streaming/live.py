@@ -20,6 +20,8 @@ EVENTS = "check_id string, place long, event string, key string, payload string,
 RULE_EVENTS = ["rule_start", "verdict", "rule_detail"]
 #: How far behind the newest event a repeated one may come and still be known.
 LATE = "10 minutes"
+#: Events of a batch for a task.
+PART = 250_000
 
 
 def rule_events(verdicts: DataFrame) -> DataFrame:
@@ -38,6 +40,19 @@ def rule_events(verdicts: DataFrame) -> DataFrame:
     return rows.select(F.col("check_id").cast("string").alias("check_id"), place.cast("long").alias("place"), "s.event", "key", "s.payload", "at")
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """How many tasks hold ``rows`` events of a batch, ``PART`` each or what the session's settings say if that is less."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
+
+
+def keyed_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session beside ``spark`` whose streams deal batches of about ``rows`` events over ``parts_of`` tasks: how many is fixed
+    when a stream first runs, and what a task holds of a batch would else grow with it."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.shuffle.partitions", str(parts_of(spark, rows)))
+    return own
+
+
 def told_once(events: DataFrame, late: str = LATE) -> DataFrame:
     """A stream of events without those that it has told before; state goes with the watermark, and so do rows behind it."""
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["check_id", "place"])
@@ -58,10 +73,12 @@ def stored(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFr
     return (writer.queryName(name) if name else writer).start()
 
 
-def upserted(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """The rows of a table of batches: for each key the one of its latest batch."""
+def upserted(spark: SparkSession, path: str, schema: str, keys: list[str], parts: int | None = None) -> DataFrame:
+    """The rows of a table of batches: for each key the one of its latest batch. With ``parts`` the keys are dealt over so many
+    tasks, whatever the session's settings."""
     batches = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(f"{path}/batch=*")
     row = F.struct(*[c for c in batches.columns if c != "batch"])
+    batches = batches if parts is None else batches.repartition(parts, *keys)
     return batches.groupBy(*keys).agg(F.max_by(row, "batch").alias("r")).select("r.*")
 
 

@@ -139,3 +139,13 @@ def test_sweep_in_batches_equals_the_table(spark, tmp_path, cases):
     got = sorted(map(tuple, live.sweep_summary(live.upserted(spark, f"{tmp_path}/e", live.SWEEP, ["place"])).collect()))
     whole = progress.sweep_events(given, said).where("event = 'sweep_summary'").select("payload").collect()
     assert got == sorted((p["category"], p["n"], p["caught"], round(p["rate"], 4)) for p in (json.loads(r["payload"]) for r in whole))
+
+
+def test_a_batch_is_dealt_over_more_tasks_the_larger_it_is(spark, tmp_path):
+    settings = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert live.parts_of(spark, 10) == settings and live.parts_of(spark, 100 * live.PART + 1) == max(settings, 101)
+    session = live.keyed_session(spark, 100 * live.PART)
+    assert int(session.conf.get("spark.sql.shuffle.partitions")) == max(settings, 100) and int(spark.conf.get("spark.sql.shuffle.partitions")) == settings
+    live.batch_writer(str(tmp_path))(live.rule_events(verdicts(spark, rule_rows())), 0)
+    told = live.upserted(spark, str(tmp_path), live.EVENTS, ["check_id", "place"], 37)
+    assert told.rdd.getNumPartitions() == 37 and told.count() == live.rule_events(verdicts(spark, rule_rows())).count()
