@@ -54,6 +54,13 @@ def token_rows(rows: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return kept.groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+def distinct_tokens(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, token): the distinct tokens of each text, told apart where the text stands."""
+    parts = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), F.lower))
+    found = rows.select(*keys, F.explode(parts).alias("token"))
+    return found.where(is_number(F.col("token")) | ((F.length("token") > 1) & ~F.col("token").isin(STOPWORDS)))
+
+
 def is_number(token: Column) -> Column:
     return F.substring(token, 1, 1).between("0", "9")
 

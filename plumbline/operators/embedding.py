@@ -21,6 +21,8 @@ from plumbline.sources.stores import KeyedStore, Lookup, looked_up, vector_key
 
 #: Rules of more bytes of vectors than this are ranked in several passes over the chunks.
 RULE_BYTES = 64 << 20
+#: A vocabulary of at most so many tokens goes to all tasks with its frequencies (tens of MB); for a larger one, tokens are dealt.
+VOCABULARY = 1_000_000
 
 
 class Embedder(Protocol):
@@ -42,25 +44,33 @@ class HashingEmbedder:
     bucket: Callable[[Column, int], Column] | None = None
     frequency: DataFrame | None = None
     total: int = 0
+    vocabulary: int = 0
 
     @property
     def name(self) -> str:
         return f"hashing-{self.dimensions}"
 
     def fit(self, corpus: DataFrame) -> HashingEmbedder:
-        numbered = corpus.select(F.monotonically_increasing_id().alias("__doc"), "text")
-        terms = X.token_rows(durable(numbered), ["__doc"])
-        return HashingEmbedder(self.dimensions, self.bucket, durable(retrieval.document_frequency(terms, [])), corpus.count())
+        frequency = X.distinct_tokens(corpus, []).groupBy("token").agg(F.count("*").alias("df"))
+        if self.bucket is not None:  # worked out once for each token of the vocabulary
+            frequency = frequency.withColumn("bucket", self.bucket(F.col("token"), self.dimensions))
+        frequency = durable(frequency)
+        return HashingEmbedder(self.dimensions, self.bucket, frequency, corpus.count(), frequency.count())
 
     def encode(self, texts: DataFrame) -> DataFrame:
-        terms = X.token_rows(texts.select("id", "text"), ["id"])
-        known = terms.join(self.frequency, "token", "left") if self.frequency is not None else terms.withColumn("df", F.lit(0))
+        texts = retrieval.dealt(texts.select("id", "text"), ["id"], texts.count())  # texts move once, their tokens stay
+        terms = X.token_rows(texts, ["id"])
+        if self.frequency is None:
+            known = terms.withColumn("df", F.lit(0))
+        else:
+            known = terms.join(F.broadcast(self.frequency) if self.vocabulary <= VOCABULARY else self.frequency, "token", "left")
         weight = (1 + F.log("n")) * retrieval.idf(F.lit(self.total), F.col("df"))
         if self.bucket is None:
             buckets = retrieval.blake_buckets(terms, self.dimensions)
             placed = known.join(buckets, "token").select("id", "bucket", weight.alias("w"))
         else:
-            placed = known.select("id", self.bucket(F.col("token"), self.dimensions).alias("bucket"), weight.alias("w"))
+            bucket = self.bucket(F.col("token"), self.dimensions)
+            placed = known.select("id", (bucket if self.frequency is None else F.coalesce("bucket", bucket)).alias("bucket"), weight.alias("w"))
         added = placed.groupBy("id", "bucket").agg(F.sum("w").alias("w"))
         sparse = added.groupBy("id").agg(F.collect_list(F.struct("bucket", "w")).alias("parts"))  # at most ``dimensions`` a text
         return dense(texts.select("id").join(sparse, "id", "left"), self.dimensions)
@@ -155,9 +165,9 @@ def dense_top(rules: DataFrame, chunks: DataFrame, k: int, decimals: int = 6, ru
             names, matrix = shared.value
             best = [pd.DataFrame({"rule": pd.Series(dtype=int), "chunk": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
             for batch in batches:
-                ids, x = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
                 if not batch.num_rows:
                     continue
+                ids, x = batch.column(0).to_pylist(), np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
                 scores = np.round(x @ matrix.T, decimals)
                 # Whatever is not among the k best of its batch, ties included, is not among the k best.
                 least = np.partition(scores, len(x) - min(k, len(x)), axis=0)[len(x) - min(k, len(x))]

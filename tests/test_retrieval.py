@@ -1,10 +1,11 @@
+import hashlib
 import math
 import random
 from collections import Counter
 
 import pytest
 
-from plumbline.operators import retrieval
+from plumbline.operators import embedding, retrieval
 from plumbline.plans.queries import documents, rules
 
 WORDS = [f"{a}{b}" for a in ("lo", "mi", "ra", "su", "te", "vo") for b in ("nek", "pol", "dar", "gis", "hut", "bem", "cax")]
@@ -110,3 +111,28 @@ def test_hashed_buckets_deal_texts_only(spark):
 
     plan = QUERIES["q06_hash_bucket_norm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+@pytest.mark.parametrize("known", [0, embedding.VOCABULARY])
+def test_hashed_vectors_leave_tokens_where_their_texts_are(spark, monkeypatch, known):
+    monkeypatch.setattr(embedding, "VOCABULARY", known)
+    rows = [(k, t) for k, t in enumerate(texts(60, random.Random(3)))] + [(60, ""), (61, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    fitted = embedding.HashingEmbedder(64, retrieval.md5_bucket).fit(docs.where("id < 50").select("text"))
+    made = fitted.encode(docs)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark itself would broadcast so small a table
+    try:
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("hashpartitioning(token" in plan) == (known == 0)  # only a large vocabulary has them dealt
+    got = {r["id"]: r["vector"] for r in made.collect()}
+    fit = [Counter((t or "").split()) for _, t in rows[:50]]
+    df = Counter(w for c in fit for w in c)
+    for k, t in rows:
+        want = [0.0] * 64
+        for w, n in Counter((t or "").split()).items():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += (1 + math.log(n)) * (math.log(51 / (df[w] + 1)) + 1)
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert got[k] == pytest.approx([x / norm for x in want])
