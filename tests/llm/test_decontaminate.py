@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+
+from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import digest, find_contamination, remove_spans
 from tests.llm import brute
 
@@ -48,3 +51,14 @@ def test_empty_tables(spark):
     assert rows(digest(find_contamination(d, b.limit(0)), "doc_id"))[1][4] is False
     assert digest(find_contamination(d.limit(0), b), "doc_id").count() == 0
     assert rows(digest(find_contamination(d, b), "doc_id"))[1][:3] == (3, 2, 1)
+
+
+def test_a_task_indexes_a_block_at_a_time(monkeypatch):
+    seen = []
+    monkeypatch.setattr(decontaminate, "scan", lambda data, bounds, patterns: (seen.append(len(data)), [(0, [], [], [])] * (len(bounds) - 1))[1])
+    column = pa.array(["x" * 700_000] * 5 + ["y" * 3_000_000])
+    shared = type("Shared", (), {"value": None})
+    names = ["__text", "n_words", "hit_spans", "removal_spans", "hit_items"]
+    batch = pa.RecordBatch.from_arrays([column, *[pa.nulls(6)] * 4], names)
+    out = list(decontaminate._pass(shared, 0, True)([batch]))
+    assert sum(x.num_rows for x in out) == 6 and sorted(seen)[-1] == 3_000_000 and sorted(seen)[-2] <= 1 << 20
