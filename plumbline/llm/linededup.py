@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, Recent, _powers, blocks, find_words, hash_words, mix, per_batch, signed
-from plumbline.llm.graph import linked_groups, sieve
+from plumbline.llm.graph import apart, linked_groups, paired, shared_crowds, sieve
 from plumbline.session import discard, durable
 
 MIN_WORDS = 1
@@ -471,6 +471,37 @@ def verified(pairs: DataFrame) -> DataFrame:
     return per_batch(pairs, run, pairs.select("a_id", "b_id").schema)
 
 
+def crowd_links(key: int, a: pa.Table, b: pa.Table) -> pa.Table:
+    """Links between the lines of two blocks of a crowded key, as many as join what is alike (``graph.linked_groups``).
+    Pairs are screened as in the join, and verified in the order in which their counts of characters differ; a pair
+    whose lines have been joined by others is not, as its link would change no component."""
+    bins = [np.ascontiguousarray(t.column("bins").combine_chunks().flatten().to_numpy()).view("<u2").reshape(-1, BINS).astype(np.int32) for t in (a, b)]
+    size = [t.column("form").to_numpy().astype(np.int64) >> 2 for t in (a, b)]
+    longer, uneven = np.maximum(size[0][:, None], size[1][None, :]), np.abs(size[0][:, None] - size[1][None, :])
+    counts = sum(np.abs(bins[0][:, k][:, None] - bins[1][:, k][None, :]) for k in range(BINS))
+    mask = apart(a, b) & (uneven * EDIT_SHARE <= longer) & (EDIT_SHARE * (counts + uneven) <= 2 * longer + 2 * EDIT_SHARE - 2)
+    _, first = shared_crowds(a, b, key)
+    mask &= first
+    i, j = np.nonzero(mask)
+    order = np.argsort(counts[i, j], kind="stable")
+    i, j = i[order], j[order]
+    names, label = np.unique(np.concatenate([t.column("component").to_numpy() for t in (a, b)]), return_inverse=True)
+    of, at, texts = np.arange(len(names)), [label[: len(a)], label[len(a) :]], [t.column("normal").to_pylist() for t in (a, b)]
+    linked = np.zeros(mask.shape, bool)
+    step = 32
+    while len(i):
+        keep = within([texts[0][k] for k in i[:step]], [texts[1][k] for k in j[:step]])
+        for x, y in zip(i[:step][keep].tolist(), j[:step][keep].tolist(), strict=True):
+            left, right = of[at[0][x]], of[at[1][y]]
+            if left != right:
+                linked[x, y] = True
+                of[of == right] = left
+        i, j = i[step:], j[step:]
+        open_ = of[at[0][i]] != of[at[1][j]]
+        i, j, step = i[open_], j[open_], min(2 * step, SIDE_BY_SIDE)
+    return paired(a, b, linked, linked, linked)
+
+
 def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, doc_id, removed): for each document that has some, the numbers of its lines that go, ascending.
 
@@ -506,7 +537,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         n, m = (F.shiftright(f"{side}_form", 2) for side in (a, b))
         return EDIT_SHARE * (apart + F.abs(n - m)) <= 2 * F.greatest(n, m) + 2 * EDIT_SHARE - 2
 
-    groups = linked_groups(shared, "key", near, verify, extra=texts.select("id", "bins"), strict=close)
+    groups = linked_groups(shared, "key", near, verify, extra=texts.select("id", "bins"), strict=close, cell=crowd_links, inside=texts)
     grouped = durable(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
     discard(shared, texts, groups)
     members = grouped.join(distinct, F.col("id") == F.col("low")).select("component", "low", "high", "first", "n")

@@ -1,6 +1,7 @@
 import random
 import re
 
+from plumbline.llm import graph, linededup
 from plumbline.llm.linededup import dedup_lines, removals, segments, within
 from plumbline.llm.queries import QUERIES
 from tests.llm import brute
@@ -181,3 +182,22 @@ def test_short_lines_and_lines_without_spaces(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["removed_lines"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: [], 2: [0, 1, 3], 3: [1, 2]}
+
+
+def test_a_common_passage_costs_no_square(spark, monkeypatch):
+    """Lines that only share a passage are not alike: their pairs are no rows, and no link between the others is lost."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(n))
+    passage = text(58)
+    lines = [f"{text(11)} {passage} {text(11)}" for _ in range(120)]
+    lines += [line.replace(passage[:40], passage[:40].replace("e", "u")) for line in lines[:30]]
+    docs = list(enumerate(rng.sample(lines, len(lines))))
+    pairs, verify = [], linededup.verified
+    monkeypatch.setattr(linededup, "verified", lambda found: pairs.append(found.count()) or verify(found))
+    monkeypatch.setattr(graph, "CROWD", 20)
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    got = {r["doc_id"]: r["n_removed"] for r in removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    normals = [(k, normal(line)) for k, line in docs]
+    group = brute.components([k for k, _ in docs], lambda a, b: bool(within([normals[a][1]], [normals[b][1]])[0]))
+    assert got == {k: int(group[k] != k) for k, _ in docs} and sum(got.values()) >= 30
+    assert sum(pairs) < 6 * len(docs)
