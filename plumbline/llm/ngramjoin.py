@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.llm.blocks import SPACED, U64, Recent, blocks, distinct, find_words, hash_words, mix, per_batch, shingles, signed
-from plumbline.llm.graph import linked_groups, sieve
+from plumbline.llm.graph import apart, linked_groups, paired, shared_crowds, sieve
 from plumbline.session import discard, durable
 
 WIDTH = 5
@@ -40,6 +40,10 @@ COUNTERS, SLICES, MOST = 1 << 21, 64, 65535
 LONGEST = 4
 #: Words of 64 bits of a set's parity bitmap.
 PARITY = 8
+#: Sets of more than WIDE_FROM values have a second one of two to four bits a value, as theirs is full.
+WIDE_FROM = 256
+#: A prefix row has the place of its shingle, and in the last bits how many matches its set asks for.
+MATCH_BITS = 3
 #: Verifying a candidate costs about as much as so many entries of an inverted list.
 VERIFY_COST = 16
 
@@ -64,30 +68,75 @@ def parity(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(rows, bits), axis=1, bitorder="little").view(np.int64)
 
 
+def wide_parity(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """The parity bitmaps of large sets, by the same bits of a value: one half laid over the other makes the smaller one."""
+    out: list[bytes | None] = []
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = 1 << (2 * (y - x) - 1).bit_length() if y - x > WIDE_FROM else 0
+        odd = np.bincount(((values[x:y] >> U64(32)) & U64(max(bits - 1, 0))).astype(np.int64), minlength=bits) & 1 if bits else None
+        out.append(None if odd is None else np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def maybe_alike(pairs: DataFrame) -> DataFrame:
+    """Pairs (..., a_n, b_n, a_wide, b_wide) without those whose wide bitmaps differ in too many bits; the names stay."""
+    names = ["a_id", "b_id", "a_name", "b_name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            sizes = (batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()).tolist()
+            for k, (x, y) in enumerate(zip(batch.column("a_wide").to_pylist(), batch.column("b_wide").to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    x, y = sorted((np.frombuffer(x, U64), np.frombuffer(y, U64)), key=len)
+                    while len(y) > len(x):
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                    keep[k] = (NUMERATOR + DENOMINATOR) * int(np.bitwise_count(x ^ y).sum()) <= (DENOMINATOR - NUMERATOR) * sizes[k]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in names], names)
+
+    return per_batch(pairs.select(*names, "a_n", "b_n", "a_wide", "b_wide"), run, pairs.select(*names).schema)
+
+
+def crowd_pairs(key: int, a: pa.Table, b: pa.Table) -> pa.Table:
+    """The pairs of two blocks of a crowded shingle that neither its places nor the parity bitmaps rule out
+    (``graph.linked_groups``), each by the first crowded shingle that it shares."""
+    n, form = ([t.column(c).to_numpy().astype(np.int64) for t in (a, b)] for c in ("n", "form"))
+    cross = lambda f, x: f(x[0][:, None], x[1][None, :])
+    place, need = [x >> MATCH_BITS for x in form], cross(np.minimum, [x & ((1 << MATCH_BITS) - 1) for x in form])
+    size, most = cross(np.add, n), cross(np.minimum, place) + cross(np.minimum, [x - y for x, y in zip(n, place, strict=True)])
+    bits = [t.column("parity").combine_chunks().flatten().to_numpy().view(U64).reshape(-1, PARITY) for t in (a, b)]
+    differing = sum(np.bitwise_count(bits[0][:, k][:, None] ^ bits[1][:, k][None, :]).astype(np.int64) for k in range(PARITY))
+    mask = apart(a, b) & ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * size) & ((NUMERATOR + DENOMINATOR) * differing <= (DENOMINATOR - NUMERATOR) * size)
+    total, first = shared_crowds(a, b, key)
+    mask &= first & (total + cross(np.minimum, [t.column("others").to_numpy() for t in (a, b)]) >= need)
+    return paired(a, b, mask, total, need)
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """For each document its set's size, 128-bit sum and parity bitmap; and the shingle counters of each task, in slices."""
+    """For each document its set's size, 128-bit sum and parity bitmaps; and the shingle counters of each task, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = np.zeros(COUNTERS, np.int32), None
         for batch in batches:
-            names, n, low, high = [*batch.schema.names[:1], "n", "low", "high", "parity", "slice", "counts"], [], [], []
-            marks = []
+            names, n, low, high = [*batch.schema.names[:1], "n", "low", "high", "parity", "wide", "slice", "counts"], [], [], []
+            marks, wide = [], []
             for _, values, bounds in sets_of(batch.column(1), width):
                 np.add.at(counts, (values & U64(COUNTERS - 1)).astype(np.int64), 1)
                 n.append(np.diff(bounds))
                 low.append(signed(sums(mix(values), bounds)))
                 high.append(signed(sums(mix(values ^ U64(0x5851F42D4C957F2D)), bounds)))
                 marks.append(parity(values, bounds))
+                wide += wide_parity(values, bounds)
             rows = batch.num_rows
             bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(marks).ravel() if marks else np.zeros(0, np.int64)))
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n, low, high)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *flat, bits, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *flat, bits, pa.array(wide, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if names:
             parts = counts.reshape(SLICES, -1)
-            empty = [pa.nulls(SLICES, t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            empty = [pa.nulls(SLICES, t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([np.minimum(p, MOST).astype(np.uint16).tobytes() for p in parts], pa.binary())], names)
 
-    schema = docs.select("doc_id").schema.add("n", "long").add("low", "long").add("high", "long").add("parity", T.ArrayType(T.LongType())).add("slice", "integer").add("counts", "binary")
+    schema = docs.select("doc_id").schema.add("n", "long").add("low", "long").add("high", "long").add("parity", T.ArrayType(T.LongType())).add("wide", "binary").add("slice", "integer").add("counts", "binary")
     return per_batch(docs.select("doc_id", "text"), run, schema)
 
 
@@ -137,7 +186,7 @@ def prefixes(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray, noise:
 
 
 def prefix_rows(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """(token, id, n, place, matches) for the prefix of every set; the id is half of its 128-bit sum. A task sends an equal
+    """(token, id, form) for the prefix of every set; the id is half of its 128-bit sum, the form has place and matches. A task sends an equal
     set once, unless so many others came between that it was forgotten: copies fold before the shuffle."""
     mean = float(counts.mean())
     shared, noise = docs.sparkSession.sparkContext.broadcast(counts), mean + 3 * mean**0.5
@@ -153,10 +202,10 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
                 at, size, best = prefixes(values, bounds, shared.value, noise)
                 owner = np.repeat(np.arange(len(size)), size)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-                flat = [signed(values[at]), low[owner], *(x.astype(np.int32) for x in (np.diff(bounds)[owner], place, best[owner]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["token", "id", "n", "place", "matches"])
+                form = (place << MATCH_BITS) + best[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(values[at]), low[owner], form.astype(np.int32))], ["token", "id", "form"])
 
-    return per_batch(docs.select("text"), run, "token long, id long, n int, place int, matches int")
+    return per_batch(docs.select("text"), run, "token long, id long, form int")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -189,14 +238,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     described = durable(describe(docs, width))
     counts = counters(described)
     rows = described.where("slice is null").drop("slice", "counts")
-    equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"), F.min("parity").alias("parity"))
+    equal = rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("representative"), F.min("parity").alias("parity"), F.min("wide").alias("wide"))
     # A table of its own, so that the join can split a large group of copies over tasks.
-    vertices = durable(equal.select(F.col("low").alias("id"), F.col("representative").alias("name"), "n", "high", "parity"))
+    vertices = durable(equal.select(F.col("low").alias("id"), F.col("representative").alias("name"), "n", "high", "parity", "wide"))
     known = vertices.select("n", F.col("id").alias("low"), "high", F.col("name").alias("representative"))
-    members = durable(rows.drop("parity").join(known, ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
+    members = durable(rows.drop("parity", "wide").join(known, ["n", "low", "high"], "left").select("doc_id", "n", "low", F.coalesce("representative", "doc_id").alias("representative")))
     vertices = vertices.where("name is not null").drop("high")
     # One shuffle of the prefixes: equal sets fold, and single shingles go.
-    folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(*(F.min(c).alias(c) for c in ("n", "place", "matches")))
+    folded = prefix_rows(docs, counts, width).repartition("token").groupBy("token", "id").agg(F.min("form").alias("form"))
     shared = durable(folded.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1"))
     # The sets of a doc_id that stands there with several texts.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.collect_set("low").alias("lows")).where("size(lows) > 1")
@@ -205,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def possible(a: str, b: str):
         """Whatever precedes a common shingle in both sets and follows it in both must reach the threshold together."""
         n = {s: F.col(f"{s}_n") for s in (a, b)}
-        place = {s: F.col(f"{s}_place") for s in (a, b)}
+        place = {s: F.shiftright(f"{s}_form", MATCH_BITS) for s in (a, b)}
         most = F.least(place[a], place[b]) + F.least(n[a] - place[a], n[b] - place[b])
         return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b])
 
@@ -216,11 +265,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (vertices.select(*(F.col(c).alias(f"{s}_{c}") for c in vertices.columns)) for s in "ab")
-        named = durable(pairs.join(a, "a_id").join(b, "b_id").where(differ("a", "b")).select("a_id", "b_id", "a_name", "b_name"))
+        named = durable(maybe_alike(pairs.join(a, "a_id").join(b, "b_id").where(differ("a", "b"))))
         wanted = named.select(F.col("a_name").alias("id")).unionByName(named.select(F.col("b_name").alias("id"))).distinct()
         return alike(named, sieve(docs, "doc_id", wanted, "id"), width)
 
-    groups = linked_groups(shared, "token", possible, verify, lambda a, b: F.least(f"{a}_matches", f"{b}_matches"), extra=vertices.select("id", "parity"), strict=differ, given=given)
+    def need(a: str, b: str):
+        return F.least(*(F.col(f"{s}_form").bitwiseAND(F.lit((1 << MATCH_BITS) - 1)) for s in (a, b)))
+
+    marks = vertices.select("id", "parity")
+    groups = linked_groups(shared, "token", possible, verify, need, extra=marks, strict=differ, given=given, each=vertices.select("id", "n"), cell=crowd_pairs, inside=marks)
     grouped = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct())
     placed = durable(grouped.join(vertices.select("id", "name"), "id"))
     heads = durable(placed.groupBy("component").agg(F.min("name").alias("component_id")))

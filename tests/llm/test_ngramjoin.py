@@ -1,6 +1,10 @@
 import random
 
-from plumbline.llm.ngramjoin import near_duplicates
+import numpy as np
+
+from plumbline.llm import graph
+from plumbline.llm.ngramjoin import near_duplicates, wide_parity
+from plumbline.session import durable
 from tests.llm import brute
 
 
@@ -36,3 +40,41 @@ def test_empty_and_repeated(spark):
     assert near_duplicates(d.limit(0)).count() == 0
     got = sorted((r["doc_id"] or 0, r["n_shingles"]) for r in near_duplicates(d).collect())
     assert got == [(0, 1), (1, 1), (1, 1), (2, 0)]
+
+
+def test_a_common_passage_costs_no_square(spark, monkeypatch):
+    """A pair that shares many crowded shingles is one row and not one for each of them; no link is lost."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(70)]
+    docs = [(k, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([12, 13, 14]))), *passage])) for k in range(90)]
+    docs += [(100 + k, text + " " + " ".join(f"z{k}" for _ in range(3))) for k, (_, text) in enumerate(docs[:20])]
+    rows, paired = [], graph.crowded
+    monkeypatch.setattr(graph, "crowded", lambda *given: rows.append(durable(paired(*given))) or rows[-1])
+    monkeypatch.setattr(graph, "CROWD", 8)
+    monkeypatch.setattr(graph, "BLOCK", 30)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_components(docs)
+    assert len({c for _, c in got.values()}) == 90
+    pairs = [(r["a_id"], r["b_id"]) for r in rows[0].collect()]
+    assert len(pairs) == len(set(pairs)) > 0
+
+
+def test_wide_bitmaps_rule_out_no_link(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    docs = [(k, " ".join([*words, *(f"x{k}y{j}" for j in range(n))])) for k, n in enumerate([0, 300, 333, 600, 660, 700, 1500])]
+    docs += [(10 + k, " ".join(words[k * 50 :])) for k in range(1, 30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard_components(docs)
+
+
+def test_wide_bitmaps_of_any_two_sizes_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((257, 600), (1000, 1010), (5000, 400)):
+        values = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        values[n : n + min(n, m) // 2] = values[: min(n, m) // 2]
+        x, y = (np.frombuffer(w, np.uint64) for w in wide_parity(values, np.array([0, n, n + m])))
+        x, y = sorted((x, y), key=len)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert 0 < np.bitwise_count(x ^ y).sum() <= n + m - 2 * (min(n, m) // 2)
