@@ -41,8 +41,11 @@ from plumbline.session import file_bytes
 
 SPACE = "▁"
 #: Entries of a memo's generation, of segments of REMEMBERED bytes or less; entries of the acceptor's compiled arcs.
-MEMO, REMEMBERED = 200_000, 48
+MEMO, REMEMBERED = 100_000, 48
 PAIRS = 200_000
+#: Texts are encoded by so many bytes at a time. Codes of pieces are ids, those of characters without a piece come after
+#: them, and all are below 2**CODE.
+ENCODED, CODE = 1 << 19, 21
 #: Segments of more characters are cut where no piece can join them, before they are composed.
 WHOLE = 24
 NEVER, INFINITE = float("-inf"), float("inf")
@@ -83,7 +86,8 @@ class Transducer:
                 self.surface.append(b"")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece of this model spans a segment boundary")
-        self.clear: dict[tuple[str, str], bool] = {}
+        #: Compiled arcs of the acceptor, by the codes of both pieces in one number: strings would take three times the memory.
+        self.clear: dict[int, bool] = {}
         self.proper = {p for p in self.ids if self.merged(p) == [p]}
         #: Neighbouring characters of some piece; between any others the composition falls apart.
         self.joints = {p[k : k + 2] for p in self.proper for k in range(len(p) - 1)}
@@ -108,55 +112,58 @@ class Transducer:
         return parts
 
     def weight(self, last: str, piece: str) -> float:
-        """The acceptor's arc from one piece to the next, compiled on demand."""
-        apart = self.clear.get((last, piece))
-        if apart is None:
-            if len(self.clear) >= PAIRS:
-                self.clear.clear()
-            apart = self.clear[last, piece] = self.merged(last + piece) == [last, piece]
-        return 0.0 if apart else INFINITE
+        """The acceptor's arc from one piece to the next."""
+        return 0.0 if self.merged(last + piece) == [last, piece] else INFINITE
+
+    def compile(self, pair: int, last: str, piece: str) -> bool:
+        """Whether the acceptor's arc of two codes is finite; remembered."""
+        if len(self.clear) >= PAIRS:
+            self.clear.clear()
+        apart = self.clear[pair] = self.weight(last, piece) == 0.0
+        return apart
 
     def cut(self, segment: str) -> list[str]:
         at = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.joints]
         return [segment[a:b] for a, b in pairwise([0, *at, len(segment)])]
 
-    def arcs(self, segment: str, place: int) -> list[tuple[int, str]]:
-        """The lexicon's arcs (end, piece) that leave a place; of a character without a piece, its bytes as one arc."""
+    def reach(self, segment: str, place: int) -> list[tuple[int, int]]:
+        """The lexicon's arcs (end, code) that leave a place; of a character without a piece, its bytes as one arc."""
         find, out = self.lexicon.get, []
         for end in range(place + 1, len(segment) + 1):
-            piece = segment[place:end]
-            k = find(piece)
+            k = find(segment[place:end])
             if k is None:
                 break
             if k >= 0:
-                out.append((end, piece))
-        return out or [(place + 1, segment[place])]
+                out.append((end, k))
+        return out or [(place + 1, len(self.surface) + ord(segment[place]))]
+
+    def arcs(self, segment: str, place: int) -> list[tuple[int, str]]:
+        return [(end, segment[place:end]) for end, _ in self.reach(segment, place)]
 
     def path(self, segment: str) -> list[int]:
         """Ids on the shortest path through the composition with ``segment``. Weights are 0 or infinite, so an arc that turns out
         finite has the least weight that its end can have, and settles it; which arc is relaxed first changes no result. It is
         the one that reaches furthest from the place settled last; its acceptor weight is looked up only then."""
         size, clear = len(segment), self.clear.get
-        #: The last piece of the places settled.
-        last: list[str | None] = [None] * (size + 1)
-        waiting = [(end, piece, None) for end, piece in self.arcs(segment, 0)]
-        while last[size] is None:
-            end, piece, before = waiting.pop()
-            if last[end] is not None:
+        #: The last piece of the places settled: its code and where it starts.
+        last, start = [-1] * (size + 1), [0] * (size + 1)
+        waiting = [(end, code, 0) for end, code in self.reach(segment, 0)]
+        while last[size] < 0:
+            end, code, place = waiting.pop()
+            if last[end] >= 0:
                 continue
-            if before is not None:
-                apart = clear((before, piece))
-                if not (self.weight(before, piece) == 0.0 if apart is None else apart):
+            if place:
+                apart = clear(pair := last[place] << CODE | code)
+                if not (self.compile(pair, segment[start[place] : place], segment[place:end]) if apart is None else apart):
                     continue
-            last[end] = piece
+            last[end], start[end] = code, place
             if end < size:
-                waiting.extend((further, following, piece) for further, following in self.arcs(segment, end) if last[further] is None)
+                waiting.extend((further, following, end) for further, following in self.reach(segment, end) if last[further] < 0)
         out: list[int] = []
         while size:
-            piece = last[size]
-            k = self.ids.get(piece)
-            out.extend([k] if k is not None else [self.bytes[b] for b in reversed(piece.encode())])
-            size -= len(piece)
+            code, place = last[size], start[size]
+            out.extend([code] if code < len(self.surface) else [self.bytes[b] for b in reversed(segment[place:size].encode())])
+            size = place
         out.reverse()
         return out
 
@@ -276,7 +283,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", carry: tup
         memo = Memo(pickle.loads(shared.value))
         for batch in batches:
             column = pc.replace_substring(batch.column(width), SPACE, " ")
-            for a, b, data, bounds in blocks(column):
+            for a, b, data, bounds in blocks(column, ENCODED):
                 ids, edges, same = encode_block(memo, data, bounds)
                 flat = ids.astype("<i4").tobytes()
                 sums = [hashlib.sha256(flat[4 * x : 4 * y]).hexdigest() for x, y in pairwise(edges.tolist())]

@@ -1,6 +1,7 @@
 import json
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -150,3 +151,15 @@ def test_surfaces_are_compared_for_all_segments_at_once_and_tasks_unpack_their_o
     assert machine.gives_back(ids, sizes, data, starts, ends).tolist() == [True, True, False]
     assert machine.gives_back(ids, sizes, data, np.array([0, 4, 9]), np.array([4, 6, 13])).tolist() == [True, True, False]
     assert machine.gives_back(ids[:0], sizes[:0], data, starts[:0], ends[:0]).tolist() == []
+
+
+def test_compiled_arcs_are_numbers_and_take_little_memory():
+    machine = pickle.loads(pieces.packed(vocabulary(PIECES)))
+    words = ["▁" + "".join(rng.choice("abcdeinrstlouphm") for _ in range(9)) for _ in range(4000)]
+    tracemalloc.start()
+    for word in words:
+        machine.path(word)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(machine.clear) > 5000 and taken < 160 * len(machine.clear)
+    assert machine.path("é漢\U0010ffff")[-4:] == [machine.bytes[b] for b in "\U0010ffff".encode()]
