@@ -135,14 +135,24 @@ def steps(count: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def hash_words(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial over its bytes from prefix sums, then mixed with its length."""
-    byte, up, down = _powers(len(folded))
+def byte_sums(folded: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes, from which words are hashed."""
+    byte, up, _ = _powers(len(folded))
     sums = np.zeros(len(folded) + 1, U64)
     np.cumsum(byte[folded] * up[: len(folded)], dtype=U64, out=sums[1:])
+    return sums
+
+
+def hash_from(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    down = _powers(len(sums) - 1)[2]
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def hash_words(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: a polynomial over its bytes from prefix sums, then mixed with its length."""
+    return hash_from(byte_sums(folded), starts, ends)
+
+
 def shingles(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first shingle of each text and the total): runs of ``width`` words of one text; a shorter text is one shingle."""
     counts = np.diff(firsts)

@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, Recent, _powers, blocks, find_words, hash_words, mix, per_batch, signed
+from plumbline.llm.blocks import ALNUM, MULTIPLIER, U64, Recent, _powers, blocks, byte_sums, find_words, hash_from, hash_words, mix, per_batch, signed
 from plumbline.llm.graph import apart, linked_groups, paired, shared_crowds, sieve
 from plumbline.session import discard, durable
 
@@ -57,7 +56,14 @@ INDEXED, SOUGHT = 1, 2
 #: A byte to its eight bits, a byte each.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64).ravel()
 #: Pairs are verified SIDE_BY_SIDE at a time, but for longer ones than LONG_PATTERN, FEW, and those of MANY_LETTERS.
-SIDE_BY_SIDE, LONG_PATTERN, FEW, MANY_LETTERS = 2048, 1536, 12, 160
+SIDE_BY_SIDE, LONG_PATTERN, FEW, MANY_LETTERS = 2048, 1536, 28, 160
+#: A task gathers pairs of so many characters, or so many of them, before it verifies them, so that many lie side by side.
+GATHERED, GATHERED_PAIRS = 1 << 23, 1 << 15
+#: Pairs are screened by counts of two neighbouring characters, in so many bins.
+COUPLES = 512
+#: Keys are dealt in packs: a row holds the keys of a task of one of 2**PACKS_LOG2 ranges, about PACKED of all ranges at a time.
+PACKS_LOG2, PACKED = 12, 1 << 19
+KEY_ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("form", "<i4")])
 #: The bitmap that says of which lines the texts are needed has 2**BITS_LOG2 bits (2 MB).
 BITS_LOG2 = 24
 
@@ -216,13 +222,18 @@ def line_keys(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarr
     longest = (length * EDIT_SHARE + EDIT_SHARE - 2) // (EDIT_SHARE - 1)
     froms = np.array([x[0] for x in CLASSES])
     own, other = np.searchsorted(froms, length, "right") - 1, np.searchsorted(froms, longest, "right") - 1
+    sums = None
     for k, (_, count, chosen) in enumerate(CLASSES):
         some = rows[(own == k) | (other == k)]
         if not len(some):
             continue
         words, bounds = pick(firsts, some)
         start, end, cut = voters(folded, a[words], b[words], bounds)
-        voted = hashes[words] if len(start) == len(words) else hash_words(folded, start, end)
+        if len(start) == len(words):
+            voted = hashes[words]
+        else:
+            sums = byte_sums(folded) if sums is None else sums
+            voted = hash_from(sums, start, end)
         line, key = block_keys(voted, end - start, cut, count, chosen)
         found.append((some[line], key, np.full(len(line), INDEXED | SOUGHT)))
     if not found:
@@ -230,12 +241,22 @@ def line_keys(folded: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def key_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, id, form): the keys of every line, by the first half of its hash; ``form`` is four times its characters and
-    the key's role. A task sends the keys of a line once, unless so many others came between that it was forgotten."""
+def key_packs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(pack, rows): the keys of every line as ``KEY_ROW``s with the first half of its hash; ``form`` is four times its characters
+    and the key's role. A task sends the keys of a line once, unless so many others came between that it was forgotten."""
+
+    def packs(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        pack = (rows["key"] >> U64(64 - PACKS_LOG2)).astype(np.uint16)
+        sizes = np.bincount(pack, minlength=1 << PACKS_LOG2)
+        some = np.flatnonzero(sizes)
+        edges = np.concatenate([[0], np.cumsum(sizes[some])]) * KEY_ROW.itemsize
+        data = rows[np.argsort(pack, kind="stable")].tobytes()
+        blobs = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), blobs], ["pack", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = Recent()
+        recent, held = Recent(), []
         for batch in batches:
             for _, _, data, bounds in blocks(batch.column(0)):
                 lines, _ = line_bounds(data, bounds)
@@ -246,10 +267,52 @@ def key_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 rows = np.flatnonzero((length >= EDIT_SHARE - 1) & (np.diff(firsts) >= min_words))
                 rows = rows[recent.fresh(low[rows])]
                 line, key, role = line_keys(folded, a, b, firsts, hashes, rows, length[rows])
-                form = np.minimum(length[line], (1 << 28)) * 4 + role
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(low[line]), pa.array(form.astype(np.int32))], ["key", "id", "form"])
-
-    return per_batch(docs.select("text"), run, "key long, id long, form int")
+                made = np.empty(len(key), KEY_ROW)
+                made["key"], made["id"] = key, low[line]
+                made["form"] = np.minimum(length[line], (1 << 28)) * 4 + role
+                held.append(made)
+                if sum(map(len, held)) >= PACKED:
+                    yield packs(held)
+                    held = []
+        if any(map(len, held)):
+            yield packs(held)
+
+    return per_batch(docs.select("text"), run, "pack int, rows binary")
+
+
+def met_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, met): of the ``KEY_ROW``s of whole keys those at which two lines or more meet, one of them indexed, each line
+    once; and how many lines meet there."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    order = np.argsort(rows["key"])
+    key = rows["key"][order]
+    again = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    rows = rows[order[again[1:] | again[:-1]]]  # most keys have one row
+    rows = rows[np.lexsort((rows["id"], rows["key"]))]
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])]))
+    form = np.bitwise_or.reduceat(rows["form"], heads)
+    rows = rows[heads]
+    rows["form"] = form
+    heads = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    met = np.diff(np.concatenate([heads, [len(rows)]]))
+    indexed = np.bitwise_or.reduceat(form & INDEXED, heads) != 0
+    keep = np.repeat((met > 1) & indexed, met)
+    return rows[keep], np.repeat(met, met)[keep]
+
+
+def shared_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, form, met) of the keys at which lines meet. One shuffle of the keys, in packs by ranges of the key: copies
+    fold, and keys that nobody can meet at go, which most do; so no row of Spark is made of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, met = met_keys(np.frombuffer(b"".join(table.column("rows").to_pylist()), KEY_ROW))
+        flat = [signed(np.ascontiguousarray(rows["key"])), rows["id"], rows["form"], met]
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in flat], ["key", "id", "form", "met"])
+
+    return key_packs(docs, min_words).groupBy("pack").applyInArrow(run, "key long, id long, form int, met long")
 
 
 def line_sums(words: np.ndarray, firsts: np.ndarray, halves: int = 2) -> list[np.ndarray]:
@@ -434,10 +497,32 @@ def surely_within(a: str, b: str, edits: int) -> bool:
     return False
 
 
+def couples(texts: list[str]) -> np.ndarray:
+    """(texts, COUPLES): how often each couple of neighbouring characters stands in each text, couples in bins."""
+    size = np.array([len(x) for x in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    inner = owner[1:] == owner[:-1]
+    pair = (chars[:-1] * np.uint32(0x9E3779B1) + chars[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(23)
+    return np.bincount(owner[1:][inner] * COUPLES + pair[inner].astype(np.int32), minlength=len(texts) * COUPLES).reshape(-1, COUPLES)
+
+
+def like(a: list[str], b: list[str]) -> np.ndarray:
+    """Which pairs can be alike: an edit takes two couples of neighbouring characters away and brings two at most, so pairs
+    whose counts differ by more than four an edit are not, and no pair is lost."""
+    keep = np.zeros(len(a), bool)
+    for at in range(0, len(a), SIDE_BY_SIDE // 8):
+        x, y = a[at : at + SIDE_BY_SIDE // 8], b[at : at + SIDE_BY_SIDE // 8]
+        most = np.array([max(len(v), len(w)) // EDIT_SHARE for v, w in zip(x, y, strict=True)])
+        keep[at : at + len(x)] = np.abs(couples(x) - couples(y)).sum(axis=1) <= 4 * most
+    return keep
+
+
 def within(a: list[str], b: list[str]) -> np.ndarray:
     """For each pair, whether its edit distance is at most a tenth of the longer one."""
     keep, side_by_side = np.zeros(len(a), bool), {}
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+    for k in np.flatnonzero(like(a, b)).tolist():
+        x, y = a[k], b[k]
         edits = max(len(x), len(y)) // EDIT_SHARE
         if abs(len(x) - len(y)) > edits:
             continue
@@ -464,9 +549,17 @@ def verified(pairs: DataFrame) -> DataFrame:
     """Pairs (a_id, b_id, a_normal, b_normal) to (a_id, b_id) of those that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], ([], []), 0
         for batch in batches:
-            keep = within(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a_id", "b_id"])
+            ids.append(pa.RecordBatch.from_arrays(batch.columns[:2], ["a_id", "b_id"]))
+            for side, column in zip(texts, batch.columns[2:], strict=True):
+                side += column.to_pylist()
+                size += column.nbytes
+            if size >= GATHERED or len(texts[0]) >= GATHERED_PAIRS:
+                yield from pa.Table.from_batches(ids).filter(pa.array(within(*texts))).to_batches()
+                ids, texts, size = [], ([], []), 0
+        if ids:
+            yield from pa.Table.from_batches(ids).filter(pa.array(within(*texts))).to_batches()
 
     return per_batch(pairs, run, pairs.select("a_id", "b_id").schema)
 
@@ -509,13 +602,9 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     hashes, so as if no two different lines of the corpus had that in common."""
     lines = durable(find_lines(docs, min_words))
     place = F.struct("doc_id", "doc", "line")
-    distinct = durable(lines.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    # One shuffle of the keys: copies fold, and keys that nobody can meet at go.
-    key = Window.partitionBy("key")
-    folded = key_rows(docs, min_words).repartition("key").groupBy("key", "id").agg(F.bit_or("form").alias("form"))
-    indexed = F.max(F.col("form").bitwiseAND(F.lit(INDEXED))).over(key)
-    met = folded.withColumn("met", F.count("*").over(key)).withColumn("indexed", indexed)
-    shared = durable(met.where(f"met > 1 and indexed = {INDEXED}").drop("indexed"))
+    # Most lines stand once, so that adding them up before they are dealt would only sort them once more.
+    distinct = durable(lines.repartition("low", "high").groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    shared = durable(shared_keys(docs, min_words))
     texts = durable(line_texts(docs, shared.select("id")))
 
     def near(a: str, b: str):
@@ -526,7 +615,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
         return (F.abs(n - m) * EDIT_SHARE <= F.greatest(n, m)) & meet
 
     def verify(found: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
+        a, b = (sieve(texts, "id", found, f"{s}_id").select(F.col("id").alias(f"{s}_id"), F.col("normal").alias(f"{s}_normal")) for s in "ab")
         return verified(found.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_normal", "b_normal"))
 
     def close(a: str, b: str):
@@ -584,7 +673,8 @@ def removals(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) of every document."""
     docs = docs.select("doc_id", "text")
     gone = repeated_lines(keyed(docs), **options).select("doc", F.col("doc_id").alias("__id"), "removed")
-    every = keyed(docs).select("doc", "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    every = keyed(docs).select("doc", "doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     found = every.join(gone, (every["doc"] == gone["doc"]) & every["doc_id"].eqNullSafe(gone["__id"]), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select("doc_id", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from plumbline.llm import graph, linededup
 from plumbline.llm.linededup import dedup_lines, removals, segments, within
 from plumbline.llm.queries import QUERIES
@@ -201,3 +203,38 @@ def test_a_common_passage_costs_no_square(spark, monkeypatch):
     group = brute.components([k for k, _ in docs], lambda a, b: bool(within([normals[a][1]], [normals[b][1]])[0]))
     assert got == {k: int(group[k] != k) for k, _ in docs} and sum(got.values()) >= 30
     assert sum(pairs) < 6 * len(docs)
+
+
+def test_keys_are_dealt_in_packs_and_only_met_ones_become_rows(spark):
+    rng = random.Random(9)
+    given = [(rng.randrange(60), rng.randrange(30), rng.choice([9, 21]) * 4 + rng.choice([2, 3])) for _ in range(400)]
+    found, met = linededup.met_keys(np.array(given, linededup.KEY_ROW))
+    want = {}
+    for key, id_, form in given:
+        ids = want.setdefault(key, {})
+        ids[id_] = ids.get(id_, 0) | form
+    want = {k: v for k, v in want.items() if len(v) > 1 and any(f & linededup.INDEXED for f in v.values())}
+    assert [tuple(x) for x in found.tolist()] == [(k, i, want[k][i]) for k in sorted(want) for i in sorted(want[k])]
+    assert met.tolist() == [len(want[k]) for k, _, _ in found.tolist()]
+    assert len(linededup.met_keys(np.zeros(0, linededup.KEY_ROW))[0]) == 0
+    docs = spark.createDataFrame([(k, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(8))) for k in range(1000)], "doc_id long, text string").coalesce(1)
+    packs = linededup.key_packs(docs, 1).collect()
+    keys = sum(len(p["rows"]) for p in packs) // linededup.KEY_ROW.itemsize
+    assert keys > 20_000 and len(packs) <= 1 << linededup.PACKS_LOG2
+    assert all(np.frombuffer(p["rows"], linededup.KEY_ROW)["key"].max() >> np.uint64(64 - linededup.PACKS_LOG2) == p["pack"] for p in packs)
+
+
+def test_the_screen_of_couples_loses_no_pair():
+    rng = random.Random(11)
+    a = ["".join(rng.choices("abcdé fg", k=rng.randrange(10, 200))) for _ in range(500)]
+    b = []
+    for x in a:
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 10 + 1)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+        b.append("".join(y))
+    alike = np.array([distance(x, y) <= max(len(x), len(y)) // 10 for x, y in zip(a, b, strict=True)])
+    assert alike.sum() > 400 and linededup.like(a, b)[alike].all() and (within(a, b) == alike).all()
+    other = ["".join(rng.choices("hijklm no", k=len(x))) for x in a]
+    assert not linededup.like(a, other).any()
